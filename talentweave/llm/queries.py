@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talentweave.llm import bpe, decontaminate, sharding, simhash
-from talentweave.llm.common import table
+from talentweave.llm import bpe, decontaminate, fingerprints, html_extract, licenses, pii, quality, sharding, simhash, toxicity
+from talentweave.llm.common import cut, table
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -80,10 +80,66 @@ def op8_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"), pii.train(spark))
+    counts = [F.expr(f"size(filter(spans, s -> s.rank = {i}))").cast("long").alias(f"n_{k}") for i, k in enumerate(pii.BASE)]
+    return found.select("doc_id", *counts, F.sha2(pii.as_text(base_only=True), 256).alias("base_sha256"), pii.as_text().alias("spans"))
+
+
+def _remainder(n: int):
+    return F.crc32(F.col("doc_id").cast("string")) % n
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    field = quality.train(docs, table(spark, sf_dir, "labels").where(_remainder(3) != 1))
+    scored = quality.score(docs, field, drop=("text",))
+    return scored.select("doc_id", (_remainder(3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = fingerprints.edited(table(spark, sf_dir, "documents"))
+    signed = fingerprints.fingerprint(fingerprints.fingerprint(pairs, "text", "a"), "edited", "b")
+    own = cut(signed.select("doc_id", "next", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "a", "b"))
+    after = own.groupBy(F.col("doc_id").alias("next")).agg(F.first("a").alias("c"))
+    return own.join(after, "next", "left").select(
+        "doc_id",
+        "n_chars",
+        "edited_sha256",
+        fingerprints.as_text("a").alias("fingerprint"),
+        fingerprints.as_text("b").alias("edited_fingerprint"),
+        fingerprints.likeness("a", "b").alias("near_edited"),
+        fingerprints.likeness("a", "c").alias("near_next"),
+    )
+
+
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), licenses.train())
+    spans = F.expr("array_join(transform(licenses, s -> concat_ws(':', s.paragraph, s.family, if(s.confirmed, 'confirmed', 'open'))), ',')")
+    return found.select("doc_id", "license", F.size("licenses").cast("long").alias("n_paragraphs"), spans.alias("paragraphs"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    examples = toxicity.train(docs, table(spark, sf_dir, "labels").where(_remainder(5) != 0))
+    scored = toxicity.score(docs, examples, drop=("text",))
+    return scored.select("doc_id", (_remainder(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.array_join("neighbours", ",").alias("evidence"))
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
+    "op2_html": op2_html,
     "op3_decontaminate": op3_decontaminate,
     "op4_simhash": op4_simhash,
+    "op5_pii": op5_pii,
+    "op6_quality": op6_quality,
+    "op7_fingerprints": op7_fingerprints,
     "op8_shards": op8_shards,
+    "op9_licenses": op9_licenses,
+    "op10_toxicity": op10_toxicity,
 }
 ORACLES = {"op3_decontaminate": OP3_SQL}

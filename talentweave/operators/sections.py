@@ -181,7 +181,7 @@ def merge_adjacent(sections: DataFrame) -> DataFrame:
     df = islands(sections, "section_type", order="sec_no").withColumnRenamed("sec_no", "line_no")
     parts = F.array_sort(F.collect_list(F.struct("line_no", "text")))
     return df.groupBy("doc_id", "island", "section_type").agg(
-        F.trim(F.array_join(F.transform(parts, lambda p: p["text"]), "\n")).alias("text"), F.min("first_page").alias("first_page"), F.max("last_page").alias("last_page")
+        F.btrim(F.array_join(F.transform(parts, lambda p: p["text"]), "\n"), F.lit(" \t\r\n")).alias("text"), F.min("first_page").alias("first_page"), F.max("last_page").alias("last_page")
     ).withColumnRenamed("island", "sec_no")
 
 

@@ -41,6 +41,33 @@ SECTION_WEIGHTS = {"experience": 0.5, "skills": 0.3, "education": 0.2, "other":
 LEAST_CONFIDENCE = 0.45
 STOP_NAMES = ["the", "and", "for", "with", "who", "what", "are"]
 
+#: Words that start a role line, company words, degree and institute words, titles that wrap, and glyphs.
+ROLE_CUES = ["Senior", "Lead", "Staff", "Principal", "Associate", "Junior", "Software", "Data", "Machine", "AI", "ML", "NLP", "Computer", "Product", "Engineer", "Scientist", "Consultant", "Analyst", "Manager", "Decision Scientist", "R&D", "Research", "Architect"]
+COMPANY_CUES = ["Inc", "Ltd", "LLC", "GmbH", "Pvt", "Technologies", "Labs", "Analytics"]
+DEGREE_START = r"(?i)^(?:B\.?\s?Tech\.?|B\.?\s?E\.?|B\.?\s?Sc\.?|M\.?\s?Tech\.?|M\.?\s?S\.?|M\.?\s?Sc\.?|Bachelor(?:'s|s)?|Master(?:'s|s)?)(?:\b|\s|$)"
+INSTITUTE = r"(?i)\b(?:University|College|Institute|Academy|School|IIT|NIT|SRM)\b"
+TITLE_START = r"(?i)^(?:Intern|Trainee|Associate|Senior|Junior|Lead|Staff|Principal)\b"
+AWARDS_HEADER, AWARD_START = r"(?i)\b(?:AWARDS?|HONORS?)\b", r"(?i)^(?:Star Award|Spot Award|Impact Award|[A-Z][A-Za-z0-9 .,&/+-]{0,60}\b(?:Award|Scholarship|Fellowship|Prize))"
+SECTION_START = r"(?i)^(?:Education|Experience|Work Experience|Projects|Skills|Certifications?|Publications?)\b"
+BULLET_GLYPHS = "•·●◦▪▸►▫-–—⋆★☆■□◆❖»›"
+EXOTIC_BULLETS = "⋆★☆◆◇■□❖▶▸►▪▫•·●◦»›¤¢§"
+ICONS = {"faAt": "Email:", "faPhone": "Phone:", "faMapMarker": "Location:", "faLinkedin": "LinkedIn:"}
+#: Header texts of the rule-based sectioner.
+RULE_HEADERS = [
+    ("work_experience", ["work experience", "experience", "professional experience", "employment history", "career history", "work history"]),
+    ("internships", ["internships", "internship experience", "internship", "industrial training"]),
+    ("projects", ["projects", "personal projects", "academic projects", "project work"]),
+    ("education", ["education", "educational qualification", "academics", "academic profile"]),
+    ("skills", ["skills", "technical skills", "skill set", "core competencies", "software proficiency", "tools"]),
+    ("courses", ["courses", "relevant courses", "coursework", "relevant coursework"]),
+    ("certifications", ["certifications", "certification", "licenses", "licenses & certifications", "certificates"]),
+    ("achievements", ["achievements", "awards", "accomplishments", "honors"]),
+    ("responsibility", ["positions of responsibility", "leadership", "responsibilities", "position of responsibility", "por", "co-curricular activities", "extra-curricular activities"]),
+    ("interests", ["interests", "hobbies"]),
+    ("summary", ["summary", "professional summary", "objective", "profile"]),
+]
+PROSE_VERBS = r"(?i)\b(?:implemented|built|developed|designed|evaluated|led|leading|managing|created|optimized|deployed|research(?:ed|ing))\b"
+
 
 def header_entries() -> list[tuple[int, str, str]]:
     """(order, header text, label) in the order in which they are tried."""

@@ -94,7 +94,7 @@ def two_column_decision(pages: DataFrame) -> DataFrame:
     two = (share >= 0.6) & F.max("right_heavy")
     return pages.groupBy("doc_id").agg(
         F.when(two, F.lit("two_column")).otherwise(F.lit("single")).alias("layout"),
-        F.round(F.when(two, F.least(F.lit(1.0), 0.5 + share / 2)).otherwise(1 - share / 2), 4).alias("confidence"),
+        F.round(F.when(two, 0.5 + share / 2).otherwise(0.75 - share / 4), 4).alias("confidence"),
         F.sum(F.col("valid").cast("int")).alias("cuts_found"),
         F.count(F.lit(1)).alias("pages"),
     )
@@ -316,14 +316,14 @@ def contacts(lines: DataFrame, top: int = 12, normalise: bool = True) -> DataFra
 
 
 def dedupe_headers(headers: DataFrame, near: int = 2) -> DataFrame:
-    """Headers (doc_id, line_no, label) without those within `near` lines of the last kept one of the same label."""
+    """Headers (doc_id, line_no, label) without those within `near` lines of the last kept one, if it has their label."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        kept, last = [], {}
+        kept, last = [], None
         for i, row in enumerate(group.sort_values("line_no").itertuples(index=False)):
-            if row.label not in last or row.line_no - last[row.label] > near:
+            if last is None or row.label != last.label or row.line_no - last.line_no > near:
                 kept.append(i)
-                last[row.label] = row.line_no
+                last = row
         return group.sort_values("line_no").iloc[kept]
 
     return headers.groupBy("doc_id").applyInPandas(run, headers.schema)
@@ -337,13 +337,15 @@ def header_spans(headers: DataFrame) -> DataFrame:
 
 def join_wrapped(lines: DataFrame, gap: float = 3.5, indent: float = 4.0) -> DataFrame:
     """Lines of a page whose top is within `gap` of the bottom above and whose indent within `indent` of the first's
-    become one; the box grows with each."""
+    become one; the box grows with each. Bullets start anew, and lines marked is_header, where there is such a column,
+    stay alone."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         out: list[dict] = []
         for row in group.sort_values("line_no").to_dict("records"):
             prev = out[-1] if out else None
-            if prev and prev["page"] == row["page"] and 0 <= row["y0"] - prev["y1"] <= gap and abs(row["x0"] - prev["x0"]) <= indent and not re.match("[•\\-–—*]", row["text"].lstrip()):
+            heads = row.get("is_header") or (prev is not None and prev.get("is_header"))
+            if prev and not heads and prev["page"] == row["page"] and row["y0"] - prev["y1"] <= gap and abs(row["x0"] - prev["x0"]) <= indent and not re.match("[•\\-–—*]", row["text"].lstrip()):
                 prev["text"] = f"{prev['text']} {row['text']}"
                 prev["y1"], prev["x1"] = max(prev["y1"], row["y1"]), max(prev["x1"], row["x1"])
             else:

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from talentweave.operators import layout as Y
 from talentweave.operators import sections as S
 from talentweave.plans import catalog as C
 from talentweave.sources import readers
@@ -194,13 +195,61 @@ def html_text_extract(spark, sf):
     return p.select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), F.regexp_count("html", F.lit("<p>")).alias("paragraphs"))
 
 
-QUERIES = {f.__name__: f for f in (header_fill_down, label_islands, sections_from_labels, sliding_median, sliding_median_wide, median_font, lines_per_page, noise_filter, page_sample, page_texts, line_boxes, column_gap_cut, reading_order, two_list_merge, exclusive_quartiles, two_means, greedy_bands, layout_decision, absorb_other_runs, relabel_chain, section_merge, section_chain, headers_to_sections, header_spans, header_dedupe, flip_suppression, majority_window, low_confidence, wrapped_bullets, wrapped_lines, candidate_names, contacts_by_document, section_counts, sections_text, html_text_extract)}
+def _positioned(spark, sf):
+    """Lines with boxes, a bullet before every fourth and a header before some."""
+    n = F.col("line_no")
+    mark = F.when(n % 4 == 0, "• ").when(n % 7 == 3, "Software Engineer, ").otherwise("")
+    return C.lines(spark, sf).select("doc_id", "line_no", "page", F.concat(mark, F.col("text")).alias("text"), "font_size", (n % 11 == 5).alias("is_bold"), F.lit(0).alias("column"), F.lit(10.0).alias("x0"), F.lit(90.0).alias("x1"), (n * 12.0).alias("y0"), (n * 12.0 + 10).alias("y1"))
+
+
+def bullet_lines(spark, sf):
+    return Y.merge_bullet_lines(_positioned(spark, sf)).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"))
+
+
+def award_bullets(spark, sf):
+    df = _positioned(spark, sf).withColumn("text", F.when(F.col("line_no") % 9 == 2, "HONORS AND AWARDS").when(F.col("line_no") % 9 == 4, F.concat(F.lit("Best Paper Award "), "line_no")).when(F.col("line_no") % 9 == 7, "Education").otherwise(F.col("text")))
+    return Y.collapse_award_bullets(df).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("text").startswith("•").cast("int")).alias("bullets"))
+
+
+def degree_merge(spark, sf):
+    df = _positioned(spark, sf).withColumn("text", F.when(F.col("line_no") % 5 == 0, "B.Tech in").when(F.col("line_no") % 5 == 1, "Mathematics").when(F.col("line_no") % 5 == 2, "Some University").when(F.col("line_no") % 5 == 3, "Senior").otherwise("engineer of things")).withColumn("is_bold", F.lit(False))
+    return Y.merge_education_and_titles(df).groupBy("text").agg(F.count(F.lit(1)).alias("n"))
+
+
+def glued_roles(spark, sf):
+    df = _positioned(spark, sf).select("doc_id", "line_no", F.when(F.col("line_no") % 3 == 0, F.concat(F.substring("text", 1, 20), F.lit(" Data Scientist, Acme"))).otherwise(F.col("text")).alias("text"))
+    return Y.split_glued_roles(df).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+def column_validation(spark, sf):
+    b = _boxes(spark, sf)
+    return Y.column_pages(b, S.column_cut(b)).groupBy("valid", "right_heavy").agg(F.count(F.lit(1)).alias("n"))
+
+
+def rule_sections(spark, sf):
+    heads = F.coalesce(*[F.when(F.col("line_no") % 12 == i, F.lit(h)) for i, h in ((0, "WORK EXPERIENCE"), (4, "Technical skils"), (8, "EDUCATION -----"))])
+    df = _positioned(spark, sf).where("doc_id % 10 = 0").withColumn("text", F.coalesce(heads, F.lower("text"))).withColumn("is_bold", heads.isNotNull()).withColumn("font_size", F.lit(10.0))
+    return Y.rule_sections(df).groupBy("section_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+def glyph_cleanup(spark, sf):
+    n = C.table(spark, sf, "nation")
+    return n.select("n_nationkey", Y.plain_glyphs(F.concat(F.lit("\\ faAt  ★ x :"), F.lower("n_name"), F.lit(" ,ﬁne\x07"))).alias("text"))
+
+
+def title_match(spark, sf):
+    p = C.table(spark, sf, "part").where("p_partkey <= 300").select(F.col("p_partkey").alias("id"), F.concat_ws(" | ", "p_type", F.when(F.col("p_partkey") % 2 == 0, "sr. data  analyst").otherwise("machine learnin engineer")).alias("header"))
+    return Y.best_titles(p)
+
+
+QUERIES = {f.__name__: f for f in (bullet_lines, award_bullets, degree_merge, glued_roles, column_validation, rule_sections, glyph_cleanup, title_match, header_fill_down, label_islands, sections_from_labels, sliding_median, sliding_median_wide, median_font, lines_per_page, noise_filter, page_sample, page_texts, line_boxes, column_gap_cut, reading_order, two_list_merge, exclusive_quartiles, two_means, greedy_bands, layout_decision, absorb_other_runs, relabel_chain, section_merge, section_chain, headers_to_sections, header_spans, header_dedupe, flip_suppression, majority_window, low_confidence, wrapped_bullets, wrapped_lines, candidate_names, contacts_by_document, section_counts, sections_text, html_text_extract)}
 
 _SECTIONS = r"""secs as (select conv_id as doc_id, turn as sec_no, case when turn % 5 = 0 then 'work_experience' when turn % 5 = 3 then 'skills' else 'other' end as section_type,
     case when turn % 2 = 1 then '- a point' || chr(10) || coalesce(text, '') else regexp_replace(coalesce(text, ''), '\s+', ' ', 'g') end as text from conversations)"""
 _MEDIAN = f"with {C.LINES_SQL} select doc_id, line_no, round(quantile_cont(font_size, 0.5) over (partition by doc_id order by line_no rows between {{n}} preceding and {{n}} following), 6) as median from lines"
 _BOX = "boxes as (select l_orderkey as doc_id, l_linenumber as line_no, l_quantity as x0, l_quantity + 4 as x1, l_tax * 100 as y0, l_linenumber % 2 as col, l_returnflag as text from lineitem)"
 ORACLES = {
+    "glyph_cleanup": "select n_nationkey, 'Email: ★ x: ' || lower(n_name) || ', fine' as text from nation",
     "header_fill_down": f"with {_TURNS} select doc_id, line_no, last_value(label ignore nulls) over (partition by doc_id order by line_no rows between unbounded preceding and current row) as section from turns",
     "label_islands": f"with {_TURNS}, c as (select *, (role is distinct from lag(role) over w or row_number() over w = 1)::int as c from turns window w as (partition by doc_id order by line_no)) select doc_id, line_no, (sum(c) over (partition by doc_id order by line_no))::int as island from c",
     "sliding_median": _MEDIAN.format(n=5),
@@ -220,7 +269,7 @@ ORACLES = {
         r as (select doc_id, p, round(case when n < 2 then v[1] else v[j] * (1 - (p * (n + 1) - j)) + v[j + 1] * (p * (n + 1) - j) end, 6) as x from q)
         select doc_id, max(x) filter (where p = 0.25) as q1, max(x) filter (where p = 0.5) as q2, max(x) filter (where p = 0.75) as q3 from r group by doc_id""",
     "layout_decision": """with d as (select l_orderkey as doc_id, avg((l_discount > 0.03)::int) as share, bool_or(l_quantity > 45) as heavy, sum((l_discount > 0.03)::int)::bigint as cuts_found, count(*) as pages from lineitem group by 1)
-        select doc_id, case when share >= 0.6 and heavy then 'two_column' else 'single' end as layout, round(case when share >= 0.6 and heavy then least(1.0, 0.5 + share / 2) else 1 - share / 2 end, 4) as confidence, cuts_found, pages from d""",
+        select doc_id, case when share >= 0.6 and heavy then 'two_column' else 'single' end as layout, round(case when share >= 0.6 and heavy then 0.5 + share / 2 else 0.75 - share / 4 end, 4) as confidence, cuts_found, pages from d""",
     "absorb_other_runs": f"""with {_SECTIONS}, b as (select doc_id, sec_no, section_type, section_type = 'other' as o, sec_no % 2 = 1 as body from secs),
         c as (select *, (o is distinct from lag(o) over w)::int as ch from b window w as (partition by doc_id order by sec_no)),
         d as (select *, sum(ch) over (partition by doc_id order by sec_no) as run from c),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from talentweave.functions import fuzzy
 from talentweave.functions import text as X
-from talentweave.operators import evaluation, matching, people, retrieval, schedule, sections
+from talentweave.operators import evaluation, layout, matching, people, retrieval, schedule, sections
 from talentweave.plans import sqlgate
 from talentweave.sources import readers
 from talentweave.streaming import events
@@ -195,3 +195,34 @@ def test_stream_counts_equal_batch(spark, tmp_path):
     key = lambda r: (str(r.window_start), r.n, r.total)
     assert sorted(map(key, spark.table("counts").collect())) == sorted(map(key, events.tumbling(df).collect()))
     assert events.sessions(df).count() > 0
+
+
+def _lines(spark, texts, bold=()):
+    rows = [(0, i, 1, 0, t, i in bold, 10.0, 0.0, 90.0, i * 12.0, i * 12.0 + 10) for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, "doc_id int, line_no int, page int, column int, text string, is_bold boolean, font_size double, x0 double, x1 double, y0 double, y1 double")
+
+
+def texts_of(df):
+    return [r.text for r in df.orderBy("line_no").collect()]
+
+
+def test_bullets_take_their_lines(spark):
+    df = _lines(spark, ["Intro", "more", "• built a pipe-", "line of things", "and tests", "Software Engineer, x", "tail", "- next", "Bold"], bold=(8,))
+    assert texts_of(layout.merge_bullet_lines(df)) == ["Intro", "more", "• built a pipeline of things and tests", "Software Engineer, x", "tail", "- next", "Bold"]
+    df = _lines(spark, ["Intro", "HONORS & AWARDS", "Spot Award for work", "in the team", "Education", "Merit Scholarship"])
+    assert texts_of(layout.collapse_award_bullets(df)) == ["Intro", "• HONORS & AWARDS", "• Spot Award for work in the team Education Merit Scholarship"]
+
+
+def test_degrees_and_titles_take_what_follows(spark):
+    df = _lines(spark, ["B.Tech in", "computer science", "Some University", "Senior", "engineer of data", "Lead", "• bullet"])
+    assert texts_of(layout.merge_education_and_titles(df)) == ["B.Tech in computer science, Some University", "Senior engineer of data", "Lead", "• bullet"]
+    df = _lines(spark, ["built good products Data Scientist, Acme", "Data at the start"])
+    assert texts_of(layout.split_glued_roles(df)) == ["built good products", "Data Scientist, Acme", "Data at the start"]
+
+
+def test_rules_find_sections(spark):
+    df = _lines(spark, ["Jane Doe", "WORK EXPERIENCE", "acme corp", "did this", "TECHNCAL SKILLS", "sql, python", "|", "EDUCATION ____", "a school"])
+    got = [(r.section_type, r.text) for r in layout.rule_sections(df).orderBy("sec_no").collect()]
+    assert got == [("work_experience", "acme corp did this"), ("skills", "sql, python"), ("education", "a school")]
+    assert [(r.section_type, r.text) for r in layout.rule_sections(_lines(spark, ["no headers", "here"])).collect()] == [("other", "no headers here")]
+    assert one(spark, layout.plain_glyphs(F.col("a")), a="\\ faPhone ★ ﬁx ,y") == "Phone: ★ fix, y"

@@ -50,8 +50,8 @@ def match_reference(candidates: DataFrame, slots: DataFrame, interviewers: DataF
 
 def match_exclusive(candidates: DataFrame, slots: DataFrame, interviewers: DataFrame, window_start: Column, window_end: Column, minutes: int) -> DataFrame:
     """The k-th candidate (by id) gets the k-th open slot (by start and id); each slot once. Candidates of one run are
-    a stated list, whose numbering is global."""
-    free = open_slots(slots, interviewers, window_start, window_end)
+    a stated list, and only as many of the earliest slots are numbered."""
+    free = open_slots(slots, interviewers, window_start, window_end).orderBy("start_ts", "id").limit(candidates.count())
     numbered = free.withColumn("k", F.row_number().over(Window.orderBy("start_ts", "id"))).select(F.col("id").alias("slot_id"), "interviewer_id", "start_ts", "k")
     wanted = candidates.select("candidate_id").withColumn("k", F.row_number().over(Window.orderBy("candidate_id")))
     joined = wanted.join(numbered, "k", "left")

@@ -44,8 +44,7 @@ def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def as_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document with its token ids, their number and digests of the ids and of what they decode to."""
-    path = tokenizer_path()
-    coded = bpe.decode(bpe.encode(docs, path), path, text="_decoded")
+    coded = bpe.encode(docs, tokenizer_path(), decoded="_decoded")
     ids = F.array_join(F.col("token_ids").cast("array<string>"), " ")
     return coded.select(
         *docs.columns,

@@ -28,7 +28,7 @@ WORD_END = "</w>"
 #: Fixed value: the vocabulary's own rule for splitting normalised text into words.
 WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 #: Remembered chunks in a worker; beyond it the memory starts anew.
-REMEMBER = 300_000
+REMEMBER = 100_000
 NONE = np.iinfo(np.int32).max
 _BREAKS = re.compile(r"[\x1c-\x1f]")
 _SPACE = regex.compile(r"\s+")
@@ -203,8 +203,14 @@ class Encoder:
         return ids, bounds
 
 
-def encode(df: DataFrame, path: str, text: str = "text", ids: str = "token_ids", drop: tuple[str, ...] = ()) -> DataFrame:
-    """df with the ids of each whole text by the tokenizer file at `path` (read on the driver and broadcast).
+def _joined(token, flat: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """The decoded texts: the file has no decoder, so token strings are joined by a space."""
+    return pa.array([" ".join(map(token, flat[a:b].tolist())) for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.string())
+
+
+def encode(df: DataFrame, path: str, text: str = "text", ids: str = "token_ids", decoded: str | None = None, drop: tuple[str, ...] = ()) -> DataFrame:
+    """df with the ids of each whole text by the tokenizer file at `path` (read on the driver and broadcast), and where
+    `decoded` names a column with what these ids decode to.
 
     Special tokens' strings in a text become their ids; none are added. A null or empty text has no ids.
     """
@@ -215,15 +221,17 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "token_ids",
 
         def of(column: pa.Array) -> list[pa.Array]:
             flat, bounds = encoder.encode(column.to_pylist())
-            return [pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(flat))]
+            own = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(flat))
+            return [own] if decoded is None else [own, _joined(encoder.v.tokens.__getitem__, flat, bounds)]
 
         return of
 
-    return add_columns(df, text, T.StructType().add(ids, T.ArrayType(T.IntegerType())), work, drop)
+    new = T.StructType().add(ids, T.ArrayType(T.IntegerType()))
+    return add_columns(df, text, new if decoded is None else new.add(decoded, T.StringType()), work, drop)
 
 
 def decode(df: DataFrame, path: str, ids: str = "token_ids", text: str = "decoded", drop: tuple[str, ...] = ()) -> DataFrame:
-    """df with the text that the tokenizer file decodes to: its token strings joined by a space, as it has no decoder."""
+    """df with the text that ids decode to by the tokenizer file. Null ids decode to the empty text."""
     spark: SparkSession = df.sparkSession
     shared = spark.sparkContext.broadcast(Vocabulary.read(path).tokens)
 
@@ -231,9 +239,8 @@ def decode(df: DataFrame, path: str, ids: str = "token_ids", text: str = "decode
         token = shared.value.__getitem__
 
         def of(column: pa.Array) -> list[pa.Array]:
-            bounds = column.offsets.to_numpy()
-            flat = column.values.to_numpy()
-            return [pa.array([" ".join(map(token, flat[a:b].tolist())) for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.string())]
+            column = column.fill_null([]) if column.null_count else column
+            return [_joined(token, column.values.to_numpy(), column.offsets.to_numpy())]
 
         return of
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -13,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Text handled at a time inside a Python worker; one longer document makes a slice of its own.
-SLICE_BYTES = 4_000_000
+SLICE_BYTES = 2_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,15 +72,28 @@ def add_columns(df: DataFrame, column: str, new: T.StructType, work: Callable[[]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         do = work()
-        for part in sliced(batches, column) if binary else batches:
-            if not part.num_rows:
-                continue
-            at = part.schema.get_field_index
-            made = do(part.column(at(column)))
-            yield pa.RecordBatch.from_arrays([*(part.column(at(c)) for c in source), *made], names=[*source, *(f.name for f in new)])
+        try:
+            for part in sliced(batches, column) if binary else batches:
+                if not part.num_rows:
+                    continue
+                at = part.schema.get_field_index
+                made = do(part.column(at(column)))
+                yield pa.RecordBatch.from_arrays([*(part.column(at(c)) for c in source), *made], names=[*source, *(f.name for f in new)])
+        finally:
+            del do
+            give_back()
 
     return df.mapInArrow(run, schema)
 
 
+def give_back() -> None:
+    """Returns a Python worker's free memory to the system at a task's end: workers are kept for later stages, whose
+    own needs would come on top."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def text_or_empty(c: str = "text"):
     return F.coalesce(F.col(c), F.lit(""))

@@ -18,10 +18,9 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = tokenizer_path()
-    docs = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path, drop=("text",))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     ids = F.array_join(F.col("token_ids").cast("array<string>"), " ")
-    return bpe.decode(docs, path).select(
+    return bpe.encode(docs, tokenizer_path(), decoded="decoded", drop=("text",)).select(
         "doc_id",
         F.size("token_ids").cast("long").alias("n_tokens"),
         F.sha2(ids, 256).alias("ids_sha256"),

@@ -40,6 +40,10 @@ def test_encode_decode_columns_nulls_and_clashing_names(spark, library):
     for r in got:
         want = library.encode(r.text or "", add_special_tokens=False).ids
         assert r.token_ids == want and r.decoded == library.decode(want, skip_special_tokens=False)
+    both = bpe.encode(spark.createDataFrame(rows, DOCS), tokenizer_path(), decoded="decoded")
+    assert sorted(map(str, both.collect())) == sorted(map(str, got))
+    nothing = spark.createDataFrame([(None,), ([],), ([1],)], "token_ids array<int>")
+    assert [r.decoded for r in bpe.decode(nothing, tokenizer_path()).collect()] == ["", "", '"']
     assert bpe.encode(spark.createDataFrame([], DOCS), tokenizer_path()).count() == 0
 
 

@@ -92,7 +92,7 @@ _PLAIN = {
     "having_distinct": "select o_custkey, count(distinct o_orderpriority) as kinds, count(*) as n from orders group by o_custkey having count(*) > 5",
     "correlated_subquery": "select o_orderkey, o_totalprice from orders o where o_totalprice > (select 1.5 * avg(i.o_totalprice) from orders i where i.o_custkey = o.o_custkey)",
     "exists_subquery": "select s_suppkey from supplier where exists (select 1 from lineitem where l_suppkey = s_suppkey and l_quantity > 49) and not exists (select 1 from lineitem where l_suppkey = s_suppkey and l_quantity < 1)",
-    "case_and_coalesce": "select c_mktsegment, sum(case when c_acctbal > 0 then 1 else 0 end) as plus, sum(coalesce(nullif(c_nationkey, 3), 0)) as keys from customer group by c_mktsegment",
+    "case_and_coalesce": "select c_mktsegment, cast(sum(case when c_acctbal > 0 then 1 else 0 end) as bigint) as plus, cast(sum(coalesce(nullif(c_nationkey, 3), 0)) as bigint) as keys from customer group by c_mktsegment",
     "self_join_pairs": "select a.n_name as a, b.n_name as b from nation a join nation b on a.n_regionkey = b.n_regionkey and a.n_nationkey < b.n_nationkey",
     "union_of_lists": "select distinct k from (select l_suppkey as k from lineitem where l_quantity > 40 union all select s_suppkey from supplier where s_acctbal < 0) t",
     "filtered_aggregates": "select event_type, count(*) filter (where value > 50) as high, count(*) as n, max(value) as top from events group by event_type",

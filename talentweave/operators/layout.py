@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +11,7 @@ from talentweave.functions import fuzzy
 from talentweave.functions import lexicon as L
 from talentweave.functions import text as X
 from talentweave.operators import sections as S
+from talentweave.operators.folding import columns, fold
 
 _CUES = "|".join(L.ROLE_CUES)
 _MONTH = r"(?i)\b(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sept?|Oct|Nov|Dec)[a-z]*\.?(?:\b|\s)"
@@ -82,27 +82,24 @@ def merge_education_and_titles(lines: DataFrame) -> DataFrame:
     degree, institute, title = (re.compile(p) for p in (L.DEGREE_START, L.INSTITUTE, L.TITLE_START))
     role, open_end = re.compile(rf"(?i)^(?:{_CUES})\b"), re.compile(r"(?i)\b(?:in|of)\.?$")
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        rows = group.sort_values("line_no").to_dict("records")
+    def run(rows: list[dict]) -> list[dict]:
         out, i = [], 0
         while i < len(rows):
             row, taken = rows[i], 1
-            after = rows[i + 1] if i + 1 < len(rows) else None
-            near = after is not None and (after["page"], after["column"]) == (row["page"], row["column"]) and not after["bullet"]
+            place = row["page"], row["column"]
+            after, third = (rows[i + k] if i + k < len(rows) and (rows[i + k]["page"], rows[i + k]["column"]) == place and not rows[i + k]["bullet"] else None for k in (1, 2))
             text = row["text"]
-            if near and (degree.search(text) or open_end.search(text)) and not after["header"] and not after["bold"]:
+            if after and (degree.search(text) or open_end.search(text)) and not after["header"] and not after["bold"]:
                 text, taken = f"{text} {after['text']}", 2
-                third = rows[i + 2] if i + 2 < len(rows) else None
-                if third is not None and (third["page"], third["column"]) == (row["page"], row["column"]) and not third["bullet"] and not third["header"] and institute.search(third["text"]):
+                if third and not third["header"] and institute.search(third["text"]):
                     text, taken = f"{text}, {third['text']}", 3
-            elif near and title.search(text) and len(text.split()) <= 3 and role.search(after["text"]) and not after["bold"] and not after["header"]:
+            elif after and title.search(text) and len(text.split()) <= 3 and role.search(after["text"]) and not after["bold"] and not after["header"]:
                 text, taken = f"{text} {after['text']}", 2
-            out.append({**row, "text": " ".join(text.split())})
+            out.append({**{c: row[c] for c in ("doc_id", "line_no", "page", "column")}, "text": " ".join(text.split())})
             i += taken
-        return pd.DataFrame(out)[["doc_id", "line_no", "page", "column", "text"]]
+        return out
 
-    kinds = dict(flagged.dtypes)
-    return flagged.groupBy("doc_id").applyInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in ("doc_id", "line_no", "page", "column", "text")))
+    return fold(flagged, run, columns(flagged, "doc_id", "line_no", "page", "column", "text"))
 
 
 def split_glued_roles(lines: DataFrame) -> DataFrame:

@@ -92,10 +92,14 @@ def edited(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     number replaced is that of the key's longest text. A null key has no next document and an empty replacement."""
     after = cut(successors(docs, key, text))
     body = docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias(text))
-    wanted = after.select(F.col("next").alias(key), F.col(key).alias("for"), F.expr("n div 2").cast("int").alias("half"))
-    heads = body.groupBy(key).agg(F.min(text).alias("_t")).join(wanted, key).select(F.col("for").alias(key), F.col(key).alias("next"), F.expr("left(_t, half)").alias("head"))
+    wanted = after.select(F.col("next").alias(key), F.col(key).alias("_for"), F.expr("n div 2").cast("int").alias("_half"))
+    # Texts move once, to their keys; from there the heads alone move on to the keys before.
+    placed = body.join(wanted.hint("merge"), key, "left")
+    least = placed.groupBy(key).agg(F.min(text).alias("_t"), F.first("_for").alias("_for"), F.first("_half").alias("_half")).where("_for is not null")
+    heads = least.select(F.col("_for").alias(key), F.col(key).alias("next"), F.expr("left(_t, _half)").alias("head"))
     n = f"length({text})"
-    return body.join(heads, key, "left").withColumn("edited", F.expr(f"concat(left({text}, {n} - {n} div 2), left(coalesce(head, ''), {n} div 2))")).select(key, text, "next", "edited")
+    paired = body.join(heads.hint("merge"), key, "left")
+    return paired.withColumn("edited", F.expr(f"concat(left({text}, {n} - {n} div 2), left(coalesce(head, ''), {n} div 2))")).select(key, text, "next", "edited")
 
 
 def fingerprint(df: DataFrame, text: str = "text", out: str = "fingerprint", size: int = SHINGLE) -> DataFrame:

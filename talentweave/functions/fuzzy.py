@@ -52,6 +52,46 @@ def token_set_ratio_of(a: str, b: str) -> float:
     return max(ratio_of(both, left) if both else 0.0, ratio_of(both, right) if both else 0.0, ratio_of(left, right))
 
 
+def token_sort_ratio_of(a: str, b: str) -> float:
+    return ratio_of(" ".join(sorted(a.split())), " ".join(sorted(b.split())))
+
+
+@lru_cache(maxsize=100_000)
+def weighted_ratio_of(a: str, b: str) -> float:
+    """The largest of plain and token scores, these weighed by 0.95; for lengths apart by half or more of partial
+    scores, weighed by 0.9, and by 0.6 from a factor of eight on."""
+    if not a or not b:
+        return 0.0
+    long, short = max(len(a), len(b)), min(len(a), len(b))
+    scores = [ratio_of(a, b)]
+    if long < 1.5 * short:
+        scores += [0.95 * token_sort_ratio_of(a, b), 0.95 * token_set_ratio_of(a, b)]
+    else:
+        scale = 0.9 if long <= 8 * short else 0.6
+        x, y = set(a.split()), set(b.split())
+        part = 100.0 if x & y else partial_ratio_of(" ".join(sorted(x - y)), " ".join(sorted(y - x)))
+        sort = partial_ratio_of(" ".join(sorted(a.split())), " ".join(sorted(b.split())))
+        scores += [scale * partial_ratio_of(a, b), 0.95 * scale * sort, 0.95 * scale * part]
+    return max(scores)
+
+
+def near_terms(x: Column, words: list[str], cutoff: float, spare_below: int, top: int = 8, needle: int = 200) -> Column:
+    """Listed words that a text contains; where there are fewer than `spare_below`, also the `top` with the largest
+    weighted ratio to its first `needle` characters that reach the cutoff. Sorted."""
+
+    def of(text: str) -> list[str]:
+        hits = {w for w in words if w in text}
+        if len(hits) < spare_below:
+            best = sorted(((-weighted_ratio_of(text[:needle], w), i, w) for i, w in enumerate(words)))[:top]
+            hits |= {w for s, _, w in best if -s >= cutoff}
+        return sorted(hits)
+
+    def run(s: pd.Series) -> pd.Series:
+        return s.fillna("").map(of)
+
+    return F.pandas_udf(run, "array<string>")(x)
+
+
 def _udf(score):
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([None if x is None or y is None else score(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")

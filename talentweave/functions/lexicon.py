@@ -68,6 +68,17 @@ RULE_HEADERS = [
 ]
 PROSE_VERBS = r"(?i)\b(?:implemented|built|developed|designed|evaluated|led|leading|managing|created|optimized|deployed|research(?:ed|ing))\b"
 
+#: Vocabularies of a question's entities, and words that hint at a section.
+QUERY_SKILLS = ["python", "django", "flask", "fastapi", "react", "node", "javascript", "typescript", "aws", "gcp", "azure", "docker", "kubernetes", "k8s", "grpc", "redis", "postgres", "mysql", "spark", "hadoop", "snowflake", "dbt", "pytorch", "tensorflow", "keras", "scikit-learn", "opencv", "cuda", "tensorrt", "triton", "yolov7", "yolov5", "zed", "ros", "ros2", "triton inference server"]
+QUERY_ROLES = ["backend engineer", "backend developer", "frontend engineer", "frontend developer", "full stack", "full stack developer", "data engineer", "ml engineer", "machine learning engineer", "data scientist", "ios developer", "android developer", "devops", "sre", "site reliability engineer"]
+QUERY_DEGREES = ["btech", "be", "b.e.", "mtech", "m.tech", "mca", "bca", "bsc", "msc", "mba", "phd", "ph.d."]
+SECTION_HINTS = [
+    ("experience", ["experience", "worked at", "role", "roles", "position", "positions"]),
+    ("project", ["project", "projects"]),
+    ("education", ["education", "degree", "college", "university"]),
+    ("skills", ["skills", "tech stack", "stack"]),
+    ("achievement", ["achievement", "awards", "accomplishment"]),
+]
 
 def header_entries() -> list[tuple[int, str, str]]:
     """(order, header text, label) in the order in which they are tried."""

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from talentweave.functions import fuzzy
 from talentweave.functions import lexicon as L
+from talentweave.functions import text as X
 
 #: A side that is broadcast for a fuzzy join has this many rows at most; a larger one is joined in blocks.
 MOST_ROWS = 20_000
@@ -54,6 +55,20 @@ def vocabulary_hits(texts: DataFrame, words: list[str], cutoff: float, spare_bel
     return df.join(near, key, "left").select(key, F.sort_array(F.array_union("_d", F.coalesce("_n", F.array().cast("array<string>")))).alias("hits"))
 
 
+def query_entities(questions: DataFrame, question: str = "question", extra_skills: tuple[str, ...] = (), extra_roles: tuple[str, ...] = (), extra_degrees: tuple[str, ...] = ()) -> DataFrame:
+    """questions with the skills, roles, degrees, section hints and least years that each names."""
+    text = X.plain_norm(F.col(question))
+    lists = {
+        "skills": ([*L.QUERY_SKILLS, *map(str.lower, extra_skills)], L.SKILL_CUTOFF, 3),
+        "roles": ([*L.QUERY_ROLES, *map(str.lower, extra_roles)], L.ROLE_CUTOFF, 2),
+        "degrees": ([*L.QUERY_DEGREES, *map(str.lower, extra_degrees)], L.DEGREE_CUTOFF, 1),
+    }
+    named = {k: fuzzy.near_terms(text, list(dict.fromkeys(words)), cutoff, below) for k, (words, cutoff, below) in lists.items()}
+    hints = F.sort_array(F.array_compact(F.array(*[F.when(F.coalesce(*[F.when(F.contains(text, F.lit(w)), F.lit(True)) for w in words]), F.lit(name)) for name, words in L.SECTION_HINTS])))
+    years = X.metric(text, r"(\d+)\s*(?:\+|plus)?\s*(?:years|yrs|yr)\b")
+    return questions.withColumns({**named, "sections": hints, "min_years": years})
+
+
 def spell(words: DataFrame, dictionary: DataFrame, most: int = 2) -> DataFrame:
     """(word, correction): the dictionary term (term, freq) within `most` edits that is nearest, then most frequent, then
     first by name; the word itself where none is. Adjacent transpositions count as two edits. The dictionary is a

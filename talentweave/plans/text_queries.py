@@ -188,10 +188,39 @@ def bullets_and_blocks(spark, sf):
     return d.select("doc_id", F.size(X.bullets(text)).alias("n_bullets"), F.size(X.blocks(text)).alias("n_blocks"), F.get(X.bullets(text), F.lit(1)).alias("second"))
 
 
-QUERIES = {f.__name__: f for f in (normalize_text, lower_norm, contacts_extract, phone_normalize, phones_of_lines, skills_dictionary, metrics_extract, gpa_and_degree, language_levels, season_to_month, date_ranges, iso_date_pad, short_hash_ids, document_hashes, paths, json_array_contains, json_properties, requirements_split, row_rendering, score_parse, years_regex, hyphen_unwrap, spaced_caps, header_labels, compact_lists, nfkc_form, fuzzy_name_match, entity_extract, spell_correct, name_tokens, bullets_and_blocks)}
+def query_entities(spark, sf):
+    p = C.table(spark, sf, "part").where("p_partkey <= 400").select("p_partkey", F.concat_ws(" ", F.when(F.col("p_partkey") % 2 == 0, "python, spark and aws").otherwise("backend enginer"), F.lit("role with"), "p_size", F.lit("+ years, mtech")).alias("question"))
+    return M.query_entities(p).select("p_partkey", F.array_join("skills", ",").alias("skills"), F.array_join("roles", ",").alias("roles"), F.array_join("degrees", ",").alias("degrees"), F.array_join("sections", ",").alias("sections"), "min_years")
+
+
+def section_hints(spark, sf):
+    n = C.table(spark, sf, "nation").select("n_nationkey", F.concat(F.when(F.col("n_nationkey") % 2 == 0, "Projects and awards of ").otherwise("Degree or tech stack of "), "n_name").alias("question"))
+    return M.query_entities(n).select("n_nationkey", F.array_join("sections", ",").alias("sections"))
+
+
+def skill_categories(spark, sf):
+    o = C.table(spark, sf, "orders").groupBy("o_custkey").agg(F.collect_list("o_orderpriority").alias("p"))
+    return o.select("o_custkey", F.array_join(X.categories(F.col("p"))["General"], ",").alias("general"))
+
+
+def project_highlights(spark, sf):
+    p = C.table(spark, sf, "part")
+    return p.select("p_partkey", F.array_join(X.highlights(F.when(F.col("p_partkey") % 2 == 0, F.col("p_name")), F.array(F.col("p_brand"), F.lit(""), F.lit(None).cast("string"))), "|").alias("highlights"))
+
+
+def stamps_and_follow_ups(spark, sf):
+    o = C.table(spark, sf, "orders")
+    return o.select("o_orderkey", X.utc_stamp(F.col("o_orderdate")).alias("stamp"), X.compose_follow_up(F.col("o_orderstatus"), F.col("o_orderpriority")).alias("follow_up"), X.first_filled(F.nullif(F.col("o_orderstatus"), F.lit("O")), F.lit(""), F.col("o_orderpriority")).alias("first"), F.substring(F.repeat("o_orderpriority", 3), 1, 20).alias("short"))
+
+
+QUERIES = {f.__name__: f for f in (query_entities, section_hints, skill_categories, project_highlights, stamps_and_follow_ups, normalize_text, lower_norm, contacts_extract, phone_normalize, phones_of_lines, skills_dictionary, metrics_extract, gpa_and_degree, language_levels, season_to_month, date_ranges, iso_date_pad, short_hash_ids, document_hashes, paths, json_array_contains, json_properties, requirements_split, row_rendering, score_parse, years_regex, hyphen_unwrap, spaced_caps, header_labels, compact_lists, nfkc_form, fuzzy_name_match, entity_extract, spell_correct, name_tokens, bullets_and_blocks)}
 
 _HEADERS = ", ".join(f"({i}, '{label}')" for i, _, label in L.header_entries())
 ORACLES = {
+    "section_hints": "select n_nationkey, case when n_nationkey % 2 = 0 then 'achievement,project' else 'education,skills' end as sections from nation",
+    "skill_categories": "select o_custkey, array_to_string(list_sort(list(distinct o_orderpriority)), ',') as general from orders group by o_custkey",
+    "project_highlights": "select p_partkey, concat_ws('|', case when p_partkey % 2 = 0 then p_name end, p_brand) as highlights from part",
+    "stamps_and_follow_ups": "select o_orderkey, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') as stamp, 'Previous question: ' || o_orderstatus || chr(10) || 'Follow-up: ' || o_orderpriority as follow_up, case when o_orderstatus <> 'O' then o_orderstatus else o_orderpriority end as first, substring(repeat(o_orderpriority, 3), 1, 20) as short from orders",
     "normalize_text": r"select doc_id, sha1(t) as digest, length(t)::int as n from (select doc_id, trim(regexp_replace(text, '[\s\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+', ' ', 'g')) as t from documents)",
     "lower_norm": "select p_partkey, lower(p_name) || ' x' as name from part",
     "contacts_extract": rf"select doc_id, array_to_string(regexp_extract_all(text, '{_ESCAPED_EMAIL}'), ',') as emails, len(regexp_extract_all(text, '(https?://\S+|www\.\S+)'))::int as n_urls from documents where array_to_string(regexp_extract_all(text, '{_ESCAPED_EMAIL}'), ',') <> '' or len(regexp_extract_all(text, '(https?://\S+|www\.\S+)')) > 0",

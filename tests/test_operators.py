@@ -226,3 +226,11 @@ def test_rules_find_sections(spark):
     assert got == [("work_experience", "acme corp did this"), ("skills", "sql, python"), ("education", "a school")]
     assert [(r.section_type, r.text) for r in layout.rule_sections(_lines(spark, ["no headers", "here"])).collect()] == [("other", "no headers here")]
     assert one(spark, layout.plain_glyphs(F.col("a")), a="\\ faPhone ★ ﬁx ,y") == "Phone: ★ fix, y"
+
+
+def test_question_entities(spark):
+    df = spark.createDataFrame([("Spark with 5+ years, M.Tech projects",), (None,), ("Backend enginer",)], "question string")
+    got = matching.query_entities(df).collect()
+    assert got[2].roles == ["backend engineer"] and got[0].skills == ["spark"] and got[0].degrees == ["m.tech"] and got[0].sections == ["project"] and got[0].min_years == 5
+    assert got[1].skills == [] and got[1].min_years is None
+    assert fuzzy.weighted_ratio_of("data engineer", "engineer data") == 95.0 and fuzzy.weighted_ratio_of("", "a") == 0.0

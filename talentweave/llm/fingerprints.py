@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from talentweave.llm.common import cut
 
 SHINGLE, BINS = 5, 64
-#: The layout of a sample in 64 bits, bin (6), ln a (29) and term hash (29), and the range of ln a.
-_A_BITS, _ID_BITS, _LOW, _SCALE = 29, 29, 64.0, 1 << 22
+#: The layout of a sample in 64 bits, bin (6), ln a (29) and term hash (29, 26 kept), and the range of ln a.
+_A_BITS, _ID_BITS, _KEPT, _LOW, _SCALE = 29, 29, 26, 64.0, 1 << 22
 
 
 def _uniform(bits: str) -> str:
@@ -44,7 +44,8 @@ def _sample(x: str, log_weight: str | None) -> str:
 
 
 def sign(df: DataFrame, text: str, out: str, size: int = SHINGLE) -> DataFrame:
-    """df with the signature of each whole text: an array of longs, one for each bin that has terms, ascending."""
+    """df with the signature of each whole text: an array of ints, one for each bin that has terms, ascending; an int is
+    the bin (6 bits) and a hash of the sampled (term, t) (26 bits)."""
     body = F.lower(F.coalesce(F.col(text), F.lit("")))
     df = df.withColumn("_w", F.split(body, r"\s+"))
     df = df.withColumn("_w", F.expr("transform(filter(_w, s -> s <> ''), s -> xxhash64(s))"))
@@ -56,18 +57,19 @@ def sign(df: DataFrame, text: str, out: str, size: int = SHINGLE) -> DataFrame:
     heavy = f"transform(_r, (p, j) -> {_sample('_h[p]', 'ln(coalesce(get(_r, j + 1), size(_h)) - p)')})"
     light = f"transform(_h, x -> {_sample('x', None)})"
     df = df.withColumn("_v", F.expr(f"sort_array(if(size(_r) > 0, {heavy}, {light}))"))
-    df = df.withColumn(out, F.expr("filter(_v, (v, i) -> i = 0 or shiftright(v, 58) <> shiftright(_v[i - 1], 58))"))
+    first = "filter(_v, (v, i) -> i = 0 or shiftright(v, 58) <> shiftright(_v[i - 1], 58))"
+    df = df.withColumn(out, F.expr(f"transform({first}, v -> cast(shiftleft(shiftright(v, 58), {_KEPT}) | (v & {(1 << _KEPT) - 1}L) as int))"))
     return df.drop("_w", "_h", "_r", "_v")
 
 
 def likeness(a: str, b: str):
     """Share of bins with equal samples, of the bins that either signature has; 1 for two empty ones."""
-    bins = f"size(array_union(transform({a}, v -> shiftright(v, 58)), transform({b}, v -> shiftright(v, 58))))"
+    bins = f"size(array_union(transform({a}, v -> shiftright(v, {_KEPT})), transform({b}, v -> shiftright(v, {_KEPT}))))"
     return F.expr(f"if({bins} = 0, 1D, size(array_intersect({a}, {b})) / {bins})")
 
 
 def as_text(c: str):
-    return F.expr(f"lower(array_join(transform({c}, v -> lpad(hex(v), 16, '0')), ''))")
+    return F.expr(f"lower(array_join(transform({c}, v -> lpad(hex(v & 4294967295L), 8, '0')), ''))")
 
 
 def successors(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

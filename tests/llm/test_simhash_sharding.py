@@ -102,3 +102,15 @@ def test_a_group_larger_than_a_shard_is_cut_by_key(spark):
 def test_repeated_rows_and_fewer_rows_than_shards(spark):
     got, _ = shards_of(spark.createDataFrame([(1, "a")] * 5 + [(2, None)], "doc_id long, text string"))
     assert sorted(r["size"] for r in got) == [8] + [9] * 5
+
+
+def test_tables_between_rounds_can_be_dropped(spark):
+    import os
+
+    from talentweave.llm import common
+
+    df = common.cut(spark.range(5).toDF("a"))
+    place = common._tables(spark).removeprefix("file:")
+    assert df.count() == 5 and os.listdir(place)
+    common.drop_tables(spark)
+    assert not os.path.exists(place)

@@ -28,7 +28,7 @@ WORD_END = "</w>"
 #: Fixed value: the vocabulary's own rule for splitting normalised text into words.
 WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 #: Remembered chunks in a worker; beyond it the memory starts anew.
-REMEMBER = 100_000
+REMEMBER = 200_000
 NONE = np.iinfo(np.int32).max
 _BREAKS = re.compile(r"[\x1c-\x1f]")
 _SPACE = regex.compile(r"\s+")
@@ -133,50 +133,77 @@ def merge_words(words: list[bytes], v: Vocabulary) -> tuple[np.ndarray, np.ndarr
     return sym[order], np.bincount(word, minlength=len(words))
 
 
+class Store:
+    """Ids of remembered pieces end to end, with the place and number of each piece's ids."""
+
+    def __init__(self, ids: list[int]):
+        self.flat = np.array(ids, np.int32)
+        self.start, self.length = np.arange(len(ids)), np.ones(len(ids), np.int64)
+
+    def add(self, ids: np.ndarray, length: np.ndarray) -> None:
+        self.start = np.append(self.start, len(self.flat) + np.cumsum(length) - length)
+        self.length = np.append(self.length, length)
+        self.flat = np.append(self.flat, ids)
+
+    def gather(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the pieces end to end, and where each piece's ids end."""
+        n = self.length[which]
+        ends = np.cumsum(n)
+        return self.flat[np.repeat(self.start[which] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)], ends
+
+
 class Encoder:
-    """Encodes texts; remembers the ids of chunks."""
+    """Encodes texts; remembers the ids of words, and of chunks between white space."""
 
     def __init__(self, v: Vocabulary):
         self.v = v
         self.special = regex.compile("|".join(map(regex.escape, sorted(v.special, key=len, reverse=True))) or r"(?!)")
+        self.openers = {s[0] for s in v.special}
         self.forget()
 
     def forget(self) -> None:
+        # A special token is a word under its id, which no text can spell.
+        self.word_number: dict[str | int, int] = {i: n for n, i in enumerate(self.v.special.values())}
+        self.words = Store(list(self.v.special.values()))
         self.known: dict[str, int] = {}
-        self.flat = np.zeros(0, np.int32)
-        self.start = np.zeros(0, np.int64)
-        self.length = np.zeros(0, np.int64)
+        self.store = Store([])
 
-    def pieces(self, chunk: str) -> list[bytes | int]:
-        """Words (in UTF-8) and special ids of a chunk without white space."""
-        out: list[bytes | int] = []
+    def pieces(self, chunk: str) -> list[str | int]:
+        """Words and special ids of a chunk without white space."""
+        if not any(c in chunk for c in self.openers):
+            return self.plain(chunk)
+        out: list[str | int] = []
         at = 0
         for m in self.special.finditer(chunk):
-            out += self.pieces_plain(chunk[at : m.start()])
+            out += self.plain(chunk[at : m.start()])
             out.append(self.v.special[m[0]])
             at = m.end()
-        return out + self.pieces_plain(chunk[at:])
+        return out + self.plain(chunk[at:])
 
-    def pieces_plain(self, chunk: str) -> list[bytes]:
-        plain = unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower()
-        return [w.encode() for w in WORD.findall(plain)]
+    @staticmethod
+    def plain(chunk: str) -> list[str]:
+        low = chunk.lower() if chunk.isascii() else unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower()
+        return [low] if low.isalpha() else WORD.findall(low)
 
     def learn(self, chunks: list[str]) -> None:
-        split = [self.pieces(c) for c in chunks]
-        unique = list(dict.fromkeys(w for ws in split for w in ws if isinstance(w, bytes)))
-        number = {w: i for i, w in enumerate(unique)}
-        ids, counts = merge_words(unique, self.v) if unique else (np.zeros(0, np.int32), np.zeros(0, np.int64))
-        begin = np.cumsum(counts) - counts
-        parts, lengths = [], []
-        for ws in split:
-            own = [np.array([w], np.int32) if isinstance(w, int) else ids[begin[number[w]] : begin[number[w]] + counts[number[w]]] for w in ws]
-            parts += own
-            lengths.append(sum(map(len, own)))
-        new = np.array(lengths, np.int64)
-        self.known.update(zip(chunks, range(len(self.start), len(self.start) + len(chunks)), strict=True))
-        self.start = np.append(self.start, len(self.flat) + np.cumsum(new) - new)
-        self.length = np.append(self.length, new)
-        self.flat = np.concatenate([self.flat, *parts])
+        number = self.word_number
+        fresh: list[bytes] = []
+        which, counts = [], []
+        for c in chunks:
+            own = self.pieces(c)
+            for w in own:
+                n = number.get(w)
+                if n is None:
+                    n = number[w] = len(number)
+                    fresh.append(w.encode())
+                which.append(n)
+            counts.append(len(own))
+        if fresh:
+            self.words.add(*merge_words(fresh, self.v))
+        ids, ends = self.words.gather(np.array(which, np.int64))
+        bounds = np.append(0, ends)[np.append(0, np.cumsum(np.array(counts, np.int64)))]
+        self.known.update(zip(chunks, range(len(self.known), len(self.known) + len(chunks)), strict=True))
+        self.store.add(ids, np.diff(bounds))
 
     @staticmethod
     def chunks(text: str) -> list[str]:
@@ -196,11 +223,8 @@ class Encoder:
         if new := list(set(chunks).difference(self.known)):
             self.learn(new)
         which = np.fromiter(map(self.known.__getitem__, chunks), np.int64, len(chunks))
-        n = self.length[which]
-        ends = np.cumsum(n)
-        ids = self.flat[np.repeat(self.start[which] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)]
-        bounds = np.append(0, ends)[np.append(0, np.cumsum(np.array(of, np.int64)))]
-        return ids, bounds
+        ids, ends = self.store.gather(which)
+        return ids, np.append(0, ends)[np.append(0, np.cumsum(np.array(of, np.int64)))]
 
 
 def _joined(token, flat: np.ndarray, bounds: np.ndarray) -> pa.Array:

@@ -11,8 +11,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from talentweave.functions import lexicon as L
 
@@ -50,8 +53,55 @@ def top_k(pairs: DataFrame, k: int, by: str = "qid") -> DataFrame:
     return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def _matrix(vectors: pa.Array, width: int) -> np.ndarray:
+    """Vectors as rows of doubles, short or null ones filled up with zeros."""
+    size = pa.compute.fill_null(pa.compute.list_value_length(vectors), 0).to_numpy(zero_copy_only=False)
+    flat = np.nan_to_num(vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64))
+    if len(size) and (size == width).all():
+        return flat.reshape(-1, width)
+    out = np.zeros((len(size), width))
+    row = np.repeat(np.arange(len(size)), size)
+    place = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
+    keep = place < width
+    out[row[keep], place[keep]] = flat[keep]
+    return out
+
+
 def knn(store: DataFrame, queries: DataFrame, k: int = L.PER_QUERY, id_col: str = "id", vector: str = "embedding") -> DataFrame:
-    return top_k(distances(store, queries, id_col, vector), k)
+    """(qid, weight, id, dist, rank) of the k stored vectors nearest to each query by cosine distance.
+
+    The stated queries are a matrix on every worker; a batch of vectors is one product, of which only rows that can be
+    among a query's k nearest leave the batch. So a pass over the store sends k rows a query and batch, not a row for
+    each pair. Ties at the k-th distance stay until ids decide.
+    """
+    rows = queries.select("qid", "weight", "embedding").limit(MOST_QUERIES + 1).collect()
+    if len(rows) > MOST_QUERIES:
+        raise ValueError(f"search in blocks of at most {MOST_QUERIES} queries")
+    width = max([1, *(len(r.embedding or ()) for r in rows)])
+    asked = np.zeros((len(rows), width))
+    for i, r in enumerate(rows):
+        asked[i, : len(r.embedding or ())] = r.embedding or ()
+    asked_norm = np.sqrt((asked * asked).sum(1))
+    kinds = dict(queries.dtypes)
+    schema = f"qid {kinds['qid']}, weight double, id {dict(store.dtypes)[id_col]}, dist double"
+    numbers = pa.array([r.qid for r in rows], to_arrow_type(queries.schema["qid"].dataType))
+    weights = np.array([r.weight for r in rows], float)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows or not len(asked):
+                continue
+            vectors = b.column(1)
+            longest = pa.compute.max(pa.compute.list_value_length(vectors)).as_py() or 0
+            own = _matrix(vectors, max(width, longest))
+            norm = np.sqrt((own * own).sum(1))[:, None] * asked_norm[None]
+            dots = own[:, :width] @ asked.T
+            dist = np.round(1 - np.divide(dots, norm, out=np.zeros_like(dots), where=norm > 0), 6)
+            limit = np.partition(dist, min(k, len(dist)) - 1, axis=0)[min(k, len(dist)) - 1]
+            at, of = np.nonzero(dist <= limit)
+            yield pa.RecordBatch.from_arrays([numbers.take(pa.array(of)), pa.array(weights[of]), b.column(0).take(pa.array(at)), pa.array(dist[at, of])], names=["qid", "weight", "id", "dist"])
+
+    return top_k(store.select(F.col(id_col).alias("id"), vector).mapInArrow(work, schema), k)
 
 
 def fuse(hits: DataFrame, k: int = L.RRF_K, pool: int | None = L.POOL, weighted: bool = True) -> DataFrame:

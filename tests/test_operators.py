@@ -234,3 +234,15 @@ def test_question_entities(spark):
     assert got[2].roles == ["backend engineer"] and got[0].skills == ["spark"] and got[0].degrees == ["m.tech"] and got[0].sections == ["project"] and got[0].min_years == 5
     assert got[1].skills == [] and got[1].min_years is None
     assert fuzzy.weighted_ratio_of("data engineer", "engineer data") == 95.0 and fuzzy.weighted_ratio_of("", "a") == 0.0
+
+
+def test_nearest_vectors_equal_all_pairs(spark):
+    rng = random.Random(9)
+    rows = [(i, [round(rng.uniform(-1, 1), 1) for _ in range(3)]) for i in range(80)] + [(90, None), (91, [0.0] * 3), (92, [1.0]), (93, [1.0, 0.0, 0.0, 2.0])]
+    store = spark.createDataFrame(rows, "id int, embedding array<float>").repartition(3)
+    queries = spark.createDataFrame([(1, 2.0, [1.0, 0.0, 0.5]), (2, 1.0, [0.0, 0.0, 0.0]), (3, 1.0, [0.3, -0.2, 0.9])], "qid int, weight double, embedding array<float>")
+    key = lambda r: (r.qid, r.rank, r.id, r.weight, round(r.dist, 6))
+    want = retrieval.top_k(retrieval.distances(store, queries), 7)
+    got = retrieval.knn(store, queries, 7)
+    assert sorted(map(key, got.collect())) == sorted(map(key, want.collect()))
+    assert retrieval.knn(store, queries.limit(0), 7).count() == 0

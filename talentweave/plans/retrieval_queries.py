@@ -136,6 +136,10 @@ def min_length_filter(spark, sf):
 QUERIES = {f.__name__: f for f in (knn_topk, knn_filtered, rrf_weighted, rrf_unweighted, rerank_cosine, semantic_search_pipeline, filtered_search_pipeline, mmr_select, fallback_nearest, fallback_not_needed, source_rollup, top_source, lateral_topk_per_scope, context_by_person, skill_post_filter, query_variants, chunk_recursive, chunk_dedupe_sha1, min_length_filter)}
 
 ORACLES = {
+    "filtered_search_pipeline": f"""with {PAIRS}, fh as (select p.qid, p.id, row_number() over (partition by qid order by dist, id) as rank from pairs p join embeddings e on e.vec_id = p.id where label in (1, 2, 3) qualify rank <= 30),
+        ff as (select id, round(sum(1.0::double / (60 + rank)), 8) as s, min(rank)::int as first_rank from fh group by id order by s desc, first_rank, id limit 30),
+        fr as (select ff.id, first_rank, round(list_cosine_similarity(e.embedding::double[], q.embedding::double[]), 6) as score from ff join embeddings e on e.vec_id = ff.id, (select embedding from embeddings where vec_id = 0) q),
+        top as (select id, first_rank, round(1 - score, 6) as dist, score from fr order by score desc, first_rank, id limit 10) select * from top where dist <= 0.9""",
     "knn_topk": f"with {PAIRS} select qid, id, dist, rank::int as rank from hits",
     "knn_filtered": f"with {PAIRS} select qid, id, dist, row_number() over (partition by qid order by dist, id)::int as rank from pairs join embeddings on vec_id = id where label in (1, 2, 3) qualify rank <= 5",
     "rrf_weighted": f"with {PAIRS} select id, score, first_rank, dist from pool",

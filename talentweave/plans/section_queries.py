@@ -249,6 +249,18 @@ _SECTIONS = r"""secs as (select conv_id as doc_id, turn as sec_no, case when tur
 _MEDIAN = f"with {C.LINES_SQL} select doc_id, line_no, round(quantile_cont(font_size, 0.5) over (partition by doc_id order by line_no rows between {{n}} preceding and {{n}} following), 6) as median from lines"
 _BOX = "boxes as (select l_orderkey as doc_id, l_linenumber as line_no, l_quantity as x0, l_quantity + 4 as x1, l_tax * 100 as y0, l_linenumber % 2 as col, l_returnflag as text from lineitem)"
 ORACLES = {
+    "section_merge": f"""with {_SECTIONS}, c as (select *, (section_type is distinct from lag(section_type) over (partition by doc_id order by sec_no))::int as c from secs), g as (select *, sum(c) over (partition by doc_id order by sec_no) as grp from c),
+        m as (select doc_id, grp, trim(string_agg(text, chr(10) order by sec_no), ' ' || chr(9) || chr(10) || chr(13)) as text from g group by doc_id, grp) select doc_id, count(*) as n, sum(length(text))::bigint as chars from m group by doc_id""",
+    "column_validation": f"""with {_BOX}, m as (select doc_id, (x0 + x1) / 2 as mid from boxes), g as (select *, lead(mid) over (partition by doc_id order by mid) as nxt, max(mid) over (partition by doc_id) - min(mid) over (partition by doc_id) as span from m),
+        cuts as (select doc_id, (mid + nxt) / 2 as cut from g where nxt is not null qualify row_number() over (partition by doc_id order by nxt - mid desc, mid) = 1 and nxt - mid > 0 and nxt - mid >= 0.33 * span),
+        s as (select b.doc_id, x0, x1, (x0 + x1) / 2 > cut as r from boxes b left join cuts c on c.doc_id = b.doc_id),
+        w as (select doc_id, sum(r::int) / count(*) as r, max(x1) filter (where r) - min(x0) filter (where r) as wr, max(x1) filter (where not r) - min(x0) filter (where not r) as wl from s group by doc_id),
+        v as (select coalesce(least(r, 1 - r) >= 0.3 and greatest(wr, wl) > 0 and least(wr, wl) >= 0.25 * greatest(wr, wl), false) as valid, r from w)
+        select valid, valid and coalesce(r, 0) >= 0.2 as right_heavy, count(*) as n from v group by 1, 2""",
+    "sections_from_labels": rf"""with {_TURNS}, f as (select doc_id, line_no, role, trim(regexp_replace(text, '\s+', ' ', 'g')) as t from turns), k as (select * from f where t not in ('', '•', '●', '◦', '▪', '·', '-', '–', '—')),
+        c as (select *, (role is distinct from lag(role) over (partition by doc_id order by line_no))::int as c from k), g as (select *, sum(c) over (partition by doc_id order by line_no) as grp from c),
+        s as (select doc_id, grp, role, sum(length(t)) + count(*) - 1 as chars from g group by all) select role as section_type, count(*) as n, sum(chars)::bigint as chars from s group by role""",
+    "wrapped_bullets": rf"""with {C.LINES_SQL}, b as (select doc_id, line_no, regexp_matches(ltrim(text), '^(?:[•●◦▪·\-–—*]|\p{{Lu}}|[0-9])') as fresh from lines), c as (select doc_id, sum(fresh::int) over (partition by doc_id order by line_no) as g from b) select doc_id, count(distinct g) as n from c group by doc_id""",
     "glyph_cleanup": "select n_nationkey, 'Email: ★ x: ' || lower(n_name) || ', fine' as text from nation",
     "header_fill_down": f"with {_TURNS} select doc_id, line_no, last_value(label ignore nulls) over (partition by doc_id order by line_no rows between unbounded preceding and current row) as section from turns",
     "label_islands": f"with {_TURNS}, c as (select *, (role is distinct from lag(role) over w or row_number() over w = 1)::int as c from turns window w as (partition by doc_id order by line_no)) select doc_id, line_no, (sum(c) over (partition by doc_id order by line_no))::int as island from c",

@@ -217,6 +217,8 @@ QUERIES = {f.__name__: f for f in (query_entities, section_hints, skill_categori
 
 _HEADERS = ", ".join(f"({i}, '{label}')" for i, _, label in L.header_entries())
 ORACLES = {
+    "nfkc_form": "select n_nationkey, 'fi 1' || n_name as text from nation",
+    "name_tokens": r"""select conv_id, turn, len(list_filter(list_transform(regexp_split_to_array(lower(trim(coalesce(text, ''))), '\s+'), lambda w: regexp_replace(w, '[^\p{L}\p{N}]', '', 'g')), lambda w: length(w) >= 3 and w not in ('the', 'and', 'for', 'with', 'who', 'what', 'are')))::int as n from conversations""",
     "section_hints": "select n_nationkey, case when n_nationkey % 2 = 0 then 'achievement,project' else 'education,skills' end as sections from nation",
     "skill_categories": "select o_custkey, array_to_string(list_sort(list(distinct o_orderpriority)), ',') as general from orders group by o_custkey",
     "project_highlights": "select p_partkey, concat_ws('|', case when p_partkey % 2 = 0 then p_name end, p_brand) as highlights from part",

@@ -239,13 +239,26 @@ def tumbling_events(spark, sf):
     return V.tumbling(C.table(spark, sf, "events")).select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", "total")
 
 
-QUERIES = {f.__name__: f for f in (candidate_list_filtered, candidate_top_nulls_first, in_list_conjunction, stage_transition, stage_changed_rows, stage_counts, stage_dropoff, scope_wrapper, gated_sql, scope_filter, enrich_left_join, job_score_weighted, canonical_candidate, explode_children, child_tables, achievements_row, skills_row, record_chunks, upsert_latest_wins, append_once, score_update, interval_containment, interval_overlap_join, open_slots, schedule_reference, schedule_exclusive, slot_add_minutes, notification_log, quick_booking, availability_requests, availability_answers, jaccard_pairs, set_diff_clip20, winner_by_size, manifest_diff, required_fields, job_lookup, tumbling_events)}
+def event_sessions(spark, sf):
+    s = V.sessions(C.table(spark, sf, "events"))
+    return s.select("user_id", F.col("session_start").cast("timestamp_ntz").alias("session_start"), F.col("session_end").cast("timestamp_ntz").alias("session_end"), "n")
+
+
+def events_once(spark, sf):
+    e = C.table(spark, sf, "events")
+    return V.once(e.union(e.where("event_id % 3 = 0"))).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+QUERIES = {f.__name__: f for f in (event_sessions, events_once, candidate_list_filtered, candidate_top_nulls_first, in_list_conjunction, stage_transition, stage_changed_rows, stage_counts, stage_dropoff, scope_wrapper, gated_sql, scope_filter, enrich_left_join, job_score_weighted, canonical_candidate, explode_children, child_tables, achievements_row, skills_row, record_chunks, upsert_latest_wins, append_once, score_update, interval_containment, interval_overlap_join, open_slots, schedule_reference, schedule_exclusive, slot_add_minutes, notification_log, quick_booking, availability_requests, availability_answers, jaccard_pairs, set_diff_clip20, winner_by_size, manifest_diff, required_fields, job_lookup, tumbling_events)}
 
 _P, _S, _I = C.PEOPLE_SQL, C.SLOTS_SQL, C.INTERVIEWERS_SQL
 _OPEN = f"{_S}, {_I}, open as (select s.*, row_number() over (partition by s.interviewer_id order by start_ts, id)::int as nth from slots s join interviewers i on i.interviewer_id = s.interviewer_id and is_active where status = 'free' and start_ts >= timestamp '{WINDOW[0]}' and end_ts <= timestamp '{WINDOW[1]}')"
 _SETS = f"{C.WORDS_SQL}, sets as (select source as entity, lang as system, list_sort(list(distinct word)) as items from words where length(word) > 3 group by 1, 2), pairs as (select a.entity, a.system as system_a, b.system as system_b, a.items as x, b.items as y from sets a join sets b on a.entity = b.entity and a.system < b.system)"
 _MOVED = "candidate_id % 3 = 0 and candidate_id < 900 and stage_of_process = 'BUILDING'"
 ORACLES = {
+    "event_sessions": """with a as (select user_id, ts, (lag(ts) over w is null or ts >= lag(ts) over w + interval 30 minute)::int as f from events window w as (partition by user_id order by ts)),
+        b as (select user_id, ts, sum(f) over (partition by user_id order by ts rows unbounded preceding) as s from a) select user_id, min(ts) as session_start, max(ts) + interval 30 minute as session_end, count(*) as n from b group by user_id, s""",
+    "events_once": "select event_type, count(*) as n from events group by 1",
     "candidate_list_filtered": f"with {_P} select candidate_id, full_name, job_score from people where stage_of_process = 'BUILDING'",
     "candidate_top_nulls_first": f"with {_P} select candidate_id, job_score from people order by job_score desc nulls first, candidate_id limit 200",
     "in_list_conjunction": f"with {_P} select candidate_id, stage_of_process from people where candidate_id % 7 = 0 and candidate_id < 400 and stage_of_process = 'MACHINERY'",

@@ -26,5 +26,7 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "2 hours")
 
 
 def once(events: DataFrame, key: str = "event_id", late: str = "2 hours") -> DataFrame:
-    """Each event once, with state kept no longer than the watermark."""
+    """Each event once; on a stream with state kept no longer than the watermark."""
+    if not events.isStreaming:
+        return events.dropDuplicates([key])
     return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).dropDuplicatesWithinWatermark([key])

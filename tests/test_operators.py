@@ -195,6 +195,10 @@ def test_stream_counts_equal_batch(spark, tmp_path):
     key = lambda r: (str(r.window_start), r.n, r.total)
     assert sorted(map(key, spark.table("counts").collect())) == sorted(map(key, events.tumbling(df).collect()))
     assert events.sessions(df).count() > 0
+    again = events.once(events.read(spark, str(tmp_path / "in"), df.schema.simpleString()[7:-1].replace(":", " ")))
+    query = again.writeStream.format("memory").queryName("once").trigger(availableNow=True).start()
+    query.awaitTermination(60)
+    assert spark.table("once").count() == events.once(df.union(df)).count() == 50
 
 
 def _lines(spark, texts, bold=()):

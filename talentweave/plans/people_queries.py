@@ -249,13 +249,37 @@ def events_once(spark, sf):
     return V.once(e.union(e.where("event_id % 3 = 0"))).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (event_sessions, events_once, candidate_list_filtered, candidate_top_nulls_first, in_list_conjunction, stage_transition, stage_changed_rows, stage_counts, stage_dropoff, scope_wrapper, gated_sql, scope_filter, enrich_left_join, job_score_weighted, canonical_candidate, explode_children, child_tables, achievements_row, skills_row, record_chunks, upsert_latest_wins, append_once, score_update, interval_containment, interval_overlap_join, open_slots, schedule_reference, schedule_exclusive, slot_add_minutes, notification_log, quick_booking, availability_requests, availability_answers, jaccard_pairs, set_diff_clip20, winner_by_size, manifest_diff, required_fields, job_lookup, tumbling_events)}
+def experience_extraction(spark, sf):
+    o = C.table(spark, sf, "orders")
+    text = F.concat(F.lit("Data Analyst at Firm"), "o_custkey", F.lit("\n"), F.date_format("o_orderdate", "MMM yyyy"), F.lit(" - Present\n• grew by "), F.col("o_orderkey") % 90 + 10, F.lit("% with sql\n- more"))
+    e = P.extract_experience(o.select(F.col("o_orderkey").alias("doc_id"), F.lit(1).alias("sec_no"), F.lit("work_experience").alias("section_type"), text.alias("text")))
+    return e.select("doc_id", "title_norm", "company_raw", "start", "is_current", "extraction_confidence", F.get("bullets", F.lit(1))["metrics"]["percent"].alias("percent"), F.size("bullets").alias("n_bullets"))
+
+
+def education_extraction(spark, sf):
+    s = C.table(spark, sf, "supplier")
+    text = F.concat(F.when(F.col("s_suppkey") % 2 == 0, "B.Tech ").otherwise("Diploma "), F.col("s_suppkey") % 20 + 1990, F.lit(" - "), F.col("s_suppkey") % 20 + 1994, F.lit(" CGPA 8."), F.col("s_suppkey") % 10, F.lit("/10"))
+    return P.extract_education(s.select(F.col("s_suppkey").alias("doc_id"), F.lit(1).alias("sec_no"), F.lit("education").alias("section_type"), text.alias("text"))).drop("sec_no", "block_no")
+
+
+def project_extraction(spark, sf):
+    p = C.table(spark, sf, "part")
+    text = F.concat(F.lit("Tool "), "p_partkey", F.lit("\nuses docker https://github.com/x/"), "p_partkey", F.lit("\nSecond Thing\nplain"))
+    e = P.extract_projects(p.select(F.col("p_partkey").alias("doc_id"), F.lit(1).alias("sec_no"), F.lit("projects").alias("section_type"), text.alias("text")))
+    return e.select("doc_id", "block_no", "name", "summary", "repo_url", F.array_join("tech_stack", ",").alias("tech"))
+
+
+QUERIES = {f.__name__: f for f in (experience_extraction, education_extraction, project_extraction, event_sessions, events_once, candidate_list_filtered, candidate_top_nulls_first, in_list_conjunction, stage_transition, stage_changed_rows, stage_counts, stage_dropoff, scope_wrapper, gated_sql, scope_filter, enrich_left_join, job_score_weighted, canonical_candidate, explode_children, child_tables, achievements_row, skills_row, record_chunks, upsert_latest_wins, append_once, score_update, interval_containment, interval_overlap_join, open_slots, schedule_reference, schedule_exclusive, slot_add_minutes, notification_log, quick_booking, availability_requests, availability_answers, jaccard_pairs, set_diff_clip20, winner_by_size, manifest_diff, required_fields, job_lookup, tumbling_events)}
 
 _P, _S, _I = C.PEOPLE_SQL, C.SLOTS_SQL, C.INTERVIEWERS_SQL
 _OPEN = f"{_S}, {_I}, open as (select s.*, row_number() over (partition by s.interviewer_id order by start_ts, id)::int as nth from slots s join interviewers i on i.interviewer_id = s.interviewer_id and is_active where status = 'free' and start_ts >= timestamp '{WINDOW[0]}' and end_ts <= timestamp '{WINDOW[1]}')"
 _SETS = f"{C.WORDS_SQL}, sets as (select source as entity, lang as system, list_sort(list(distinct word)) as items from words where length(word) > 3 group by 1, 2), pairs as (select a.entity, a.system as system_a, b.system as system_b, a.items as x, b.items as y from sets a join sets b on a.entity = b.entity and a.system < b.system)"
 _MOVED = "candidate_id % 3 = 0 and candidate_id < 900 and stage_of_process = 'BUILDING'"
 ORACLES = {
+    "experience_extraction": "select o_orderkey as doc_id, 'data analyst' as title_norm, 'Firm' || o_custkey as company_raw, strftime(o_orderdate, '%Y-%m') as start, true as is_current, 1.0::double as extraction_confidence, (o_orderkey % 90 + 10)::int as percent, 3 as n_bullets from orders",
+    "education_extraction": "select s_suppkey as doc_id, case when s_suppkey % 2 = 0 then 'B.Tech/B.E.' end as degree_raw, case when s_suppkey % 2 = 0 then 'bachelors' end as degree_level, '8.' || (s_suppkey % 10) || '/10' as gpa, (s_suppkey % 20 + 1990) || '-01' as start_date, (s_suppkey % 20 + 1994) || '-01' as end_date, case when s_suppkey % 2 = 0 then 0.6 else 0.5 end::double as extraction_confidence from supplier",
+    "project_extraction": """select p_partkey as doc_id, 0 as block_no, 'Tool ' || p_partkey as name, 'uses docker https://github.com/x/' || p_partkey as summary, 'https://github.com/x/' || p_partkey as repo_url, 'docker,git,github' as tech from part
+        union all select p_partkey, 1, 'Second Thing', 'plain', null, '' from part""",
     "event_sessions": """with a as (select user_id, ts, (lag(ts) over w is null or ts >= lag(ts) over w + interval 30 minute)::int as f from events window w as (partition by user_id order by ts)),
         b as (select user_id, ts, sum(f) over (partition by user_id order by ts rows unbounded preceding) as s from a) select user_id, min(ts) as session_start, max(ts) + interval 30 minute as session_end, count(*) as n from b group by user_id, s""",
     "events_once": "select event_type, count(*) as n from events group by 1",

@@ -250,3 +250,33 @@ def test_nearest_vectors_equal_all_pairs(spark):
     got = retrieval.knn(store, queries, 7)
     assert sorted(map(key, got.collect())) == sorted(map(key, want.collect()))
     assert retrieval.knn(store, queries.limit(0), 7).count() == 0
+
+
+def test_extraction_from_sections(spark):
+    work = "Software Engineer | Acme Corp | Aug 2020 - Present\n• cut cost by 30% with python\nand sql\n\nresearch intern at Beta Labs\nMay 2018 - Jul 2018\nhelped"
+    rows = [(0, 1, "work_experience", work), (0, 2, "education", "B.Tech, dual degree 2014 - 2018 CGPA 8.5/10"), (0, 3, "projects", "Search Tool\nbuilt with docker https://github.com/x/y 250 qps\nSecond One\nplain")]
+    df = spark.createDataFrame(rows, "doc_id int, sec_no int, section_type string, text string")
+    a, b = people.extract_experience(df).orderBy("block_no").collect()
+    assert (a.title_norm, a.company_raw, a.start, a.end, a.is_current, a.extraction_confidence) == ("software engineer", "Aug 2020 - Present", "2020-08", None, True, 1.0)
+    assert [x.bullet_text for x in a.bullets] == ["cut cost by 30% with python", "and sql"] and a.bullets[0].metrics == {"percent": 30} and a.bullets[0].skills_mentioned == ["python"]
+    assert (b.title_norm, b.employment_type, b.company_raw, b.start, b.end) == ("research intern", "internship", "Beta Labs", "2018-05", "2018-07")
+    e = people.extract_education(df).first()
+    assert (e.degree_raw, e.degree_level, e.gpa, e.start_date, e.end_date, e.extraction_confidence) == ("Dual Degree", "bachelors", "8.5/10", "2014-01", "2018-01", 0.6)
+    p, q = people.extract_projects(df).orderBy("block_no").collect()
+    assert (p.name, p.repo_url, p.impact_metrics, q.name, q.summary) == ("Search Tool", "https://github.com/x/y", {"throughput_qps": 250}, "Second One", "plain") and "docker" in p.tech_stack
+
+
+def test_paths_batches_and_the_newest(spark, tmp_path):
+    df = spark.createDataFrame([("/in/b.pdf", 20), ("/in/a.pdf", 10)], "path string, t long")
+    made = readers.batch_summary(readers.output_paths(df), "/in").first()
+    assert made.batch_dir == "/in" and made["items"][0].input == "/in/a.pdf" and json.loads(made["items"][1].outputs)["lines"] == "/in/b_lines.json"
+    files = df.withColumn("mtime", F.timestamp_seconds("t"))
+    assert readers.newest(files, F.timestamp_seconds(F.lit(21))).first().path == "/in/b.pdf"
+    assert readers.newest(files, F.timestamp_seconds(F.lit(30))).first().path is None
+    readers.write_store(df, str(tmp_path / "s"))
+    readers.write_store(df.limit(1), str(tmp_path / "s"))
+    readers.write_json(df, str(tmp_path / "j"))
+    assert spark.read.parquet(str(tmp_path / "s")).count() == 1 and spark.read.json(str(tmp_path / "j")).count() == 2
+    tables = spark.createDataFrame([("x.pdf", 0, [["a", None], ["b ", "c"]])], "source string, page int, rows array<array<string>>")
+    assert readers.table_documents(tables).first().page_content == "| a |  |\n| b | c |"
+    assert one(spark, X.merge_wrapped_bullets(F.col("a")), a="one\ntwo\nThree") == "one two\nThree"

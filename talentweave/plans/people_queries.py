@@ -251,7 +251,7 @@ def events_once(spark, sf):
 
 def experience_extraction(spark, sf):
     o = C.table(spark, sf, "orders")
-    text = F.concat(F.lit("Data Analyst at Firm"), "o_custkey", F.lit("\n"), F.date_format("o_orderdate", "MMM yyyy"), F.lit(" - Present\n• grew by "), F.col("o_orderkey") % 90 + 10, F.lit("% with sql\n- more"))
+    text = F.concat(F.lit("Data Analyst at Firm"), F.expr("char(65 + o_custkey % 26)"), F.lit("\n"), F.date_format("o_orderdate", "MMM yyyy"), F.lit(" - Present\n• grew by "), F.col("o_orderkey") % 90 + 10, F.lit("% with sql\n- more"))
     e = P.extract_experience(o.select(F.col("o_orderkey").alias("doc_id"), F.lit(1).alias("sec_no"), F.lit("work_experience").alias("section_type"), text.alias("text")))
     return e.select("doc_id", "title_norm", "company_raw", "start", "is_current", "extraction_confidence", F.get("bullets", F.lit(1))["metrics"]["percent"].alias("percent"), F.size("bullets").alias("n_bullets"))
 
@@ -276,7 +276,7 @@ _OPEN = f"{_S}, {_I}, open as (select s.*, row_number() over (partition by s.int
 _SETS = f"{C.WORDS_SQL}, sets as (select source as entity, lang as system, list_sort(list(distinct word)) as items from words where length(word) > 3 group by 1, 2), pairs as (select a.entity, a.system as system_a, b.system as system_b, a.items as x, b.items as y from sets a join sets b on a.entity = b.entity and a.system < b.system)"
 _MOVED = "candidate_id % 3 = 0 and candidate_id < 900 and stage_of_process = 'BUILDING'"
 ORACLES = {
-    "experience_extraction": "select o_orderkey as doc_id, 'data analyst' as title_norm, 'Firm' || o_custkey as company_raw, strftime(o_orderdate, '%Y-%m') as start, true as is_current, 1.0::double as extraction_confidence, (o_orderkey % 90 + 10)::int as percent, 3 as n_bullets from orders",
+    "experience_extraction": "select o_orderkey as doc_id, 'data analyst' as title_norm, 'Firm' || chr((65 + o_custkey % 26)::int) as company_raw, strftime(o_orderdate, '%Y-%m') as start, true as is_current, 1.0::double as extraction_confidence, (o_orderkey % 90 + 10)::int as percent, 3 as n_bullets from orders",
     "education_extraction": "select s_suppkey as doc_id, case when s_suppkey % 2 = 0 then 'B.Tech/B.E.' end as degree_raw, case when s_suppkey % 2 = 0 then 'bachelors' end as degree_level, '8.' || (s_suppkey % 10) || '/10' as gpa, (s_suppkey % 20 + 1990) || '-01' as start_date, (s_suppkey % 20 + 1994) || '-01' as end_date, case when s_suppkey % 2 = 0 then 0.6 else 0.5 end::double as extraction_confidence from supplier",
     "project_extraction": """select p_partkey as doc_id, 0 as block_no, 'Tool ' || p_partkey as name, 'uses docker https://github.com/x/' || p_partkey as summary, 'https://github.com/x/' || p_partkey as repo_url, 'docker,git,github' as tech from part
         union all select p_partkey, 1, 'Second Thing', 'plain', null, '' from part""",

@@ -23,10 +23,15 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id; of rows that repeat an id, one."""
+    """Of each group of near duplicates the document with the smallest id; of rows that repeat an id, one. Rows without
+    an id stay where their group has no id at all, one for each fingerprint."""
     found = simhash.near_duplicates(docs.select("doc_id", "text"))
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+    kept = found.where("doc_id = component_id").select("doc_id").distinct()
+    # One exchange by id serves the join and the choice among repeated rows.
+    named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    alone = found.where("component_id is null").select(F.col("fingerprint").alias("_fp")).distinct()
+    nameless = simhash.fingerprint(docs.where("doc_id is null"), out="_fp").join(alone, "_fp", "left_semi").dropDuplicates(["_fp"])
+    return named.select(docs.columns).unionByName(nameless.select(docs.columns))
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

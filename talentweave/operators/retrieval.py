@@ -96,7 +96,7 @@ def knn(store: DataFrame, queries: DataFrame, k: int = L.PER_QUERY, id_col: str
             own = _matrix(vectors, max(width, longest))
             norm = np.sqrt((own * own).sum(1))[:, None] * asked_norm[None]
             dots = own[:, :width] @ asked.T
-            dist = np.round(1 - np.divide(dots, norm, out=np.zeros_like(dots), where=norm > 0), 6)
+            dist = np.round(1 - np.divide(dots, norm, out=np.zeros_like(dots), where=norm > 0), 6) + 0.0  # no negative zero
             limit = np.partition(dist, min(k, len(dist)) - 1, axis=0)[min(k, len(dist)) - 1]
             at, of = np.nonzero(dist <= limit)
             yield pa.RecordBatch.from_arrays([numbers.take(pa.array(of)), pa.array(weights[of]), b.column(0).take(pa.array(at)), pa.array(dist[at, of])], names=["qid", "weight", "id", "dist"])

@@ -1,22 +1,24 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
-Terms are lower-cased words and their beginnings of 4 to 6 letters. From a bounded sample of labelled documents the
-terms that tell the classes apart are kept; their document frequencies come from all documents. All other words count
-as one more term, REST, which keeps a single chance hit in a long text from looking like a text full of hits. Examples
-lie in an inverted index cut into blocks that store every term's largest weight: a query visits blocks in the order of
-their upper bounds and stops when no block can beat the k-th similarity so far, so the k nearest are exact. Votes
-weighted by similarity give a share of toxic neighbours, and a logistic curve fitted by leave-one-out on the examples
-calibrates it. The neighbours' ids are the evidence.
-
-A text without kept terms is as near to all such examples: its score is their share of toxic ones, without evidence.
-Null and empty texts are such texts. Ties in similarity go to the example whose hashed id comes first. Equal texts have
-equal scores. Repeated label rows count once, with the largest value; without labels of both classes every score is the
-share of toxic labels, or 0 where there is none. Extra columns pass through.
+Terms are lower-cased words and their beginnings of 4 to 6 letters: all that occur in a bounded sample of labelled
+documents, with document frequencies from all documents. Examples lie in an inverted index. Rare terms' postings are
+summed in full. Of terms that are in many examples a block of examples stores the largest weight and the largest norm:
+a query visits blocks in the order of the upper bounds that these give and stops when no block can beat the k-th
+similarity so far, so the k nearest are exact. Votes weighted by similarity give a share of toxic neighbours, and a
+logistic curve fitted by leave-one-out on the examples calibrates it. The neighbours' ids are the evidence.
+
+Terms that no example has count neither for a cosine nor for a text's length. A text without any term of an example is
+as near to all examples without terms: its score is their share of toxic ones, without evidence. Null and empty texts
+are such texts. Ties in similarity go to the example whose hashed id comes first. Equal texts have equal scores.
+Repeated label rows count once, with the largest value; without labels of both classes every score is the share of
+toxic labels, or 0 where there is none. Extra columns pass through.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -27,21 +29,15 @@ from pyspark.sql import types as T
 
 from talentweave.llm.common import add_columns, text_or_empty
 
-#: Labelled documents of each class in the index, and terms kept, at most.
+#: Labelled documents of each class in the index, at most.
 BOUND = 2000
-TERMS = 1500
 K = 15
 BLOCK = 64
 PREFIXES = (4, 5, 6)
-#: Weight of one other word in the term REST.
-REST = 0.1
-#: A kept term is in so many examples of a class at least, and this many times as frequent there as in the other.
-LEAST_EXAMPLES = 5
-LEAST_RATIO = 4.0
-#: And its chi-square statistic over the two classes is this large, so that chance does not make a term.
-LEAST_CHI = 15.0
+#: A term that more than this share of the examples have is summed by blocks, others by their postings.
+COMMON = 1 / 8
 _WORD = re.compile(r"[^\W_]+")
-#: Remembered vectors in a worker; beyond it the memory starts anew.
+#: Remembered texts in a worker; beyond it the memory starts anew.
 REMEMBER = 50_000
 
 
@@ -63,60 +59,65 @@ class Examples:
     ids: list = field(default_factory=list)
     turn: np.ndarray = field(default_factory=lambda: np.zeros(0))  # of each example in the order of hashed ids, for ties
     labels: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    postings: list = field(default_factory=list)  # of each term: example numbers and weights
-    best: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))  # largest weight of each term in each block
+    start: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))  # of each rare term's postings; common terms have none
+    of: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))  # example numbers
+    values: np.ndarray = field(default_factory=lambda: np.zeros(0))  # and weights
+    row: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))  # of each common term in `common` and `best`, -1 for a rare one
+    common: np.ndarray = field(default_factory=lambda: np.zeros((0, 0, BLOCK)))  # weights by block, common term, place
+    best: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))  # largest weight of each common term in each block
+    norm: np.ndarray = field(default_factory=lambda: np.zeros(0))  # of each example's common terms
     slope: float = 0.0
     offset: float = 0.0
-    bare: float = 0.0  # score of a text without kept terms
+    bare: float = 0.0  # score of a text without terms
 
-    def vector(self, words: list[str]) -> tuple[tuple[int, int], ...]:
-        """Kept terms with their counts, and the count of other words under the next number; only that for a bare text."""
+    def vector(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The examples' terms that the words have, ascending, and their counts."""
         counts: dict[int, int] = {}
-        rest = 0
         get = self.by_word.get
-        for w in words:
+        for w, n in Counter(words).items():
             found = get(w)
             if found is None:
                 found = self.by_word[w] = tuple(self.terms[t] for t in terms_of(w) if t in self.terms)
-            rest += not found
             for t in found:
-                counts[t] = counts.get(t, 0) + 1
-        counts[len(self.terms)] = rest
+                counts[t] = counts.get(t, 0) + n
         if len(self.by_word) > 200_000:
             self.by_word.clear()
-        return tuple(sorted(counts.items()))
+        terms, n = np.fromiter(counts.keys(), np.int64, len(counts)), np.fromiter(counts.values(), float, len(counts))
+        order = np.argsort(terms)
+        return terms[order], n[order]
 
     def __post_init__(self):
         self.by_word: dict[str, tuple[int, ...]] = {}
 
-    def weights(self, vector: tuple[tuple[int, int], ...]) -> tuple[np.ndarray, np.ndarray]:
+    def weights(self, vector: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """Terms and TF-IDF weights of unit length."""
-        t = np.array([t for t, _ in vector], np.int64)
-        w = np.array([n for _, n in vector], float) * self.idf[t]
+        t, n = vector
+        w = n * self.idf[t]
         return t, w / max(np.sqrt((w * w).sum()), 1e-12)
 
-    def nearest(self, vector: tuple[tuple[int, int], ...], k: int = K, leave: int = -1) -> tuple[np.ndarray, np.ndarray]:
+    def nearest(self, vector: tuple[np.ndarray, np.ndarray], k: int = K, leave: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Numbers and cosines of the k nearest examples with a cosine over 0, nearest first; `leave` is left out."""
         terms, weight = self.weights(vector)
-        bounds = weight @ self.best[terms]
+        row = self.row[terms]
+        rare, often = terms[row < 0], row[row >= 0]
+        n = self.start[rare + 1] - self.start[rare]
+        ends = np.cumsum(n)
+        place = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.start[rare] - (ends - n), n)
+        sums = np.bincount(self.of[place], self.values[place] * np.repeat(weight[row < 0], n), len(self.norm)).reshape(-1, BLOCK)
+        heavy = weight[row >= 0]
+        # What common terms can add: by their largest weights in a block, and by the norms of an example's (Cauchy-Schwarz).
+        bounds = np.minimum(sums.max(1) + heavy @ self.best[often], (sums + np.sqrt((heavy * heavy).sum()) * self.norm.reshape(-1, BLOCK)).max(1))
         near, sims = np.zeros(0, np.int64), np.zeros(0)
         order = np.argsort(-bounds, kind="stable")
-        step = 4  # blocks looked at together
+        step = 8  # blocks looked at together
         for i in range(0, len(order), step):
-            blocks = order[i : i + step]
             least = sims[k - 1] if len(sims) >= k else 0.0
-            if bounds[blocks[0]] + 1e-12 < least or bounds[blocks[0]] <= 0:
+            blocks = [b for b in order[i : i + step] if bounds[b] + 1e-11 >= least and bounds[b] > 0]
+            if not blocks:
                 break
-            local = np.zeros((step, BLOCK))
-            for t, w in zip(terms, weight, strict=True):
-                of, values, starts = self.postings[t]
-                for j, b in enumerate(blocks):
-                    if self.best[t, b] > 0:
-                        own = slice(starts[b], starts[b + 1])
-                        local[j, of[own] - b * BLOCK] += w * values[own]
-            found = (blocks[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-            value = np.round(local[: len(blocks)].ravel(), 12)
-            ok = (value > 0) & (found != leave)
+            value = np.round(np.concatenate([sums[b] + heavy @ self.common[b][often] for b in blocks]), 12)
+            found = (np.array(blocks)[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+            ok = (value > 0) & (value >= least) & (found != leave)
             near, sims = np.append(near, found[ok]), np.append(sims, value[ok])
             top = np.lexsort((self.turn[near], -sims))[:k]
             near, sims = near[top], sims[top]
@@ -127,9 +128,7 @@ class Examples:
         w = sims**2
         return float(((w * self.labels[near]).sum() + 0.5 * 0.1) / (w.sum() + 0.1))
 
-    def score(self, vector: tuple[tuple[int, int], ...]) -> tuple[float, list]:
-        if len(vector) == 1:
-            return self.bare, []
+    def score(self, vector: tuple[np.ndarray, np.ndarray]) -> tuple[float, list]:
         near, sims = self.nearest(vector)
         if not len(near):
             return self.bare, []
@@ -137,26 +136,9 @@ class Examples:
         return round(float(1 / (1 + np.exp(-z))), 9), [self.ids[i] for i in near[:5]]
 
 
-def choose_terms(texts: list[str], labels: np.ndarray, most: int = TERMS) -> list[str]:
-    """Terms of the sample that are far more frequent in one class, the most telling first."""
-    counts: tuple[dict[str, int], dict[str, int]] = ({}, {})
-    for text, y in zip(texts, labels, strict=True):
-        own: set[str] = set()
-        for w in set(words_of(text)):
-            own |= terms_of(w)
-        for t in own:
-            counts[int(y)][t] = counts[int(y)].get(t, 0) + 1
-    n = [max(1, int((labels == y).sum())) for y in (0, 1)]
-    found = []
-    for y in (1, 0):
-        for t, c in counts[y].items():
-            here, there = c / n[y], (counts[1 - y].get(t, 0) + 0.5) / n[1 - y]
-            other = counts[1 - y].get(t, 0)
-            share = (c + other) / (n[0] + n[1])
-            chi = (c - share * n[y]) ** 2 / (share * n[y]) + (other - share * n[1 - y]) ** 2 / (share * n[1 - y])
-            if c >= LEAST_EXAMPLES and here >= LEAST_RATIO * there and chi >= LEAST_CHI:
-                found.append((-(here - there), t))
-    return [t for _, t in sorted(found)[:most]]
+def choose_terms(texts: list[str], labels: np.ndarray) -> list[str]:
+    """All terms of the examples' texts, whatever their labels, in order."""
+    return sorted({t for w in {w for text in texts for w in words_of(text)} for t in terms_of(w)})
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, bound: int, key: str = "doc_id", text: str = "text") -> list[tuple[object, int, str]]:
@@ -195,36 +177,41 @@ def document_frequencies(docs: DataFrame, terms: list[str], text: str = "text")
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["term", "n"])
 
     out = np.zeros(len(terms) + 1, np.int64)
-    for t, n in docs.select(text).mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n")).collect():
-        out[t] = n
+    found = docs.select(text).mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    out[found["term"].to_numpy()] = found["n"].to_numpy()
     return out[:-1], int(out[-1])
 
 
 def build(rows: list[tuple[object, int, str]], terms: list[str], df: np.ndarray, n_docs: int) -> Examples:
     """The index of the examples, with its curve."""
     labels = np.array([y for _, y, _ in rows], float)
-    idf = np.append(np.log((1 + n_docs) / (1 + df)) + 1, REST)
-    made = Examples({t: i for i, t in enumerate(terms)}, idf)
+    made = Examples({t: i for i, t in enumerate(terms)}, np.log((1 + n_docs) / (1 + np.asarray(df, float))) + 1)
     vectors = [made.vector(words_of(t)) for _, _, t in rows]
-    bare = [y for v, y in zip(vectors, labels, strict=True) if len(v) == 1]
+    bare = [y for v, y in zip(vectors, labels, strict=True) if not len(v[0])]
     made.bare = round(float((sum(bare) + 0.5 * labels.mean()) / (len(bare) + 0.5)), 9) if len(labels) else 0.0
-    # Examples of like content share blocks, which keeps the bounds tight.
     weights = [made.weights(v) for v in vectors]
-    some = sorted(range(len(rows)), key=lambda i: (int(weights[i][0][weights[i][1].argmax()]), -float(weights[i][1].max()), i))
-    made.ids, made.labels, made.turn = [rows[i][0] for i in some], labels[some], np.array(some, np.int64)
+    spread = np.bincount(np.concatenate([t for t, _ in weights] or [np.zeros(0, np.int64)]), minlength=len(terms))
+    made.row = np.full(len(terms), -1, np.int32)
+    often = np.flatnonzero(spread > COMMON * len(rows))
+    made.row[often] = np.arange(len(often))
+    # Examples that share their weightiest common term share blocks, which keeps the bounds tight.
+    commons = [(made.row[t][made.row[t] >= 0], w[made.row[t] >= 0]) for t, w in weights]
+    some = sorted(range(len(rows)), key=lambda i: (int(commons[i][0][commons[i][1].argmax()]) if len(commons[i][0]) else -1, -float((commons[i][1] ** 2).sum()), i))
     n_blocks = max(1, -(-len(some) // BLOCK))
-    lists: list[tuple[list, list]] = [([], []) for _ in idf]
+    made.ids, made.labels, made.turn = [rows[i][0] for i in some], labels[some], np.array(some, np.int64)
+    made.norm, made.common = np.zeros(n_blocks * BLOCK), np.zeros((n_blocks, len(often), BLOCK))
     for number, i in enumerate(some):
-        for t, w in zip(*weights[i], strict=True):
-            lists[t][0].append(number)
-            lists[t][1].append(w)
-    made.best = np.zeros((len(idf), n_blocks))
-    for t, (of, values) in enumerate(lists):
-        of, values = np.array(of, np.int64), np.array(values, float)
-        np.maximum.at(made.best[t], of // BLOCK, values)
-        made.postings.append((of, values, np.searchsorted(of, np.arange(n_blocks + 1) * BLOCK)))
+        made.common[number // BLOCK, commons[i][0], number % BLOCK] = commons[i][1]
+        made.norm[number] = np.sqrt((commons[i][1] ** 2).sum())
+    made.best = made.common.max(2).T.copy()
+    of = np.repeat(np.arange(len(some), dtype=np.int32), [len(weights[i][0]) for i in some])
+    term, value = (np.concatenate([weights[i][j] for i in some] or [np.zeros(0, kind)]) for j, kind in ((0, np.int64), (1, float)))
+    of, term, value = (x[made.row[term] < 0] for x in (of, term, value))
+    order = np.argsort(term, kind="stable")
+    made.of, made.values = of[order], value[order]
+    made.start = np.append(0, np.cumsum(np.bincount(term, minlength=len(terms))))
     # Leave-one-out votes of the examples fit the curve.
-    fitted = [(made.votes(*made.nearest(vectors[i], leave=number)), labels[i]) for number, i in enumerate(some) if len(vectors[i]) > 1]
+    fitted = [(made.votes(*made.nearest(vectors[i], leave=number)), labels[i]) for number, i in enumerate(some) if len(vectors[i][0])]
     x, y = np.array([[v, 1.0] for v, _ in fitted]), np.array([t for _, t in fitted])
     w = np.zeros(2)
     if len(y) and 0 < y.sum() < len(y):
@@ -258,10 +245,10 @@ def score(docs: DataFrame, examples: Examples, text: str = "text", out: str = "s
                 known.clear()
             got = []
             for t in column.to_pylist():
-                v = own.vector(words_of(t))
-                if v not in known:
-                    known[v] = own.score(v)
-                got.append(known[v])
+                key = hashlib.blake2b((t or "").encode("utf-8", "surrogatepass"), digest_size=16).digest()
+                if key not in known:
+                    known[key] = own.score(own.vector(words_of(t)))
+                got.append(known[key])
             return [pa.array([s for s, _ in got], pa.float64()), pa.array([[str(i) for i in ids] for _, ids in got], pa.list_(pa.string()))]
 
         return of

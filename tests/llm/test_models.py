@@ -169,3 +169,14 @@ def test_many_keys_have_the_right_successor(spark):
     got = {r.doc_id: r.next for r in fingerprints.successors(df).collect()}
     keys.sort()
     assert got == dict(zip(keys, keys[1:] + keys[:1], strict=True))
+
+
+def test_a_copy_of_an_example_is_nearest_whatever_its_words():
+    rows = toxic_corpus(9, 120) + [(500, "quagga zebu", 1), (501, "okapi", 0)]
+    terms = toxicity.choose_terms([t for _, t, _ in rows], np.array([y for *_, y in rows], float))
+    own = [set().union(*map(toxicity.terms_of, toxicity.words_of(t))) for _, t, _ in rows]
+    made = toxicity.build([(i, y, t) for i, t, y in rows], terms, np.array([sum(t in o for o in own) for t in terms]), len(rows))
+    for i, text, _ in rows:
+        near, sims = made.nearest(made.vector(toxicity.words_of(text)))
+        assert sims[0] == 1.0 and made.ids[near[0]] == i
+    assert made.score(made.vector(["quagga"]))[1] == [500]

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,7 +12,7 @@ from talentweave.functions import fuzzy
 from talentweave.functions import lexicon as L
 from talentweave.functions import text as X
 
-#: A side that is broadcast for a fuzzy join has this many rows at most; a larger one is joined in blocks.
+#: Rows of a side that is broadcast for a fuzzy join; a larger one is joined in blocks of about as many.
 MOST_ROWS = 20_000
 
 
@@ -19,10 +22,13 @@ def name_tokens(question: Column, least: int = 3) -> Column:
     return F.filter(words, lambda w: (F.length(w) >= least) & ~w.isin(L.STOP_NAMES))
 
 
-def _bounded(df: DataFrame) -> DataFrame:
-    if df.limit(MOST_ROWS + 1).count() > MOST_ROWS:
-        raise ValueError(f"a query set has at most {MOST_ROWS} rows; join it in blocks")
-    return F.broadcast(df)
+def in_blocks(df: DataFrame, join: Callable[[DataFrame], DataFrame], most: int | None = None) -> DataFrame:
+    """The union of join(block) over blocks of df of about `most` rows, dealt by hash; each is broadcast."""
+    n = -(-df.count() // (most or MOST_ROWS))
+    if n <= 1:
+        return join(F.broadcast(df))
+    block = F.pmod(F.xxhash64(*df.columns), F.lit(n))
+    return reduce(DataFrame.unionByName, [join(F.broadcast(df.where(block == i))) for i in range(n)])
 
 
 def fuzzy_names(tokens: DataFrame, people: DataFrame, cutoff: float = L.NAME_CUTOFF) -> DataFrame:
@@ -31,7 +37,7 @@ def fuzzy_names(tokens: DataFrame, people: DataFrame, cutoff: float = L.NAME_CUT
     tokens (pos, token) is a stated query set; every person is scored against all of it, a token list at a time.
     """
     known = people.where((F.coalesce("full_name", F.lit("")) != "") & (F.coalesce("email", F.lit("")) != ""))
-    pairs = known.join(_bounded(tokens), how="cross").withColumn("score", fuzzy.partial_ratio(F.lower("token"), F.lower("full_name")))
+    pairs = in_blocks(tokens, lambda part: known.join(part, how="cross")).withColumn("score", fuzzy.partial_ratio(F.lower("token"), F.lower("full_name")))
     first = Window.partitionBy("email").orderBy("pos", "full_name")
     best = pairs.where(F.col("score") >= cutoff).withColumn("_r", F.row_number().over(first)).where("_r = 1")
     return best.select(F.col("token").alias("query_name"), F.col("full_name").alias("matched_name"), "email", F.round("score", 4).alias("score"))
@@ -71,10 +77,10 @@ def query_entities(questions: DataFrame, question: str = "question", extra_skill
 
 def spell(words: DataFrame, dictionary: DataFrame, most: int = 2) -> DataFrame:
     """(word, correction): the dictionary term (term, freq) within `most` edits that is nearest, then most frequent, then
-    first by name; the word itself where none is. Adjacent transpositions count as two edits. The dictionary is a
-    bounded list and is broadcast."""
+    first by name; the word itself where none is. Adjacent transpositions count as two edits. The dictionary is
+    broadcast in blocks."""
     w = words.select(F.col("word")).distinct()
-    near = w.join(_bounded(dictionary), F.abs(F.length("word") - F.length("term")).between(0, most), "left")
+    near = in_blocks(dictionary, lambda part: w.join(part, F.abs(F.length("word") - F.length("term")).between(0, most)))
     near = near.withColumn("d", F.levenshtein("word", "term", most)).withColumn("d", F.when(F.col("d") >= 0, F.col("d")))
     best = near.where("d is not null").groupBy("word").agg(F.min_by("term", F.struct("d", -F.col("freq"), "term")).alias("correction"))
     return w.join(best, "word", "left").select("word", F.coalesce("correction", "word").alias("correction"))

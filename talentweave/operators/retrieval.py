@@ -8,6 +8,7 @@ repeatable. A null or zero vector has similarity 0.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from talentweave.functions import lexicon as L
+from talentweave.operators.matching import in_blocks
 
 #: Query vectors that may be broadcast at once; a larger set is to be searched in blocks of this size.
 MOST_QUERIES = 2000
@@ -39,12 +41,10 @@ def cosine(a: str, b: str) -> Column:
 
 def distances(store: DataFrame, queries: DataFrame, id_col: str = "id", vector: str = "embedding") -> DataFrame:
     """(qid, weight, id, dist) of every pair of a query and a stored vector; a store's norm is computed once."""
-    if queries.limit(MOST_QUERIES + 1).count() > MOST_QUERIES:
-        raise ValueError(f"search in blocks of at most {MOST_QUERIES} queries")
     q = queries.select("qid", "weight", F.col("embedding").alias("_q")).withColumn("_qn", F.expr(norm("_q")))
     s = store.select(F.col(id_col).alias("id"), F.col(vector).alias("_s")).withColumn("_sn", F.expr(norm("_s")))
     sim = F.expr(f"coalesce(if(_qn * _sn = 0D, 0D, {dot('_q', '_s')} / (_qn * _sn)), 0D)")
-    return s.join(F.broadcast(q), how="cross").select("qid", "weight", "id", F.round(1 - sim, 6).alias("dist"))
+    return in_blocks(q, lambda part: s.join(part, how="cross"), MOST_QUERIES).select("qid", "weight", "id", F.round(1 - sim, 6).alias("dist"))
 
 
 def top_k(pairs: DataFrame, k: int, by: str = "qid") -> DataFrame:
@@ -74,9 +74,16 @@ def knn(store: DataFrame, queries: DataFrame, k: int = L.PER_QUERY, id_col: str
     among a query's k nearest leave the batch. So a pass over the store sends k rows a query and batch, not a row for
     each pair. Ties at the k-th distance stay until ids decide.
     """
-    rows = queries.select("qid", "weight", "embedding").limit(MOST_QUERIES + 1).collect()
-    if len(rows) > MOST_QUERIES:
-        raise ValueError(f"search in blocks of at most {MOST_QUERIES} queries")
+    n = queries.count()
+    if n > MOST_QUERIES:  # a query's rows stay in one block
+        parts = -(-n // MOST_QUERIES)
+        block = F.pmod(F.xxhash64("qid"), F.lit(parts))
+        return reduce(DataFrame.unionByName, [_knn_block(store, queries.where(block == i), k, id_col, vector) for i in range(parts)])
+    return _knn_block(store, queries, k, id_col, vector)
+
+
+def _knn_block(store: DataFrame, queries: DataFrame, k: int, id_col: str, vector: str) -> DataFrame:
+    rows = queries.select("qid", "weight", "embedding").collect()
     width = max([1, *(len(r.embedding or ()) for r in rows)])
     asked = np.zeros((len(rows), width))
     for i, r in enumerate(rows):

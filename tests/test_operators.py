@@ -280,3 +280,17 @@ def test_paths_batches_and_the_newest(spark, tmp_path):
     tables = spark.createDataFrame([("x.pdf", 0, [["a", None], ["b ", "c"]])], "source string, page int, rows array<array<string>>")
     assert readers.table_documents(tables).first().page_content == "| a |  |\n| b | c |"
     assert one(spark, X.merge_wrapped_bullets(F.col("a")), a="one\ntwo\nThree") == "one two\nThree"
+
+
+def test_large_lists_are_joined_in_blocks(spark, monkeypatch):
+    words = spark.createDataFrame([("aple",), ("bannana",), ("zzzzz",)], "word string")
+    known = spark.createDataFrame([("apple", 5), ("maple", 9), ("banana", 2), ("kiwi", 1), ("pear", 3)], "term string, freq int")
+    people = spark.createDataFrame([("Ann Lee", "a@x"), ("Bo Ray", "b@x")], "full_name string, email string")
+    tokens = spark.createDataFrame([(0, "ann"), (1, "ray"), (2, "lee")], "pos int, token string")
+    store = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(6)], "id int, embedding array<float>")
+    asked = spark.createDataFrame([(i, 1.0, [1.0, float(i)]) for i in range(5)], "qid int, weight double, embedding array<float>")
+    both = lambda: [sorted(map(tuple, df.collect())) for df in (matching.spell(words, known), matching.fuzzy_names(tokens, people), retrieval.distances(store, asked), retrieval.knn(store, asked, 2))]
+    whole = both()
+    monkeypatch.setattr(matching, "MOST_ROWS", 2)
+    monkeypatch.setattr(retrieval, "MOST_QUERIES", 2)
+    assert both() == whole and dict(whole[0])["aple"] == "maple"

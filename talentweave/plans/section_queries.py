@@ -93,7 +93,7 @@ def exclusive_quartiles(spark, sf):
 
 
 def two_means(spark, sf):
-    return S.two_means(_boxes(spark, sf).where("doc_id <= 2000")).select("doc_id", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
+    return S.two_means(_boxes(spark, sf)).select("doc_id", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
 
 
 def greedy_bands(spark, sf):
@@ -133,7 +133,7 @@ def section_chain(spark, sf):
 def headers_to_sections(spark, sf):
     """Documents with headers put in before some of their lines."""
     head = F.coalesce(*[F.when(F.col("line_no") % 6 == i, F.lit(h)) for i, h in ((0, "WORK EXPERIENCE"), (2, "Technical Skills:"), (4, "Education -"))])
-    plain = C.lines(spark, sf).where("doc_id % 5 = 0")
+    plain = C.lines(spark, sf)
     heads = plain.where(F.col("line_no") % 2 == 0).select("doc_id", (2 * F.col("line_no")).alias("line_no"), "page", head.alias("text"))
     body = plain.select("doc_id", (2 * F.col("line_no") + 1).alias("line_no"), "page", F.regexp_replace("text", "[^a-z]+", " ").alias("text")).where(~F.lower("text").rlike("train|skill|employ|honor"))
     s = S.sections_from_headers(heads.unionByName(body).withColumn("text", F.col("text")))
@@ -169,7 +169,7 @@ def wrapped_bullets(spark, sf):
 
 
 def wrapped_lines(spark, sf):
-    return S.join_wrapped(_boxes(spark, sf).where("doc_id <= 2000").select("doc_id", "line_no", "page", "x0", "x1", "y0", "y1", "text")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    return S.join_wrapped(_boxes(spark, sf).select("doc_id", "line_no", "page", "x0", "x1", "y0", "y1", "text")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 def candidate_names(spark, sf):
@@ -217,7 +217,7 @@ def degree_merge(spark, sf):
 
 
 def glued_roles(spark, sf):
-    df = _positioned(spark, sf).select("doc_id", "line_no", F.when(F.col("line_no") % 3 == 0, F.concat(F.substring("text", 1, 20), F.lit(" Data Scientist, Acme"))).otherwise(F.col("text")).alias("text"))
+    df = _positioned(spark, sf).select("doc_id", "line_no", F.when(F.col("line_no") % 3 == 0, F.concat(F.col("text"), F.lit(" Data Scientist, Acme"))).otherwise(F.col("text")).alias("text"))
     return Y.split_glued_roles(df).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -228,7 +228,7 @@ def column_validation(spark, sf):
 
 def rule_sections(spark, sf):
     heads = F.coalesce(*[F.when(F.col("line_no") % 12 == i, F.lit(h)) for i, h in ((0, "WORK EXPERIENCE"), (4, "Technical skils"), (8, "EDUCATION -----"))])
-    df = _positioned(spark, sf).where("doc_id % 10 = 0").withColumn("text", F.coalesce(heads, F.lower("text"))).withColumn("is_bold", heads.isNotNull()).withColumn("font_size", F.lit(10.0))
+    df = _positioned(spark, sf).withColumn("text", F.coalesce(heads, F.lower("text"))).withColumn("is_bold", heads.isNotNull()).withColumn("font_size", F.lit(10.0))
     return Y.rule_sections(df).groupBy("section_type").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -238,7 +238,7 @@ def glyph_cleanup(spark, sf):
 
 
 def title_match(spark, sf):
-    p = C.table(spark, sf, "part").where("p_partkey <= 300").select(F.col("p_partkey").alias("id"), F.concat_ws(" | ", "p_type", F.when(F.col("p_partkey") % 2 == 0, "sr. data  analyst").otherwise("machine learnin engineer")).alias("header"))
+    p = C.table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.concat_ws(" | ", "p_type", F.when(F.col("p_partkey") % 2 == 0, "sr. data  analyst").otherwise("machine learnin engineer")).alias("header"))
     return Y.best_titles(p)
 
 

@@ -162,7 +162,7 @@ def fuzzy_name_match(spark, sf):
 
 
 def entity_extract(spark, sf):
-    p = C.table(spark, sf, "part").where("p_partkey <= 200").select(F.col("p_partkey").alias("id"), F.concat_ws(" ", F.lit("pythn developer"), "p_type", "p_name").alias("text"))
+    p = C.table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.concat_ws(" ", F.lit("pythn developer"), "p_type", "p_name").alias("text"))
     return M.vocabulary_hits(p, L.SKILLS, L.SKILL_CUTOFF, 3).select("id", F.array_join("hits", ",").alias("hits"))
 
 
@@ -184,12 +184,12 @@ def name_tokens(spark, sf):
 
 def bullets_and_blocks(spark, sf):
     d = _docs(spark, sf)
-    text = F.concat(F.lit("• first\n- second part\n"), F.substring("text", 1, 30), F.lit("\n\nnext"))
+    text = F.concat(F.lit("• first\n- second part\n"), F.col("text"), F.lit("\n\nnext"))
     return d.select("doc_id", F.size(X.bullets(text)).alias("n_bullets"), F.size(X.blocks(text)).alias("n_blocks"), F.get(X.bullets(text), F.lit(1)).alias("second"))
 
 
 def query_entities(spark, sf):
-    p = C.table(spark, sf, "part").where("p_partkey <= 400").select("p_partkey", F.concat_ws(" ", F.when(F.col("p_partkey") % 2 == 0, "python, spark and aws").otherwise("backend enginer"), F.lit("role with"), "p_size", F.lit("+ years, mtech")).alias("question"))
+    p = C.table(spark, sf, "part").select("p_partkey", F.concat_ws(" ", F.when(F.col("p_partkey") % 2 == 0, "python, spark and aws").otherwise("backend enginer"), F.lit("role with"), "p_size", F.lit("+ years, mtech")).alias("question"))
     return M.query_entities(p).select("p_partkey", F.array_join("skills", ",").alias("skills"), F.array_join("roles", ",").alias("roles"), F.array_join("degrees", ",").alias("degrees"), F.array_join("sections", ",").alias("sections"), "min_years")
 
 

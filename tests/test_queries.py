@@ -2,6 +2,7 @@
 
 import math
 import os
+import re
 
 import duckdb
 import pytest
@@ -41,3 +42,10 @@ def test_query_without_counterpart_runs_alike_twice(spark, name):
     df = registry.queries()[name](spark, SF)
     rows = lambda: sorted(map(repr, registry.queries()[name](spark, SF).collect()))
     assert df.columns and rows() == rows()
+
+
+@pytest.mark.parametrize("name", ["entity_extract", "query_entities", "title_match", "two_means", "wrapped_lines", "headers_to_sections", "rule_sections", "bullets_and_blocks", "glued_roles"])
+def test_query_reads_whole_tables_and_texts(spark, name):
+    plan = registry.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert not any(x in plan for x in ("<= 2000)", "<= 200)", "<= 400)", "<= 300)", "% 5) = 0)", "% 10) = 0)"))
+    assert not re.search(r"substring\(text#\d+, 1, (20|30)\)", plan)

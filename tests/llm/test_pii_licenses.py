@@ -91,3 +91,13 @@ def test_licence_scores_equal_plain_python(spark):
             assert not got[i].licenses
         else:
             assert abs(got[i].licenses[0].probability - p) < 1e-6 and got[i].licenses[0].family in (family, "unknown")
+
+
+def test_evidence_of_several_words_is_scored(spark):
+    """No single n-gram has a margin of 1; together they outweigh "none"."""
+    none = [0.0] * (len(licenses.FAMILIES) - 2)
+    model = licenses.Classifier((("copy", (0.0, 0.6, *none)), ("free use", (0.0, 0.6, *none)), ("the", (0.5, 0.0, *none))), (1.0, 0.0, *none), 0.1)
+    df = spark.createDataFrame([(0, "x\nCopy it: Free, use it"), (1, "copy the"), (2, "the")], "doc_id long, text string")
+    got = {r.doc_id: r for r in licenses.scan(df, model).collect()}
+    assert [(s.paragraph, s.family) for s in got[0].licenses] == [(1, licenses.FAMILIES[1])]
+    assert not got[1].licenses and not got[2].licenses

@@ -36,12 +36,12 @@ PATTERNS = {
     "ip": (r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", "_has_digit"),
     "card": (r"[0-9](?:[ -]?[0-9])++", "_has_digit"),
     "phone": (r"\+[0-9][ ().0-9-]+[0-9]", "{t} like '%+%'"),
-    "secret": (r"""(?i)(?<![a-z0-9])(?:password|passwd|pwd|passphrase|secret|token|api[_-]?key|access[_-]?key|auth)["']?\s?[:=]\s?["']?[^\s"']{4,256}+["']?""", "_has_sign"),
-    "key": (r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[0-9A-Z]{16}(?![A-Za-z0-9])|(?<![A-Za-z0-9])(?:gh[pousr]_|sk-|sk_live_|xox[bap]-)[A-Za-z0-9_-]{16,128}+", "_has_long"),
-    "token": (r"(?<![A-Za-z0-9_+/=-])(?=[A-Za-z_+/=-]*+[0-9])(?=[0-9_+/=-]*+[A-Za-z])[A-Za-z0-9_+/=-]{16,512}+(?![A-Za-z0-9_+/=-])", "_has_long and _has_digit"),
+    "secret": (r"""(?i)(?<![a-z0-9])(?:password|passwd|pwd|passphrase|secret|token|api[_-]?key|access[_-]?key|auth)["']?\s?[:=]\s?["']?[^\s"']{4,}+["']?""", "_has_sign"),
+    "key": (r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[0-9A-Z]{16}(?![A-Za-z0-9])|(?<![A-Za-z0-9])(?:gh[pousr]_|sk-|sk_live_|xox[bap]-)[A-Za-z0-9_-]{16,}+", "_has_long"),
+    "token": (r"(?<![A-Za-z0-9_+/=-])(?=[A-Za-z_+/=-]*+[0-9])(?=[0-9_+/=-]*+[A-Za-z])[A-Za-z0-9_+/=-]{16,}+(?![A-Za-z0-9_+/=-])", "_has_long and _has_digit"),
     "account": (r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}+(?: ?[A-Z0-9]{1,3})?+(?![A-Za-z0-9])", "_has_digit"),
     "digits": (r"(?<![A-Za-z0-9.(])[(]?[0-9](?:[ ()./-]{0,2}[0-9]){5,14}+(?![A-Za-z0-9])", "_has_digit"),
-    "spelt": (rf"(?i)(?<!{_LOCAL}){_LOCAL}{{2,64}}+ ?(?:\(at\)|\[at\]| at ) ?[a-z0-9-]{{2,64}}+ ?(?:\(dot\)|\[dot\]| dot ) ?[a-z]{{2,12}}(?![a-z0-9])", "_has_spelt"),
+    "spelt": (rf"(?i)(?<!{_LOCAL}){_LOCAL}{{2,}}+ ?(?:\(at\)|\[at\]| at ) ?[a-z0-9-]{{2,}}+ ?(?:\(dot\)|\[dot\]| dot ) ?[a-z]{{2,}}+(?![a-z0-9])", "_has_spelt"),
     "phone_in": (r"\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .-]?[0-9]{2,4}){2,3}(?![0-9])", "{t} like '%+%'"),
     "card_in": (r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3})(?![0-9])", "_has_digit"),
     "colons": (r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:){3,7}+[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])", "{t} like '%:%:%:%'"),

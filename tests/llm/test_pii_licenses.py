@@ -93,6 +93,16 @@ def test_licence_scores_equal_plain_python(spark):
             assert abs(got[i].licenses[0].probability - p) < 1e-6 and got[i].licenses[0].family in (family, "unknown")
 
 
+def test_spans_end_where_their_runs_end(spark, trees):
+    rng = random.Random(4)
+    run = lambda n: "".join(rng.choice("ABCDEFabcdef0123456789") for _ in range(n))
+    texts = [f"x {run(700)}a1 y", f"x password={run(400)} y", f"x ghp_{run(300)} y", f"x {'n' * 90} (at) {'h' * 90} (dot) com y"]
+    rows = pii.candidates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).select("doc_id", "_candidates").collect()
+    for r in rows:
+        assert max(s.end for s in r._candidates) == len(texts[r.doc_id]) - 2
+        assert min(s.start for s in r._candidates) == 2
+
+
 def test_evidence_of_several_words_is_scored(spark):
     """No single n-gram has a margin of 1; together they outweigh "none"."""
     none = [0.0] * (len(licenses.FAMILIES) - 2)

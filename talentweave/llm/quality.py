@@ -9,8 +9,8 @@ a score.
 Only documents carry labels. Lines start with their document's label; after a first fit, lines of bad documents that
 the field finds clearly good may keep that (one round), so that good lines inside bad documents do not blur it.
 
-Training takes at most `bound` labelled documents of each class, those whose hashed ids come first, and of each its
-first MAX_TRAIN_LINES lines; scoring always takes whole texts. Labels, language, source and id are no features.
+Training takes at most `bound` labelled documents of each class, those whose hashed ids come first. It and scoring take
+whole texts. Labels, language, source and id are no features.
 
 A null or empty text is one empty line and gets a score like any other. Texts of one very long line or of very many
 lines are scored in full. Repeated label rows count once, with the largest value; null labels do not count. Without
@@ -29,9 +29,8 @@ from pyspark.sql import types as T
 
 from talentweave.llm.common import add_columns, text_or_empty
 
-#: Labelled documents of each class that the field is fitted on, at most, and lines of one of them.
+#: Labelled documents of each class that the field is fitted on, at most.
 BOUND = 1500
-MAX_TRAIN_LINES = 64
 N_SHAPES = 16
 N_FEATURES = 3 * N_SHAPES + 3
 EDGES = np.array([0, 1, 8, 24, 64, 160, 400])
@@ -93,13 +92,12 @@ def line_shapes(lines: list[bytes]) -> np.ndarray:
     return out
 
 
-def features(texts: list[str | None], most: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Node features of all lines, the lines' weights (length, 1 at least) and where each text's lines begin."""
     lines: list[bytes] = []
     first = [0]
     for t in texts:
-        own = (t or "").encode("utf-8", "surrogatepass").split(b"\n")
-        lines += own if most is None else own[:most]
+        lines += (t or "").encode("utf-8", "surrogatepass").split(b"\n")
         first.append(len(lines))
     at = np.array(first)
     own = line_shapes(lines)
@@ -154,10 +152,8 @@ def _forward_backward(score: np.ndarray, mask: np.ndarray, pair: np.ndarray) ->
     return good, (joint * mask[:, 1:, None, None]).sum((0, 1))
 
 
-def marginals(field: Field, x: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """P(good) of each line. Texts of like length go through the recursions together."""
-    score = x @ field.node
-    out = np.empty(len(x))
+def _alike(at: np.ndarray):
+    """Texts of like length together: their line numbers, one after the other, and where each one's begin."""
     n = np.diff(at)
     order = np.argsort(n, kind="stable")
     start = 0
@@ -166,10 +162,17 @@ def marginals(field: Field, x: np.ndarray, at: np.ndarray) -> np.ndarray:
         while stop < len(order) and n[order[stop]] <= 1.5 * n[order[start]] + 4 and (stop - start) * n[order[stop]] < 200_000:
             stop += 1
         rows = order[start:stop]
-        lines = np.concatenate([np.arange(at[r], at[r + 1]) for r in rows])
-        grid, mask = _padded(score[lines], np.append(0, np.cumsum(n[rows])))
-        out[lines] = _forward_backward(grid, mask, field.pair)[0][mask]
+        yield np.concatenate([np.arange(at[r], at[r + 1]) for r in rows]), np.append(0, np.cumsum(n[rows]))
         start = stop
+
+
+def marginals(field: Field, x: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """P(good) of each line. Texts of like length go through the recursions together."""
+    score = x @ field.node
+    out = np.empty(len(x))
+    for lines, own in _alike(at):
+        grid, mask = _padded(score[lines], own)
+        out[lines] = _forward_backward(grid, mask, field.pair)[0][mask]
     return out
 
 
@@ -181,25 +184,27 @@ def evidence(field: Field, x: np.ndarray, weight: np.ndarray, at: np.ndarray) ->
 
 def _climb(x: np.ndarray, at: np.ndarray, y: np.ndarray, field: Field, steps: int) -> None:
     """Gradient ascent (Adam) on the field's conditional likelihood with a small penalty."""
-    grid_x, mask = np.zeros((len(at) - 1, np.diff(at).max(), x.shape[1])), None
-    score, mask = _padded(np.zeros(len(x)), at)
-    grid_x[mask] = x
-    truth = _padded(y, at)[0]
     seen = np.zeros((2, 2))
-    labels = truth.astype(int)
-    both = mask[:, 1:]
-    for a in (0, 1):
-        for b in (0, 1):
-            seen[a, b] = ((labels[:, :-1] == a) & (labels[:, 1:] == b) & both).sum()
+    groups = []
+    for lines, own in _alike(at):
+        truth, mask = _padded(y[lines], own)
+        labels, both = truth.astype(int), mask[:, 1:]
+        for a in (0, 1):
+            for b in (0, 1):
+                seen[a, b] += ((labels[:, :-1] == a) & (labels[:, 1:] == b) & both).sum()
+        groups.append((lines, x[lines], own))
     # Each class of lines weighs the same.
-    share = np.where(truth == 1, 0.5 / max(y.mean(), 1e-9), 0.5 / max(1 - y.mean(), 1e-9)) * mask
-    total = mask.sum()
+    share = np.where(y == 1, 0.5 / max(y.mean(), 1e-9), 0.5 / max(1 - y.mean(), 1e-9))
+    total = len(y)
     first, second = [np.zeros_like(field.node), np.zeros_like(field.pair)], [np.zeros_like(field.node), np.zeros_like(field.pair)]
     for step in range(1, steps + 1):
-        score = grid_x @ field.node
-        good, expected = _forward_backward(np.where(mask, score, 0), mask, field.pair)
-        miss = (truth - good) * share
-        slopes = [np.einsum("nm,nmf->f", miss, grid_x) / total - 1e-4 * field.node, (seen - expected) / total - 1e-3 * field.pair]
+        ascent, expected = np.zeros_like(field.node), np.zeros((2, 2))
+        for lines, own_x, own in groups:
+            grid, mask = _padded(own_x @ field.node, own)
+            good, pairs = _forward_backward(grid, mask, field.pair)
+            ascent += ((y[lines] - good[mask]) * share[lines]) @ own_x
+            expected += pairs
+        slopes = [ascent / total - 1e-4 * field.node, (seen - expected) / total - 1e-3 * field.pair]
         for k, (target, slope) in enumerate(zip((field.node, field.pair), slopes, strict=True)):
             first[k] = 0.9 * first[k] + 0.1 * slope
             second[k] = 0.999 * second[k] + 0.001 * slope**2
@@ -212,7 +217,7 @@ def fit(texts: list[str | None], labels: list[int], steps: int = 60) -> Field:
     y = np.array(labels, float)
     if not 0 < y.sum() < len(y):
         return field
-    x, weight, at = features(texts, MAX_TRAIN_LINES)
+    x, weight, at = features(texts)
     lines = np.repeat(y, np.diff(at))
     _climb(x, at, lines, field, steps)
     sure = marginals(field, x, at)
@@ -249,7 +254,7 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, bound: int, key: str
     chosen = [known.where(F.col("y") == y).orderBy(*order).limit(bound) for y in (0, 1)]
     # At most 2 * bound rows are broadcast.
     picked = docs.select(key, text).join(F.broadcast(chosen[0].union(chosen[1])), key)
-    rows = sorted(picked.select(key, "y", F.substring_index(text_or_empty(text), "\n", MAX_TRAIN_LINES)).collect())
+    rows = sorted(picked.select(key, "y", text_or_empty(text)).collect())
     return [(t, y) for _, y, t in rows]
 
 

@@ -180,3 +180,13 @@ def test_a_copy_of_an_example_is_nearest_whatever_its_words():
         near, sims = made.nearest(made.vector(toxicity.words_of(text)))
         assert sims[0] == 1.0 and made.ids[near[0]] == i
     assert made.score(made.vector(["quagga"]))[1] == [500]
+
+
+def test_training_reads_what_comes_after_many_lines(spark):
+    rng = random.Random(12)
+    head = [prose(rng) for _ in range(64)]
+    rows = [(i, "\n".join(head + [(junk if i % 2 else prose)(rng) for _ in range(200)]), 1 - i % 2) for i in range(60)]
+    docs, labels = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, quality int")
+    assert sorted(quality.sample(docs, labels, "quality", 100)) == sorted((t, y) for _, t, y in rows)
+    field = quality.fit([t for _, t, _ in rows[20:]], [y for *_, y in rows[20:]])
+    assert ((quality.score_of(field, [t for _, t, _ in rows[:20]]) >= 0.5) == [bool(y) for *_, y in rows[:20]]).all()

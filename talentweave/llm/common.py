@@ -24,14 +24,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir where it is set, else one made here."""
-    place = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share: spark.checkpoint.dir, else the context's checkpoint folder. A local
+    session without either gets a temporary one; on a cluster, whose executors would not see that, it is an error."""
+    sc = spark.sparkContext
+    place = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not place:
-        sc = spark.sparkContext
+        if not (sc.master.startswith("local[") or sc.master == "local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
         place = sc.getCheckpointDir()
-        if not place:
-            sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
-            place = sc.getCheckpointDir()
     return place.rstrip("/")
 
 
@@ -108,3 +109,15 @@ def give_back() -> None:
 
 def text_or_empty(c: str = "text"):
     return F.coalesce(F.col(c), F.lit(""))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int, key: str = "doc_id", text: str = "text") -> list[tuple[object, int, str]]:
+    """Id, label and text of at most `bound` labelled documents of each class, in the order of hashed ids. Repeated
+    label rows count once, with the largest value; of rows that share an id the least text counts."""
+    known = labels.where(F.col(label).isin(0, 1)).groupBy(key).agg(F.max(label).cast("int").alias("y"))
+    order = (F.xxhash64(F.col(key)), F.col(key))
+    chosen = [known.where(F.col("y") == y).orderBy(*order).limit(bound) for y in (0, 1)]
+    # At most 2 * bound rows are broadcast, and as many come back.
+    picked = docs.select(F.col(key), text_or_empty(text).alias("own")).join(F.broadcast(chosen[0].union(chosen[1])), key)
+    rows = picked.groupBy(F.xxhash64(F.col(key)).alias("h"), key, "y").agg(F.min("own").alias("own")).collect()
+    return [(r[1], r[2], r[3]) for r in sorted(rows)]

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from talentweave.llm.common import add_columns, text_or_empty
+from talentweave.llm.common import add_columns, labelled_sample
 
 #: Labelled documents of each class that the field is fitted on, at most.
 BOUND = 1500
@@ -247,21 +247,10 @@ def score_of(field: Field, texts: list[str | None]) -> np.ndarray:
     return np.round(1 / (1 + np.exp(-z)), 9)
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, bound: int, key: str = "doc_id", text: str = "text") -> list[tuple[str, int]]:
-    """Text and label of at most `bound` labelled documents of each class, those with the first hashed ids."""
-    known = labels.where(F.col(label).isin(0, 1)).groupBy(key).agg(F.max(label).cast("int").alias("y"))
-    order = (F.xxhash64(F.col(key)), F.col(key))
-    chosen = [known.where(F.col("y") == y).orderBy(*order).limit(bound) for y in (0, 1)]
-    # At most 2 * bound rows are broadcast.
-    picked = docs.select(key, text).join(F.broadcast(chosen[0].union(chosen[1])), key)
-    rows = sorted(picked.select(key, "y", text_or_empty(text)).collect())
-    return [(t, y) for _, y, t in rows]
-
-
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", bound: int = BOUND, key: str = "doc_id", text: str = "text") -> Field:
     """The field fitted on a bounded sample of labelled documents; pass only the labels that may be learnt from."""
-    rows = sample(docs, labels, label, bound, key, text)
-    return fit([t for t, _ in rows], [y for _, y in rows])
+    rows = labelled_sample(docs, labels, label, bound, key, text)
+    return fit([t for _, _, t in rows], [y for _, y, _ in rows])
 
 
 def score(docs: DataFrame, field: Field, text: str = "text", out: str = "score", drop: tuple[str, ...] = ()) -> DataFrame:

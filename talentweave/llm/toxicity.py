@@ -1,17 +1,20 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
-Terms are lower-cased words and their beginnings of 4 to 6 letters: all that occur in a bounded sample of labelled
-documents, with document frequencies from all documents. Examples lie in an inverted index. Rare terms' postings are
-summed in full. Of terms that are in many examples a block of examples stores the largest weight and the largest norm:
-a query visits blocks in the order of the upper bounds that these give and stops when no block can beat the k-th
-similarity so far, so the k nearest are exact. Votes weighted by similarity give a share of toxic neighbours, and a
-logistic curve fitted by leave-one-out on the examples calibrates it. The neighbours' ids are the evidence.
+Terms are the lower-cased words of a text and the first four letters of longer words. All terms that occur in a bounded
+sample of labelled documents count, whatever their labels, with document frequencies from all documents; a term weighs
+(1 + ln count) * idf. The examples lie in an inverted index in blocks of BLOCK. Rare terms' postings are summed in full.
+Of terms that are in many examples a block stores the largest weight and the largest norm: a query visits first the
+blocks with the highest upper bounds that these give, then those whose bound reaches the k-th similarity found, so the
+k nearest are exact. Every neighbour votes with its cosine, over the share that its class has of the examples; the log
+ratio of the votes goes through a logistic curve fitted by leave-one-out on the examples. k is a thirtieth of the
+examples, LEAST at least. The neighbours' ids are the evidence.
 
 Terms that no example has count neither for a cosine nor for a text's length. A text without any term of an example is
 as near to all examples without terms: its score is their share of toxic ones, without evidence. Null and empty texts
 are such texts. Ties in similarity go to the example whose hashed id comes first. Equal texts have equal scores.
-Repeated label rows count once, with the largest value; without labels of both classes every score is the share of
-toxic labels, or 0 where there is none. Extra columns pass through.
+Repeated label rows count once, with the largest value; of rows that share a labelled id the least text is the example;
+without labels of both classes every score is the share of toxic labels, or 0 where there is none. Texts of any length
+are read whole. Extra columns pass through; columns named like the new ones are replaced.
 """
 
 from __future__ import annotations
@@ -20,6 +23,7 @@ import hashlib
 import re
 from collections import Counter
 from dataclasses import dataclass, field
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -27,209 +31,210 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from talentweave.llm.common import add_columns, text_or_empty
+from talentweave.llm.common import add_columns, labelled_sample, text_or_empty
 
 #: Labelled documents of each class in the index, at most.
 BOUND = 2000
-K = 15
 BLOCK = 64
-PREFIXES = (4, 5, 6)
+#: Neighbours: one for so many examples, and the least number.
+SHARE, LEAST = 30, 15
+BEGIN = 4
 #: A term that more than this share of the examples have is summed by blocks, others by their postings.
 COMMON = 1 / 8
 _WORD = re.compile(r"[^\W_]+")
+#: The same words in SQL.
+_WORD_SQL = r"[\\p{L}\\p{N}]+"
 #: Remembered texts in a worker; beyond it the memory starts anew.
 REMEMBER = 50_000
+#: Texts that are searched together.
+BATCH = 64
+#: UTF-8 bytes of the examples' terms that may be broadcast; more are joined by a shuffle.
+MOST_BYTES = 64_000_000
 
-
-def terms_of(word: str) -> set[str]:
-    """The word itself, marked by an end, and its beginnings."""
-    return {word + "\n", *(word[:n] for n in PREFIXES if len(word) > n)}
+Vector = tuple[np.ndarray, np.ndarray]
 
 
 def words_of(text: str | None) -> list[str]:
     return _WORD.findall((text or "").lower())
 
 
+def terms_of(words: list[str]) -> set[str]:
+    """The words themselves and, marked by a star, the beginnings of longer ones."""
+    return {*words, *(w[:BEGIN] + "*" for w in words if len(w) > BEGIN)}
+
+
 @dataclass
 class Examples:
-    """Labelled examples as an inverted index with block maxima."""
+    """Labelled examples as an inverted index with block maxima. Examples are numbered in the order of their blocks."""
 
-    terms: dict[str, int] = field(default_factory=dict)
+    whole: dict[str, int] = field(default_factory=dict)
+    begin: dict[str, int] = field(default_factory=dict)
     idf: np.ndarray = field(default_factory=lambda: np.zeros(0))
     ids: list = field(default_factory=list)
-    turn: np.ndarray = field(default_factory=lambda: np.zeros(0))  # of each example in the order of hashed ids, for ties
+    turn: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # of each example in the order of hashed ids, for ties
     labels: np.ndarray = field(default_factory=lambda: np.zeros(0))
     start: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))  # of each rare term's postings; common terms have none
     of: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))  # example numbers
     values: np.ndarray = field(default_factory=lambda: np.zeros(0))  # and weights
     row: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))  # of each common term in `common` and `best`, -1 for a rare one
-    common: np.ndarray = field(default_factory=lambda: np.zeros((0, 0, BLOCK)))  # weights by block, common term, place
-    best: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))  # largest weight of each common term in each block
-    norm: np.ndarray = field(default_factory=lambda: np.zeros(0))  # of each example's common terms
+    common: np.ndarray = field(default_factory=lambda: np.zeros((1, 0, BLOCK)))  # weights by block, common term, place
+    best: np.ndarray = field(default_factory=lambda: np.zeros((0, 1)))  # largest weight of each common term in each block
+    norm: np.ndarray = field(default_factory=lambda: np.zeros((1, BLOCK)))  # of each example's common terms
+    k: int = LEAST
     slope: float = 0.0
     offset: float = 0.0
     bare: float = 0.0  # score of a text without terms
 
-    def vector(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The examples' terms that the words have, ascending, and their counts."""
-        counts: dict[int, int] = {}
-        get = self.by_word.get
-        for w, n in Counter(words).items():
-            found = get(w)
-            if found is None:
-                found = self.by_word[w] = tuple(self.terms[t] for t in terms_of(w) if t in self.terms)
-            for t in found:
-                counts[t] = counts.get(t, 0) + n
-        if len(self.by_word) > 200_000:
-            self.by_word.clear()
-        terms, n = np.fromiter(counts.keys(), np.int64, len(counts)), np.fromiter(counts.values(), float, len(counts))
-        order = np.argsort(terms)
-        return terms[order], n[order]
-
-    def __post_init__(self):
-        self.by_word: dict[str, tuple[int, ...]] = {}
-
-    def weights(self, vector: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """Terms and TF-IDF weights of unit length."""
-        t, n = vector
-        w = n * self.idf[t]
-        return t, w / max(np.sqrt((w * w).sum()), 1e-12)
-
-    def nearest(self, vector: tuple[np.ndarray, np.ndarray], k: int = K, leave: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers and cosines of the k nearest examples with a cosine over 0, nearest first; `leave` is left out."""
-        terms, weight = self.weights(vector)
-        row = self.row[terms]
-        rare, often = terms[row < 0], row[row >= 0]
-        n = self.start[rare + 1] - self.start[rare]
-        ends = np.cumsum(n)
-        place = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.start[rare] - (ends - n), n)
-        sums = np.bincount(self.of[place], self.values[place] * np.repeat(weight[row < 0], n), len(self.norm)).reshape(-1, BLOCK)
-        heavy = weight[row >= 0]
+    def vector(self, words: list[str]) -> Vector:
+        """The examples' terms that the words have, ascending, and their TF-IDF weights, of unit length."""
+        counts = Counter(words)
+        n = np.fromiter(counts.values(), float, len(counts))
+        long = [(w[:BEGIN], c) for w, c in counts.items() if len(w) > BEGIN]
+        whole = np.fromiter(map(self.whole.get, counts, repeat(-1)), np.int64, len(counts))
+        begin = np.fromiter((self.begin.get(w, -1) for w, _ in long), np.int64, len(long))
+        term, n = np.concatenate([whole, begin]), np.concatenate([n, np.fromiter((c for _, c in long), float, len(long))])
+        term, n = term[term >= 0], n[term >= 0]
+        if not len(term):
+            return term, n
+        order = np.argsort(term, kind="stable")
+        first = np.flatnonzero(np.append(True, np.diff(term[order]) > 0))
+        term, n = term[order[first]], np.add.reduceat(n[order], first)
+        w = (1 + np.log(n)) * self.idf[term]
+        return term, w / np.sqrt((w * w).sum())
+
+    def nearest(self, vectors: list[Vector], leave: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Of each vector the numbers and cosines of the k nearest examples with a cosine over 0, nearest first;
+        leave: an example that each leaves out."""
+        n_blocks, n = len(self.common), self.norm.size
+        many = len(vectors)
+        query = np.repeat(np.arange(many), [len(t) for t, _ in vectors])
+        term, weight = (np.concatenate([v[i] for v in vectors]) for i in (0, 1))
+        row = self.row[term] if len(term) else np.zeros(0, np.int32)
+        rare = row < 0
+        lengths = self.start[term[rare] + 1] - self.start[term[rare]]
+        ends = np.cumsum(lengths)
+        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.start[term[rare]] - (ends - lengths), lengths)
+        sums = np.bincount(self.of[at] + np.repeat(query[rare] * n, lengths), self.values[at] * np.repeat(weight[rare], lengths), many * n).reshape(many, n_blocks, BLOCK)
+        heavy = np.zeros((many, len(self.best)))
+        heavy[query[~rare], row[~rare]] = weight[~rare]
         # What common terms can add: by their largest weights in a block, and by the norms of an example's (Cauchy-Schwarz).
-        bounds = np.minimum(sums.max(1) + heavy @ self.best[often], (sums + np.sqrt((heavy * heavy).sum()) * self.norm.reshape(-1, BLOCK)).max(1))
-        near, sims = np.zeros(0, np.int64), np.zeros(0)
-        order = np.argsort(-bounds, kind="stable")
-        step = 8  # blocks looked at together
-        for i in range(0, len(order), step):
-            least = sims[k - 1] if len(sims) >= k else 0.0
-            blocks = [b for b in order[i : i + step] if bounds[b] + 1e-11 >= least and bounds[b] > 0]
-            if not blocks:
-                break
-            value = np.round(np.concatenate([sums[b] + heavy @ self.common[b][often] for b in blocks]), 12)
-            found = (np.array(blocks)[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-            ok = (value > 0) & (value >= least) & (found != leave)
-            near, sims = np.append(near, found[ok]), np.append(sims, value[ok])
-            top = np.lexsort((self.turn[near], -sims))[:k]
-            near, sims = near[top], sims[top]
-        return near, sims
-
-    def votes(self, near: np.ndarray, sims: np.ndarray) -> float:
-        """Share of toxic among the neighbours, nearer ones weighing more; one vote of the prior is added."""
-        w = sims**2
-        return float(((w * self.labels[near]).sum() + 0.5 * 0.1) / (w.sum() + 0.1))
-
-    def score(self, vector: tuple[np.ndarray, np.ndarray]) -> tuple[float, list]:
-        near, sims = self.nearest(vector)
-        if not len(near):
-            return self.bare, []
-        z = self.slope * self.votes(near, sims) + self.offset
-        return round(float(1 / (1 + np.exp(-z))), 9), [self.ids[i] for i in near[:5]]
-
-
-def choose_terms(texts: list[str], labels: np.ndarray) -> list[str]:
-    """All terms of the examples' texts, whatever their labels, in order."""
-    return sorted({t for w in {w for text in texts for w in words_of(text)} for t in terms_of(w)})
-
-
-def sample(docs: DataFrame, labels: DataFrame, label: str, bound: int, key: str = "doc_id", text: str = "text") -> list[tuple[object, int, str]]:
-    """Id, label and text of at most `bound` labelled documents of each class, in the order of hashed ids."""
-    known = labels.where(F.col(label).isin(0, 1)).groupBy(key).agg(F.max(label).cast("int").alias("y"))
-    order = (F.xxhash64(F.col(key)), F.col(key))
-    chosen = [known.where(F.col("y") == y).orderBy(*order).limit(bound) for y in (0, 1)]
-    # At most 2 * bound rows are broadcast.
-    picked = docs.select(key, text).join(F.broadcast(chosen[0].union(chosen[1])), key)
-    rows = picked.select(F.xxhash64(F.col(key)), key, "y", text_or_empty(text)).collect()
-    return [(r[1], r[2], r[3]) for r in sorted(rows)]
+        bounds = np.minimum(sums.max(2) + heavy @ self.best, (sums + np.sqrt((heavy * heavy).sum(1))[:, None, None] * self.norm).max(2))
+        exact = np.full((many, n_blocks, BLOCK), -1.0)
+        flat = exact.reshape(many, n)
+
+        def visit(wanted: np.ndarray) -> None:
+            for b in np.flatnonzero(wanted.any(0)):
+                rows = np.flatnonzero(wanted[:, b])
+                exact[rows, b] = np.round(sums[rows, b] + heavy[rows] @ self.common[b], 12)
+            if leave is not None:
+                flat[np.arange(many), leave] = -1.0
+
+        k = min(self.k, n)
+        first = min(n_blocks, -(-k // BLOCK) + 2)
+        wanted = np.zeros((many, n_blocks), bool)
+        np.put_along_axis(wanted, np.argpartition(-bounds, first - 1, axis=1)[:, :first], True, axis=1)
+        visit(wanted)
+        least = np.partition(flat, n - k, axis=1)[:, n - k]
+        more = ~wanted & (bounds + 1e-11 >= np.maximum(least, 1e-12)[:, None])
+        visit(more)
+        least = np.maximum(np.partition(flat, n - k, axis=1)[:, n - k], 1e-12)
+        out = []
+        for own, limit in zip(flat, least, strict=True):
+            near = np.flatnonzero(own >= limit)
+            near = near[np.lexsort((self.turn[near], -own[near]))[:k]]
+            out.append((near, own[near]))
+        return out
+
+    def votes(self, near: np.ndarray, sims: np.ndarray, labels: np.ndarray, share: float) -> float:
+        """Log ratio of the votes for and against; a twenty-fifth of all votes is dealt to both sides."""
+        w = sims / np.where(labels[near] == 1, share, 1 - share)
+        yes, total = (w * labels[near]).sum(), w.sum()
+        return float(np.log((yes + 0.02 * total) / (total - yes + 0.02 * total)))
+
+    def score_all(self, vectors: list[Vector]) -> list[tuple[float, list]]:
+        share = float(self.labels.mean()) if len(self.labels) else 0.0
+        some = [i for i, (t, _) in enumerate(vectors) if len(t)] if 0 < share < 1 else []
+        out: list[tuple[float, list]] = [(self.bare, [])] * len(vectors)
+        for i in range(0, len(some), BATCH):
+            part = some[i : i + BATCH]
+            for j, (near, sims) in zip(part, self.nearest([vectors[j] for j in part]), strict=True):
+                if len(near):
+                    z = self.slope * self.votes(near, sims, self.labels, share) + self.offset
+                    out[j] = round(float(1 / (1 + np.exp(-z))), 9), [self.ids[x] for x in near[:5]]
+        return out
 
 
 def document_frequencies(docs: DataFrame, terms: list[str], text: str = "text") -> tuple[np.ndarray, int]:
     """In how many documents each term is, and how many documents there are, counted over all of them."""
-    number = {t: i for i, t in enumerate(terms)}
-    shared = docs.sparkSession.sparkContext.broadcast(number)
-
-    def count(batches):
-        known = shared.value
-        by_word: dict[str, tuple[int, ...]] = {}
-        total = np.zeros(len(known) + 1, np.int64)
-        for batch in batches:
-            for t in batch.column(0).to_pylist():
-                total[-1] += 1
-                own: set[int] = set()
-                for w in set(words_of(t)):
-                    found = by_word.get(w)
-                    if found is None:
-                        found = by_word[w] = tuple(known[x] for x in terms_of(w) if x in known)
-                    own.update(found)
-                total[list(own)] += 1
-                if len(by_word) > 200_000:
-                    by_word.clear()
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["term", "n"])
-
-    out = np.zeros(len(terms) + 1, np.int64)
-    found = docs.select(text).mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
-    out[found["term"].to_numpy()] = found["n"].to_numpy()
-    return out[:-1], int(out[-1])
-
-
-def build(rows: list[tuple[object, int, str]], terms: list[str], df: np.ndarray, n_docs: int) -> Examples:
-    """The index of the examples, with its curve."""
+    spark = docs.sparkSession
+    wanted = spark.createDataFrame(pa.table({"term": pa.array(terms, pa.string()), "number": pa.array(range(len(terms)), pa.int64())}))
+    small = sum(map(len, terms)) * 4 <= MOST_BYTES
+    words = docs.select(F.expr(f"array_distinct(regexp_extract_all(lower({text}), '{_WORD_SQL}', 0))").alias("w"))
+    own = words.select(F.explode(F.expr(f"concat(w, array_distinct(transform(filter(w, x -> length(x) > {BEGIN}), x -> concat(left(x, {BEGIN}), '*'))))")).alias("term"))
+    found = own.join(F.broadcast(wanted) if small else wanted, "term").groupBy("number").agg(F.count(F.lit(1)).alias("n")).toArrow()
+    out = np.zeros(len(terms), np.int64)
+    out[found["number"].to_numpy()] = found["n"].to_numpy()
+    return out, docs.count()
+
+
+def build(rows: list[tuple[object, int, str]], df: dict[str, int], n_docs: int) -> Examples:
+    """The index of the examples, with its curve. df: of each of their terms."""
     labels = np.array([y for _, y, _ in rows], float)
-    made = Examples({t: i for i, t in enumerate(terms)}, np.log((1 + n_docs) / (1 + np.asarray(df, float))) + 1)
+    made = Examples(idf=np.log((1 + n_docs) / (0.5 + np.fromiter(df.values(), float, len(df)))), k=max(LEAST, len(rows) // SHARE))
+    for number, t in enumerate(df):
+        if t.endswith("*"):
+            made.begin[t[:-1]] = number
+        else:
+            made.whole[t] = number
     vectors = [made.vector(words_of(t)) for _, _, t in rows]
     bare = [y for v, y in zip(vectors, labels, strict=True) if not len(v[0])]
     made.bare = round(float((sum(bare) + 0.5 * labels.mean()) / (len(bare) + 0.5)), 9) if len(labels) else 0.0
-    weights = [made.weights(v) for v in vectors]
-    spread = np.bincount(np.concatenate([t for t, _ in weights] or [np.zeros(0, np.int64)]), minlength=len(terms))
-    made.row = np.full(len(terms), -1, np.int32)
+    spread = np.bincount(np.concatenate([t for t, _ in vectors] or [np.zeros(0, np.int64)]), minlength=len(df))
+    made.row = np.full(len(df), -1, np.int32)
     often = np.flatnonzero(spread > COMMON * len(rows))
     made.row[often] = np.arange(len(often))
     # Examples that share their weightiest common term share blocks, which keeps the bounds tight.
-    commons = [(made.row[t][made.row[t] >= 0], w[made.row[t] >= 0]) for t, w in weights]
+    commons = [(made.row[t][made.row[t] >= 0], w[made.row[t] >= 0]) for t, w in vectors]
     some = sorted(range(len(rows)), key=lambda i: (int(commons[i][0][commons[i][1].argmax()]) if len(commons[i][0]) else -1, -float((commons[i][1] ** 2).sum()), i))
     n_blocks = max(1, -(-len(some) // BLOCK))
-    made.ids, made.labels, made.turn = [rows[i][0] for i in some], labels[some], np.array(some, np.int64)
+    made.ids, made.labels = [rows[i][0] for i in some], labels[some]
+    made.turn = np.append(np.array(some, np.int64), np.arange(len(some), n_blocks * BLOCK))
     made.norm, made.common = np.zeros(n_blocks * BLOCK), np.zeros((n_blocks, len(often), BLOCK))
     for number, i in enumerate(some):
         made.common[number // BLOCK, commons[i][0], number % BLOCK] = commons[i][1]
         made.norm[number] = np.sqrt((commons[i][1] ** 2).sum())
-    made.best = made.common.max(2).T.copy()
-    of = np.repeat(np.arange(len(some), dtype=np.int32), [len(weights[i][0]) for i in some])
-    term, value = (np.concatenate([weights[i][j] for i in some] or [np.zeros(0, kind)]) for j, kind in ((0, np.int64), (1, float)))
+    made.norm, made.best = made.norm.reshape(n_blocks, BLOCK), made.common.max(2).T.copy()
+    of = np.repeat(np.arange(len(some), dtype=np.int32), [len(vectors[i][0]) for i in some])
+    term, value = (np.concatenate([vectors[i][j] for i in some] or [np.zeros(0, kind)]) for j, kind in ((0, np.int64), (1, float)))
     of, term, value = (x[made.row[term] < 0] for x in (of, term, value))
     order = np.argsort(term, kind="stable")
     made.of, made.values = of[order], value[order]
-    made.start = np.append(0, np.cumsum(np.bincount(term, minlength=len(terms))))
+    made.start = np.append(0, np.cumsum(np.bincount(term, minlength=len(df))))
+    if not 0 < labels.sum() < len(labels):
+        return made
     # Leave-one-out votes of the examples fit the curve.
-    fitted = [(made.votes(*made.nearest(vectors[i], leave=number)), labels[i]) for number, i in enumerate(some) if len(vectors[i][0])]
-    x, y = np.array([[v, 1.0] for v, _ in fitted]), np.array([t for _, t in fitted])
+    votes = []
+    numbers = np.array([number for number, i in enumerate(some) if len(vectors[i][0])], np.int64)
+    for part in np.split(numbers, range(BATCH, len(numbers), BATCH)):
+        for number, (near, sims) in zip(part, made.nearest([vectors[some[j]] for j in part], part), strict=True):
+            if len(near):
+                votes.append((made.votes(near, sims, made.labels, float(labels.mean())), made.labels[number]))
+    x, y = np.array([[v, 1.0] for v, _ in votes]).reshape(-1, 2), np.array([t for _, t in votes])
     w = np.zeros(2)
-    if len(y) and 0 < y.sum() < len(y):
-        for _ in range(25):
-            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-            curve = (x * (p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(2)
-            w += np.linalg.solve(curve, x.T @ (y - p) - 1e-2 * w)
+    for _ in range(25):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        curve = (x * (p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(2)
+        w += np.linalg.solve(curve, x.T @ (y - p) - 1e-2 * w)
     made.slope, made.offset = float(w[0]), float(w[1])
     return made
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", bound: int = BOUND, key: str = "doc_id", text: str = "text") -> Examples:
     """The index over a bounded sample of labelled documents; pass only the labels that may be learnt from."""
-    rows = sample(docs, labels, label, bound, key, text)
-    y = np.array([y for _, y, _ in rows], float)
-    terms = choose_terms([t for _, _, t in rows], y) if 0 < y.sum() < len(y) else []
+    rows = labelled_sample(docs, labels, label, bound, key, text)
+    terms = sorted({t for _, _, own in rows for t in terms_of(words_of(own))}) if len({y for _, y, _ in rows}) == 2 else []
     df, n = document_frequencies(docs, terms, text) if terms else (np.zeros(0, np.int64), 0)
-    return build(rows, terms, df, n)
+    return build(rows, dict(zip(terms, df.tolist(), strict=True)), n)
 
 
 def score(docs: DataFrame, examples: Examples, text: str = "text", out: str = "score", drop: tuple[str, ...] = ()) -> DataFrame:
@@ -241,14 +246,13 @@ def score(docs: DataFrame, examples: Examples, text: str = "text", out: str = "s
         known: dict = {}
 
         def of(column: pa.Array) -> list[pa.Array]:
+            texts = column.to_pylist()
+            keys = [hashlib.blake2b((t or "").encode("utf-8", "surrogatepass"), digest_size=16).digest() for t in texts]
             if len(known) > REMEMBER:
                 known.clear()
-            got = []
-            for t in column.to_pylist():
-                key = hashlib.blake2b((t or "").encode("utf-8", "surrogatepass"), digest_size=16).digest()
-                if key not in known:
-                    known[key] = own.score(own.vector(words_of(t)))
-                got.append(known[key])
+            new = {k: t for k, t in zip(keys, texts, strict=True) if k not in known}
+            known.update(zip(new, own.score_all([own.vector(words_of(t)) for t in new.values()]), strict=True))
+            got = [known[k] for k in keys]
             return [pa.array([s for s, _ in got], pa.float64()), pa.array([[str(i) for i in ids] for _, ids in got], pa.list_(pa.string()))]
 
         return of

@@ -3,8 +3,10 @@ from itertools import product
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from talentweave.llm import fingerprints, quality, toxicity
+from talentweave.llm.common import labelled_sample
 
 WORDS = [f"word{i}" for i in range(200)]
 
@@ -78,23 +80,48 @@ def toxic_corpus(seed, n):
     return out
 
 
-def test_nearest_examples_equal_brute_force():
-    rows = toxic_corpus(5, 300)
-    y = np.array([r[2] for r in rows], float)
-    terms = toxicity.choose_terms([t for _, t, _ in rows], y)
-    df = np.array([sum(any(t in toxicity.terms_of(w) for w in toxicity.words_of(x)) for _, x, _ in rows) for t in terms])
-    made = toxicity.build([(i, int(v), t) for i, t, v in rows], terms, df, len(rows))
-    dense = np.zeros((len(rows), len(terms) + 1))
-    for number, i in enumerate(made.ids):
-        t, w = made.weights(made.vector(toxicity.words_of(rows[i][1])))
-        dense[number, t] = w
-    for i, text, _ in toxic_corpus(6, 80):
-        v = made.vector(toxicity.words_of(text))
-        t, w = made.weights(v)
-        sims = np.round(dense[:, t] @ w, 12)
-        order = np.lexsort((made.turn, -sims))[: toxicity.K]
-        near, got = made.nearest(v)
-        assert np.allclose(got, sims[order][sims[order] > 0]) and near.tolist() == order[sims[order] > 0].tolist()
+def index(rows):
+    own = [toxicity.terms_of(toxicity.words_of(t)) for _, t, _ in rows]
+    df = {t: sum(t in o for o in own) for t in sorted(set().union(*own))}
+    return toxicity.build([(i, y, t) for i, t, y in rows], df, len(rows)), df
+
+
+def plain_weights(text, df, n):
+    """TF-IDF weights of unit length, by term."""
+    counts = {}
+    for w in toxicity.words_of(text):
+        for t in toxicity.terms_of([w]) & df.keys():
+            counts[t] = counts.get(t, 0) + 1
+    own = {t: (1 + np.log(c)) * np.log((1 + n) / (0.5 + df[t])) for t, c in counts.items()}
+    size = np.sqrt(sum(w * w for w in own.values()))
+    return {t: w / size for t, w in own.items()}
+
+
+def brute_scores(rows, texts):
+    """Scores by comparing with every example, and the nearest ids."""
+    made, df = index(rows)
+    own = [plain_weights(t, df, len(rows)) for _, t, _ in rows]
+    share, k = sum(y for *_, y in rows) / len(rows), max(toxicity.LEAST, len(rows) // toxicity.SHARE)
+    out = []
+    for text in texts:
+        v = plain_weights(text, df, len(rows))
+        sims = sorted(((-round(sum(w * o.get(t, 0) for t, w in v.items()), 12), i) for i, o in enumerate(own)))[:k]
+        near = [(-s, rows[i]) for s, i in sims if s < 0]
+        yes = sum(s for s, r in near if r[2]) / share
+        no = sum(s for s, r in near if not r[2]) / (1 - share)
+        z = np.log((yes + 0.02 * (yes + no)) / (no + 0.02 * (yes + no))) if near else None
+        out.append((made.bare if z is None else 1 / (1 + np.exp(-(made.slope * z + made.offset))), [r[0] for _, r in near[:5]]))
+    return made, out
+
+
+@pytest.mark.parametrize("n", [20, 300, 900])
+def test_nearest_examples_equal_brute_force(n):
+    rows = toxic_corpus(5, n)
+    texts = [t for _, t, _ in toxic_corpus(6, 80)] + ["", "qq", rows[3][1]]
+    made, wanted = brute_scores(rows, texts)
+    got = made.score_all([made.vector(toxicity.words_of(t)) for t in texts])
+    assert np.allclose([s for s, _ in got], [s for s, _ in wanted], atol=1e-8) and [i for _, i in got] == [i for _, i in wanted]
+    assert made.score_all([made.vector(toxicity.words_of(t)) for t in texts[40:41]])[0] == got[40]
 
 
 def test_held_out_toxicity(spark):
@@ -173,13 +200,27 @@ def test_many_keys_have_the_right_successor(spark):
 
 def test_a_copy_of_an_example_is_nearest_whatever_its_words():
     rows = toxic_corpus(9, 120) + [(500, "quagga zebu", 1), (501, "okapi", 0)]
-    terms = toxicity.choose_terms([t for _, t, _ in rows], np.array([y for *_, y in rows], float))
-    own = [set().union(*map(toxicity.terms_of, toxicity.words_of(t))) for _, t, _ in rows]
-    made = toxicity.build([(i, y, t) for i, t, y in rows], terms, np.array([sum(t in o for o in own) for t in terms]), len(rows))
-    for i, text, _ in rows:
-        near, sims = made.nearest(made.vector(toxicity.words_of(text)))
+    made, _ = index(rows)
+    for (near, sims), (i, *_) in zip(made.nearest([made.vector(toxicity.words_of(t)) for _, t, _ in rows]), rows, strict=True):
         assert sims[0] == 1.0 and made.ids[near[0]] == i
-    assert made.score(made.vector(["quagga"]))[1] == [500]
+    assert made.score_all([made.vector(["quagga"])])[0][1] == [500]
+
+
+def test_the_toxicity_query_equals_brute_force(spark):
+    rows = toxic_corpus(13, 240)
+    docs = spark.createDataFrame([r[:2] for r in rows] + [(900, None), (901, "Éa ÉA éa_éa 7b")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows[:200]], "doc_id long, toxic int")
+    examples = toxicity.train(docs, labels)
+    got = {r.doc_id: r for r in toxicity.score(docs, examples).collect()}
+    known = {i: (t, y) for i, t, y in rows[:200]}
+    some = [(i, *known[i]) for i in sorted(known)]
+    own = [toxicity.terms_of(toxicity.words_of(r.text)) for r in docs.collect()]
+    used = set().union(*(toxicity.terms_of(toxicity.words_of(t)) for _, t, _ in some))
+    df = {t: sum(t in o for o in own) for t in sorted(used)}
+    turn = [r.doc_id for r in docs.where("doc_id < 200").orderBy(F.xxhash64("doc_id"), "doc_id").collect()]
+    made = toxicity.build([(i, known[i][1], known[i][0]) for i in turn], df, len(own))
+    wanted = made.score_all([made.vector(toxicity.words_of(r.text)) for r in docs.collect()])
+    assert [(got[r.doc_id].score, got[r.doc_id].neighbours) for r in docs.collect()] == [(s, [str(i) for i in ids]) for s, ids in wanted]
 
 
 def test_training_reads_what_comes_after_many_lines(spark):
@@ -187,6 +228,8 @@ def test_training_reads_what_comes_after_many_lines(spark):
     head = [prose(rng) for _ in range(64)]
     rows = [(i, "\n".join(head + [(junk if i % 2 else prose)(rng) for _ in range(200)]), 1 - i % 2) for i in range(60)]
     docs, labels = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, quality int")
-    assert sorted(quality.sample(docs, labels, "quality", 100)) == sorted((t, y) for _, t, y in rows)
+    assert sorted(labelled_sample(docs, labels, "quality", 100)) == sorted((i, y, t) for i, t, y in rows)
+    twice = docs.union(docs.selectExpr("doc_id", "concat(text, 'z')"))
+    assert labelled_sample(twice, labels, "quality", 100) == labelled_sample(docs, labels, "quality", 100)
     field = quality.fit([t for _, t, _ in rows[20:]], [y for *_, y in rows[20:]])
     assert ((quality.score_of(field, [t for _, t, _ in rows[:20]]) >= 0.5) == [bool(y) for *_, y in rows[:20]]).all()

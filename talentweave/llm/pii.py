@@ -9,8 +9,10 @@ examples for a wanted precision, selects. Where selected candidates overlap, the
 The trees are fitted on the driver on MADE sentences that a seeded generator writes, whose features the same
 expressions compute; they run as nested IF expressions. Nothing in the main path is Python.
 
-Null texts count as empty and have no spans; repeated rows give repeated results; extra columns pass through; patterns
-are possessive and anchored, so that a text of any length is read in linear time.
+Null texts count as empty and have no spans; repeated rows give repeated results; extra columns pass through, whatever
+their names, and one named like the result is replaced. Patterns are possessive and anchored; positions are running
+sums in chunks, overlaps are found by sorting, and texts are cut in chunks, so that the time of a text grows in
+proportion to its length and number of spans. Only a chain of candidates that overlap one another is compared in pairs.
 """
 
 from __future__ import annotations
@@ -67,6 +69,8 @@ FEATURES = {
 }
 NAMES = tuple(FEATURES)
 MADE, TREES, DEPTH, RATE, PRECISION, SEED = 3000, 24, 3, 0.3, 0.98, 11
+#: Characters before a candidate that are its context, numbers in a chunk of a running sum, code points in one of a text.
+CONTEXT, CHUNK, PIECE = 24, 128, 4096
 
 
 def _luhn(d: str) -> str:
@@ -91,8 +95,26 @@ def _quoted(pattern: str) -> str:
     return "r'" + pattern.replace("'", "\\x27") + "'"
 
 
+def _let(value: str, name: str, body: str) -> str:
+    """body, in which `name` stands for value, which is computed once."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
+def _running(values: str, op: str) -> str:
+    """The sums or maxima (op: "+" or "greatest") of what comes before each of an array's numbers, and of all at the end.
+
+    An array grows by copying, so chunks are added up by themselves and then moved by the total of those before.
+    """
+    both = (lambda a, b: f"{a} + {b}") if op == "+" else (lambda a, b: f"{op}({a}, {b})")
+    chunks = f"transform(sequence(0, cast((size(vs) - 1) / {CHUNK} as int)), g -> aggregate(slice(vs, g * {CHUNK} + 1, {CHUNK}), array(0), (a, x) -> array_append(a, {both('element_at(a, -1)', 'x')})))"
+    totals = f"aggregate(cs, array(0), (a, g) -> array_append(a, {both('element_at(a, -1)', 'element_at(g, -1)')}))"
+    moved = f"concat(flatten(transform(cs, (g, j) -> transform(slice(g, 1, size(g) - 1), x -> {both('ts[j]', 'x')}))), array(element_at(ts, -1)))"
+    return _let(values, "vs", _let(chunks, "cs", _let(totals, "ts", moved)))
+
+
 def _find(df: DataFrame, kinds: tuple[str, ...], text: str) -> DataFrame:
-    """df with an array _<kind> of (start, end, body) for each kind: the gaps between matches give the positions."""
+    """df with an array _<kind> of (start, end, body, before) for each kind: the gaps between matches give the positions
+    and what stands before."""
     gates = {"_has_digit": f"{text} rlike '[0-9]'", "_has_sign": f"{text} rlike '[:=]'", "_has_long": f"{text} rlike '[A-Za-z0-9_+/=-]{{16}}'", "_has_spelt": f"lower({text}) rlike '[ (\\\\[]at[ )\\\\]]' and lower({text}) rlike '[ (\\\\[]dot[ )\\\\]]'"}
     df = df.withColumns({g: F.expr(e) for g, e in gates.items()})
     some = "cast(array() as array<string>)"
@@ -102,9 +124,10 @@ def _find(df: DataFrame, kinds: tuple[str, ...], text: str) -> DataFrame:
     df = df.withColumns(gaps)
     found = {}
     for k in kinds:
-        empty = "cast(array() as array<struct<start:int,end:int,body:string>>)"
-        step = f"struct(a.at + length(_g_{k}[i]) + length(_h_{k}[i]) as at, array_append(a.found, struct(a.at + length(_g_{k}[i]) as start, a.at + length(_g_{k}[i]) + length(_h_{k}[i]) as end, _h_{k}[i] as body)) as found)"
-        places = f"aggregate(sequence(0, size(_h_{k}) - 1), struct(0 as at, {empty} as found), (a, i) -> {step}, a -> a.found)"
+        empty = "cast(array() as array<struct<start:int,end:int,body:string,before:string>>)"
+        ends = _running(f"transform(_h_{k}, (h, i) -> length(_g_{k}[i]) + length(h))", "+")
+        before = "''" if k in BASE else f"lower(right(concat(coalesce(get(_g_{k}, i - 1), ''), coalesce(get(_h_{k}, i - 1), ''), _g_{k}[i]), {CONTEXT}))"
+        places = _let(ends, "es", f"transform(_h_{k}, (h, i) -> struct(es[i + 1] - length(h) as start, es[i + 1] as end, h as body, {before} as before))")
         found[f"_{k}"] = F.expr(f"if(size(_h_{k}) = 0, {empty}, filter({places}, s -> {_valid(k)}))")
     return df.withColumns(found).drop(*gates, *hits, *gaps)
 
@@ -113,13 +136,15 @@ def candidates(df: DataFrame, text: str = "text") -> DataFrame:
     """df with _base, sorted spans (start, rank, end, kind), and _candidates, spans with their features."""
     df = _find(df, KINDS, text)
     base = ", ".join(f"transform(_{k}, s -> struct(s.start as start, {i} as rank, s.end as end, '{k}' as kind))" for i, k in enumerate(BASE))
-    extra = ", ".join(f"transform(_{k}, s -> struct(s.start as start, {i + len(BASE)} as rank, s.end as end, '{NAMED.get(k, k)}' as kind, s.body as body))" for i, k in enumerate(EXTRA))
+    extra = ", ".join(f"transform(_{k}, s -> struct(s.start as start, {i + len(BASE)} as rank, s.end as end, '{NAMED.get(k, k)}' as kind, s.body as body, s.before as before))" for i, k in enumerate(EXTRA))
     df = df.withColumns({"_base": F.expr(f"array_sort(concat({base}))"), "_open": F.expr(f"concat({extra})")})
+    # A candidate is free if no base span that starts before its end reaches beyond its start: base spans by their
+    # starts and candidates by their ends in one order, with the running maximum of the base spans' ends.
+    events = "array_sort(concat(transform(_base, b -> struct(b.start as at, 1 as sort, -1 as i, b.end as reach)), transform(_open, (s, i) -> struct(s.end as at, 0 as sort, i as i, 0 as reach))))"
+    reached = _let(events, "es", _let(_running("transform(es, e -> e.reach)", "greatest"), "ms", "transform(filter(transform(es, (e, j) -> struct(e.i as i, ms[j] as reach)), x -> x.i >= 0 and x.reach <= _open[x.i].start), x -> _open[x.i])"))
+    df = df.withColumn("_free", F.expr(f"if(size(_base) = 0 or size(_open) = 0, _open, {reached})"))
     numbers = ", ".join(f"cast({e.replace('{b}', 's.body').replace('{x}', 's.before')} as double) as {n}" for n, e in FEATURES.items())
-    before = f"transform(_open, s -> struct(s.start as start, s.rank as rank, s.end as end, s.kind as kind, s.body as body, lower(substring({text}, greatest(s.start - 23, 1), least(s.start, 24))) as before))"
-    df = df.withColumn("_open", F.expr(before))
-    free = "not exists(_base, o -> o.start < s.end and s.start < o.end)"
-    return df.withColumn("_candidates", F.expr(f"transform(filter(_open, s -> {free}), s -> struct(s.start as start, s.rank as rank, s.end as end, s.kind as kind, {numbers}))")).drop("_open", *(f"_{k}" for k in KINDS))
+    return df.withColumn("_candidates", F.expr(f"transform(_free, s -> struct(s.start as start, s.rank as rank, s.end as end, s.kind as kind, {numbers}))")).drop("_open", "_free", *(f"_{k}" for k in KINDS))
 
 
 @dataclass(frozen=True)
@@ -283,15 +308,21 @@ def train(spark: SparkSession, made: int = MADE, seed: int = SEED) -> Trees:
 def find(df: DataFrame, trees: Trees, text: str = "text", out: str = "spans") -> DataFrame:
     """df with `out`: all spans (start, rank, end, kind) in code points, end exclusive, by start and kind. A base span
     has a rank under 4."""
-    body = F.coalesce(F.col(text), F.lit(""))
-    df = candidates(df.withColumn("_text", body), "_text")
-    scored = f"transform(_candidates, s -> struct(-({trees.chance()}) as p, s.start as start, s.end as end, s.rank as rank, s.kind as kind))"
+    # The row is kept in one struct, so that no column of it can be taken for one of ours.
+    own = candidates(df.select(F.struct("*").alias("row"), F.coalesce(F.col(text), F.lit("")).alias("_text")), "_text")
     limit = "case s.rank " + " ".join(f"when {len(BASE) + EXTRA.index(k)} then {t!r}D" for k, t in trees.thresholds) + " else 2D end"
-    df = df.withColumn("_scored", F.expr(f"array_sort({scored})"))
+    scored = f"transform(_candidates, s -> struct(s.start as start, s.end as end, -({trees.chance()}) as p, s.rank as rank, s.kind as kind))"
+    own = own.withColumn("_scored", F.expr(f"array_sort(filter({scored}, s -> -s.p >= {limit}))"))
+    # Of candidates that overlap the surest stays. Those between two places that none reaches across are a chain.
+    first = "filter(sequence(0, size(_scored) - 1), i -> _scored[i].start >= ms[i])"
+    chains = "transform(fs, (f, j) -> slice(_scored, f + 1, coalesce(get(fs, j + 1), size(_scored)) - f))"
     empty = "cast(array() as array<struct<start:int,rank:int,end:int,kind:string>>)"
-    chosen = f"""aggregate(filter(_scored, s -> -s.p >= {limit}), {empty},
-        (a, s) -> if(exists(a, o -> o.start < s.end and s.start < o.end), a, array_append(a, struct(s.start as start, s.rank as rank, s.end as end, s.kind as kind))))"""
-    return df.withColumn(out, F.expr(f"array_sort(concat(_base, {chosen}))")).drop("_text", "_base", "_candidates", "_scored")
+    span = "struct(s.start as start, s.rank as rank, s.end as end, s.kind as kind)"
+    best = f"""aggregate(array_sort(transform(c, s -> struct(s.p as p, s.start as start, s.end as end, s.rank as rank, s.kind as kind))), {empty},
+        (a, s) -> if(exists(a, o -> o.start < s.end and s.start < o.end), a, array_append(a, {span})))"""
+    chosen = _let(_running("transform(_scored, s -> s.end)", "greatest"), "ms", _let(first, "fs", f"flatten(transform({chains}, c -> {best}))"))
+    own = own.withColumn("_spans", F.expr(f"array_sort(concat(_base, if(size(_scored) = 0, {empty}, {chosen})))"))
+    return own.select(*(F.col("row").getField(c).alias(c) for c in df.columns if c.lower() != out.lower()), F.col("_spans").alias(out))
 
 
 def as_text(spans: str = "spans", base_only: bool = False):
@@ -302,9 +333,12 @@ def as_text(spans: str = "spans", base_only: bool = False):
 
 def redact(df: DataFrame, text: str = "text", spans: str = "spans") -> DataFrame:
     """df with every span of `text` replaced by its kind in brackets; overlapping spans become one, by the first kind."""
-    piece = f"""aggregate({spans}, struct(0 as at, cast(array() as array<string>) as parts),
-        (a, s) -> struct(greatest(a.at, s.end) as at, case
-            when s.start >= a.at then array_append(array_append(a.parts, substring({text}, a.at + 1, s.start - a.at)), concat('[', upper(s.kind), ']'))
-            else a.parts end as parts),
-        a -> array_join(array_append(a.parts, substring({text}, a.at + 1, length({text}))), ''))"""
-    return df.withColumn(text, F.expr(f"if(size({spans}) > 0, {piece}, {text})"))
+    # The text from code point a to b, out of pieces of equal length.
+    part = lambda a, b: f"""if({b} <= {a}, '', if({a} div {PIECE} = ({b} - 1) div {PIECE}, substring(ps[cast({a} div {PIECE} as int)], cast({a} % {PIECE} as int) + 1, {b} - {a}),
+        concat(substring(ps[cast({a} div {PIECE} as int)], cast({a} % {PIECE} as int) + 1, {PIECE}),
+            array_join(slice(ps, cast({a} div {PIECE} as int) + 2, cast(({b} - 1) div {PIECE} - {a} div {PIECE} as int) - 1), ''),
+            substring(ps[cast(({b} - 1) div {PIECE} as int)], 1, cast(({b} - 1) % {PIECE} as int) + 1))))"""
+    heads = f"transform(filter(sequence(0, size({spans}) - 1), i -> {spans}[i].start >= ms[i]), i -> concat({part('ms[i]', f'{spans}[i].start')}, '[', upper({spans}[i].kind), ']'))"
+    whole = f"concat(array_join({heads}, ''), {part('element_at(ms, -1)', f'length({text})')})"
+    hidden = _let(f"regexp_extract_all({text}, '(?s).{{1,{PIECE}}}', 0)", "ps", _let(_running(f"transform({spans}, s -> s.end)", "greatest"), "ms", whole))
+    return df.withColumn(text, F.expr(f"if(size({spans}) > 0, {hidden}, {text})"))

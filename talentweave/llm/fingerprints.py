@@ -1,71 +1,151 @@
-"""Document fingerprints by consistent weighted sampling, as SQL expressions inside the row.
+"""Document fingerprints by consistent weighted sampling.
 
-A document is its shingles of `size` words, weighted by how often each occurs. A weighted term draws r and c from
-Gamma(2, 1) and b from (0, 1), all from hashes of the term, and gets t = floor(ln(weight) / r + b) and
-ln a = ln c - r * (t - b + 1); the sample is the (term, t) of the smallest a. Two documents' samples agree with a
-probability of their generalised Jaccard similarity. Terms are dealt to BINS bins by hash and every bin takes its own
-sample, so that one draw a term gives a whole signature: a bin's samples agree with the generalised Jaccard similarity
-of its terms, and the share of agreeing bins, of those in which either document has a term, estimates that of all.
+A document is its shingles of `size` words, weighted by how often each occurs. For each of SLOTS slots every weighted
+term draws r and c from Gamma(2, 1) and b from (0, 1), all from a hash of term and slot, and gets
+t = floor(ln(weight) / r + b) and ln a = ln c - r * (t - b + 1); the slot's sample is the (term, t) of the smallest a.
+Two documents' samples in a slot agree with a probability of their generalised Jaccard similarity, so the share of
+agreeing slots estimates it without bias.
+
+The draws are inverse distribution functions at 16 bits of the hash, from tables that the driver computes and
+broadcasts (two MB), so that equal texts have equal fingerprints on machines of any kind. Arrow slices and chunks of
+terms bound the memory, whatever a text's length.
 
 Null texts count as empty; a text of fewer words than a shingle is one shingle; texts without words have an empty
-signature and are alike (1.0). Equal texts have equal fingerprints whatever their ids. Repeated rows give repeated
-results; extra columns pass through.
+signature and are alike (1.0), and unlike all others (0.0). Equal texts have equal fingerprints whatever their ids.
+Repeated rows give repeated results; extra columns pass through, and one named like the result is replaced.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-
-from talentweave.llm.common import cut
-
-SHINGLE, BINS = 5, 64
-#: The layout of a sample in 64 bits, bin (6), ln a (29) and term hash (29, 26 kept), and the range of ln a.
-_A_BITS, _ID_BITS, _KEPT, _LOW, _SCALE = 29, 29, 26, 64.0, 1 << 22
-
-
-def _uniform(bits: str) -> str:
-    """A number in (0, 1) from the low 32 bits."""
-    return f"((({bits}) & 4294967295L) + 0.5D) * {2.0**-32!r}D"
-
-
-def _sample(x: str, log_weight: str | None) -> str:
-    """The 64 bits of term x's sample. log_weight: of its weight, None for a weight of 1."""
-    r = f"(-ln({_uniform(f'xxhash64({x}, 1)')} * {_uniform(f'xxhash64({x}, 2)')}))"
-    c = f"ln(-ln({_uniform(f'xxhash64({x}, 3)')} * {_uniform(f'xxhash64({x}, 4)')}))"
-    b = _uniform(x)
-    if log_weight is None:
-        t, a = "0L", f"{c} - {r} * (1D - {b})"
-    else:
-        t = f"floor({log_weight} / {r} + {b})"
-        a = f"{c} - {r} * ({t} - {b} + 1D)"
-    grid = f"greatest(0L, least({(1 << _A_BITS) - 1}L, cast(({a} + {_LOW}D) * {_SCALE}D as bigint)))"
-    return f"(shiftleft(shiftright({x}, 58), 58) | shiftleft({grid}, {_ID_BITS}) | (xxhash64({x}, {t}) & {(1 << _ID_BITS) - 1}L))"
-
-
-def sign(df: DataFrame, text: str, out: str, size: int = SHINGLE) -> DataFrame:
-    """df with the signature of each whole text: an array of ints, one for each bin that has terms, ascending; an int is
-    the bin (6 bits) and a hash of the sampled (term, t) (26 bits)."""
-    body = F.lower(F.coalesce(F.col(text), F.lit("")))
-    df = df.withColumn("_w", F.split(body, r"\s+"))
-    df = df.withColumn("_w", F.expr("transform(filter(_w, s -> s <> ''), s -> xxhash64(s))"))
-    rest = ", ".join(f"_w[i + {k}]" for k in range(1, size))
-    df = df.withColumn("_h", F.expr(f"sort_array(if(size(_w) >= {size}, transform(slice(_w, 1, greatest(size(_w) - {size - 1}, 0)), (x, i) -> xxhash64(x, {rest})), if(size(_w) > 0, array(xxhash64(_w)), cast(array() as array<bigint>))))"))
-    # Where shingles repeat, each distinct one with the log of its count; runs of the sorted array give the counts.
-    first = "filter(sequence(0, size(_h) - 1), i -> i = 0 or _h[i] <> _h[i - 1])"
-    df = df.withColumn("_r", F.expr(f"if(size(_h) = 0 or size(array_distinct(_h)) = size(_h), cast(array() as array<int>), {first})"))
-    heavy = f"transform(_r, (p, j) -> {_sample('_h[p]', 'ln(coalesce(get(_r, j + 1), size(_h)) - p)')})"
-    light = f"transform(_h, x -> {_sample('x', None)})"
-    df = df.withColumn("_v", F.expr(f"sort_array(if(size(_r) > 0, {heavy}, {light}))"))
-    first = "filter(_v, (v, i) -> i = 0 or shiftright(v, 58) <> shiftright(_v[i - 1], 58))"
-    df = df.withColumn(out, F.expr(f"transform({first}, v -> cast(shiftleft(shiftright(v, 58), {_KEPT}) | (v & {(1 << _KEPT) - 1}L) as int))"))
-    return df.drop("_w", "_h", "_r", "_v")
+from pyspark.sql import types as T
+
+from talentweave.llm.common import add_columns, cut
+
+SHINGLE, SLOTS = 5, 64
+#: Terms that all slots look at in one step.
+CHUNK = 512
+#: Remembered word hashes in a worker; beyond it the memory starts anew.
+REMEMBER = 200_000
+#: Odd numbers of a multiplicative hash.
+_M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
+_LOW = np.uint64(0xFFFF)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = x * _M1
+    x ^= x >> np.uint64(32)
+    x *= _M2
+    x ^= x >> np.uint64(29)
+    return x
+
+
+def gamma_quantiles(p: np.ndarray) -> np.ndarray:
+    """The inverse of Gamma(2, 1)'s distribution function 1 - (1 + x) exp(-x), by bisection."""
+    low, high = np.zeros(len(p)), np.full(len(p), 60.0)
+    for _ in range(80):
+        middle = (low + high) / 2
+        under = 1 - (1 + middle) * np.exp(-middle) < p
+        low, high = np.where(under, middle, low), np.where(under, high, middle)
+    return (low + high) / 2
+
+
+@dataclass(frozen=True)
+class Draws:
+    """Tables over 16 bits: r, ln c at the lower edge of each of 65,536 equal shares, and its rise to the next edge."""
+
+    r: np.ndarray
+    log_c: np.ndarray
+    rise: np.ndarray
+
+    @classmethod
+    def make(cls) -> Draws:
+        n = 1 << 16
+        edges = np.arange(n + 1) / n
+        edges[0], edges[-1] = 1 / (16 * n), 1 - 1 / (16 * n)
+        log_c = np.log(gamma_quantiles(edges))
+        return cls(gamma_quantiles((np.arange(n) + 0.5) / n), log_c[:-1], np.diff(log_c))
+
+    def values(self, terms: np.ndarray, log_weight: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """ln a and t of each slot (row) and term."""
+        x = _mixed(terms[None, :] ^ seeds[:, None])
+        b = (x & _LOW).astype(float)
+        b += 0.5
+        b /= 1 << 16
+        r = self.r[((x >> np.uint64(16)) & _LOW).astype(np.int64)]
+        at = (x >> np.uint64(48)).astype(np.int64)
+        a = ((x >> np.uint64(32)) & _LOW).astype(float)
+        a /= 1 << 16
+        a *= self.rise[at]
+        a += self.log_c[at]
+        t = np.floor(log_weight / r + b) if log_weight.any() else np.zeros((1, 1))
+        a -= r * (t - b + 1)
+        return a, t
+
+    def signature(self, terms: np.ndarray, weights: np.ndarray, slots: int = SLOTS) -> np.ndarray:
+        """For each slot 32 bits of the sampled (term, t). Terms are distinct."""
+        seeds = _mixed(np.arange(1, slots + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        least, term, level = np.full(slots, np.inf), np.zeros(slots, np.uint64), np.zeros(slots)
+        rows = np.arange(slots)
+        # Terms of weight 1 first: they need no t.
+        order = np.argsort(weights > 1, kind="stable")
+        terms, logs = terms[order], np.log(weights[order].astype(float))
+        ones = int((weights == 1).sum())
+        for i, j in [*((i, min(i + CHUNK, ones)) for i in range(0, ones, CHUNK)), *((i, min(i + CHUNK, len(terms))) for i in range(ones, len(terms), CHUNK))]:
+            a, t = self.values(terms[i:j], logs[i:j], seeds)
+            best = a.argmin(1)
+            found = a[rows, best]
+            won = found < least
+            least[won], term[won] = found[won], terms[i:j][best[won]]
+            level[won] = np.broadcast_to(t, a.shape)[rows, best][won]
+        return (_mixed(term ^ _mixed(level.astype(np.int64).view(np.uint64) + np.uint64(1))) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+
+def terms_of(text: str | None, size: int, known: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of a text's distinct shingles, ascending, and how often each occurs. known: remembered word hashes."""
+    words = (text or "").lower().split()
+    for w in set(words) - known.keys():
+        known[w] = xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"))
+    own = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+    if len(known) > REMEMBER:
+        known.clear()
+    n = min(size, len(words))
+    out = np.zeros(len(words) - n + 1 if n else 0, np.uint64)
+    for j in range(n):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + own[j : j + len(out)]
+    return np.unique(_mixed(out), return_counts=True)
+
+
+def fingerprint(df: DataFrame, text: str = "text", out: str = "fingerprint", size: int = SHINGLE, slots: int = SLOTS, drop: tuple[str, ...] = ()) -> DataFrame:
+    """df with the signature of each whole text: an int for each slot, none for a text without words."""
+    shared = df.sparkSession.sparkContext.broadcast(Draws.make())
+
+    def work():
+        draws: Draws = shared.value
+        known: dict[str, int] = {}
+
+        def of(column: pa.Array) -> list[pa.Array]:
+            found = [terms_of(t, size, known) for t in column.to_pylist()]
+            signed = [draws.signature(*f, slots) if len(f[0]) else np.zeros(0, np.int32) for f in found]
+            ends = np.append(0, np.cumsum([len(s) for s in signed])).astype(np.int32)
+            flat = np.concatenate(signed) if signed else np.zeros(0, np.int32)
+            return [pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int32()))]
+
+        return of
+
+    return add_columns(df, text, T.StructType().add(out, T.ArrayType(T.IntegerType())), work, drop)
 
 
 def likeness(a: str, b: str):
-    """Share of bins with equal samples, of the bins that either signature has; 1 for two empty ones."""
-    bins = f"size(array_union(transform({a}, v -> shiftright(v, {_KEPT})), transform({b}, v -> shiftright(v, {_KEPT}))))"
-    return F.expr(f"if({bins} = 0, 1D, size(array_intersect({a}, {b})) / {bins})")
+    """Share of slots with equal samples; 1 for two empty signatures, 0 for an empty and another one."""
+    same = f"size(filter(zip_with({a}, {b}, (x, y) -> x = y), z -> z))"
+    return F.expr(f"if(size({a}) = 0 and size({b}) = 0, 1D, {same} / greatest(size({a}), size({b})))")
 
 
 def as_text(c: str):
@@ -102,7 +182,3 @@ def edited(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     n = f"length({text})"
     paired = body.join(heads.hint("merge"), key, "left")
     return paired.withColumn("edited", F.expr(f"concat(left({text}, {n} - {n} div 2), left(coalesce(head, ''), {n} div 2))")).select(key, text, "next", "edited")
-
-
-def fingerprint(df: DataFrame, text: str = "text", out: str = "fingerprint", size: int = SHINGLE) -> DataFrame:
-    return sign(df, text, out, size)

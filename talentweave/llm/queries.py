@@ -102,9 +102,11 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = fingerprints.edited(table(spark, sf_dir, "documents"))
-    signed = fingerprints.fingerprint(fingerprints.fingerprint(pairs, "text", "a"), "edited", "b")
-    own = cut(signed.select("doc_id", "next", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "a", "b"))
-    after = own.groupBy(F.col("doc_id").alias("next")).agg(F.first("a").alias("c"))
+    sized = pairs.withColumns({"n_chars": F.length("text").cast("long"), "edited_sha256": F.sha2("edited", 256)})
+    signed = fingerprints.fingerprint(fingerprints.fingerprint(sized, "text", "a", drop=("text",)), "edited", "b", drop=("edited",))
+    own = cut(signed)
+    # Of rows that share an id the least signature counts.
+    after = own.groupBy(F.col("doc_id").alias("next")).agg(F.min("a").alias("c"))
     return own.join(after, "next", "left").select(
         "doc_id",
         "n_chars",

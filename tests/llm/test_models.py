@@ -146,9 +146,14 @@ def signed(spark):
         a = rng.choices(WORDS, k=300)
         b = a[: rng.randint(0, 300)] + rng.choices(WORDS, k=rng.randint(0, 100)) + rng.choices([a[:40], []], k=1)[0]
         texts.append((" ".join(a), " ".join(b)))
+    shared = " ".join(f"s{i}" for i in range(204))
+    hot = " ".join(["u v w x y"] * 1000)
+    texts += [(f"{shared} {hot}", f"{shared} u v w x y"), (f"{hot} {shared}", f"{hot} {' '.join(f'q{i}' for i in range(204))}")]  # weights of 1000 against 1 and against 1000
+    texts += [(" ".join(rng.choices("abcdefgh", k=n)), " ".join(rng.choices("abcdefgh", k=n))) for n in range(1, 12)]  # short ones
+    texts += [("a b c d e f g", "a b c d e f z"), ("a b c d e", "a b c d e f")]
     texts += [(None, ""), ("one two", "one  Two"), ("x y z " * 4000, "x y z " * 4000), ("a b c d e f", "")]
-    df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(texts)], "doc_id long, a string, b string")
-    both = fingerprints.fingerprint(fingerprints.fingerprint(df, "a", "x"), "b", "y")
+    df = spark.createDataFrame([(i, a, b, 7) for i, (a, b) in enumerate(texts)], "doc_id long, a string, b string, x int")
+    both = fingerprints.fingerprint(fingerprints.fingerprint(df, "a", "x", slots=256), "b", "y", slots=256)
     return texts, {r.doc_id: r for r in both.withColumn("near", fingerprints.likeness("x", "y")).collect()}
 
 
@@ -165,19 +170,29 @@ def generalised_jaccard(a, b):
 
 def test_likeness_estimates_generalised_jaccard(signed):
     texts, got = signed
-    miss = [got[i].near - generalised_jaccard(a, b) for i, (a, b) in enumerate(texts)]
-    assert abs(np.mean(miss)) < 0.03 and np.abs(miss).max() < 0.25
+    truth = np.array([generalised_jaccard(a, b) for a, b in texts])
+    miss = np.array([got[i].near for i in range(len(texts))]) - truth
+    # Five standard errors of 256 slots.
+    assert (np.abs(miss) <= 5 * np.sqrt(truth * (1 - truth) / 256) + 1e-9).all() and abs(miss.mean()) < 0.01
     assert [got[len(texts) - k].near for k in (4, 3, 2, 1)] == [1.0, 1.0, 1.0, 0.0]
 
 
-def test_weights_count_in_proportion(spark):
-    """Of two terms with weights 1 and w, the second is sampled with a probability of w / (1 + w)."""
-    n = 4000
-    for weight in (1, 3):
-        row = f"transform(sequence(1, {n}), i -> struct({fingerprints._sample('xxhash64(i, 77)', 'ln(1D)')} as p, {fingerprints._sample('xxhash64(i, 78)', f'ln({weight}D)')} as q))"
-        mask = (1 << 58) - 1
-        share = spark.sql(f"select avg(if((s.q & {mask}L) < (s.p & {mask}L), 1D, 0D)) as share from (select explode({row}) as s)").first().share
-        assert abs(share - weight / (1 + weight)) < 0.04
+@pytest.mark.parametrize("weight", [1, 2, 3, 40])
+def test_weights_count_in_proportion(weight):
+    """Of two terms with weights 1 and w, the second is sampled with a probability of w / (1 + w); a weight that grows
+    keeps the sample or moves it to the grown term."""
+    draws, n = fingerprints.Draws.make(), 8000
+    terms = np.array([12345, 987654321], np.uint64)
+    grown = draws.signature(terms, np.array([1, weight]), n)
+    seeds_share = (grown == draws.signature(terms[:1], np.array([1]), n)).mean()
+    assert abs(seeds_share - 1 / (1 + weight)) < 0.02
+    alike = (grown == draws.signature(terms, np.array([1, 1]), n)).mean()
+    assert abs(alike - 2 / (1 + weight)) < 0.02
+
+
+def test_gamma_quantiles():
+    x = fingerprints.gamma_quantiles(np.array([0.001, 0.3, 0.5, 0.999]))
+    assert np.allclose(1 - (1 + x) * np.exp(-x), [0.001, 0.3, 0.5, 0.999])
 
 
 def test_edited_texts_and_successors(spark):

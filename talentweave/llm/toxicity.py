@@ -40,10 +40,10 @@ BLOCK = 64
 SHARE, LEAST = 30, 15
 BEGIN = 4
 #: A term that more than this share of the examples have is summed by blocks, others by their postings.
-COMMON = 1 / 8
+COMMON = 1 / 16
 _WORD = re.compile(r"[^\W_]+")
-#: The same words in SQL.
-_WORD_SQL = r"[\\p{L}\\p{N}]+"
+#: The same words, and the beginnings of longer ones, in SQL.
+_WORD_SQL, _BEGIN_SQL = r"[\\p{L}\\p{N}]+", rf"(?<![\\p{{L}}\\p{{N}}])[\\p{{L}}\\p{{N}}]{{{BEGIN}}}(?=[\\p{{L}}\\p{{N}}])"
 #: Remembered texts in a worker; beyond it the memory starts anew.
 REMEMBER = 50_000
 #: Texts that are searched together.
@@ -86,19 +86,21 @@ class Examples:
     bare: float = 0.0  # score of a text without terms
 
     def vector(self, words: list[str]) -> Vector:
-        """The examples' terms that the words have, ascending, and their TF-IDF weights, of unit length."""
+        """The examples' terms that the words have and their TF-IDF weights, of unit length."""
         counts = Counter(words)
-        n = np.fromiter(counts.values(), float, len(counts))
-        long = [(w[:BEGIN], c) for w, c in counts.items() if len(w) > BEGIN]
         whole = np.fromiter(map(self.whole.get, counts, repeat(-1)), np.int64, len(counts))
-        begin = np.fromiter((self.begin.get(w, -1) for w, _ in long), np.int64, len(long))
-        term, n = np.concatenate([whole, begin]), np.concatenate([n, np.fromiter((c for _, c in long), float, len(long))])
-        term, n = term[term >= 0], n[term >= 0]
+        n = np.fromiter(counts.values(), float, len(counts))
+        long = [w for w in counts if len(w) > BEGIN]
+        begin = np.fromiter(map(self.begin.get, [w[:BEGIN] for w in long], repeat(-1)), np.int64, len(long))
+        m = np.fromiter(map(counts.__getitem__, long), float, len(long))
+        begin, m = begin[begin >= 0], m[begin >= 0]
+        order = np.argsort(begin, kind="stable")
+        first = np.flatnonzero(np.append(True, np.diff(begin[order]) > 0)) if len(begin) else order
+        # No two words are one term; beginnings are.
+        term = np.concatenate([whole[whole >= 0], begin[order[first]]])
+        n = np.concatenate([n[whole >= 0], np.add.reduceat(m[order], first) if len(first) else m])
         if not len(term):
             return term, n
-        order = np.argsort(term, kind="stable")
-        first = np.flatnonzero(np.append(True, np.diff(term[order]) > 0))
-        term, n = term[order[first]], np.add.reduceat(n[order], first)
         w = (1 + np.log(n)) * self.idf[term]
         return term, w / np.sqrt((w * w).sum())
 
@@ -167,11 +169,14 @@ class Examples:
 def document_frequencies(docs: DataFrame, terms: list[str], text: str = "text") -> tuple[np.ndarray, int]:
     """In how many documents each term is, and how many documents there are, counted over all of them."""
     spark = docs.sparkSession
-    wanted = spark.createDataFrame(pa.table({"term": pa.array(terms, pa.string()), "number": pa.array(range(len(terms)), pa.int64())}))
     small = sum(map(len, terms)) * 4 <= MOST_BYTES
-    words = docs.select(F.expr(f"array_distinct(regexp_extract_all(lower({text}), '{_WORD_SQL}', 0))").alias("w"))
-    own = words.select(F.explode(F.expr(f"concat(w, array_distinct(transform(filter(w, x -> length(x) > {BEGIN}), x -> concat(left(x, {BEGIN}), '*'))))")).alias("term"))
-    found = own.join(F.broadcast(wanted) if small else wanted, "term").groupBy("number").agg(F.count(F.lit(1)).alias("n")).toArrow()
+    found = []
+    for pattern, mark in ((_WORD_SQL, ""), (_BEGIN_SQL, "*")):
+        own = [(i, t.removesuffix("*")) for i, t in enumerate(terms) if t.endswith("*") == bool(mark)]
+        wanted = spark.createDataFrame(pa.table({"term": pa.array([t for _, t in own], pa.string()), "number": pa.array([i for i, _ in own], pa.int64())}))
+        in_text = docs.select(F.explode(F.expr(f"array_distinct(regexp_extract_all(lower({text}), '{pattern}', 0))")).alias("term"))
+        found.append(in_text.join(F.broadcast(wanted) if small else wanted, "term").groupBy("number").agg(F.count(F.lit(1)).alias("n")))
+    found = found[0].union(found[1]).toArrow()
     out = np.zeros(len(terms), np.int64)
     out[found["number"].to_numpy()] = found["n"].to_numpy()
     return out, docs.count()

@@ -9,6 +9,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
@@ -121,3 +122,24 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int,
     picked = docs.select(F.col(key), text_or_empty(text).alias("own")).join(F.broadcast(chosen[0].union(chosen[1])), key)
     rows = picked.groupBy(F.xxhash64(F.col(key)).alias("h"), key, "y").agg(F.min("own").alias("own")).collect()
     return [(r[1], r[2], r[3]) for r in sorted(rows)]
+
+
+#: Odd numbers of a multiplicative hash.
+_M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """Well-spread 64 bits of each 64-bit number; no two numbers give the same."""
+    x = x * _M1
+    x ^= x >> np.uint64(32)
+    x *= _M2
+    x ^= x >> np.uint64(29)
+    return x
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """The name, with as many underscores behind it as make it none of df's columns."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

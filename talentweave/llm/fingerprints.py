@@ -26,26 +26,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from talentweave.llm.common import add_columns, cut
+from talentweave.llm.common import add_columns, cut, mixed
 
 SHINGLE, SLOTS = 5, 64
 #: Terms that all slots look at in one step.
 CHUNK = 512
 #: Remembered word hashes in a worker; beyond it the memory starts anew.
 REMEMBER = 200_000
-#: Odd numbers of a multiplicative hash.
-_M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _LOW = np.uint64(0xFFFF)
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = x * _M1
-    x ^= x >> np.uint64(32)
-    x *= _M2
-    x ^= x >> np.uint64(29)
-    return x
-
-
 def gamma_quantiles(p: np.ndarray) -> np.ndarray:
     """The inverse of Gamma(2, 1)'s distribution function 1 - (1 + x) exp(-x), by bisection."""
     low, high = np.zeros(len(p)), np.full(len(p), 60.0)
@@ -74,7 +64,7 @@ class Draws:
 
     def values(self, terms: np.ndarray, log_weight: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """ln a and t of each slot (row) and term."""
-        x = _mixed(terms[None, :] ^ seeds[:, None])
+        x = mixed(terms[None, :] ^ seeds[:, None])
         b = (x & _LOW).astype(float)
         b += 0.5
         b /= 1 << 16
@@ -90,7 +80,7 @@ class Draws:
 
     def signature(self, terms: np.ndarray, weights: np.ndarray, slots: int = SLOTS) -> np.ndarray:
         """For each slot 32 bits of the sampled (term, t). Terms are distinct."""
-        seeds = _mixed(np.arange(1, slots + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        seeds = mixed(np.arange(1, slots + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         least, term, level = np.full(slots, np.inf), np.zeros(slots, np.uint64), np.zeros(slots)
         rows = np.arange(slots)
         # Terms of weight 1 first: they need no t.
@@ -104,7 +94,7 @@ class Draws:
             won = found < least
             least[won], term[won] = found[won], terms[i:j][best[won]]
             level[won] = np.broadcast_to(t, a.shape)[rows, best][won]
-        return (_mixed(term ^ _mixed(level.astype(np.int64).view(np.uint64) + np.uint64(1))) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+        return (mixed(term ^ mixed(level.astype(np.int64).view(np.uint64) + np.uint64(1))) >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
 def terms_of(text: str | None, size: int, known: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
@@ -119,7 +109,7 @@ def terms_of(text: str | None, size: int, known: dict[str, int]) -> tuple[np.nda
     out = np.zeros(len(words) - n + 1 if n else 0, np.uint64)
     for j in range(n):
         out = out * np.uint64(0x9E3779B97F4A7C15) + own[j : j + len(out)]
-    return np.unique(_mixed(out), return_counts=True)
+    return np.unique(mixed(out), return_counts=True)
 
 
 def fingerprint(df: DataFrame, text: str = "text", out: str = "fingerprint", size: int = SHINGLE, slots: int = SLOTS, drop: tuple[str, ...] = ()) -> DataFrame:

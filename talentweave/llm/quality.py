@@ -13,7 +13,8 @@ Training takes at most `bound` labelled documents of each class, those whose has
 whole texts. Labels, language, source and id are no features.
 
 A null or empty text is one empty line and gets a score like any other. Texts of one very long line or of very many
-lines are scored in full. Repeated label rows count once, with the largest value; null labels do not count. Without
+lines are scored in full: lines are turned into shapes in chunks, and a text of more than LONG lines goes through the
+recursions by itself, so that a line takes some 100 bytes. In training a line takes about 0.5 kB. Repeated label rows count once, with the largest value; null labels do not count. Without
 labels of both classes every score is 0.5. Equal texts have equal scores; extra columns pass through.
 """
 
@@ -33,7 +34,8 @@ from talentweave.llm.common import add_columns, labelled_sample
 BOUND = 1500
 N_SHAPES = 16
 N_FEATURES = 3 * N_SHAPES + 3
-EDGES = np.array([0, 1, 8, 24, 64, 160, 400])
+#: Lines whose shapes are in memory at a time when scoring, and lines of a text that goes through the recursions alone.
+LINES, LONG = 8192, 2000
 
 
 def _byte_classes() -> np.ndarray:
@@ -92,24 +94,30 @@ def line_shapes(lines: list[bytes]) -> np.ndarray:
     return out
 
 
-def features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Node features of all lines, the lines' weights (length, 1 at least) and where each text's lines begin."""
+def lines_of(texts: list[str | None]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The lines of all texts, their weights (length, 1 at least) and where each text's lines begin."""
     lines: list[bytes] = []
     first = [0]
     for t in texts:
         lines += (t or "").encode("utf-8", "surrogatepass").split(b"\n")
         first.append(len(lines))
-    at = np.array(first)
-    own = line_shapes(lines)
-    before, after = np.zeros_like(own), np.zeros_like(own)
-    before[1:], after[:-1] = own[:-1], own[1:]
-    heads, tails = at[:-1], at[1:] - 1
-    before[heads], after[tails] = 0, 0
-    edge = np.zeros((len(lines), 3))
+    return lines, np.fromiter((len(x) or 1 for x in lines), np.int64, len(lines)), np.array(first)
+
+
+def features(lines: list[bytes], at: np.ndarray, start: int = 0, stop: int | None = None) -> np.ndarray:
+    """Node features of the lines from start to stop: their shapes, those of the lines before and after in their text,
+    a constant and whether they are a text's first or last."""
+    stop = len(lines) if stop is None else stop
+    low, high = max(0, start - 1), min(len(lines), stop + 1)
+    shapes = line_shapes(lines[low:high])
+    shapes = np.vstack([np.zeros((low - start + 1, N_SHAPES)), shapes, np.zeros((stop + 1 - high, N_SHAPES))])
+    own, before, after = shapes[1:-1], shapes[:-2].copy(), shapes[2:].copy()
+    edge = np.zeros((stop - start, 3))
     edge[:, 0] = 1
-    edge[heads, 1] = 1
-    edge[tails, 2] = 1
-    return np.hstack([own, before, after, edge]), np.maximum(1, np.array([len(x) for x in lines])), at
+    heads, tails = at[:-1] - start, at[1:] - 1 - start
+    heads, tails = heads[(heads >= 0) & (heads < stop - start)], tails[(tails >= 0) & (tails < stop - start)]
+    before[heads], after[tails], edge[heads, 1], edge[tails, 2] = 0, 0, 1, 1
+    return np.hstack([own, before, after, edge])
 
 
 @dataclass
@@ -133,7 +141,7 @@ def _padded(values: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def _forward_backward(score: np.ndarray, mask: np.ndarray, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """P(good) of each place, and each text's expected counts of neighbouring labels, summed."""
+    """P(good) of each place, and each text's expected counts of neighbouring labels."""
     n, m = score.shape
     weight = np.exp(pair - pair.max())
     emit = np.stack([1 / (1 + np.exp(np.clip(score, -30, 30))), 1 / (1 + np.exp(-np.clip(score, -30, 30)))], axis=2)
@@ -149,13 +157,37 @@ def _forward_backward(score: np.ndarray, mask: np.ndarray, pair: np.ndarray) ->
     good = both[:, :, 1] / both.sum(2)
     joint = forward[:, :-1, :, None] * weight * (emit[:, 1:] * backward[:, 1:])[:, :, None, :]
     joint /= np.maximum(joint.sum((2, 3), keepdims=True), 1e-300)
-    return good, (joint * mask[:, 1:, None, None]).sum((0, 1))
-
-
-def _alike(at: np.ndarray):
-    """Texts of like length together: their line numbers, one after the other, and where each one's begin."""
+    return good, (joint * mask[:, 1:, None, None]).sum(1)
+
+
+def _one_chain(score: np.ndarray, pair: np.ndarray) -> np.ndarray:
+    """P(good) of each line of one text: forward-backward with a number for each line, the odds of good."""
+    (w00, w01), (w10, w11) = np.exp(pair - pair.max()).tolist()
+    odds = np.exp(np.clip(score, -30, 30))
+    forward = np.empty(len(odds))
+    f = 0.0
+    for i in range(0, len(odds), LINES):
+        out = []
+        for j, e in enumerate(odds[i : i + LINES].tolist(), i):
+            f = e * (w01 + w11 * f) / (w00 + w10 * f) if j else e
+            out.append(f)
+        forward[i : i + LINES] = out
+    b = 1.0
+    for i in range((len(odds) - 1) // LINES * LINES, -1, -LINES):
+        out = []
+        for e in reversed(odds[i : i + LINES].tolist()):
+            out.append(b)
+            b = (w10 + w11 * e * b) / (w00 + w01 * e * b)
+        forward[i : i + LINES] *= out[::-1]
+    return forward / (1 + forward)
+
+
+def _alike(at: np.ndarray, wanted: np.ndarray | None = None):
+    """Wanted texts (all, if not said) of like length together: their line numbers, one after the other, and where each
+    one's begin."""
     n = np.diff(at)
     order = np.argsort(n, kind="stable")
+    order = order if wanted is None else order[wanted[order]]
     start = 0
     while start < len(order):
         stop = start + 1
@@ -166,44 +198,46 @@ def _alike(at: np.ndarray):
         start = stop
 
 
-def marginals(field: Field, x: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """P(good) of each line. Texts of like length go through the recursions together."""
-    score = x @ field.node
-    out = np.empty(len(x))
-    for lines, own in _alike(at):
+def marginals(field: Field, score: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """P(good) of each line, from the node scores. Texts of like length go through the recursions together."""
+    out = np.empty(len(score))
+    n = np.diff(at)
+    for i in np.flatnonzero(n > LONG):
+        out[at[i] : at[i + 1]] = _one_chain(score[at[i] : at[i + 1]], field.pair)
+    for lines, own in _alike(at, n <= LONG):
         grid, mask = _padded(score[lines], own)
         out[lines] = _forward_backward(grid, mask, field.pair)[0][mask]
     return out
 
 
-def evidence(field: Field, x: np.ndarray, weight: np.ndarray, at: np.ndarray) -> np.ndarray:
+def evidence(good: np.ndarray, weight: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Each text's length-weighted mean of its lines' marginals."""
-    good = marginals(field, x, at)
     return np.add.reduceat(good * weight, at[:-1]) / np.add.reduceat(weight, at[:-1])
 
 
-def _climb(x: np.ndarray, at: np.ndarray, y: np.ndarray, field: Field, steps: int) -> None:
-    """Gradient ascent (Adam) on the field's conditional likelihood with a small penalty."""
+def _climb(x: np.ndarray, at: np.ndarray, y: np.ndarray, share: np.ndarray, field: Field, steps: int) -> None:
+    """Gradient ascent (Adam) on the field's conditional likelihood of the texts' line labels y, each text weighing its
+    share, with a small penalty."""
     seen = np.zeros((2, 2))
     groups = []
+    number = np.repeat(np.arange(len(at) - 1), np.diff(at))
     for lines, own in _alike(at):
         truth, mask = _padded(y[lines], own)
         labels, both = truth.astype(int), mask[:, 1:]
+        weight = share[number[lines[own[:-1]]]]
         for a in (0, 1):
             for b in (0, 1):
-                seen[a, b] += ((labels[:, :-1] == a) & (labels[:, 1:] == b) & both).sum()
-        groups.append((lines, x[lines], own))
-    # Each class of lines weighs the same.
-    share = np.where(y == 1, 0.5 / max(y.mean(), 1e-9), 0.5 / max(1 - y.mean(), 1e-9))
+                seen[a, b] += weight @ ((labels[:, :-1] == a) & (labels[:, 1:] == b) & both).sum(1)
+        groups.append((lines, x[lines], own, weight))
     total = len(y)
     first, second = [np.zeros_like(field.node), np.zeros_like(field.pair)], [np.zeros_like(field.node), np.zeros_like(field.pair)]
     for step in range(1, steps + 1):
         ascent, expected = np.zeros_like(field.node), np.zeros((2, 2))
-        for lines, own_x, own in groups:
+        for lines, own_x, own, weight in groups:
             grid, mask = _padded(own_x @ field.node, own)
             good, pairs = _forward_backward(grid, mask, field.pair)
-            ascent += ((y[lines] - good[mask]) * share[lines]) @ own_x
-            expected += pairs
+            ascent += ((y[lines] - good[mask]) * share[number[lines]]) @ own_x
+            expected += np.tensordot(weight, pairs, 1)
         slopes = [ascent / total - 1e-4 * field.node, (seen - expected) / total - 1e-3 * field.pair]
         for k, (target, slope) in enumerate(zip((field.node, field.pair), slopes, strict=True)):
             first[k] = 0.9 * first[k] + 0.1 * slope
@@ -217,18 +251,21 @@ def fit(texts: list[str | None], labels: list[int], steps: int = 60) -> Field:
     y = np.array(labels, float)
     if not 0 < y.sum() < len(y):
         return field
-    x, weight, at = features(texts)
+    own, weight, at = lines_of(texts)
+    x = features(own, at)
     lines = np.repeat(y, np.diff(at))
-    _climb(x, at, lines, field, steps)
-    sure = marginals(field, x, at)
+    # The lines of either class of documents weigh the same together.
+    share = np.where(y == 1, 0.5 / lines.mean(), 0.5 / (1 - lines.mean()))
+    _climb(x, at, lines, share, field, steps)
+    sure = marginals(field, x @ field.node, at)
     lines = np.where((lines == 0) & (sure > 0.9), 1.0, lines)
     for text in np.flatnonzero(y == 0):  # a bad document keeps a bad line
         own = slice(at[text], at[text + 1])
         if lines[own].all():
             lines[own] = 0.0
-    _climb(x, at, lines, field, steps)
+    _climb(x, at, lines, share, field, steps)
     # The curve from evidence to score, by Newton's steps, each class weighing the same.
-    e = evidence(field, x, weight, at)
+    e = evidence(marginals(field, x @ field.node, at), weight, at)
     design = np.stack([e, np.ones(len(e))], axis=1)
     share = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
     w = np.zeros(2)
@@ -242,8 +279,9 @@ def fit(texts: list[str | None], labels: list[int], steps: int = 60) -> Field:
 
 
 def score_of(field: Field, texts: list[str | None]) -> np.ndarray:
-    x, weight, at = features(texts)
-    z = field.slope * evidence(field, x, weight, at) + field.offset
+    lines, weight, at = lines_of(texts)
+    node = np.concatenate([features(lines, at, i, min(i + LINES, len(lines))) @ field.node for i in range(0, len(lines), LINES)])
+    z = field.slope * evidence(marginals(field, node, at), weight, at) + field.offset
     return np.round(1 / (1 + np.exp(-z)), 9)
 
 

@@ -6,12 +6,14 @@ is an occurrence. Runs of words that cannot hold one (a word pair of theirs is i
 
 Words: `[0-9a-z]` and non-ASCII characters, A-Z lower-cased. A window is `window` consecutive words of an item; an item
 of fewer words is one window; items without words never occur. Null or empty texts have no words and no hits. Items
-whose id is null count as hits but are not listed. Repeated items and rows are allowed; extra columns pass through.
+whose id is null count as hits but are not listed. Repeated items and rows are allowed; texts of any
+length are read whole; extra columns pass through, and those named like the new ones are replaced.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,11 +21,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from talentweave.llm.common import add_columns
+from talentweave.llm.common import add_columns, unused
 
 WINDOW = 13
-#: Benchmark text that goes into one automaton; more of it makes several, applied one after another.
-BLOCK_BYTES = 32_000_000
+#: Benchmark text that goes into one automaton (some 200 MB in a worker); more of it makes several, one after another.
+BLOCK_BYTES = 1_000_000
 _FOLD = bytes(b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
@@ -154,12 +156,13 @@ def _spans(found: list[tuple[int, int]]) -> list[tuple[int, int]]:
 _SPAN = T.ArrayType(T.StructType().add("start", T.IntegerType()).add("end", T.IntegerType()))
 
 
-def _blocks(benchmark: DataFrame, item: str, text: str) -> list[list[tuple[object, str]]]:
-    """The items, in lists of about BLOCK_BYTES of text; each list is collected by itself."""
+def _blocks(benchmark: DataFrame, item: str, text: str) -> Iterator[list[tuple[object, str]]]:
+    """The items, in lists of about BLOCK_BYTES of text, one after another; a longer item makes a list of its own size."""
     size = benchmark.agg(F.sum(F.octet_length(text))).first()[0] or 0
     n = max(1, -(-size * 2 // BLOCK_BYTES)) if size > BLOCK_BYTES else 1
     block = F.pmod(F.xxhash64(F.col(item), F.col(text)), F.lit(n))
-    return [[(r[0], r[1]) for r in benchmark.where(block == i).select(item, text).collect()] for i in range(n)]
+    for i in range(n):
+        yield [(r[0], r[1]) for r in benchmark.where(block == i).select(item, text).collect()]
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -213,7 +216,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text: str
             to_arrow = to_arrow_type(kind)
             return of
 
-        names.append((f"_words_{i}", f"_chars_{i}", f"_items_{i}"))
+        names.append(tuple(unused(docs, f"_{x}_{i}") for x in ("words", "chars", "items")))
         new = T.StructType().add("n_words", T.LongType()).add(names[-1][0], _SPAN).add(names[-1][1], _SPAN).add(names[-1][2], kind)
         out = add_columns(out, text, new, work)
     if len(names) == 1:

@@ -1,12 +1,14 @@
 """Shards of near equal bytes by histogram sort.
 
-Rows are ordered by (CRC-32 of the text, key), which brings equal texts together and spreads all else evenly. Rounds
+Rows are ordered by (CRC-32 of the text, hash of the key, hash of the row's place), which brings equal texts together,
+spreads all else evenly and lets even equal rows be cut apart. Keys may be of any type. Rounds
 count the exact bytes and rows below candidate boundaries, in every partition and added up, and narrow each splitter's
 interval until its bytes meet the tolerance; one exchange then deals the rows out. A group of equal texts is only cut
 where it is larger than the tolerance, and then by key.
 
-Null texts count as empty. Null keys come first in their group. Rows equal in both cannot be told apart and stay
-together. An empty table gives an empty result.
+Null texts count as empty. Null and repeated keys are keys like any other; equal rows differ in their slots only, or in
+their shards where their group is cut. An empty table gives an empty result. Extra columns are dropped, whatever their
+names.
 """
 
 from __future__ import annotations
@@ -117,7 +119,10 @@ def shard(df: DataFrame, shards: int = SHARDS, key: str = "doc_id", text: str =
     """(key, size, text_crc32, shard, slot) of every row. size: UTF-8 bytes of the text plus 8. slot: place in the
     shard, gapless from 0."""
     body = F.coalesce(F.col(text), F.lit(""))
-    keys = cut(df.select(F.col(key), F.coalesce(F.col(key).cast("long"), F.lit(LOWEST)).alias("key"), (F.octet_length(body) + 8).cast("long").alias("size"), F.crc32(body).alias("crc")))
+    # The high half from the key, the low half from the row; written once, so that every round sees the same.
+    place_bits = F.xxhash64(F.monotonically_increasing_id()).bitwiseAND(F.lit(0xFFFFFFFF))
+    order = F.xxhash64(F.col(key)).bitwiseAND(F.lit(~0xFFFFFFFF)).bitwiseOR(place_bits)
+    keys = cut(df.select(F.col(key).alias("id"), order.alias("key"), (F.octet_length(body) + 8).cast("long").alias("size"), F.crc32(body).alias("crc")))
     total, rows = keys.agg(F.sum("size"), F.count(F.lit(1))).first()
     parts = max(4, -(-rows // (shards * ROWS_A_TASK)))
     cuts = splitters(keys, shards * parts, tolerance * (total or 0) / shards)
@@ -135,4 +140,4 @@ def shard(df: DataFrame, shards: int = SHARDS, key: str = "doc_id", text: str =
     placed = keys.mapInArrow(run, T.StructType([*keys.schema, T.StructField("part", T.IntegerType())]))
     order = Window.partitionBy("part").orderBy("crc", "key")
     numbered = placed.withColumn("row", F.row_number().over(order))
-    return numbered.join(F.broadcast(offsets), "part").select(key, "size", F.col("crc").alias("text_crc32"), "shard", (F.col("offset") + F.col("row") - 1).alias("slot"))
+    return numbered.join(F.broadcast(offsets), "part").select(F.col("id").alias(key), "size", F.col("crc").alias("text_crc32"), "shard", (F.col("offset") + F.col("row") - 1).alias("slot"))

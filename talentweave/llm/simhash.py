@@ -107,12 +107,15 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")) if roots is None else roots
 
 
-def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS, size: int = SHINGLE) -> DataFrame:
-    """(key, fingerprint, component_id) of every row: the smallest key reachable over links, itself included."""
-    own = cut(fingerprint(df.select(F.col(key), F.col(text)), text, "fp", size, drop=(text,)))
-    groups = cut(own.groupBy("fp").agg(F.min(key).alias("least")))
+def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS, size: int = SHINGLE, also: tuple[str, ...] = ()) -> DataFrame:
+    """(key, fingerprint, component_id, root) of every row, and its columns `also`. component_id: the smallest key
+    reachable over links, itself included; root: the component's smallest fingerprint, which tells components apart
+    where keys are null or repeat."""
+    fp = next(n for n in ("fp", "fp_", "fp__") if n not in (key, *also))
+    own = cut(fingerprint(df.select(F.col(key), F.col(text), *also), text, fp, size, drop=(text,)))
+    groups = cut(own.groupBy(F.col(fp).alias("fp")).agg(F.min(key).alias("least")))
     roots = components(links(groups.select("fp"), radius))
     rooted = groups.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = cut(rooted.join(named, "root").select("fp", "component_id"))
-    return own.join(named, "fp").select(key, F.col("fp").alias("fingerprint"), "component_id")
+    named = cut(rooted.join(named, "root").select(F.col("fp").alias(fp), "component_id", "root"))
+    return own.join(named, fp).select(key, F.col(fp).alias("fingerprint"), "component_id", "root", *also)

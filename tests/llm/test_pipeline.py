@@ -53,6 +53,23 @@ def test_stages_do_what_their_operators_decide(spark, folder):
     assert {k for k, r in hidden.items() if r.text != before[k]} == {183}
 
 
+def test_rows_that_share_an_id_stay_unless_they_are_alike(spark):
+    one, other = "first of two texts that share an id but hardly any word at all", "quite another thing stands here and nobody would take it for a copy"
+    rows = [(7, one, "b", 1.0), (7, one, "a", 2.0), (7, other, "c", 3.0), (3, other + " ", "d", 4.0), (None, one, "e", 5.0), (9, None, "f", 6.0), (8, "", "g", 7.0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, text_hash string, n_words double")
+    got = dict(P.STAGES)["near-duplicates"](spark, docs, "")
+    assert got.columns == docs.columns and sorted((r.doc_id, r.text_hash) for r in got.collect()) == [(3, "d"), (7, "a"), (8, "g")]
+
+
+def test_columns_named_like_the_stages_own_stay(spark, folder):
+    names = ["score", "spans", "decoded", "n_words", "n_hit", "hit_items", "hit_spans", "fp", "row", "text_hash"]
+    docs = spark.read.parquet(f"{folder}/documents.parquet").where("doc_id in (4, 183)").selectExpr("*", *(f"'{n}' as {n}" for n in names))
+    for name, stage in P.STAGES:
+        got = stage(spark, docs, folder)
+        assert got.columns[: len(docs.columns)] == docs.columns and len(rows := got.collect()) == 2, name
+        assert all(r[n] == n for r in rows for n in names)
+
+
 def test_run_gives_tokens_of_what_is_left(spark, folder):
     from tokenizers import Tokenizer
 

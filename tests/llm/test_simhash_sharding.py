@@ -114,3 +114,12 @@ def test_tables_between_rounds_can_be_dropped(spark):
     assert df.count() == 5 and os.listdir(place)
     common.drop_tables(spark)
     assert not os.path.exists(place)
+
+
+def test_keys_of_any_type_and_equal_rows(spark):
+    rows = [("a", "t" * 50)] * 3000 + [(None, "t" * 50)] * 3000 + [(f"k{i}", f"text {i}") for i in range(500)]
+    got = sharding.shard(spark.createDataFrame(rows, "size string, text string"), shards=6, key="size").toPandas()
+    got.columns = ["id", *got.columns[1:]]
+    sizes = got.groupby("shard")["size"].sum()
+    assert len(got) == 6500 and len(sizes) == 6 and sizes.max() - sizes.min() < 0.01 * sizes.mean() + 120
+    assert all(sorted(own) == list(range(len(own))) for _, own in got.groupby("shard")["slot"])

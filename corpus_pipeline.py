@@ -11,52 +11,64 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talentweave.llm import bpe, decontaminate, pii, quality, simhash
-from talentweave.llm.common import cut, table
+from talentweave.llm.common import cut, table, unused
 from talentweave.llm.queries import tokenizer_path
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality field scores 0.5 or more; it learns from the labels outside of the held-out third."""
+    """Documents that the quality field scores 0.5 or more; it learns from the labels outside of the held-out third.
+    Null and empty texts are scored like others, very long ones in full."""
     labels = table(spark, sf_dir, "labels").where(F.crc32(F.col("doc_id").cast("string")) % 3 != 1)
     field = quality.train(table(spark, sf_dir, "documents"), labels)
-    return quality.score(docs, field, out="_score").where("_score >= 0.5").select(docs.columns)
+    out = unused(docs, "score")
+    return quality.score(docs, field, out=out).where(F.col(out) >= 0.5).select(docs.columns)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id; of rows that repeat an id, one. Rows without
-    an id stay where their group has no id at all, one for each fingerprint."""
-    found = simhash.near_duplicates(docs.select("doc_id", "text"))
-    kept = found.where("doc_id = component_id").select("doc_id").distinct()
-    # One exchange by id serves the join and the choice among repeated rows.
-    named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    alone = found.where("component_id is null").select(F.col("fingerprint").alias("_fp")).distinct()
-    nameless = simhash.fingerprint(docs.where("doc_id is null"), out="_fp").join(alone, "_fp", "left_semi").dropDuplicates(["_fp"])
-    return named.select(docs.columns).unionByName(nameless.select(docs.columns))
+    """Of each group of near duplicates one row: that with the smallest id (a null id comes last), then the smallest hash
+    of its text; of rows equal in both the smallest in its columns' order. Rows that share an id without being near
+    duplicates all stay. Texts of any length count in full; those without words are one group."""
+    text_hash = unused(docs, "text_hash")
+    hashed = docs.withColumn(text_hash, F.xxhash64("text"))
+    found = simhash.near_duplicates(hashed.select("doc_id", "text", text_hash), also=(text_hash,))
+    first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", text_hash)).alias("first"))
+    kept = first.select(F.col("first.doc_id").alias("_id"), F.col(f"first.{text_hash}").alias("_hash"))
+    # One exchange by id and text serves the join and the choice among repeated rows.
+    of_group = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col(text_hash) == F.col("_hash"))
+    rows = hashed.join(kept, of_group, "left_semi")
+    return rows.groupBy("doc_id", text_hash).agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of whose words at least a twentieth lie in benchmark passages go; all others stay as they are."""
-    found = decontaminate.scan(docs, table(spark, sf_dir, "benchmark"))
-    return found.where(~decontaminate.contaminated()).select(docs.columns)
+    """Documents of whose words at least a twentieth lie in benchmark passages go; all others stay as they are. Null and
+    empty texts have no words and stay; very long ones are read whole."""
+    boxed = docs.select(F.struct("*").alias("row"), "text")
+    found = decontaminate.scan(boxed, table(spark, sf_dir, "benchmark"))
+    return found.where(~decontaminate.contaminated()).select("row.*")
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, with the personal data in its text replaced by its kind; n_chars follows a changed text."""
-    found = pii.find(docs, pii.train(spark), out="_spans")
-    hidden = pii.redact(found, spans="_spans")
-    return hidden.withColumn("n_chars", F.expr("if(size(_spans) > 0, cast(length(text) as bigint), n_chars)")).select(docs.columns)
+    """Every document, with the personal data in its text replaced by its kind; n_chars follows a changed text. A null
+    text stays null; very long ones are read whole."""
+    spans = unused(docs, "spans")
+    found = pii.find(docs, pii.train(spark), out=spans)
+    hidden = pii.redact(found, spans=spans)
+    return hidden.withColumn("n_chars", F.expr(f"if(size({spans}) > 0, cast(length(text) as bigint), n_chars)")).select(docs.columns)
 
 
 def as_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document with its token ids, their number and digests of the ids and of what they decode to."""
-    coded = bpe.encode(docs, tokenizer_path(), decoded="_decoded")
+    """Every document with its token ids, their number and digests of the ids and of what they decode to. A null text is
+    coded as an empty one; very long ones are coded whole."""
+    decoded = unused(docs, "decoded")
+    coded = bpe.encode(docs, tokenizer_path(), decoded=decoded)
     ids = F.array_join(F.col("token_ids").cast("array<string>"), " ")
+    new = ("token_ids", "n_tokens", "ids_sha256", "decoded_sha256")
     return coded.select(
-        *docs.columns,
+        *(c for c in docs.columns if c.lower() not in new),
         "token_ids",
         F.size("token_ids").cast("long").alias("n_tokens"),
         F.sha2(ids, 256).alias("ids_sha256"),
-        F.sha2("_decoded", 256).alias("decoded_sha256"),
+        F.sha2(decoded, 256).alias("decoded_sha256"),
     )
 
 

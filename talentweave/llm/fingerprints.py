@@ -100,8 +100,9 @@ class Draws:
 def terms_of(text: str | None, size: int, known: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
     """The hashes of a text's distinct shingles, ascending, and how often each occurs. known: remembered word hashes."""
     words = (text or "").lower().split()
-    for w in set(words) - known.keys():
-        known[w] = xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"))
+    for w in set(words):
+        if w not in known:
+            known[w] = xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"))
     own = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
     if len(known) > REMEMBER:
         known.clear()

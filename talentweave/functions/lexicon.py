@@ -37,13 +37,14 @@ KEEP_SCORE, KEEP_DISTANCE, SIMPLE_DISTANCE = 0.15, 0.95, 0.9
 MMR_LAMBDA, MMR_CAP = 0.65, 200
 NAME_CUTOFF, SKILL_CUTOFF, ROLE_CUTOFF, DEGREE_CUTOFF, TITLE_CUTOFF, HEADER_CUTOFF = 85, 87, 90, 92, 88, 80
 CHUNK, OVERLAP, LEAST_CHUNK = 900, 200, 60
+SEPARATORS = ("\n\n", "\n• ", "\n- ", "\n", " ", "")
 SECTION_WEIGHTS = {"experience": 0.5, "skills": 0.3, "education": 0.2, "other": 0.1}
 LEAST_CONFIDENCE = 0.45
 STOP_NAMES = ["the", "and", "for", "with", "who", "what", "are"]
 
 #: Words that start a role line, company words, degree and institute words, titles that wrap, and glyphs.
 ROLE_CUES = ["Senior", "Lead", "Staff", "Principal", "Associate", "Junior", "Software", "Data", "Machine", "AI", "ML", "NLP", "Computer", "Product", "Engineer", "Scientist", "Consultant", "Analyst", "Manager", "Decision Scientist", "R&D", "Research", "Architect"]
-COMPANY_CUES = ["Inc", "Ltd", "LLC", "GmbH", "Pvt", "Technologies", "Labs", "Analytics"]
+COMPANY_CUES = ["Inc", "Ltd", "LLC", "GmbH", "Pvt", "Technologies", "Labs", "Analytics", "Sigma", "Gupshup", "Fractal", "Mu Sigma"]
 DEGREE_START = r"(?i)^(?:B\.?\s?Tech\.?|B\.?\s?E\.?|B\.?\s?Sc\.?|M\.?\s?Tech\.?|M\.?\s?S\.?|M\.?\s?Sc\.?|Bachelor(?:'s|s)?|Master(?:'s|s)?)(?:\b|\s|$)"
 INSTITUTE = r"(?i)\b(?:University|College|Institute|Academy|School|IIT|NIT|SRM)\b"
 TITLE_START = r"(?i)^(?:Intern|Trainee|Associate|Senior|Junior|Lead|Staff|Principal)\b"

@@ -75,12 +75,27 @@ def query_entities(questions: DataFrame, question: str = "question", extra_skill
     return questions.withColumns({**named, "sections": hints, "min_years": years})
 
 
+def _fewer(word: str, most: int) -> Column:
+    """The word and what is left of it without up to `most` of its letters, each once."""
+    less = "filter(transform(sequence(1, greatest(length(v), 1)), i -> concat(left(v, i - 1), substring(v, i + 1))), x -> length(v) > 0)"
+    step = f"array({word})"
+    levels = [step]
+    for _ in range(most):
+        step = f"array_distinct(flatten(transform({step}, v -> {less})))"
+        levels.append(step)
+    return F.expr(f"array_distinct(concat({', '.join(levels)}))")
+
+
 def spell(words: DataFrame, dictionary: DataFrame, most: int = 2) -> DataFrame:
     """(word, correction): the dictionary term (term, freq) within `most` edits that is nearest, then most frequent, then
-    first by name; the word itself where none is. Adjacent transpositions count as two edits. The dictionary is
-    broadcast in blocks."""
-    w = words.select(F.col("word")).distinct()
-    near = in_blocks(dictionary, lambda part: w.join(part, F.abs(F.length("word") - F.length("term")).between(0, most)))
-    near = near.withColumn("d", F.levenshtein("word", "term", most)).withColumn("d", F.when(F.col("d") >= 0, F.col("d")))
-    best = near.where("d is not null").groupBy("word").agg(F.min_by("term", F.struct("d", -F.col("freq"), "term")).alias("correction"))
+    first by name; the word itself where none is. Adjacent transpositions count as two edits.
+
+    Two words within `most` edits have something in common once up to `most` letters are left out of each. So words and
+    terms meet by equality on what is left, pairs are made distinct and verified; neither side is broadcast.
+    """
+    w = words.select("word").where("word is not null").distinct()
+    left = w.select("word", F.explode(_fewer("word", most)).alias("_v"))
+    right = dictionary.groupBy("term").agg(F.max("freq").alias("freq")).select("term", "freq", F.explode(_fewer("term", most)).alias("_v"))
+    near = left.join(right, "_v").groupBy("word", "term").agg(F.first("freq").alias("freq")).withColumn("d", F.levenshtein("word", "term", most)).where("d >= 0")
+    best = near.groupBy("word").agg(F.min_by("term", F.struct("d", -F.col("freq"), "term")).alias("correction"))
     return w.join(best, "word", "left").select("word", F.coalesce("correction", "word").alias("correction"))

@@ -74,16 +74,16 @@ def knn(store: DataFrame, queries: DataFrame, k: int = L.PER_QUERY, id_col: str
     among a query's k nearest leave the batch. So a pass over the store sends k rows a query and batch, not a row for
     each pair. Ties at the k-th distance stay until ids decide.
     """
-    n = queries.count()
-    if n > MOST_QUERIES:  # a query's rows stay in one block
-        parts = -(-n // MOST_QUERIES)
-        block = F.pmod(F.xxhash64("qid"), F.lit(parts))
-        return reduce(DataFrame.unionByName, [_knn_block(store, queries.where(block == i), k, id_col, vector) for i in range(parts)])
-    return _knn_block(store, queries, k, id_col, vector)
+    asked = queries.select("qid", "weight", "embedding")
+    rows = asked.limit(MOST_QUERIES + 1).collect()
+    if len(rows) <= MOST_QUERIES:
+        return _knn_block(store, queries, rows, k, id_col, vector)
+    parts = -(-queries.count() // MOST_QUERIES)
+    block = F.pmod(F.xxhash64("qid"), F.lit(parts))  # a query's rows stay in one block
+    return reduce(DataFrame.unionByName, [_knn_block(store, queries, asked.where(block == i).collect(), k, id_col, vector) for i in range(parts)])
 
 
-def _knn_block(store: DataFrame, queries: DataFrame, k: int, id_col: str, vector: str) -> DataFrame:
-    rows = queries.select("qid", "weight", "embedding").collect()
+def _knn_block(store: DataFrame, queries: DataFrame, rows: list, k: int, id_col: str, vector: str) -> DataFrame:
     width = max([1, *(len(r.embedding or ()) for r in rows)])
     asked = np.zeros((len(rows), width))
     for i, r in enumerate(rows):
@@ -120,9 +120,11 @@ def fuse(hits: DataFrame, k: int = L.RRF_K, pool: int | None = L.POOL, weighted:
     return fused.orderBy(F.desc("score"), "first_rank", "id").limit(pool) if pool else fused
 
 
-def rerank(pool: DataFrame, store: DataFrame, query: DataFrame, id_col: str = "id", vector: str = "embedding") -> DataFrame:
-    """The pool with the cosine to one query vector as score, best first. The pool is bounded by its limit."""
-    joined = store.select(F.col(id_col).alias("id"), F.col(vector).alias("_s")).join(F.broadcast(pool.drop("score")), "id")
+def rerank(pool: DataFrame, store: DataFrame, query: DataFrame, id_col: str = "id", vector: str = "embedding", bounded: bool = False) -> DataFrame:
+    """The pool with the cosine to one query vector as score. bounded: the pool comes with a limit and is broadcast; a
+    pool of any size is joined as the engine chooses."""
+    small = pool.drop("score")
+    joined = store.select(F.col(id_col).alias("id"), F.col(vector).alias("_s")).join(F.broadcast(small) if bounded else small, "id")
     one = query.select(F.col("embedding").alias("_q")).limit(1)
     return joined.join(F.broadcast(one), how="cross").withColumn("score", F.round(cosine("_s", "_q"), 6)).drop("_s", "_q")
 
@@ -167,7 +169,7 @@ def mmr(pool: DataFrame, top: int = L.TOP_K, weight: float = L.MMR_LAMBDA, cap:
 def semantic_search(store: DataFrame, queries: DataFrame, query: DataFrame, top: int = L.TOP_K, id_col: str = "id", vector: str = "embedding") -> DataFrame:
     """kNN of every query vector, weighted fusion, rerank against the question's own vector, threshold with fallback."""
     pool = fuse(knn(store, queries, id_col=id_col, vector=vector))
-    ranked = rerank(pool, store, query, id_col, vector)
+    ranked = rerank(pool, store, query, id_col, vector, bounded=True)
     kept = with_fallback(ranked.where(F.col("score") > L.KEEP_SCORE), ranked, top)
     return kept.orderBy(F.desc("score"), "first_rank", "id").limit(top)
 
@@ -175,7 +177,7 @@ def semantic_search(store: DataFrame, queries: DataFrame, query: DataFrame, top:
 def filtered_search(store: DataFrame, queries: DataFrame, query: DataFrame, where: dict[str, object], top: int = L.TOP_K, id_col: str = "id", vector: str = "embedding") -> DataFrame:
     """The variant with metadata filters, unweighted fusion and a distance threshold after the cut to `top`."""
     pool = fuse(knn(metadata_filter(store, where), queries, id_col=id_col, vector=vector), pool=L.SIMPLE_POOL, weighted=False)
-    ranked = rerank(pool, store, query, id_col, vector).withColumn("dist", F.round(1 - F.col("score"), 6))
+    ranked = rerank(pool, store, query, id_col, vector, bounded=True).withColumn("dist", F.round(1 - F.col("score"), 6))
     cut = ranked.orderBy(F.desc("score"), "first_rank", "id").limit(top).where(F.col("dist") <= L.SIMPLE_DISTANCE)
     return with_fallback(cut, ranked, top)
 
@@ -227,29 +229,50 @@ def variants(question: str, seeds: list[str], cap: int) -> list[str]:
     return out if out and out[-1] == question else [*out, question]
 
 
-def chunk_texts(df: DataFrame, text: str = "text", size: int = L.CHUNK, overlap: int = L.OVERLAP, key: str = "doc_id") -> DataFrame:
-    """(key, chunk_no, chunk): texts with collapsed white space cut at spaces into chunks of at most `size` code points
-    that overlap by up to `overlap`; a word longer than a chunk is cut through."""
-
-    def cut(text_: str | None) -> list[str]:
-        words: list[str] = []
-        for w in (text_ or "").split():
-            words += [w[i : i + size] for i in range(0, len(w), size)]
-        out: list[str] = []
-        held: list[str] = []
-        total = 0
-        for w in words:
-            if held and total + len(w) + 1 > size:
-                out.append(" ".join(held))
-                while held and (total > overlap or total + len(w) + 1 > size):
-                    total -= len(held.pop(0)) + 1
-            held.append(w)
-            total += len(w) + 1
-        return [*out, " ".join(held)] if held else out
+def _joined(pieces: list[str], size: int, overlap: int) -> list[str]:
+    """Pieces put together into chunks of at most `size`; a chunk begins with the last pieces of the one before, up to
+    `overlap` code points of them."""
+    out: list[str] = []
+    first = total = 0
+    for i, piece in enumerate(pieces):
+        if total + len(piece) > size:
+            if first < i:
+                out.append("".join(pieces[first:i]))
+            while total > overlap or (total and total + len(piece) > size):
+                total -= len(pieces[first])
+                first += 1
+        total += len(piece)
+    return [c for x in [*out, "".join(pieces[first:])] if (c := x.strip())]
+
+
+def _split(text: str, size: int, overlap: int, separators: tuple[str, ...]) -> list[str]:
+    """Chunks of a text cut before each occurrence of the first separator that it has; pieces that are still too long are
+    cut by the separators after that one, in the end between code points."""
+    if not text:
+        return []
+    used = next(i for i, s in enumerate(separators) if s in text)
+    sign, rest = separators[used], separators[used + 1 :]
+    head, *tail = text.split(sign) if sign else text
+    out: list[str] = []
+    held: list[str] = []
+    for piece in [head, *(sign + t for t in tail)]:
+        if len(piece) < size:
+            held += [piece] if piece else []
+        else:
+            out += _joined(held, size, overlap) + (_split(piece, size, overlap, rest) if rest else [piece])
+            held = []
+    return out + _joined(held, size, overlap)
+
+
+def chunk_texts(df: DataFrame, text: str = "text", size: int = L.CHUNK, overlap: int = L.OVERLAP, key: str = "doc_id", separators: tuple[str, ...] = L.SEPARATORS, collapse: bool = True) -> DataFrame:
+    """(key, chunk_no, chunk): texts cut recursively at separators, paragraphs first, into chunks of at most `size` code
+    points that overlap by up to `overlap`. Texts are collapsed before, as loaded documents are; collapse=False keeps
+    their line breaks for the separators to act on."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
-            rows = [(k, i, c) for k, t in zip(p[key], p[text], strict=True) for i, c in enumerate(cut(t))]
+            texts = [" ".join((t or "").split()) if collapse else t or "" for t in p[text]]
+            rows = [(k, i, c) for k, t in zip(p[key], texts, strict=True) for i, c in enumerate(_split(t, size, overlap, separators))]
             yield pd.DataFrame(rows, columns=[key, "chunk_no", "chunk"])
 
     return df.select(key, text).mapInPandas(run, f"{key} {dict(df.dtypes)[key]}, chunk_no int, chunk string")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from talentweave.functions import text as X
 
@@ -48,13 +49,27 @@ def match_reference(candidates: DataFrame, slots: DataFrame, interviewers: DataF
     return candidates.select("candidate_id").join(F.broadcast(start), F.lit(True), "left").withColumn("status", _status())
 
 
-def match_exclusive(candidates: DataFrame, slots: DataFrame, interviewers: DataFrame, window_start: Column, window_end: Column, minutes: int) -> DataFrame:
-    """The k-th candidate (by id) gets the k-th open slot (by start and id); each slot once. Candidates of one run are
-    a stated list, and only as many of the earliest slots are numbered."""
-    free = open_slots(slots, interviewers, window_start, window_end).orderBy("start_ts", "id").limit(candidates.count())
-    numbered = free.withColumn("k", F.row_number().over(Window.orderBy("start_ts", "id"))).select(F.col("id").alias("slot_id"), "interviewer_id", "start_ts", "k")
-    wanted = candidates.select("candidate_id").withColumn("k", F.row_number().over(Window.orderBy("candidate_id")))
-    joined = wanted.join(numbered, "k", "left")
+def numbered(df: DataFrame, bucket: Column, *order: str, out: str = "k") -> DataFrame:
+    """df with its rows' numbers in order, from 1. bucket must not fall in that order: rows are numbered inside their
+    buckets and moved by the number of rows in earlier ones, so that no task holds all of them, only a row a bucket."""
+    df = df.withColumn("_b", bucket)
+    sizes = df.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select("_b", F.coalesce(before, F.lit(0)).alias("_before"))
+    inside = df.withColumn("_k", F.row_number().over(Window.partitionBy("_b").orderBy(*order)))
+    return inside.join(starts, inside["_b"].eqNullSafe(starts["_b"])).withColumn(out, F.col("_before") + F.col("_k")).drop("_b", "_k", "_before")
+
+
+def match_exclusive(candidates: DataFrame, slots: DataFrame, interviewers: DataFrame, window_start: Column, window_end: Column, minutes: int, candidate_bucket: Column | None = None, slot_bucket: Column | None = None) -> DataFrame:
+    """The k-th candidate (by id) gets the k-th open slot (by start and id); each slot once. The buckets say how both are
+    numbered in parts: by default ten thousand ids, where they are numbers, and the hours of the slots' starts."""
+    if candidate_bucket is None:
+        candidate_bucket = F.floor(F.col("candidate_id") / 10_000) if isinstance(candidates.schema["candidate_id"].dataType, T.NumericType) else F.left(F.col("candidate_id"), F.lit(4))
+    slot_bucket = F.date_trunc("hour", F.col("start_ts")) if slot_bucket is None else slot_bucket
+    free = open_slots(slots, interviewers, window_start, window_end)
+    given = numbered(free, slot_bucket, "start_ts", "id").select(F.col("id").alias("slot_id"), "interviewer_id", "start_ts", "k")
+    wanted = numbered(candidates.select("candidate_id"), candidate_bucket, "candidate_id")
+    joined = wanted.join(given, "k", "left")
     return joined.select("candidate_id", "slot_id", "interviewer_id", "start_ts", X.minutes_later(F.col("start_ts"), F.lit(minutes)).alias("end_ts")).withColumn("status", _status())
 
 

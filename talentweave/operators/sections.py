@@ -68,28 +68,46 @@ def column_cut(df: DataFrame, least_share: float = 0.33) -> DataFrame:
     return best.where((F.col("b.gap") > 0) & (F.col("b.gap") >= least_share * F.col("span"))).select("doc_id", "page", F.col("b.cut").alias("cut"))
 
 
-def two_means(df: DataFrame, rounds: int = 10, tolerance: float = 0.5) -> DataFrame:
-    """(doc_id, page, low, high): centres of a one-dimensional 2-means of line midpoints, from the outer quartiles."""
+def two_means(df: DataFrame, rounds: int = 10, tolerance: float = 0.5, least_share: float = 0.2, least_ratio: float = 1.2) -> DataFrame:
+    """(doc_id, page, low, high, cut): centres of a one-dimensional 2-means of line midpoints, from the outer quartiles
+    by the exclusive method, and the cut midway between them.
+
+    The rounds stop where both centres move less than `tolerance` or a cluster is empty. There is no cut, but null,
+    where a page has fewer than two lines, a cluster is empty or has less than `least_share` of the lines, or the
+    centres' distance is less than `least_ratio` times the sum of the clusters' standard deviations.
+    """
+
+    def quartile(v: list[float], p: float) -> float:
+        if len(v) < 2:
+            return v[0]
+        j = min(max(int(p * (len(v) + 1)), 1), len(v) - 1)
+        d = p * (len(v) + 1) - j
+        return v[j - 1] * (1 - d) + v[j] * d
+
+    def spread(v: list[float]) -> float:
+        mean = sum(v) / len(v)
+        return (sum((x - mean) ** 2 for x in v) / len(v)) ** 0.5
 
     def run(rows: list[dict]) -> list[dict]:
         out = []
         for page, group in groupby(rows, key=lambda r: r["page"]):
             mid = sorted((r["x0"] + r["x1"]) / 2 for r in group)
-            n = len(mid)
-            low, high = (mid[min(max(int(p * (n + 1)) - 1, 0), n - 1)] for p in (0.25, 0.75))
+            sides = lambda low, high: ([m for m in mid if abs(m - low) <= abs(m - high)], [m for m in mid if abs(m - low) > abs(m - high)])
+            low, high = quartile(mid, 0.25), quartile(mid, 0.75)
             for _ in range(rounds):
-                a = [m for m in mid if abs(m - low) <= abs(m - high)]
-                b = [m for m in mid if abs(m - low) > abs(m - high)]
-                now = (sum(a) / len(a) if a else low, sum(b) / len(b) if b else high)
-                moved = max(abs(now[0] - low), abs(now[1] - high))
-                low, high = now
-                if moved < tolerance:
+                a, b = sides(low, high)
+                if not a or not b:
+                    break
+                before, (low, high) = (low, high), (sum(a) / len(a), sum(b) / len(b))
+                if abs(low - before[0]) < tolerance and abs(high - before[1]) < tolerance:
                     break
-            out.append({"doc_id": rows[0]["doc_id"], "page": page, "low": float(low), "high": float(high)})
+            a, b = sides(low, high)
+            apart = bool(a) and bool(b) and min(len(a), len(b)) / len(mid) >= least_share and abs(high - low) / (spread(a) + spread(b) + 1e-6) >= least_ratio
+            out.append({"doc_id": rows[0]["doc_id"], "page": page, "low": float(low), "high": float(high), "cut": float((low + high) / 2) if apart else None})
         return out
 
     kept = df.select("doc_id", "page", "x0", "x1")
-    return fold(kept, run, columns(kept, "doc_id", "page", low=T.DoubleType(), high=T.DoubleType()), ("page",))
+    return fold(kept, run, columns(kept, "doc_id", "page", low=T.DoubleType(), high=T.DoubleType(), cut=T.DoubleType()), ("page",))
 
 
 def two_column_decision(pages: DataFrame) -> DataFrame:
@@ -353,7 +371,7 @@ def join_wrapped(lines: DataFrame, gap: float = 3.5, indent: float = 4.0) -> Dat
                 out.append(row)
         return out
 
-    return fold(lines, run, lines.schema)
+    return fold(lines, run, lines.schema, ("line_no", "y0", "x0", "text"))
 
 
 def merge_bullets(lines: DataFrame) -> DataFrame:

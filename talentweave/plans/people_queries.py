@@ -78,7 +78,7 @@ def job_score_weighted(spark, sf):
 
 def _records(spark, sf):
     """Canonical records from orders and their lines."""
-    li = C.table(spark, sf, "lineitem").where("l_orderkey % 4 = 0")
+    li = C.table(spark, sf, "lineitem")
     work = F.struct(
         F.col("l_returnflag").alias("company_raw"), F.col("l_returnflag").alias("company_norm"), F.concat(F.lit("Title "), "l_linenumber").alias("title_raw"), F.when(F.col("l_linenumber") % 2 == 0, "research intern").otherwise("sde").alias("title_norm"),
         F.lit(None).cast("string").alias("seniority"), F.lit(None).cast("string").alias("employment_type"), F.lit(None).cast("string").alias("location"), F.date_format("l_shipdate", "yyyy-MM").alias("start_date"), F.lit("junk").alias("end_date"),
@@ -166,7 +166,7 @@ def open_slots(spark, sf):
 
 def schedule_reference(spark, sf):
     a, b = (F.to_timestamp_ntz(F.lit(w)) for w in WINDOW)
-    return S.match_reference(C.people(spark, sf).where("candidate_id <= 30"), C.slots(spark, sf), C.interviewers(spark, sf), a, b, 45)
+    return S.match_reference(C.people(spark, sf), C.slots(spark, sf), C.interviewers(spark, sf), a, b, 45)
 
 
 def schedule_exclusive(spark, sf):
@@ -179,7 +179,7 @@ def slot_add_minutes(spark, sf):
 
 
 def notification_log(spark, sf):
-    n = S.notifications(C.people(spark, sf).where("candidate_id <= 100").select(F.col("primary_email").alias("candidate_email"), F.lit("iv@example.com").alias("interviewer_email"), F.lit("Interview").alias("title")))
+    n = S.notifications(C.people(spark, sf).select(F.col("primary_email").alias("candidate_email"), F.lit("iv@example.com").alias("interviewer_email"), F.lit("Interview").alias("title")))
     return S.mark_sent(n, ["iv@example.com"], "Interview Scheduled: Interview")
 
 
@@ -200,21 +200,21 @@ def availability_answers(spark, sf):
     return S.ingest_availability(asked, answers).select("id", "interviewer_id", "status")
 
 
-def _sets(spark, sf):
+def _items(spark, sf):
     w = C.words(spark, sf).where("length(word) > 3")
-    return E.item_sets(w.select(F.col("source").alias("entity"), F.lit("word").alias("field"), F.col("lang").alias("system"), F.col("word").alias("item")))
+    return w.select(F.col("source").alias("entity"), F.lit("word").alias("field"), F.col("lang").alias("system"), F.col("word").alias("item"))
 
 
 def jaccard_pairs(spark, sf):
-    return E.compare(_sets(spark, sf)).select("entity", "system_a", "system_b", "size_a", "size_b", "jaccard")
+    return E.compare(_items(spark, sf), differences=0).select("entity", "system_a", "system_b", "size_a", "size_b", "jaccard")
 
 
 def set_diff_clip20(spark, sf):
-    return E.compare(_sets(spark, sf)).select("entity", "system_a", "system_b", F.array_join("a_minus_b", ",").alias("a_minus_b"), F.array_join("b_minus_a", ",").alias("b_minus_a"))
+    return E.compare(_items(spark, sf)).select("entity", "system_a", "system_b", F.array_join("a_minus_b", ",").alias("a_minus_b"), F.array_join("b_minus_a", ",").alias("b_minus_a"))
 
 
 def winner_by_size(spark, sf):
-    return E.winners(_sets(spark, sf)).select("entity", "winner", "union_count")
+    return E.winners(_items(spark, sf)).select("entity", "winner", "union_count")
 
 
 def manifest_diff(spark, sf):
@@ -297,12 +297,12 @@ ORACLES = {
     "job_score_weighted": """with s as (select l_orderkey as doc_id, case l_linenumber when 1 then 0.5 when 2 then 0.3 when 3 then 0.2 else 0.1 end::double as w, l_discount as x from lineitem where l_returnflag <> 'R')
         select doc_id, round(100 * sum(w * x) / sum(w), 2) as job_score from s group by 1""",
     "canonical_candidate": """select o_orderkey as candidate_id, 'Name ' || o_custkey as full_name, 'a' || o_custkey || '@x.com' as primary_email, 'b' || o_custkey || '@x.com' as alt_emails, '+91 98765' || lpad(o_custkey::varchar, 5, '0') as primary_phone, 'github.com/x' as github_url,
-        'sha256:' || sha256(o_orderpriority || chr(10) || chr(10) || 'end') as resume_text_hash, o_orderkey || '.pdf' as source_file_id from orders where o_orderkey % 4 = 0 and o_orderkey in (select l_orderkey from lineitem)""",
-    "explode_children": "select l_orderkey as candidate_id, count(*) as n, min(date_trunc('month', l_shipdate))::date as first, 0::bigint as ends, sum((l_linenumber % 2 = 0)::int)::bigint as internships from lineitem where l_orderkey % 4 = 0 and l_orderkey in (select o_orderkey from orders) group by 1",
-    "child_tables": "with k as (select count(*) as n from orders where o_orderkey % 4 = 0 and o_orderkey in (select l_orderkey from lineitem)) select name, n * f as n from k, (values ('achievement', 1), ('candidate_language', 1), ('raw_section_text', 2), ('skill', 1), ('project', 0), ('publication', 0)) as v(name, f)",
-    "achievements_row": "select o_orderkey as candidate_id, o_orderpriority || ' prize' as description from orders where o_orderkey % 4 = 0 and o_orderkey in (select l_orderkey from lineitem)",
-    "skills_row": "select l_orderkey as candidate_id, array_to_string(list_sort(list(distinct lower(l_linestatus))), ',') as skills from lineitem where l_orderkey % 4 = 0 and l_orderkey in (select o_orderkey from orders) group by 1",
-    "record_chunks": "select 'experience' as section, count(*) as n from lineitem where l_orderkey % 4 = 0 and l_orderkey in (select o_orderkey from orders)",
+        'sha256:' || sha256(o_orderpriority || chr(10) || chr(10) || 'end') as resume_text_hash, o_orderkey || '.pdf' as source_file_id from orders where o_orderkey in (select l_orderkey from lineitem)""",
+    "explode_children": "select l_orderkey as candidate_id, count(*) as n, min(date_trunc('month', l_shipdate))::date as first, 0::bigint as ends, sum((l_linenumber % 2 = 0)::int)::bigint as internships from lineitem where l_orderkey in (select o_orderkey from orders) group by 1",
+    "child_tables": "with k as (select count(*) as n from orders where o_orderkey in (select l_orderkey from lineitem)) select name, n * f as n from k, (values ('achievement', 1), ('candidate_language', 1), ('raw_section_text', 2), ('skill', 1), ('project', 0), ('publication', 0)) as v(name, f)",
+    "achievements_row": "select o_orderkey as candidate_id, o_orderpriority || ' prize' as description from orders where o_orderkey in (select l_orderkey from lineitem)",
+    "skills_row": "select l_orderkey as candidate_id, array_to_string(list_sort(list(distinct lower(l_linestatus))), ',') as skills from lineitem where l_orderkey in (select o_orderkey from orders) group by 1",
+    "record_chunks": "select 'experience' as section, count(*) as n from lineitem where l_orderkey in (select o_orderkey from orders)",
     "upsert_latest_wins": """with n as (select o_custkey, case when o_orderkey % 2 = 0 then o_orderpriority end as c_name, o_totalprice, o_orderkey::int as version from orders qualify row_number() over (partition by o_custkey order by o_orderkey desc) = 1)
         select coalesce(c.c_custkey, n.o_custkey) as c_custkey, coalesce(n.c_name, c.c_name) as c_name, coalesce(n.o_totalprice, c.c_acctbal) as c_acctbal, coalesce(n.version, 0) as version from customer c full join n on n.o_custkey = c.c_custkey""",
     "append_once": "select * from nation",
@@ -310,10 +310,10 @@ ORACLES = {
     "interval_containment": f"with {_S} select id, start_ts, end_ts from slots where start_ts >= timestamp '{WINDOW[0]}' and end_ts <= timestamp '{WINDOW[1]}'",
     "interval_overlap_join": f"with {_S}, f as (select * from slots where status = 'free') select a.interviewer_id, a.id as a, b.id as b from f a join f b on a.interviewer_id = b.interviewer_id and a.start_ts < b.end_ts and a.end_ts > b.start_ts and (a.start_ts < b.start_ts or (a.start_ts = b.start_ts and a.id < b.id))",
     "open_slots": f"with {_OPEN} select id, interviewer_id, nth from open",
-    "schedule_reference": f"with {_P}, {_OPEN}, one as (select * from open where nth = 1 order by interviewer_id limit 1) select candidate_id, id as slot_id, interviewer_id, start_ts, start_ts + interval 45 minute as end_ts, case when id is null then 'failed' else 'scheduled' end as status from people left join one on true where candidate_id <= 30",
+    "schedule_reference": f"with {_P}, {_OPEN}, one as (select * from open where nth = 1 order by interviewer_id limit 1) select candidate_id, id as slot_id, interviewer_id, start_ts, start_ts + interval 45 minute as end_ts, case when id is null then 'failed' else 'scheduled' end as status from people left join one on true",
     "schedule_exclusive": f"with {_P}, {_OPEN}, n as (select *, row_number() over (order by start_ts, id) as k from open), c as (select candidate_id, row_number() over (order by candidate_id) as k from people) select candidate_id, id as slot_id, interviewer_id, start_ts, start_ts + interval 45 minute as end_ts, case when id is null then 'failed' else 'scheduled' end as status from c left join n using (k)",
     "slot_add_minutes": "select event_id, ts + to_minutes((user_id % 90)::int) as end_ts from events",
-    "notification_log": f"""with {_P} select 'email' as kind, unnest([primary_email, 'iv@example.com']) as to_email, 'Interview Scheduled: Interview' as subject, '{{"title":"Interview"}}' as payload_json, unnest(['pending', 'sent']) as status from people where candidate_id <= 100""",
+    "notification_log": f"""with {_P} select 'email' as kind, unnest([primary_email, 'iv@example.com']) as to_email, 'Interview Scheduled: Interview' as subject, '{{"title":"Interview"}}' as payload_json, unnest(['pending', 'sent']) as status from people""",
     "quick_booking": f"with {_S} select case when id % 3 > 0 and id % 5 > 0 then 'scheduled' when id % 3 > 0 then 'interviewer_id' when id % 5 > 0 then 'candidate_id' else 'candidate_id,interviewer_id' end as status, count(*) as n from slots group by 1",
     "availability_requests": f"with {_I} select 't-' || interviewer_id as id, interviewer_id, job_id, 'tentative' as status from interviewers where is_active",
     "availability_answers": f"with {_I}, a as (select * from interviewers where is_active) select 't-' || interviewer_id as id, interviewer_id, case when interviewer_id % 2 = 0 then 'used' else 'tentative' end as status from a union all select 't-' || interviewer_id || '-' || p, interviewer_id, 'free' from a, range(2) as t(p) where interviewer_id % 2 = 0",

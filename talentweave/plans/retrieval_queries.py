@@ -50,7 +50,7 @@ def rrf_unweighted(spark, sf):
 
 
 def _ranked(spark, sf):
-    return R.rerank(rrf_weighted(spark, sf), _store(spark, sf), _one(spark, sf), id_col="vec_id")
+    return R.rerank(rrf_weighted(spark, sf), _store(spark, sf), _one(spark, sf), id_col="vec_id", bounded=True)
 
 
 def rerank_cosine(spark, sf):
@@ -105,7 +105,7 @@ def lateral_topk_per_scope(spark, sf):
 
 def context_by_person(spark, sf):
     d = C.table(spark, sf, "documents")
-    chunks = d.select(F.col("source").alias("email"), F.col("doc_id").alias("id"), F.substring("text", 1, 40).alias("text"), (F.col("n_chars") % 1000).alias("score"))
+    chunks = d.select(F.col("source").alias("email"), F.col("doc_id").alias("id"), "text", (F.col("n_chars") % 1000).alias("score"))
     return R.context_by_person(chunks, 3)
 
 
@@ -151,7 +151,7 @@ ORACLES = {
     "source_rollup": f"with {HITS} select source, max(score) as best, array_to_string(list_sort(list_distinct(list(page))), ',') as pages from sources group by source",
     "top_source": f"with {HITS} select source, score as best from sources order by score desc, source desc limit 1",
     "lateral_topk_per_scope": f"with {HITS} select source, id, score, row_number() over (partition by source order by score desc, id)::int as rank from sources qualify rank <= 3",
-    "context_by_person": "select email, string_agg(text, chr(10) order by rank) as context from (select source as email, substring(text, 1, 40) as text, row_number() over (partition by source order by n_chars % 1000 desc, doc_id) as rank from documents qualify rank <= 3) group by email",
+    "context_by_person": "select email, string_agg(text, chr(10) order by rank) as context from (select source as email, text, row_number() over (partition by source order by n_chars % 1000 desc, doc_id) as rank from documents qualify rank <= 3) group by email",
     "skill_post_filter": "select event_id from events where event_type = 'click'",
     "query_variants": "select * from (values (0, 'spark engineers'), (1, 'experience with spark engineers'), (2, 'projects about spark engineers'), (3, 'skills in spark engineers'), (4, 'spark engineers')) as v(pos, variant)",
     "chunk_dedupe_sha1": "select sha1(text) as sha1, min(doc_id) as doc_id from documents where length(trim(text)) >= 60 group by 1",

@@ -93,7 +93,7 @@ def exclusive_quartiles(spark, sf):
 
 
 def two_means(spark, sf):
-    return S.two_means(_boxes(spark, sf)).select("doc_id", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
+    return S.two_means(_boxes(spark, sf)).select("doc_id", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"), F.round("cut", 6).alias("cut"))
 
 
 def greedy_bands(spark, sf):
@@ -248,7 +248,35 @@ _SECTIONS = r"""secs as (select conv_id as doc_id, turn as sec_no, case when tur
     case when turn % 2 = 1 then '- a point' || chr(10) || coalesce(text, '') else regexp_replace(coalesce(text, ''), '\s+', ' ', 'g') end as text from conversations)"""
 _MEDIAN = f"with {C.LINES_SQL} select doc_id, line_no, round(quantile_cont(font_size, 0.5) over (partition by doc_id order by line_no rows between {{n}} preceding and {{n}} following), 6) as median from lines"
 _BOX = "boxes as (select l_orderkey as doc_id, l_linenumber as line_no, l_quantity as x0, l_quantity + 4 as x1, l_tax * 100 as y0, l_linenumber % 2 as col, l_returnflag as text from lineitem)"
+_NUMBERED = f"{_TURNS}, n as (select *, (line_no % 4) / 4 as score, row_number() over (partition by doc_id order by line_no) as r from turns)"
 ORACLES = {
+    "majority_window": f"""with {_NUMBERED}, near as (select a.doc_id, a.line_no, b.role as label, count(*) as c, min(abs(b.line_no - a.line_no)) as far from n a join n b on a.doc_id = b.doc_id and b.r between a.r - 2 and a.r + 2 group by all),
+        best as (select * from near qualify row_number() over (partition by doc_id, line_no order by c desc, far, label) = 1)
+        select n.doc_id, n.line_no, case when n.score < 0.45 then b.label else n.role end as label from n join best b on b.doc_id = n.doc_id and b.line_no = n.line_no""",
+    "flip_suppression": f"""with recursive {_NUMBERED}, f as (select doc_id, r, line_no, role as label from n where r = 1
+        union all select n.doc_id, n.r, n.line_no, case when n.role <> f.label and f.label = after.role and n.score < 0.55 then f.label else n.role end
+            from f join n on n.doc_id = f.doc_id and n.r = f.r + 1 left join n after on after.doc_id = n.doc_id and after.r = n.r + 1)
+        select doc_id, line_no, label from f""",
+    "header_dedupe": f"""with recursive {_NUMBERED}, f as (select doc_id, r, line_no, role as label, line_no as last, true as kept from n where r = 1
+        union all select n.doc_id, n.r, n.line_no, case when n.role <> f.label or n.line_no - f.last > 2 then n.role else f.label end, case when n.role <> f.label or n.line_no - f.last > 2 then n.line_no else f.last end, n.role <> f.label or n.line_no - f.last > 2
+            from f join n on n.doc_id = f.doc_id and n.r = f.r + 1)
+        select doc_id, line_no, label from f where kept""",
+    "greedy_bands": f"""with recursive {_BOX}, n as (select *, row_number() over (partition by doc_id order by y0, x0, text) as r from boxes), f as (select doc_id, r, y0 as top, 1 as band from n where r = 1
+        union all select n.doc_id, n.r, case when n.y0 - f.top >= 3 then n.y0 else f.top end, f.band + (n.y0 - f.top >= 3)::int from f join n on n.doc_id = f.doc_id and n.r = f.r + 1)
+        select doc_id, max(band)::int as n from f group by doc_id""",
+    "wrapped_lines": f"""with recursive {_BOX}, n as (select *, row_number() over (partition by doc_id order by line_no, y0, x0, text) as r from boxes), f as (select doc_id, r, x0, y0 + 2 as bottom, 1 as k from n where r = 1
+        union all select n.doc_id, n.r, case when j then f.x0 else n.x0 end, case when j then greatest(f.bottom, n.y0 + 2) else n.y0 + 2 end, f.k + (not j)::int
+            from f join n on n.doc_id = f.doc_id and n.r = f.r + 1, lateral (select n.y0 - f.bottom <= 3.5 and abs(n.x0 - f.x0) <= 4 as j))
+        select doc_id, max(k)::bigint as n from f group by doc_id""",
+    "two_means": f"""with recursive {_BOX}, v as (select doc_id, list_sort(list((x0 + x0 + 4) / 2)) as v, count(*)::int as n from boxes group by doc_id),
+        q as (select doc_id, v, n, least(greatest(floor(0.25 * (n + 1))::int, 1), n - 1) as j, least(greatest(floor(0.75 * (n + 1))::int, 1), n - 1) as k from v),
+        f as (select doc_id, v, 0 as i, false as done, case when n < 2 then v[1] else v[j] * (1 - (0.25 * (n + 1) - j)) + v[j + 1] * (0.25 * (n + 1) - j) end as low,
+                case when n < 2 then v[1] else v[k] * (1 - (0.75 * (n + 1) - k)) + v[k + 1] * (0.75 * (n + 1) - k) end as high from q
+            union all select doc_id, v, i + 1, len(b) = 0 or len(a) = 0 or (abs(list_avg(a) - low) < 0.5 and abs(list_avg(b) - high) < 0.5), case when len(a) > 0 and len(b) > 0 then list_avg(a) else low end, case when len(a) > 0 and len(b) > 0 then list_avg(b) else high end
+            from f, lateral (select list_filter(v, lambda x: abs(x - low) <= abs(x - high)) as a, list_filter(v, lambda x: abs(x - low) > abs(x - high)) as b) where i < 10 and not done),
+        l as (select doc_id, v, low, high, list_filter(v, lambda x: abs(x - low) <= abs(x - high)) as a, list_filter(v, lambda x: abs(x - low) > abs(x - high)) as b from f qualify row_number() over (partition by doc_id order by i desc) = 1)
+        select doc_id, round(low, 6) as low, round(high, 6) as high,
+            case when len(a) > 0 and len(b) > 0 and least(len(a), len(b)) / len(v) >= 0.2 and abs(high - low) / (coalesce(list_stddev_pop(a), 0) + coalesce(list_stddev_pop(b), 0) + 1e-6) >= 1.2 then round((low + high) / 2, 6) end as cut from l""",
     "section_merge": f"""with {_SECTIONS}, c as (select *, (section_type is distinct from lag(section_type) over (partition by doc_id order by sec_no))::int as c from secs), g as (select *, sum(c) over (partition by doc_id order by sec_no) as grp from c),
         m as (select doc_id, grp, trim(string_agg(text, chr(10) order by sec_no), ' ' || chr(9) || chr(10) || chr(13)) as text from g group by doc_id, grp) select doc_id, count(*) as n, sum(length(text))::bigint as chars from m group by doc_id""",
     "column_validation": f"""with {_BOX}, m as (select doc_id, (x0 + x1) / 2 as mid from boxes), g as (select *, lead(mid) over (partition by doc_id order by mid) as nxt, max(mid) over (partition by doc_id) - min(mid) over (partition by doc_id) as span from m),

@@ -146,7 +146,7 @@ def header_labels(spark, sf):
 
 
 def compact_lists(spark, sf):
-    o = C.table(spark, sf, "orders").where("o_custkey % 10 = 0").groupBy("o_custkey").agg(F.collect_list("o_orderpriority").alias("p"))
+    o = C.table(spark, sf, "orders").groupBy("o_custkey").agg(F.collect_list("o_orderpriority").alias("p"))
     return o.select("o_custkey", F.array_join(X.merge_skills(F.col("p"), F.array(F.lit("SQL "), F.lit("c"), F.lit("R"))), ",").alias("merged"))
 
 
@@ -172,9 +172,10 @@ def _misspelt(spark, sf):
 
 
 def spell_correct(spark, sf):
+    """Every word that is not in the dictionary."""
     w = _misspelt(spark, sf)
     dictionary = w.where("freq >= 20").select(F.col("word").alias("term"), "freq")
-    return M.spell(w.where("freq = 1"), dictionary)
+    return M.spell(w.where("freq < 20"), dictionary)
 
 
 def name_tokens(spark, sf):
@@ -247,9 +248,11 @@ ORACLES = {
     "hyphen_unwrap": "select p_partkey, p_type || lower(p_brand) as text from part",
     "spaced_caps": "select n_nationkey, case when substring(n_name, 1, 1) = upper(substring(n_name, 1, 1)) then 'AMAN' || substring(n_name, 1, 1) || ' INGH' else 'AMAN ' || substring(n_name, 1, 1) || ' INGH' end as name from nation",
     "header_labels": f"select * from (values {_HEADERS}, (100, 'work_experience'), (101, null), (102, null)) as v(id, label)",
-    "compact_lists": "select o_custkey, array_to_string(list_sort(list_distinct(list_concat(list(lower(trim(o_orderpriority))), ['sql', 'r']))), ',') as merged from orders where o_custkey % 10 = 0 group by o_custkey",
+    "compact_lists": "select o_custkey, array_to_string(list_sort(list_distinct(list_concat(list(lower(trim(o_orderpriority))), ['sql', 'r']))), ',') as merged from orders group by o_custkey",
     "spell_correct": f"""with {C.WORDS_SQL}, w as (select word, count(*) as freq from words where length(word) between 5 and 8 group by word),
-        c as (select a.word, d.word as term, row_number() over (partition by a.word order by levenshtein(a.word, d.word), d.freq desc, d.word) as r
-            from w a join w d on d.freq >= 20 and abs(length(a.word) - length(d.word)) <= 2 and levenshtein(a.word, d.word) <= 2 where a.freq = 1)
-        select w.word, coalesce(c.term, w.word) as correction from w left join c on c.word = w.word and r = 1 where freq = 1""",
+        one as (select distinct word, freq, v from (select word, freq, unnest(list_append([word[1 : i - 1] || word[i + 1 :] for i in range(1, length(word) + 1)], word)) as v from w)),
+        two as (select distinct word, freq, x from (select word, freq, unnest(list_append([v[1 : i - 1] || v[i + 1 :] for i in range(1, length(v) + 1)], v)) as x from one)),
+        near as (select distinct a.word, d.word as term, d.freq from two a join two d on a.x = d.x where a.freq < 20 and d.freq >= 20),
+        c as (select word, term, row_number() over (partition by word order by levenshtein(word, term), freq desc, term) as r from near where levenshtein(word, term) <= 2)
+        select w.word, coalesce(c.term, w.word) as correction from w left join c on c.word = w.word and r = 1 where freq < 20""",
 }

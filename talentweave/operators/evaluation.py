@@ -22,28 +22,32 @@ _OF = ("entity", "field")
 
 
 def holders(items: DataFrame) -> DataFrame:
-    """(entity, field, item, systems): the systems that have each normalised item of rows (entity, field, system, item).
-    An item's list is as long as there are systems at most; no row holds an entity's items."""
+    """(entity, field, item, systems): the systems that have each normalised item of rows (entity, field, system, item);
+    a null item has those with rows of null or empty items. A list is as long as there are systems at most; no row holds
+    an entity's items."""
     item = F.nullif(X.plain_norm(F.col("item")), F.lit(""))
-    return items.select(*_OF, "system", item.alias("item")).where("item is not null").groupBy(*_OF, "item").agg(F.sort_array(F.collect_set("system")).alias("systems"))
+    return items.select(*_OF, "system", item.alias("item")).groupBy(*_OF, "item").agg(F.sort_array(F.collect_set("system")).alias("systems"))
 
 
 def compare(items: DataFrame, differences: int = 20) -> DataFrame:
     """A row for each pair of systems of an entity and field in rows (entity, field, system, item): sizes, Jaccard, and
     the first `differences` items that one has and the other lacks. Items of a null or empty text are none; a system
-    with no item has an empty set, and two of them are alike (1)."""
+    with no item has an empty set, and two of them are alike (1).
+
+    All that follows rests on one grouping by item, whose exchange the engine reuses."""
     of = holders(items)
-    systems = items.select(*_OF, "system").distinct()
-    pairs = systems.withColumnRenamed("system", "system_a").join(systems.withColumnRenamed("system", "system_b"), [*_OF]).where("system_a < system_b")
+    each = of.select(*_OF, "item", F.explode("systems").alias("system_a"), "systems")
+    systems = each.select(*_OF, "system_a").distinct()
+    pairs = systems.join(systems.withColumnRenamed("system_a", "system_b"), [*_OF]).where("system_a < system_b")
     # Items count for each pair of systems that have them; a pair of equals counts a system's own.
-    both = of.select(*_OF, F.explode("systems").alias("system_a"), "systems").select(*_OF, "system_a", F.explode("systems").alias("system_b")).where("system_a <= system_b")
-    counts = both.groupBy(*_OF, "system_a", "system_b").agg(F.count(F.lit(1)).alias("n"))
+    both = each.select(*_OF, "item", "system_a", F.explode("systems").alias("system_b")).where("system_a <= system_b")
+    counts = both.groupBy(*_OF, "system_a", "system_b").agg(F.count("item").alias("n"))
     own = counts.where("system_a = system_b")
     found = (
         pairs.join(counts.withColumnRenamed("n", "_both"), [*_OF, "system_a", "system_b"], "left")
-        .join(own.select(*_OF, "system_a", F.col("n").alias("_na")), [*_OF, "system_a"], "left")
-        .join(own.select(*_OF, F.col("system_a").alias("system_b"), F.col("n").alias("_nb")), [*_OF, "system_b"], "left")
-        .na.fill(0, ["_both", "_na", "_nb"])
+        .join(own.select(*_OF, "system_a", F.col("n").alias("_na")), [*_OF, "system_a"])
+        .join(own.select(*_OF, F.col("system_a").alias("system_b"), F.col("n").alias("_nb")), [*_OF, "system_b"])
+        .na.fill(0, ["_both"])
     )
     union = F.col("_na") + F.col("_nb") - F.col("_both")
     found = found.select(*_OF, "system_a", "system_b", F.col("_na").cast("int").alias("size_a"), F.col("_nb").cast("int").alias("size_b"), F.when(union == 0, F.lit(1.0)).otherwise(F.round(F.col("_both") / union, 4)).alias("jaccard"))
@@ -51,7 +55,7 @@ def compare(items: DataFrame, differences: int = 20) -> DataFrame:
         return found
     order = Window.partitionBy(*_OF, "system_a", "system_b", "side").orderBy("item")
     has = lambda c: F.array_contains("systems", F.col(c))
-    only = of.join(pairs, [*_OF]).withColumn("side", F.when(has("system_a") & ~has("system_b"), "a").when(has("system_b") & ~has("system_a"), "b")).where("side is not null")
+    only = of.join(pairs, [*_OF]).withColumn("side", F.when(F.col("item").isNull(), None).when(has("system_a") & ~has("system_b"), "a").when(has("system_b") & ~has("system_a"), "b")).where("side is not null")
     few = only.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= differences)
     side = lambda s: F.array_sort(F.collect_list(F.when(F.col("side") == s, F.col("item"))))
     lists = few.groupBy(*_OF, "system_a", "system_b").agg(side("a").alias("a_minus_b"), side("b").alias("b_minus_a"))
@@ -62,11 +66,9 @@ def compare(items: DataFrame, differences: int = 20) -> DataFrame:
 def winners(items: DataFrame) -> DataFrame:
     """(entity, field, winner, union_count): the system with most items, the first by name at a tie."""
     of = holders(items)
-    sizes = of.select(*_OF, F.explode("systems").alias("system")).groupBy(*_OF, "system").agg(F.count(F.lit(1)).alias("n"))
-    all_systems = items.select(*_OF, "system").distinct().join(sizes, [*_OF, "system"], "left").na.fill(0, ["n"])
-    best = all_systems.groupBy(*_OF).agg(F.min_by("system", F.struct(-F.col("n"), "system")).alias("winner"))
-    total = of.groupBy(*_OF).agg(F.count(F.lit(1)).cast("int").alias("union_count"))
-    return best.join(total, [*_OF], "left").na.fill(0, ["union_count"])
+    sizes = of.select(*_OF, "item", F.explode("systems").alias("system")).groupBy(*_OF, "system").agg(F.count("item").alias("n"))
+    best = sizes.groupBy(*_OF).agg(F.min_by("system", F.struct(-F.col("n"), "system")).alias("winner"))
+    return best.join(of.groupBy(*_OF).agg(F.count("item").cast("int").alias("union_count")), [*_OF])
 
 
 def manifest_changes(old: DataFrame, new: DataFrame) -> DataFrame:

@@ -345,3 +345,30 @@ def test_two_means_reject_uneven_or_close_clusters(spark):
     df = spark.createDataFrame([(0, p, float(x), float(x)) for p, xs in pages.items() for x in xs], "doc_id int, page int, x0 double, x1 double")
     got = {r.page: (r.low, r.high, r.cut) for r in sections.two_means(df).collect()}
     assert got[1] == (1.0, 101.0, 51.0) and [got[p][2] is None for p in (2, 4, 5)] == [True] * 3 and got[4][:2] == (7.0, 7.0)
+
+
+def test_comparison_of_systems_equals_brute_force(spark):
+    rng = random.Random(3)
+    rows = [(e, "f", s, rng.choice(["", None, " A  b", "a b", *(f"i{k}" for k in range(60))])) for e in "xy" for s in ("p", "q", "r") for _ in range(60)]
+    rows += [("z", "f", "p", None), ("z", "f", "q", " "), ("w", "f", "p", "only"), ("w", "f", "q", "")]
+    df = spark.createDataFrame(rows, "entity string, field string, system string, item string")
+    sets = {}
+    for e, _, s, i in rows:
+        sets.setdefault(e, {}).setdefault(s, set()).update({" ".join(i.lower().split())} - {""} if i else ())
+    got = {(r.entity, r.system_a, r.system_b): r for r in evaluation.compare(df).collect()}
+    assert len(got) == 3 + 3 + 1 + 1
+    for (e, a, b), r in got.items():
+        x, y = sets[e][a], sets[e][b]
+        assert (r.size_a, r.size_b, r.jaccard) == (len(x), len(y), round(len(x & y) / len(x | y), 4) if x | y else 1.0)
+        assert r.a_minus_b == sorted(x - y)[:20] and r.b_minus_a == sorted(y - x)[:20]
+    best = {r.entity: (r.winner, r.union_count) for r in evaluation.winners(df).collect()}
+    assert best == {e: (min(s, key=lambda k: (-len(s[k]), k)), len(set().union(*s.values()))) for e, s in sets.items()}
+
+
+def test_numbers_in_parts_are_those_of_one_order(spark):
+    rng = random.Random(5)
+    rows = [(rng.choice([None, *range(50)]), i) for i in range(400)]
+    df = spark.createDataFrame(rows, "a int, id int")
+    got = {r.id: r.k for r in schedule.numbered(df, F.floor(F.col("a") / 7), "a", "id").collect()}
+    want = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    assert got == {i: k for k, (_, i) in enumerate(want, 1)}

@@ -28,15 +28,14 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates one row: that with the smallest id (a null id comes last), then the smallest hash
     of its text; of rows equal in both the smallest in its columns' order. Rows that share an id without being near
     duplicates all stay. Texts of any length count in full; those without words are one group."""
-    text_hash = unused(docs, "text_hash")
-    hashed = docs.withColumn(text_hash, F.xxhash64("text"))
-    found = simhash.near_duplicates(hashed.select("doc_id", "text", text_hash), also=(text_hash,))
+    named, key, text_hash = (unused(docs, c) for c in ("nameless", "id_key", "text_hash"))
+    own = {named: F.col("doc_id").isNull(), key: F.coalesce(F.col("doc_id").cast("string"), F.lit("")), text_hash: F.xxhash64("text")}
+    found = simhash.near_duplicates(docs.select("doc_id", "text", F.xxhash64("text").alias(text_hash)), also=(text_hash,))
     first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", text_hash)).alias("first"))
-    kept = first.select(F.col("first.doc_id").alias("_id"), F.col(f"first.{text_hash}").alias("_hash"))
+    kept = first.select(F.col("first.nameless").alias(named), F.coalesce(F.col("first.doc_id").cast("string"), F.lit("")).alias(key), F.col(f"first.{text_hash}").alias(text_hash))
     # One exchange by id and text serves the join and the choice among repeated rows.
-    of_group = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col(text_hash) == F.col("_hash"))
-    rows = hashed.join(kept, of_group, "left_semi")
-    return rows.groupBy("doc_id", text_hash).agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
+    rows = docs.withColumns(own).join(kept, [named, key, text_hash], "left_semi")
+    return rows.groupBy(named, key, text_hash).agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -21,9 +21,9 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import repeat
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from talentweave.llm.common import add_columns, labelled_sample, text_or_empty
+from talentweave.llm.common import add_columns, labelled_sample, mixed
 
 #: Labelled documents of each class in the index, at most.
 BOUND = 2000
@@ -46,12 +46,15 @@ _WORD = re.compile(r"[^\W_]+")
 _WORD_SQL, _BEGIN_SQL = r"[\\p{L}\\p{N}]+", rf"(?<![\\p{{L}}\\p{{N}}])[\\p{{L}}\\p{{N}}]{{{BEGIN}}}(?=[\\p{{L}}\\p{{N}}])"
 #: Remembered texts in a worker; beyond it the memory starts anew.
 REMEMBER = 50_000
-#: Texts that are searched together.
-BATCH = 64
+#: Texts that are searched together, and code points that are cut into words together.
+BATCH, PIECE = 64, 1_000_000
 #: UTF-8 bytes of the examples' terms that may be broadcast; more are joined by a shuffle.
 MOST_BYTES = 64_000_000
 
-Vector = tuple[np.ndarray, np.ndarray]
+#: Numbers of texts, terms and their weights, sorted.
+Vectors = tuple[np.ndarray, np.ndarray, np.ndarray]
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
 def words_of(text: str | None) -> list[str]:
@@ -63,12 +66,57 @@ def terms_of(words: list[str]) -> set[str]:
     return {*words, *(w[:BEGIN] + "*" for w in words if len(w) > BEGIN)}
 
 
+@lru_cache(maxsize=1)
+def _characters() -> tuple[np.ndarray, np.ndarray]:
+    """Of each code point whether it is in words, and 64 bits."""
+    inside = np.fromiter((chr(c).isalnum() for c in range(0x110000)), bool, 0x110000)
+    return inside, mixed(np.arange(1, 0x110001, dtype=np.uint64))
+
+
+@lru_cache(maxsize=1)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the hash's base and of its inverse, modulo 2**64."""
+    return tuple(np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(n, b)])) for b in (_BASE, _BASE_INVERSE))
+
+
+def _pieces(text: str) -> Iterator[str]:
+    """The text in pieces of PIECE code points; words stay whole."""
+    start = 0
+    while len(text) - start > PIECE:
+        end = start + PIECE
+        while end < len(text) and text[end - 1].isalnum() and text[end].isalnum():
+            end += 1
+        yield text[start:end]
+        start = end
+    yield text[start:]
+
+
+def hashed_words(pieces: list[str]) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """The words of lower-cased pieces: hashes and numbers of their pieces, of whole words and of longer ones' beginnings.
+
+    A word's hash is the sum of its code points' bits times powers of a base, from one running sum over all pieces.
+    """
+    inside, bits = _characters()
+    code = np.frombuffer("\n".join(pieces).encode("utf-32-le", "surrogatepass"), "<u4")
+    first = np.cumsum([0, *(len(p) + 1 for p in pieces[:-1])])
+    edge = np.flatnonzero(np.diff(np.concatenate([[False], inside[code], [False]]).view(np.int8)))
+    start, end = edge[::2], edge[1::2]
+    up, down = _powers(1 << max(20, len(code).bit_length()))
+    total = np.zeros(len(code) + 1, np.uint64)
+    np.cumsum(bits[code] * up[: len(code)], out=total[1:])
+    owner = np.searchsorted(first, start, "right") - 1
+    long = end - start > BEGIN
+    begin = start[long]
+    return ((total[end] - total[start]) * down[start], owner), ((total[begin + BEGIN] - total[begin]) * down[begin], owner[long])
+
+
 @dataclass
 class Examples:
     """Labelled examples as an inverted index with block maxima. Examples are numbered in the order of their blocks."""
 
-    whole: dict[str, int] = field(default_factory=dict)
-    begin: dict[str, int] = field(default_factory=dict)
+    # Hashes of words and of beginnings, ascending, and the terms' numbers.
+    whole: tuple[np.ndarray, np.ndarray] = field(default_factory=lambda: (np.zeros(0, np.uint64), np.zeros(0, np.int64)))
+    begin: tuple[np.ndarray, np.ndarray] = field(default_factory=lambda: (np.zeros(0, np.uint64), np.zeros(0, np.int64)))
     idf: np.ndarray = field(default_factory=lambda: np.zeros(0))
     ids: list = field(default_factory=list)
     turn: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # of each example in the order of hashed ids, for ties
@@ -85,33 +133,43 @@ class Examples:
     offset: float = 0.0
     bare: float = 0.0  # score of a text without terms
 
-    def vector(self, words: list[str]) -> Vector:
-        """The examples' terms that the words have and their TF-IDF weights, of unit length."""
-        counts = Counter(words)
-        whole = np.fromiter(map(self.whole.get, counts, repeat(-1)), np.int64, len(counts))
-        n = np.fromiter(counts.values(), float, len(counts))
-        long = [w for w in counts if len(w) > BEGIN]
-        begin = np.fromiter(map(self.begin.get, [w[:BEGIN] for w in long], repeat(-1)), np.int64, len(long))
-        m = np.fromiter(map(counts.__getitem__, long), float, len(long))
-        begin, m = begin[begin >= 0], m[begin >= 0]
-        order = np.argsort(begin, kind="stable")
-        first = np.flatnonzero(np.append(True, np.diff(begin[order]) > 0)) if len(begin) else order
-        # No two words are one term; beginnings are.
-        term = np.concatenate([whole[whole >= 0], begin[order[first]]])
-        n = np.concatenate([n[whole >= 0], np.add.reduceat(m[order], first) if len(first) else m])
-        if not len(term):
-            return term, n
+    def vectors(self, texts: list[str | None]) -> Vectors:
+        """The examples' terms that each text has and their TF-IDF weights, of unit length."""
+        size = len(self.idf)
+        keys: list[np.ndarray] = [np.zeros(0, np.int64)]
+        waiting: list[tuple[int, str]] = []
+
+        def read() -> None:
+            owners = np.array([i for i, _ in waiting], np.int64)
+            for (known, number), (h, piece) in zip((self.whole, self.begin), hashed_words([p for _, p in waiting]), strict=True):
+                if len(known) and len(h):
+                    some, back = np.unique(h, return_inverse=True)
+                    place = np.minimum(np.searchsorted(known, some), len(known) - 1)
+                    term = np.where(known[place] == some, number[place], -1)[back]
+                    keys.append(owners[piece[term >= 0]] * size + term[term >= 0])
+            waiting.clear()
+
+        room = PIECE
+        for i, t in enumerate(texts):
+            for piece in _pieces((t or "").lower()):
+                if waiting and len(piece) > room:
+                    read()
+                    room = PIECE
+                waiting.append((i, piece))
+                room -= len(piece) + 1
+        if waiting:
+            read()
+        key, n = np.unique(np.concatenate(keys), return_counts=True)
+        text, term = np.divmod(key, max(1, size))
         w = (1 + np.log(n)) * self.idf[term]
-        return term, w / np.sqrt((w * w).sum())
+        return text, term, w / np.sqrt(np.bincount(text, w * w, len(texts)))[text]
 
-    def nearest(self, vectors: list[Vector], leave: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Of each vector the numbers and cosines of the k nearest examples with a cosine over 0, nearest first;
-        leave: an example that each leaves out."""
+    def nearest(self, vectors: Vectors, many: int, leave: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Of each of `many` vectors the numbers and cosines of the k nearest examples with a cosine over 0, nearest
+        first; leave: an example that each leaves out."""
         n_blocks, n = len(self.common), self.norm.size
-        many = len(vectors)
-        query = np.repeat(np.arange(many), [len(t) for t, _ in vectors])
-        term, weight = (np.concatenate([v[i] for v in vectors]) for i in (0, 1))
-        row = self.row[term] if len(term) else np.zeros(0, np.int32)
+        query, term, weight = vectors
+        row = self.row[term]
         rare = row < 0
         lengths = self.start[term[rare] + 1] - self.start[term[rare]]
         ends = np.cumsum(lengths)
@@ -153,13 +211,16 @@ class Examples:
         yes, total = (w * labels[near]).sum(), w.sum()
         return float(np.log((yes + 0.02 * total) / (total - yes + 0.02 * total)))
 
-    def score_all(self, vectors: list[Vector]) -> list[tuple[float, list]]:
+    def score_all(self, texts: list[str | None]) -> list[tuple[float, list]]:
+        """Score and nearest ids of each text."""
         share = float(self.labels.mean()) if len(self.labels) else 0.0
-        some = [i for i, (t, _) in enumerate(vectors) if len(t)] if 0 < share < 1 else []
-        out: list[tuple[float, list]] = [(self.bare, [])] * len(vectors)
-        for i in range(0, len(some), BATCH):
-            part = some[i : i + BATCH]
-            for j, (near, sims) in zip(part, self.nearest([vectors[j] for j in part]), strict=True):
+        out: list[tuple[float, list]] = [(self.bare, [])] * len(texts)
+        if not 0 < share < 1:
+            return out
+        text, term, weight = self.vectors(texts)
+        for i in range(0, len(texts), BATCH):
+            own = slice(*np.searchsorted(text, (i, i + BATCH)))
+            for j, (near, sims) in enumerate(self.nearest((text[own] - i, term[own], weight[own]), min(BATCH, len(texts) - i)), i):
                 if len(near):
                     z = self.slope * self.votes(near, sims, self.labels, share) + self.offset
                     out[j] = round(float(1 / (1 + np.exp(-z))), 9), [self.ids[x] for x in near[:5]]
@@ -186,12 +247,15 @@ def build(rows: list[tuple[object, int, str]], df: dict[str, int], n_docs: int)
     """The index of the examples, with its curve. df: of each of their terms."""
     labels = np.array([y for _, y, _ in rows], float)
     made = Examples(idf=np.log((1 + n_docs) / (0.5 + np.fromiter(df.values(), float, len(df)))), k=max(LEAST, len(rows) // SHARE))
-    for number, t in enumerate(df):
-        if t.endswith("*"):
-            made.begin[t[:-1]] = number
-        else:
-            made.whole[t] = number
-    vectors = [made.vector(words_of(t)) for _, _, t in rows]
+    for star in (False, True):
+        own = [(t.removesuffix("*"), i) for i, t in enumerate(df) if t.endswith("*") == star]
+        h = hashed_words([t for t, _ in own])[0][0] if own else np.zeros(0, np.uint64)
+        order = np.argsort(h)
+        known = h[order], np.array([i for _, i in own], np.int64)[order]
+        made.begin, made.whole = (known, made.whole) if star else (made.begin, known)
+    text, term, weight = made.vectors([t for _, _, t in rows])
+    ends = np.searchsorted(text, np.arange(len(rows) + 1))
+    vectors = [(term[a:b], weight[a:b]) for a, b in zip(ends, ends[1:], strict=False)]
     bare = [y for v, y in zip(vectors, labels, strict=True) if not len(v[0])]
     made.bare = round(float((sum(bare) + 0.5 * labels.mean()) / (len(bare) + 0.5)), 9) if len(labels) else 0.0
     spread = np.bincount(np.concatenate([t for t, _ in vectors] or [np.zeros(0, np.int64)]), minlength=len(df))
@@ -221,7 +285,10 @@ def build(rows: list[tuple[object, int, str]], df: dict[str, int], n_docs: int)
     votes = []
     numbers = np.array([number for number, i in enumerate(some) if len(vectors[i][0])], np.int64)
     for part in np.split(numbers, range(BATCH, len(numbers), BATCH)):
-        for number, (near, sims) in zip(part, made.nearest([vectors[some[j]] for j in part], part), strict=True):
+        own = [vectors[some[j]] for j in part]
+        query = np.repeat(np.arange(len(part)), [len(t) for t, _ in own])
+        found = made.nearest((query, *(np.concatenate([v[k] for v in own] or [np.zeros(0, np.int64)]) for k in (0, 1))), len(part), part)
+        for number, (near, sims) in zip(part, found, strict=True):
             if len(near):
                 votes.append((made.votes(near, sims, made.labels, float(labels.mean())), made.labels[number]))
     x, y = np.array([[v, 1.0] for v, _ in votes]).reshape(-1, 2), np.array([t for _, t in votes])
@@ -256,7 +323,7 @@ def score(docs: DataFrame, examples: Examples, text: str = "text", out: str = "s
             if len(known) > REMEMBER:
                 known.clear()
             new = {k: t for k, t in zip(keys, texts, strict=True) if k not in known}
-            known.update(zip(new, own.score_all([own.vector(words_of(t)) for t in new.values()]), strict=True))
+            known.update(zip(new, own.score_all(list(new.values())), strict=True))
             got = [known[k] for k in keys]
             return [pa.array([s for s, _ in got], pa.float64()), pa.array([[str(i) for i in ids] for _, ids in got], pa.list_(pa.string()))]
 

@@ -42,7 +42,9 @@ def test_forward_backward_equals_enumeration():
         for ys, w in weights.items():
             for a, b in zip(ys, ys[1:], strict=False):
                 total[a, b] += w / z
-    assert np.allclose(total, counts)
+    assert np.allclose(total, counts.sum(0))
+    for t, n in enumerate((5, 3, 1)):
+        assert np.allclose(quality._one_chain(score[t, :n], pair), good[t, :n])
 
 
 def test_held_out_quality(spark):
@@ -65,6 +67,23 @@ def test_marginals_do_not_depend_on_the_batch():
     assert np.allclose(together, [quality.score_of(field, [t])[0] for _, t, _ in rows], atol=1e-9)
 
 
+def test_long_texts_are_scored_in_chunks(monkeypatch):
+    import tracemalloc
+
+    rows = corpus(4, 60)
+    field = quality.fit([t for _, t, _ in rows], [y for *_, y in rows])
+    texts = [t for _, t, _ in rows] + ["\n" * 300, None, ""]
+    together = quality.score_of(field, texts)
+    tracemalloc.start()
+    assert 0 <= quality.score_of(field, ["\n" * 300_000])[0] <= 1
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 300_000 * 150
+    monkeypatch.setattr(quality, "LINES", 7)
+    monkeypatch.setattr(quality, "LONG", 5)
+    assert np.allclose(quality.score_of(field, texts), together, atol=1e-8)
+
+
 def toxic_corpus(seed, n):
     rng = random.Random(seed)
     out = []
@@ -119,9 +138,9 @@ def test_nearest_examples_equal_brute_force(n):
     rows = toxic_corpus(5, n)
     texts = [t for _, t, _ in toxic_corpus(6, 80)] + ["", "qq", rows[3][1]]
     made, wanted = brute_scores(rows, texts)
-    got = made.score_all([made.vector(toxicity.words_of(t)) for t in texts])
+    got = made.score_all(texts)
     assert np.allclose([s for s, _ in got], [s for s, _ in wanted], atol=1e-8) and [i for _, i in got] == [i for _, i in wanted]
-    assert made.score_all([made.vector(toxicity.words_of(t)) for t in texts[40:41]])[0] == got[40]
+    assert made.score_all(texts[40:41])[0] == got[40]
 
 
 def test_held_out_toxicity(spark):
@@ -213,12 +232,25 @@ def test_many_keys_have_the_right_successor(spark):
     assert got == dict(zip(keys, keys[1:] + keys[:1], strict=True))
 
 
+def test_hashed_words_are_those_of_the_pattern(monkeypatch):
+    text = "Éa_ÉA 7b-x  😀wörd ١٢ a²b longer\nlongest_one " * 40
+    (whole, owner), (begin, of) = toxicity.hashed_words([text.lower(), "", "tail"])
+    words = toxicity.words_of(text)
+    assert owner.tolist() == [0] * len(words) + [2] and len({*whole.tolist()}) == len({*words, "tail"})
+    assert [dict(zip(words, whole.tolist()))[w] for w in words] == whole[:-1].tolist()
+    assert len(begin) == len(of) == sum(len(w) > 4 for w in words) and set(toxicity.hashed_words(["wörd long"])[0][0].tolist()) >= set(begin[:1].tolist()) - set(whole.tolist())
+    made, _ = index(toxic_corpus(3, 40) + [(90, text, 1)])
+    plain = made.vectors([text, "idiot"])
+    monkeypatch.setattr(toxicity, "PIECE", 50)
+    assert all(np.array_equal(a, b) for a, b in zip(plain, made.vectors([text, "idiot"]), strict=True))
+
+
 def test_a_copy_of_an_example_is_nearest_whatever_its_words():
     rows = toxic_corpus(9, 120) + [(500, "quagga zebu", 1), (501, "okapi", 0)]
     made, _ = index(rows)
-    for (near, sims), (i, *_) in zip(made.nearest([made.vector(toxicity.words_of(t)) for _, t, _ in rows]), rows, strict=True):
+    for (near, sims), (i, *_) in zip(made.nearest(made.vectors([t for _, t, _ in rows]), len(rows)), rows, strict=True):
         assert sims[0] == 1.0 and made.ids[near[0]] == i
-    assert made.score_all([made.vector(["quagga"])])[0][1] == [500]
+    assert made.score_all(["quagga"])[0][1] == [500]
 
 
 def test_the_toxicity_query_equals_brute_force(spark):
@@ -234,7 +266,7 @@ def test_the_toxicity_query_equals_brute_force(spark):
     df = {t: sum(t in o for o in own) for t in sorted(used)}
     turn = [r.doc_id for r in docs.where("doc_id < 200").orderBy(F.xxhash64("doc_id"), "doc_id").collect()]
     made = toxicity.build([(i, known[i][1], known[i][0]) for i in turn], df, len(own))
-    wanted = made.score_all([made.vector(toxicity.words_of(r.text)) for r in docs.collect()])
+    wanted = made.score_all([r.text for r in docs.collect()])
     assert [(got[r.doc_id].score, got[r.doc_id].neighbours) for r in docs.collect()] == [(s, [str(i) for i in ids]) for s, ids in wanted]
 
 

@@ -6,8 +6,8 @@ held-out paragraphs, calibrates its probabilities, and a threshold, chosen there
 sure family into "unknown"; the held-out paragraphs hold notices of licences that training never saw. A prediction
 counts as confirmed if the paragraph holds a large share of some template of its family, in word triples.
 
-Only paragraphs with an n-gram that favours some licence over "none" are scored; where the bias favours "none", as it
-does for the trained model, all others are "none" by the same sums, so nothing is lost.
+Where the bias favours "none", as it does for the trained model, only paragraphs with an anchor are scored: the n-grams
+that favour a licence and are no anchors do not outweigh the bias even all together, so nothing is lost.
 
 The training paragraphs are written from the templates below and from neutral sentences by a seeded generator; the fit
 runs on the driver over that bounded set. A null or empty text has no paragraphs and licence "none"; a paragraph is a
@@ -110,9 +110,14 @@ NEUTRAL = (
     "The apache people lived in the south west",
     "MIT is a university with a large campus",
     "The GNU project and the Mozilla browser are known to many",
+    "Er kam mit dem Zug und ging mit ihr nach Hause",
+    "Mit der Zeit wurde das Haus mit Holz und Stein gebaut",
+    "Ein Brief mit Bildern liegt mit dem Buch im Schrank",
+    "Elle est venue par le train de la ville et non en voiture",
+    "No se puede entrar por la puerta de la casa",
 )
 #: Words that tell nothing, which fill the written paragraphs of all kinds alike.
-FILLERS = "the and of to in a is that with for it as on be this are by or not from any may you use can at an was all we".split()
+FILLERS = "the and of to in a is that with for it as on be this are by or not from any may you use can at an was all we mit".split()
 FAMILIES = ("none", *sorted(TEMPLATES), "unknown")
 #: Paragraphs written, the generator's seed, wanted precision, and the share of a template that confirms.
 MADE, SEED, PRECISION, CONFIRM = 4000, 7, 0.99, 0.5
@@ -211,9 +216,27 @@ def train(made: int = MADE, seed: int = SEED, penalty: float = 2e-4) -> Classifi
     return Classifier(weights, tuple(round(float(z), 5) for z in b), float(threshold))
 
 
+@lru_cache(maxsize=2)
 def anchors(model: Classifier) -> list[str]:
-    """N-grams that favour some licence over "none". Where the bias favours none, a paragraph without one is "none"."""
-    return [g for g, z in model.weights if max(z[1:]) - z[0] > 0]
+    """N-grams of which a paragraph needs one to be taken for a licence, where the bias favours "none".
+
+    All others that favour a licence are light: even together they do not outweigh the bias, whichever the family. Those
+    that are frequent in written neutral paragraphs for their weight are light first, so that few paragraphs have an
+    anchor. A paragraph's n-grams count once each, so this loses nothing.
+    """
+    plain: dict[str, int] = {}
+    for text, y, _ in _paragraphs(MADE, SEED):
+        for g in grams_of(text) if not y else ():
+            plain[g] = plain.get(g, 0) + 1
+    margins = {g: np.maximum(np.array(z[1:]) - z[0], 0) for g, z in model.weights}
+    gap, light = np.array(model.bias[0]) - np.array(model.bias[1:]) - 1e-4, np.zeros(len(model.bias) - 1)
+    out = []
+    for g in sorted((g for g, m in margins.items() if m.max() > 0), key=lambda g: (margins[g].max() / (1 + plain.get(g, 0)), g)):
+        if (light + margins[g] <= gap).all():
+            light += margins[g]
+        else:
+            out.append(g)
+    return sorted(out)
 
 
 def _gate(model: Classifier) -> str:

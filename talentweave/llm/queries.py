@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talentweave.llm import bpe, decontaminate, fingerprints, html_extract, licenses, pii, quality, sharding, simhash, toxicity
+from talentweave.llm import bpe, decontaminate, fingerprints, hard_negatives, html_extract, licenses, merkle, pii, quality, sharding, simhash, topk_search, toxicity
 from talentweave.llm.common import cut, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -131,6 +131,112 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (_remainder(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.array_join("neighbours", ",").alias("evidence"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").withColumn("label", F.expr("if(vec_id % 7 = 0, (label + 1) % 10, label)"))
+    return hard_negatives.hard_negatives(rows, F.col("vec_id") % 50 == 0)
+
+
+INTEGERS_SQL = """rows_ as (
+    select vec_id, label, list_transform(embedding, lambda x: floor(256 * x::double)) as v from embeddings
+    where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+)"""
+
+OP11_SQL = f"""
+with {INTEGERS_SQL}, marked as (
+    select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, v from rows_ where label is not null
+), scored as (
+    select a.vec_id as anchor_id, a.label = x.label as same, x.vec_id as id, list_dot_product(a.v, x.v)::bigint as score
+    from marked a join marked x on a.vec_id % 50 = 0 and a.vec_id <> x.vec_id
+), positives as (
+    select anchor_id, id as positive_id, score as positive_score from scored where same
+    qualify row_number() over (partition by anchor_id order by score desc, id) <= 5
+)
+select anchor_id, positive_id, (row_number() over (partition by anchor_id, positive_id order by score desc, id))::int as rank,
+    id as negative_id, positive_score, score as negative_score
+from positives join scored using (anchor_id)
+where not same and 50 * positive_score <= 100 * score and 100 * score <= 95 * positive_score
+qualify row_number() over (partition by anchor_id, positive_id order by score desc, id) <= 3
+"""
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rest = ("doc_id", "source", "lang", "n_chars")
+    lower = F.translate("text", UPPER, UPPER.lower())
+    hit = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    leaf = merkle.digest(*rest, "text")
+    tampered = F.when(hit, merkle.digest(*rest, lower)).otherwise(leaf)
+    made = merkle.manifest(docs, leaf, key="doc_id", group="source", tampered=tampered)
+    return made.withColumn("folded_root", merkle.folded("tampered")).select(
+        "doc_id", "leaf", "subroot", "root", F.sha2(merkle.siblings(), 256).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified")
+    )
+
+
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+_FIELDS = ", ".join(f"coalesce(strlen({c}::varchar) || ':' || {c}::varchar, '-') as f{i + 1}" for i, c in enumerate(("doc_id", "source", "lang", "n_chars", "text", "lower_text")))
+#: CRC-32 of a number's decimal digits.
+_CRC = """xor(4294967295, list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(l.doc_id::varchar, ''), lambda x: ascii(x)::bigint)),
+            lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda r, k: case when r & 1 = 1 then xor(r >> 1, 3988292384) else r >> 1 end)))"""
+
+OP12_SQL = f"""
+with recursive docs as (
+    select doc_id, source, lang, n_chars, text, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as lower_text from documents
+), leaves as (
+    select doc_id, source, sha256(f1 || f2 || f3 || f4 || f5) as leaf, sha256(f1 || f2 || f3 || f4 || f6) as lowered
+    from (select doc_id, source, {_FIELDS} from docs)
+), numbered as (
+    select *, row_number() over (partition by source order by doc_id nulls first, leaf) - 1 as i, count(*) over (partition by source) as n from leaves
+), nodes as (
+    select source, 0 as lvl, i, n, leaf as node from numbered
+    union all
+    select source, lvl + 1, i // 16, (n + 15) // 16, sha256(string_agg(node, '' order by i)) from nodes where n > 1 group by source, lvl, i // 16, n
+), subroots as (
+    select source, lvl as h, node as subroot, row_number() over (order by source nulls first) - 1 as j, count(*) over () as m from nodes where n = 1
+), tops as (
+    select 0 as lvl, j as i, m as n, subroot as node from subroots
+    union all
+    select lvl + 1, i // 16, (n + 15) // 16, sha256(string_agg(node, '' order by i)) from tops where n > 1 group by lvl, i // 16, n
+), runs as (
+    select source, lvl, i, (select coalesce(string_agg(b.node, '' order by b.i), '') from nodes b where b.source is not distinct from a.source and b.lvl = a.lvl and b.i // 16 = a.i // 16 and b.i < a.i) as before,
+        (select coalesce(string_agg(b.node, '' order by b.i), '') from nodes b where b.source is not distinct from a.source and b.lvl = a.lvl and b.i // 16 = a.i // 16 and b.i > a.i) as after
+    from nodes a where n > 1
+), top_runs as (
+    select lvl, i, (select coalesce(string_agg(b.node, '' order by b.i), '') from tops b where b.lvl = a.lvl and b.i // 16 = a.i // 16 and b.i < a.i) as before,
+        (select coalesce(string_agg(b.node, '' order by b.i), '') from tops b where b.lvl = a.lvl and b.i // 16 = a.i // 16 and b.i > a.i) as after
+    from tops a where n > 1
+), walk as (
+    select l.doc_id, l.source, l.i as first, l.leaf, s.subroot, s.h, s.j, 0 as lvl, l.i as i, false as up, '' as proof,
+        case when {_CRC} % 5 = 0 then l.lowered else l.leaf end as folded
+    from numbered l join subroots s on s.source is not distinct from l.source
+    union all
+    select w.doc_id, w.source, w.first, w.leaf, w.subroot, w.h, w.j, case when w.up or w.lvl < w.h then w.lvl + 1 else 0 end,
+        case when w.up or w.lvl < w.h then w.i // 16 else w.j end, w.up or w.lvl >= w.h,
+        w.proof || coalesce(r.before || r.after, t.before || t.after, ''), case when r.before is not null then sha256(r.before || w.folded || r.after) when t.before is not null then sha256(t.before || w.folded || t.after) else w.folded end
+    from walk w left join runs r on not w.up and w.lvl < w.h and r.source is not distinct from w.source and r.lvl = w.lvl and r.i = w.i
+        left join top_runs t on w.up and t.lvl = w.lvl and t.i = w.i
+    where not w.up or exists (select 1 from tops x where x.lvl = w.lvl and x.n > 1)
+)
+select doc_id, leaf, subroot, (select node from tops where n = 1) as root, sha256(proof) as proof_sha256, folded as folded_root, folded = (select node from tops where n = 1) as verified
+from walk w where up and not exists (select 1 from tops x where x.lvl = w.lvl and x.n > 1)
+"""
+
+
+def op13_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    found = topk_search.search(topk_search.build(rows), rows.where("vec_id % 50 = 0"), k=5)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
+OP13_SQL = f"""
+with {INTEGERS_SQL}
+select q.vec_id as query_id, (row_number() over w)::int as rank, x.vec_id, list_dot_product(q.v, x.v)::bigint as score
+from rows_ q join rows_ x on q.vec_id % 50 = 0 and q.vec_id <> x.vec_id
+window w as (partition by q.vec_id order by list_dot_product(q.v, x.v) desc, x.vec_id)
+qualify rank <= 5
+"""
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_html": op2_html,
@@ -142,5 +248,8 @@ QUERIES = {
     "op8_shards": op8_shards,
     "op9_licenses": op9_licenses,
     "op10_toxicity": op10_toxicity,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_merkle": op12_merkle,
+    "op13_topk": op13_topk,
 }
-ORACLES = {"op3_decontaminate": OP3_SQL}
+ORACLES = {"op3_decontaminate": OP3_SQL, "op11_hard_negatives": OP11_SQL, "op12_merkle": OP12_SQL, "op13_topk": OP13_SQL}

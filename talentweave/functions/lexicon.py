@@ -26,6 +26,7 @@ LANGUAGES = ["english", "hindi", "french", "german", "spanish", "malayalam", "ta
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 PHONE = r"(?:(?:\+?\d{1,3}[\s-]?)?(?:\(?\d{2,4}\)?[\s-]?)?\d{3,4}[\s-]?\d{3,4})"
 URL = r"(https?://\S+|www\.\S+)"
+LINKEDIN, GITHUB = r"(?i)(linkedin\.com/[A-Za-z0-9_/\-]+)", r"(?i)(github\.com/[A-Za-z0-9_\-]+)"
 YEAR_RANGE = r"\b(?:19|20)\d{2}\s*[-–—]\s*(?:19|20)\d{2}\b"
 MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
 SEASONS = [("spring", "03"), ("summer", "06"), ("autumn", "09"), ("fall", "09"), ("winter", "12")]

@@ -46,21 +46,44 @@ def phones(x: Column, country: str | None = "IN") -> Column:
     return F.array_distinct(F.transform(F.filter(F.transform(found, collapse), lambda p: valid_phone(p, True)), lambda p: normal_phone(p, country)))
 
 
+def phones_as_written(x: Column) -> Column:
+    """Phone numbers of a text as they stand there, each once; a range of years may be one."""
+    found = F.transform(F.regexp_extract_all(x, F.lit(L.PHONE), F.lit(0)), collapse)
+    return F.array_distinct(F.filter(found, lambda p: valid_phone(p)))
+
+
 def urls(x: Column) -> Column:
     return F.regexp_extract_all(x, F.lit(L.URL), F.lit(1))
 
 
+def link(x: Column, pattern: str) -> Column:
+    """The first profile link of a text, null without one; the pattern is L.LINKEDIN or L.GITHUB."""
+    return F.nullif(F.regexp_extract(x, pattern, 1), F.lit(""))
+
+
 def unwrap_hyphens(x: Column) -> Column:
     """A hyphen between word characters goes, with white space after it."""
     return F.regexp_replace(x, r"(\w)-\s*(\w)", "$1$2")
 
 
 def join_spaced_caps(x: Column) -> Column:
-    """"A M A N" becomes "AMAN", then "S INGH" becomes "SINGH"."""
-    tight = F.regexp_replace(x, r"(?<=\b[A-Z])\s+(?=[A-Z]\b)", "")
+    """Three or more single capitals, "A M A N", become "AMAN", then "S INGH" becomes "SINGH"."""
+    tight = F.regexp_replace(x, r"(?<=\b[A-Z] [A-Z]) (?=[A-Z]\b)|(?<=\b[A-Z]) (?=[A-Z] [A-Z]\b)", "")
     return F.regexp_replace(tight, r"\b([A-Z])\s+([A-Z]{2,})\b", "$1$2")
 
 
+def person_name(x: Column, title_case: bool = True) -> Column:
+    """A line as a name: without addresses, profile links and bars, single capitals joined; one in capitals gets title
+    case, words of two letters excepted."""
+    bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(x, L.EMAIL, ""), L.LINKEDIN, ""), L.GITHUB, "")
+    name = join_spaced_caps(collapse(F.regexp_replace(bare, r"\s+\|\s+", " ")))
+    if not title_case:
+        return name
+    titled = lambda w: F.array_join(F.transform(F.split(w, r"(?<=\P{L})|(?=\P{L})"), lambda part: F.initcap(part)), "")
+    words = F.transform(F.split(name, " "), lambda w: F.when(F.length(w) > 2, titled(w)).otherwise(w))
+    return F.when(name.rlike(r"\p{Lu}") & ~name.rlike(r"\p{Ll}"), F.array_join(words, " ")).otherwise(name)
+
+
 def all_caps(x: Column) -> Column:
     """At least 90 % of the letters are upper-case, and there is one."""
     letters = F.regexp_count(x, F.lit(r"\p{L}"))

@@ -197,10 +197,10 @@ def sections_from_labels(lines: DataFrame, label: str = "label") -> DataFrame:
     return merge_adjacent(joined)
 
 
-def merge_adjacent(sections: DataFrame) -> DataFrame:
-    """Neighbouring sections of one type become one."""
+def merge_adjacent(sections: DataFrame, skip_empty: bool = False) -> DataFrame:
+    """Neighbouring sections of one type become one. skip_empty: an empty text adds no line."""
     df = islands(sections, "section_type", order="sec_no").withColumnRenamed("sec_no", "line_no")
-    parts = F.array_sort(F.collect_list(F.struct("line_no", "text")))
+    parts = F.array_sort(F.collect_list(F.when(F.col("text") != "", F.struct("line_no", "text")) if skip_empty else F.struct("line_no", "text")))
     return df.groupBy("doc_id", "island", "section_type").agg(
         F.btrim(F.array_join(F.transform(parts, lambda p: p["text"]), "\n"), F.lit(" \t\r\n")).alias("text"), F.min("first_page").alias("first_page"), F.max("last_page").alias("last_page")
     ).withColumnRenamed("island", "sec_no")
@@ -261,78 +261,159 @@ def relabel_headers(sections: DataFrame) -> DataFrame:
 
 
 def collapse_headers(sections: DataFrame) -> DataFrame:
-    """A header-only section hands its label to the next one, if that is "other", and goes. The next one is consumed."""
+    """A header-only section hands its label to the next one, if that is "other", and goes. The next one is consumed: it
+    opens nothing itself, so in a run of header-only sections every other one goes, and the last of a document stays."""
     own = X.lines(F.col("text"))
-    flagged = sections.withColumn("_h", F.coalesce((F.size(own) == 1) & X.looks_header_line(F.get(own, F.lit(0))), F.lit(False)))
+    order = Window.partitionBy("doc_id").orderBy("sec_no")
+    head = F.coalesce((F.size(own) == 1) & X.looks_header_line(F.get(own, F.lit(0))), F.lit(False))
+    df = sections.withColumn("_h", head).withColumns({"_run": F.sum((~F.col("_h")).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)), "_more": F.lead(F.lit(True)).over(order)})
+    # In a run a section that is no header comes first, except at a document's start, where none has number 0.
+    place = F.row_number().over(Window.partitionBy("doc_id", "_run").orderBy("sec_no")) - F.when(F.col("_run") > 0, 1).otherwise(0)
+    df = df.withColumn("_open", F.col("_h") & (place % 2 == 1) & F.col("_more").isNotNull())
+    df = df.withColumn("_from", F.when(F.lag("_open").over(order), F.lag("section_type").over(order)))
+    adopt = (F.col("section_type") == "other") & F.col("_from").isNotNull()
+    return df.withColumn("section_type", F.when(adopt, F.col("_from")).otherwise(F.col("section_type"))).where(~F.col("_open")).drop("_h", "_run", "_more", "_open", "_from")
 
-    def run(rows: list[dict]) -> list[dict]:
-        out, i = [], 0
-        while i < len(rows):
-            row = rows[i]
-            if row["_h"] and i + 1 < len(rows):
-                follower = rows[i + 1]
-                if follower["section_type"] == "other" and row["section_type"] != "other":
-                    follower["section_type"] = row["section_type"]
-                out.append(follower)
-                i += 2
-            else:
-                out.append(row)
-                i += 1
-        return out
 
-    return fold(flagged, run, sections.schema, ("sec_no",))
+def split_inline_headers(sections: DataFrame) -> DataFrame:
+    """A section of several lines is cut at the first line that names a label: what stands above keeps its type, the rest,
+    that line included, takes the label. Sections are numbered anew."""
+    own = X.lines(F.col("text"))
+    keys = "|".join(re.escape(key) for _, key, _ in L.header_entries())
+    names = F.array_position(F.transform(own, lambda s: F.coalesce(X.header_text(s).rlike(keys), F.lit(False))), True)
+    df = sections.withColumns({"_lines": own, "_at": F.when(F.size(own) > 1, names).otherwise(F.lit(0))})
+    piece = lambda kind, a, n, no: F.struct(F.lit(no).alias("no"), kind.alias("kind"), F.array_join(F.slice("_lines", a, n), "\n").alias("body"))
+    whole = F.struct(F.lit(0).alias("no"), F.col("section_type").alias("kind"), F.col("text").alias("body"))
+    label = X.header_label(F.get("_lines", F.greatest(F.col("_at") - 1, F.lit(0)).cast("int")))
+    at = F.col("_at").cast("int")
+    cut = F.array(piece(F.col("section_type"), F.lit(1), F.greatest(at - 1, F.lit(0)), 0), piece(label, F.greatest(at, F.lit(1)), F.size("_lines"), 1))
+    parts = df.withColumn("_p", F.explode(F.when(at > 0, F.filter(cut, lambda p: p["body"] != "")).otherwise(F.array(whole))))
+    number = F.row_number().over(Window.partitionBy("doc_id").orderBy("sec_no", "_p.no")).cast("long")
+    return parts.select("doc_id", number.alias("sec_no"), F.col("_p.kind").alias("section_type"), F.col("_p.body").alias("text"), "first_page", "last_page")
+
+
+def guard_names(sections: DataFrame, candidates: DataFrame) -> DataFrame:
+    """A first section that is one line of the candidate's name, or of a part of it, and was labelled as patents,
+    publications or other becomes a summary. candidates: (doc_id, full_name), a row a document at most."""
+    tight = lambda c: F.lower(F.replace(c, F.lit(" "), F.lit("")))
+    names = candidates.select("doc_id", tight(F.col("full_name")).alias("_name")).where("_name <> ''")
+    df = sections.join(names, "doc_id", "left").withColumn("_r", F.row_number().over(Window.partitionBy("doc_id").orderBy("sec_no")))
+    own = X.lines(F.col("text"))
+    line = tight(F.get(own, F.lit(0)))
+    named = F.contains(F.col("_name"), line) | F.contains(line, F.col("_name"))
+    hit = (F.col("_r") == 1) & (F.size(own) == 1) & named & F.col("section_type").isin("patents", "publications", "other")
+    return df.withColumn("section_type", F.when(hit, F.lit("summary")).otherwise(F.col("section_type"))).select(sections.columns)
 
 
-def split_inline_headers(sections: DataFrame) -> DataFrame:
-    """Sections cut before each header-like line that names a label; that line goes and its label holds from there."""
-    own = F.expr("posexplode_outer(filter(transform(split(text, '\\\\n'), s -> trim(s)), s -> s <> ''))")
-    df = sections.select("doc_id", "sec_no", "section_type", "first_page", "last_page", own).withColumnsRenamed({"pos": "line_no", "col": "line"})
-    label = F.when(X.looks_header_line(F.col("line")), X.header_label(F.col("line")))
-    order = Window.partitionBy("doc_id", "sec_no").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    df = df.withColumn("_h", label).withColumns({"_t": F.last("_h", ignorenulls=True).over(order), "_k": F.sum(F.col("_h").isNotNull().cast("int")).over(order)})
-    df = df.where("_h is null").withColumn("section_type", F.coalesce("_t", "section_type"))
-    parts = F.array_sort(F.collect_list(F.struct("line_no", "line")))
-    cut = df.groupBy("doc_id", "sec_no", "_k", "section_type", "first_page", "last_page").agg(F.array_join(F.transform(parts, lambda p: p["line"]), "\n").alias("text"))
-    number = F.row_number().over(Window.partitionBy("doc_id").orderBy("sec_no", "_k")).cast("long")
-    return cut.withColumn("sec_no", number).select("doc_id", "sec_no", "section_type", "text", "first_page", "last_page")
-
-
-def strip_contacts(sections: DataFrame) -> DataFrame:
-    """Lines that hold an e-mail address or a profile link go; `contacts` keeps the addresses."""
-    has = lambda s: s.rlike(L.EMAIL) | s.rlike(r"(?i)linkedin\.com/|github\.com/")
-    kept = F.array_join(F.filter(F.split("text", "\n"), lambda s: ~has(s)), "\n")
-    return sections.withColumns({"contacts": X.emails(F.col("text")), "text": kept})
+_CONTACT = "array<struct<kind: string, value: string, pos: int>>"
+#: Kinds of which a candidate has one; of the others a list.
+ONE_OF = ("linkedin", "github")
+
+
+def _found(text: Column) -> Column:
+    """The contacts of a line in the order in which they are looked for."""
+    many = lambda kind, values: F.transform(values, lambda v, i: F.struct(F.lit(kind).alias("kind"), v.alias("value"), i.alias("pos")))
+    one = lambda kind, value: F.filter(F.array(F.struct(F.lit(kind).alias("kind"), value.alias("value"), F.lit(0).alias("pos"))), lambda s: s["value"].isNotNull())
+    return F.concat(many("email", X.emails(text)), many("phone", X.phones(text)), one("linkedin", X.link(text, L.LINKEDIN)), one("github", X.link(text, L.GITHUB)), many("url", X.urls(text))).cast(_CONTACT)
+
+
+def promote_contacts(sections: DataFrame, candidates: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(sections, candidates): lines that add a contact to the candidate go from the sections, and their contacts join it.
+
+    A line goes only if it has an address, phone or URL that neither the candidate nor an earlier line of the document
+    had, or the first profile link of a kind that the candidate lacks. candidates: (doc_id, full_name, emails, phones,
+    linkedin, github), a row a document at most; they come back with links_other and with documents they lacked. A
+    null text counts as empty; every section stays, even if nothing is left of its text.
+    """
+    spark = sections.sparkSession
+    key = sections.schema["doc_id"].dataType.simpleString()
+    if candidates is None:
+        candidates = spark.createDataFrame([], f"doc_id {key}, full_name string, emails array<string>, phones array<string>, linkedin string, github string")
+    split = F.posexplode(F.split(F.coalesce("text", F.lit("")), r"\r\n|\n|\r"))
+    lines = sections.select("doc_id", "sec_no", split.alias("line_no", "line"))
+    # The first line of each document, kind and value; of profile links the first of each kind.
+    values = lines.select("doc_id", "sec_no", "line_no", F.explode(_found(F.col("line"))).alias("c")).select("doc_id", "sec_no", "line_no", "c.*")
+    slot = F.when(F.col("kind").isin(*ONE_OF), F.lit("")).otherwise(F.col("value"))
+    first = values.groupBy("doc_id", "kind", slot.alias("slot")).agg(F.min(F.struct("sec_no", "line_no", "pos", "value")).alias("at"))
+    nil = F.array().cast("array<string>")
+    have = candidates.select("doc_id", *[F.coalesce(c, nil).alias(f"_{c}") for c in ("emails", "phones")], *[F.nullif(F.col(c), F.lit("")).alias(f"_{c}") for c in ONE_OF])
+    known = F.coalesce(
+        ((F.col("kind") == "email") & F.array_contains("_emails", F.col("slot"))) | ((F.col("kind") == "phone") & F.array_contains("_phones", F.col("slot")))
+        | ((F.col("kind") == "linkedin") & F.col("_linkedin").isNotNull()) | ((F.col("kind") == "github") & F.col("_github").isNotNull()), F.lit(False))
+    new = first.join(have, "doc_id", "left").where(~known).select("doc_id", "kind", "at")
+    gone = new.select("doc_id", "at.sec_no", "at.line_no").distinct().withColumn("_gone", F.lit(True))
+    parts = F.array_sort(F.collect_list(F.when(F.col("_gone").isNull(), F.struct("line_no", "line"))))
+    text = F.btrim(F.array_join(F.transform(parts, lambda p: p["line"]), "\n"), F.lit(" \t\r\n"))
+    kept = lines.join(gone, ["doc_id", "sec_no", "line_no"], "left").groupBy("doc_id", "sec_no").agg(text.alias("text"))
+    stripped = sections.drop("text").join(kept, ["doc_id", "sec_no"]).select(sections.columns)
+    of = lambda kind: F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.col("at")))), lambda s: s["value"])
+    added = new.groupBy("doc_id").agg(of("email").alias("_e"), of("phone").alias("_p"), of("url").alias("links_other"), *[F.get(of(k), F.lit(0)).alias(f"_{k}") for k in ONE_OF])
+    grown = candidates.join(added, "doc_id", "full").select(
+        "doc_id", "full_name", *[F.concat(F.coalesce(c, nil), F.coalesce(a, nil)).alias(c) for c, a in (("emails", "_e"), ("phones", "_p"))],
+        *[F.coalesce(F.nullif(F.col(k), F.lit("")), F.col(f"_{k}")).alias(k) for k in ONE_OF], F.coalesce("links_other", nil).alias("links_other"),
+    )
+    return stripped, grown
 
 
 def drop_empty(sections: DataFrame) -> DataFrame:
     return sections.where(F.size(X.lines(F.col("text"))) > 0)
 
 
-def post_process(sections: DataFrame) -> DataFrame:
-    """The whole chain on sections (doc_id, sec_no, section_type, text, first_page, last_page), in its fixed order."""
+def post_process_all(sections: DataFrame, candidates: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(sections, candidates) after the whole chain, in its fixed order; see promote_contacts for the candidates."""
     df = relabel_after_strong(relabel_headers(sections))
     df = split_inline_headers(collapse_headers(df))
-    df = relabel_after_strong(retype_awards(df), X.date_only)
-    df = strip_contacts(absorb_other(df)).drop("contacts")
-    return drop_empty(merge_adjacent(df))
+    df = absorb_other(relabel_after_strong(retype_awards(df), X.date_only))
+    if candidates is not None:
+        df = guard_names(df, candidates)
+    df, grown = promote_contacts(df, candidates)
+    return drop_empty(merge_adjacent(df, skip_empty=True)), grown
 
 
-def candidate_name(lines: DataFrame) -> DataFrame:
-    """(doc_id, full_name): the largest of the first five lines of page one, without contacts and with tight capitals."""
-    top = lines.where("page = 1").withColumn("_r", F.row_number().over(Window.partitionBy("doc_id").orderBy("line_no"))).where("_r <= 5")
-    best = top.groupBy("doc_id").agg(F.max_by("text", F.struct("font_size", -F.col("_r"))).alias("raw"))
-    clean = F.regexp_replace(F.regexp_replace("raw", L.EMAIL, ""), r"\s+\|\s+", " ")
-    return best.select("doc_id", X.join_spaced_caps(X.collapse(clean)).alias("full_name"))
+def post_process(sections: DataFrame, candidates: DataFrame | None = None) -> DataFrame:
+    """The sections (doc_id, sec_no, section_type, text, first_page, last_page) after the whole chain."""
+    return post_process_all(sections, candidates)[0]
 
 
-def contacts(lines: DataFrame, top: int = 12, normalise: bool = True) -> DataFrame:
-    """(doc_id, emails, phones): those of the first lines of page one; of the whole document for a kind missing there."""
+def contacts(lines: DataFrame, top: int = 12, normalise: bool = True, title_case: bool = True) -> DataFrame:
+    """(doc_id, full_name, emails, phones, linkedin, github) of every document.
+
+    Contacts are those of the first `top` lines of page one, of profile links the last one there. A kind that is missing
+    there is taken from the first line of the document that has it; profile links only where addresses, phones or both
+    links are missing on top. The name is the largest of the first five lines of page one, the first of equals; a line
+    without a size counts with the median of the five. normalise=False and title_case=False leave phones and names as
+    they are written.
+    """
     order = Window.partitionBy("doc_id").orderBy("line_no")
-    on_top = (F.col("page") == 1) & (F.sum(F.when(F.col("page") == 1, 1).otherwise(0)).over(order) <= top)
-    df = lines.select("doc_id", "line_no", on_top.alias("_top"), X.emails(F.col("text")).alias("e"), X.phones(F.col("text"), "IN" if normalise else None).alias("p"))
-    some = lambda c, where: F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.when(where, F.struct("line_no", c)))), lambda s: s[c])))
-    got = df.groupBy("doc_id").agg(some("e", F.col("_top")).alias("te"), some("e", F.lit(True)).alias("ae"), some("p", F.col("_top")).alias("tp"), some("p", F.lit(True)).alias("ap"))
-    return got.select("doc_id", F.when(F.size("te") > 0, F.col("te")).otherwise(F.col("ae")).alias("emails"), F.when(F.size("tp") > 0, F.col("tp")).otherwise(F.col("ap")).alias("phones"))
+    place = F.when(F.col("page") == 1, F.sum(F.when(F.col("page") == 1, 1).otherwise(0)).over(order))
+    text = F.coalesce("text", F.lit(""))
+    size = F.col("font_size") if "font_size" in lines.columns else F.lit(None)
+    found = {"e": X.emails(text), "p": X.phones(text, "IN") if normalise else X.phones_as_written(text), "li": X.link(text, L.LINKEDIN), "gh": X.link(text, L.GITHUB)}
+    df = lines.select("doc_id", "line_no", place.alias("_r"), text.alias("text"), size.cast("double").alias("size"), *[v.alias(k) for k, v in found.items()])
+    on_top = F.coalesce(F.col("_r") <= top, F.lit(False))
+    lists = lambda c: F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.when(on_top & (F.size(c) > 0), F.struct("line_no", c)))), lambda s: s[c])))
+    first = lambda c, some: F.min(F.when(some, F.struct("line_no", c)))[c]
+    got = df.groupBy("doc_id").agg(
+        *[lists(c).alias(f"t{c}") for c in ("e", "p")], *[F.array_distinct(first(c, F.size(c) > 0)).alias(f"a{c}") for c in ("e", "p")],
+        *[F.max(F.when(on_top & F.col(c).isNotNull(), F.struct("line_no", c)))[c].alias(f"t{c}") for c in ("li", "gh")], *[first(c, F.col(c).isNotNull()).alias(f"a{c}") for c in ("li", "gh")],
+        F.array_sort(F.collect_list(F.when(F.col("_r") <= 5, F.struct("_r", "size", "text")))).alias("five"),
+    )
+    sizes = F.array_sort(F.transform(F.filter("five", lambda s: s["size"].isNotNull()), lambda s: s["size"]))
+    n = F.size(sizes)
+    median = F.coalesce((F.get(sizes, F.floor((n - 1) / 2).cast("int")) + F.get(sizes, F.floor(n / 2).cast("int"))) / 2, F.lit(0.0))
+    ranked = F.transform("five", lambda s: F.struct(F.when(F.coalesce(s["size"], F.lit(0.0)) == 0, F.col("_m")).otherwise(s["size"]).alias("size"), (-s["_r"]).alias("_r"), s["text"].alias("text")))
+    nil = F.array().cast("array<string>")
+    lacking = (F.size("te") == 0) | (F.size("tp") == 0) | (F.col("tli").isNull() & F.col("tgh").isNull())
+    return got.withColumn("_m", median).select(
+        "doc_id", X.person_name(F.array_max(ranked)["text"], title_case).alias("full_name"),
+        *[F.when(F.size(f"t{c}") > 0, F.col(f"t{c}")).otherwise(F.coalesce(f"a{c}", nil)).alias(k) for k, c in (("emails", "e"), ("phones", "p"))],
+        *[F.coalesce(f"t{c}", F.when(lacking, F.col(f"a{c}"))).alias(k) for k, c in (("linkedin", "li"), ("github", "gh"))],
+    )
+
+
+def candidate_name(lines: DataFrame) -> DataFrame:
+    """(doc_id, full_name) as contacts() finds it, of documents with a first page."""
+    return contacts(lines.where("page = 1")).select("doc_id", "full_name")
 
 
 def dedupe_headers(headers: DataFrame, near: int = 2) -> DataFrame:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from talentweave.functions import lexicon as L
 from talentweave.operators import layout as Y
 from talentweave.operators import sections as S
 from talentweave.plans import catalog as C
@@ -126,8 +127,37 @@ def section_merge(spark, sf):
     return S.merge_adjacent(_sections(spark, sf)).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"))
 
 
+def _resume(spark, sf):
+    """Conversations as resumes: headers alone, in texts and glued to nothing, dates, awards, and contacts that recur."""
+    c = C.table(spark, sf, "conversations")
+    t, line = F.col("turn"), lambda *parts: F.concat(*[p if not isinstance(p, str) else F.lit(p) for p in parts])
+    text = F.coalesce("text", F.lit(""))
+    mail = line("write to user", F.col("conv_id") % 5, t % 3, "@example.com or +1 555 01", F.lpad((t % 4).cast("string"), 5, "0"))
+    web = line("see https://example.com/", t, " and github.com/u", F.col("conv_id"), "\nlinkedin.com/in/u", t)
+    body = (
+        F.when(t == 0, F.when(F.col("conv_id") % 2 == 0, "JANE  DOE").otherwise("Doe")).when(t % 9 == 2, "EDUCATION").when(t % 9 == 3, "WORK EXPERIENCE").when(t % 9 == 5, "* 2019 - 2021")
+        .when(t % 9 == 6, line("- a point\n", text, "\nTechnical Skills\nsql, python\n", mail)).when(t % 9 == 1, line(text, "\nBest award\n", web)).when(t % 9 == 7, mail).otherwise(text)
+    )
+    kind = F.when(t == 0, F.when(F.col("conv_id") % 4 < 2, "patents").otherwise("other")).when(t % 5 == 0, "work_experience").when(t % 5 == 3, "skills").otherwise("other")
+    sections = c.select(F.col("conv_id").alias("doc_id"), t.alias("sec_no"), kind.alias("section_type"), body.alias("text"), (t + 1).alias("first_page"), (t + 2).alias("last_page"))
+    candidates = c.where("turn = 0").select(
+        F.col("conv_id").alias("doc_id"), F.when(F.col("conv_id") % 3 != 0, "Jane Doe").alias("full_name"), F.array(line("user", F.col("conv_id") % 5, "1@example.com")).alias("emails"), F.array().cast("array<string>").alias("phones"),
+        F.lit(None).cast("string").alias("linkedin"), F.when(F.col("conv_id") % 4 == 0, "github.com/own").alias("github"),
+    )
+    return sections, candidates
+
+
 def section_chain(spark, sf):
-    return S.post_process(_sections(spark, sf)).select("doc_id", "sec_no", "section_type", F.length("text").alias("chars"))
+    return S.post_process(*_resume(spark, sf)).select("doc_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("sec_no")).alias("n"), "section_type", "first_page", "last_page", F.sha1("text").alias("digest"))
+
+
+def contact_promotion(spark, sf):
+    """Of each resume the candidate's contacts after promotion, and what is left of its texts."""
+    kept, grown = S.promote_contacts(*_resume(spark, sf))
+    parts = F.array_sort(F.collect_list(F.struct("sec_no", "text")))
+    rest = kept.groupBy("doc_id").agg(F.sha1(F.array_join(F.transform(parts, lambda p: p["text"]), "|")).alias("rest"))
+    lists = [F.array_join(c, ",").alias(c) for c in ("emails", "phones", "links_other")]
+    return grown.join(rest, "doc_id").select("doc_id", *lists, "linkedin", "github", "rest")
 
 
 def headers_to_sections(spark, sf):
@@ -173,12 +203,12 @@ def wrapped_lines(spark, sf):
 
 
 def candidate_names(spark, sf):
-    return S.candidate_name(C.lines(spark, sf).where("length(text) > 0")).select("doc_id", F.length("full_name").alias("n"))
+    return S.candidate_name(C.lines(spark, sf).where("length(text) > 0")).select("doc_id", "full_name")
 
 
 def contacts_by_document(spark, sf):
     c = S.contacts(C.lines(spark, sf))
-    return c.where("size(emails) > 0 or size(phones) > 0").select("doc_id", F.array_join("emails", ",").alias("emails"), F.array_join("phones", ",").alias("phones"))
+    return c.where("size(emails) > 0 or size(phones) > 0").select("doc_id", F.array_join("emails", ",").alias("emails"), F.array_join("phones", ",").alias("phones"), "linkedin", "github")
 
 
 def section_counts(spark, sf):
@@ -242,14 +272,105 @@ def title_match(spark, sf):
     return Y.best_titles(p)
 
 
-QUERIES = {f.__name__: f for f in (bullet_lines, award_bullets, degree_merge, glued_roles, column_validation, rule_sections, glyph_cleanup, title_match, header_fill_down, label_islands, sections_from_labels, sliding_median, sliding_median_wide, median_font, lines_per_page, noise_filter, page_sample, page_texts, line_boxes, column_gap_cut, reading_order, two_list_merge, exclusive_quartiles, two_means, greedy_bands, layout_decision, absorb_other_runs, relabel_chain, section_merge, section_chain, headers_to_sections, header_spans, header_dedupe, flip_suppression, majority_window, low_confidence, wrapped_bullets, wrapped_lines, candidate_names, contacts_by_document, section_counts, sections_text, html_text_extract)}
+QUERIES = {f.__name__: f for f in (bullet_lines, award_bullets, degree_merge, glued_roles, column_validation, rule_sections, glyph_cleanup, title_match, header_fill_down, label_islands, sections_from_labels, sliding_median, sliding_median_wide, median_font, lines_per_page, noise_filter, page_sample, page_texts, line_boxes, column_gap_cut, reading_order, two_list_merge, exclusive_quartiles, two_means, greedy_bands, layout_decision, absorb_other_runs, relabel_chain, section_merge, section_chain, contact_promotion, headers_to_sections, header_spans, header_dedupe, flip_suppression, majority_window, low_confidence, wrapped_bullets, wrapped_lines, candidate_names, contacts_by_document, section_counts, sections_text, html_text_extract)}
 
 _SECTIONS = r"""secs as (select conv_id as doc_id, turn as sec_no, case when turn % 5 = 0 then 'work_experience' when turn % 5 = 3 then 'skills' else 'other' end as section_type,
     case when turn % 2 = 1 then '- a point' || chr(10) || coalesce(text, '') else regexp_replace(coalesce(text, ''), '\s+', ' ', 'g') end as text from conversations)"""
 _MEDIAN = f"with {C.LINES_SQL} select doc_id, line_no, round(quantile_cont(font_size, 0.5) over (partition by doc_id order by line_no rows between {{n}} preceding and {{n}} following), 6) as median from lines"
 _BOX = "boxes as (select l_orderkey as doc_id, l_linenumber as line_no, l_quantity as x0, l_quantity + 4 as x1, l_tax * 100 as y0, l_linenumber % 2 as col, l_returnflag as text from lineitem)"
 _NUMBERED = f"{_TURNS}, n as (select *, (line_no % 4) / 4 as score, row_number() over (partition by doc_id order by line_no) as r from turns)"
+#: The header lists as a table, and how a line is read for them.
+_KEYS = ", ".join(f"({i}, '{key}', '{label}')" for i, key, label in L.header_entries())
+_HEAD = r"trim(replace(replace(regexp_replace(lower(trim(@)), '[:|•\-–—\s]+$', ''), '&amp;', '&'), '  ', ' '))"
+_OWN = "list_filter(list_transform(string_split(@, chr(10)), lambda s: trim(s)), lambda s: s <> '')"
+_CAPS = r"(length(@) > 0 and ((len(regexp_split_to_array(@, '\s+')) <= 4 and len(regexp_extract_all(@, '\p{L}')) > 0 and len(regexp_extract_all(@, '\p{Lu}')) >= 0.9 * len(regexp_extract_all(@, '\p{L}'))) or regexp_matches(@, '[_\-]{4,}$')))"
+_LABEL = f"(select first(label order by h <> key, i) from keys, (select {_HEAD} as h) where contains(h, key))"
+_BULLET = r"regexp_matches(@, '^[•\-–—*]')"
+_YEARS = rf"regexp_matches(@, '{L.YEAR_RANGE}')"
+
+
+def _of(template: str, x: str) -> str:
+    return template.replace("@", x)
+
+
+_BODY = f"(len(list_filter(@[1:3], lambda s: {_of(_BULLET, 's')})) > 0 or len(list_filter(@[1:5], lambda s: {_of(_YEARS, 's')})) > 0)"
+
+
+def _phones_sql(x: str) -> str:
+    bare = "regexp_replace(p, '[^0-9]', '', 'g')"
+    tokens = rf"list_transform(regexp_extract_all({x}, '{L.PHONE}'), lambda p: trim(regexp_replace(p, '\s+', ' ', 'g')))"
+    valid = f"list_filter({tokens}, lambda p: not {_of(_YEARS, 'p')} and length({bare}) between 8 and 15 and (length({bare}) > 9 or starts_with(p, '+')))"
+    return f"list_transform({valid}, lambda p: case when starts_with(p, '+') then '+' || {bare} when length({bare}) = 10 then '+91 ' || {bare} else {bare} end)"
+
+
+_RESUME = """t as (select *, coalesce(text, '') as x, 'write to user' || (conv_id % 5) || (turn % 3) || '@example.com or +1 555 01' || lpad((turn % 4)::varchar, 5, '0') as mail,
+        'see https://example.com/' || turn || ' and github.com/u' || conv_id || chr(10) || 'linkedin.com/in/u' || turn as web from conversations),
+    resume as (select conv_id as doc_id, turn as sec_no, case when turn = 0 then (case when conv_id % 4 < 2 then 'patents' else 'other' end) when turn % 5 = 0 then 'work_experience' when turn % 5 = 3 then 'skills' else 'other' end as section_type,
+        case when turn = 0 then (case when conv_id % 2 = 0 then 'JANE  DOE' else 'Doe' end) when turn % 9 = 2 then 'EDUCATION' when turn % 9 = 3 then 'WORK EXPERIENCE' when turn % 9 = 5 then '* 2019 - 2021'
+            when turn % 9 = 6 then '- a point' || chr(10) || x || chr(10) || 'Technical Skills' || chr(10) || 'sql, python' || chr(10) || mail when turn % 9 = 1 then x || chr(10) || 'Best award' || chr(10) || web when turn % 9 = 7 then mail else x end as text,
+        turn + 1 as first_page, turn + 2 as last_page from t),
+    candidates as (select conv_id as doc_id, case when conv_id % 3 <> 0 then 'Jane Doe' end as full_name, ['user' || (conv_id % 5) || '1@example.com'] as emails, case when conv_id % 4 = 0 then 'github.com/own' end as github from conversations where turn = 0)"""
+#: Steps of the promotion from sections s(doc_id, sec_no, text) to new_(values that lines add) and kept(doc_id, sec_no, text).
+_PROMOTE = rf"""ln as (select doc_id, sec_no, unnest(string_split(text, chr(10))) as line, unnest(range(len(string_split(text, chr(10))))) as line_no from s),
+    vals as (select doc_id, sec_no, line_no, 'email' as kind, unnest(regexp_extract_all(line, '{L.EMAIL}')) as value, unnest(range(len(regexp_extract_all(line, '{L.EMAIL}')))) as pos from ln
+        union all select doc_id, sec_no, line_no, 'phone', p, pos from (select doc_id, sec_no, line_no, unnest({_phones_sql("line")}) as p, unnest(range(len({_phones_sql("line")}))) as pos from ln)
+        union all select doc_id, sec_no, line_no, 'url', unnest(regexp_extract_all(line, '{L.URL}')), unnest(range(len(regexp_extract_all(line, '{L.URL}')))) from ln
+        union all select doc_id, sec_no, line_no, 'linkedin', regexp_extract(line, '{L.LINKEDIN}', 1), 0 from ln where regexp_matches(line, '{L.LINKEDIN}')
+        union all select doc_id, sec_no, line_no, 'github', regexp_extract(line, '{L.GITHUB}', 1), 0 from ln where regexp_matches(line, '{L.GITHUB}')),
+    firsts as (select * from vals qualify row_number() over (partition by doc_id, kind, case when kind in ('linkedin', 'github') then '' else value end order by sec_no, line_no, pos) = 1),
+    new_ as (select f.* from firsts f left join candidates c using (doc_id) where not coalesce(kind = 'email' and list_contains(c.emails, value), false) and not coalesce(kind = 'github' and c.github is not null, false)),
+    kept as (select ln.doc_id, ln.sec_no, trim(coalesce(string_agg(line, chr(10) order by ln.line_no) filter (where g.doc_id is null), ''), ' ' || chr(9) || chr(10) || chr(13)) as text
+        from ln left join (select distinct doc_id, sec_no, line_no from new_) g on g.doc_id = ln.doc_id and g.sec_no = ln.sec_no and g.line_no = ln.line_no group by ln.doc_id, ln.sec_no)"""
+_CONTACTS = rf"""found as (select doc_id, line_no, case when page = 1 then sum(case when page = 1 then 1 else 0 end) over (partition by doc_id order by line_no) end as r, text, font_size,
+        regexp_extract_all(text, '{L.EMAIL}') as e, {_phones_sql("text")} as p, nullif(regexp_extract(text, '{L.LINKEDIN}', 1), '') as li, nullif(regexp_extract(text, '{L.GITHUB}', 1), '') as gh from lines),
+    tops as (select doc_id, list_filter(flatten(list(e order by line_no) filter (where r <= 12)), lambda x: true) as te, flatten(list(p order by line_no) filter (where r <= 12)) as tp, arg_max(li, line_no) filter (where r <= 12 and li is not null) as tli, arg_max(gh, line_no) filter (where r <= 12 and gh is not null) as tgh,
+        arg_min(e, line_no) filter (where len(e) > 0) as ae, arg_min(p, line_no) filter (where len(p) > 0) as ap, arg_min(li, line_no) filter (where li is not null) as ali, arg_min(gh, line_no) filter (where gh is not null) as agh from found group by doc_id)"""
+_DISTINCT = "list_filter({x}, lambda v, i: list_position({x}, v) = i)"
 ORACLES = {
+    "contact_promotion": f"""with {_RESUME}, s as (select * from resume), {_PROMOTE},
+        added as (select doc_id, string_agg(value, ',' order by sec_no, line_no, pos) filter (where kind = 'email') as e, string_agg(value, ',' order by sec_no, line_no, pos) filter (where kind = 'phone') as p,
+            string_agg(value, ',' order by sec_no, line_no, pos) filter (where kind = 'url') as u, max(value) filter (where kind = 'linkedin') as li, max(value) filter (where kind = 'github') as gh from new_ group by doc_id),
+        rest as (select doc_id, sha1(string_agg(text, '|' order by sec_no)) as rest from kept group by doc_id)
+        select c.doc_id, array_to_string(c.emails, ',') || coalesce(',' || a.e, '') as emails, coalesce(a.p, '') as phones, coalesce(a.u, '') as links_other, a.li as linkedin, coalesce(c.github, a.gh) as github, r.rest
+        from candidates c join rest r using (doc_id) left join added a using (doc_id)""",
+    "section_chain": f"""with recursive keys(i, key, label) as (values {_KEYS}), {_RESUME},
+        s0 as (select *, {_of(_OWN, "text")} as o from resume),
+        s1 as (select * replace (case when len(o) = 1 and {_of(_CAPS, "o[1]")} then coalesce({_of(_LABEL, "o[1]")}, section_type) else section_type end as section_type), {_of(_BODY, "o")} as body, len(o) = 1 and {_of(_CAPS, "o[1]")} as head, row_number() over (partition by doc_id order by sec_no) as r, count(*) over (partition by doc_id) as n from s0),
+        w as (select doc_id, r, section_type as kind from s1 where r = 1 union all
+            select b.doc_id, b.r, case when b.section_type = 'other' and b.body and w.kind in ('work_experience', 'projects', 'education', 'internships') then w.kind else b.section_type end from w join s1 b on b.doc_id = w.doc_id and b.r = w.r + 1),
+        s2 as (select s1.* replace (w.kind as section_type) from s1 join w using (doc_id, r)),
+        v as (select doc_id, r, head and r < n as opens, null::varchar as given from s2 where r = 1 union all
+            select b.doc_id, b.r, b.head and b.r < b.n and not v.opens, case when v.opens then a.section_type end from v join s2 b on b.doc_id = v.doc_id and b.r = v.r + 1 join s2 a on a.doc_id = v.doc_id and a.r = v.r),
+        s3 as (select s2.* replace (case when s2.section_type = 'other' and v.given is not null then v.given else s2.section_type end as section_type) from s2 join v using (doc_id, r) where not v.opens),
+        ix as (select *, list_transform(o, lambda l: {_of(_HEAD, "l")}) as hs from s3),
+        iy as (select *, case when len(o) > 1 then list_position(list_transform(hs, lambda h: regexp_matches(h, '{"|".join(k for _, k, _ in L.header_entries())}')), true) end as k from ix),
+        iz as (select *, {_of(_LABEL, "o[k]")} as found from iy),
+        parts as (select doc_id, sec_no, 0 as part, section_type, case when k is null then text else array_to_string(o[1:k - 1], chr(10)) end as text, first_page, last_page from iz where k is null or k > 1
+            union all select doc_id, sec_no, 1, found, array_to_string(o[k:], chr(10)), first_page, last_page from iz where k is not null),
+        s4 as (select *, {_of(_OWN, "text")} as o, row_number() over (partition by doc_id order by sec_no, part) as r from parts),
+        s5 as (select * replace (case when section_type in ('responsibility', 'other') and regexp_matches(lower(text), 'award|honors|honours') and (len(o) >= 2 or len(list_filter(o, lambda s: {_of(_BULLET, "s")})) > 0) then 'achievements' else section_type end as section_type),
+            len(o) = 1 and {_of(_YEARS, "regexp_replace(trim(text), '^[*–—•z-] *', '', 'i')")} as dated, {_of(_BODY, "o")} or len(o) >= 2 as body from s4),
+        y as (select doc_id, r, section_type as kind from s5 where r = 1 union all
+            select b.doc_id, b.r, case when b.section_type = 'other' and b.dated and y.kind in ('work_experience', 'projects', 'education', 'internships') then y.kind else b.section_type end from y join s5 b on b.doc_id = y.doc_id and b.r = y.r + 1),
+        s6 as (select s5.* replace (y.kind as section_type) from s5 join y using (doc_id, r)),
+        runs as (select *, sum((section_type <> 'other')::int) over (partition by doc_id order by r) as g, last_value(case when section_type <> 'other' then section_type end ignore nulls) over (partition by doc_id order by r rows between unbounded preceding and current row) as l,
+            first_value(case when section_type <> 'other' then section_type end ignore nulls) over (partition by doc_id order by r rows between current row and unbounded following) as q from s6),
+        s7 as (select * replace (case when section_type = 'other' and l is not null and q is not null and bool_or(body and section_type = 'other') over (partition by doc_id, g) then l else section_type end as section_type) from runs),
+        s as (select s7.doc_id, r as sec_no, text, first_page, last_page, case when r = 1 and len(o) = 1 and full_name is not null and section_type in ('patents', 'publications', 'other')
+            and (contains('janedoe', lower(replace(o[1], ' ', ''))) or contains(lower(replace(o[1], ' ', '')), 'janedoe')) then 'summary' else section_type end as section_type from s7 left join candidates c on c.doc_id = s7.doc_id),
+        {_PROMOTE},
+        m as (select s.doc_id, s.sec_no, s.section_type, kept.text, first_page, last_page, (section_type is distinct from lag(section_type) over (partition by s.doc_id order by s.sec_no))::int as ch from s join kept on kept.doc_id = s.doc_id and kept.sec_no = s.sec_no),
+        g as (select *, sum(ch) over (partition by doc_id order by sec_no) as grp from m),
+        z as (select doc_id, grp, section_type, coalesce(string_agg(text, chr(10) order by sec_no) filter (where text <> ''), '') as text, min(first_page) as first_page, max(last_page) as last_page from g group by all)
+        select doc_id, (row_number() over (partition by doc_id order by grp))::int as n, section_type, first_page, last_page, sha1(text) as digest from z where text <> ''""",
+    "contacts_by_document": f"""with {C.LINES_SQL}, {_CONTACTS}, d as (select doc_id, case when len(te) > 0 then {_DISTINCT.format(x="te")} else {_DISTINCT.format(x="ae")} end as e, case when len(tp) > 0 then {_DISTINCT.format(x="tp")} else {_DISTINCT.format(x="ap")} end as p,
+            coalesce(tli, case when len(te) = 0 or len(tp) = 0 or (tli is null and tgh is null) then ali end) as linkedin, coalesce(tgh, case when len(te) = 0 or len(tp) = 0 or (tli is null and tgh is null) then agh end) as github from tops)
+        select doc_id, coalesce(array_to_string(e, ','), '') as emails, coalesce(array_to_string(p, ','), '') as phones, linkedin, github from d where len(e) > 0 or len(p) > 0""",
+    "candidate_names": rf"""with {C.LINES_SQL}, f as (select doc_id, text, font_size, row_number() over (partition by doc_id order by line_no) as r from lines where length(text) > 0 and page = 1),
+        b as (select doc_id, arg_max(text, (font_size, -r)) as raw from f where r <= 5 group by doc_id),
+        n as (select doc_id, regexp_replace(trim(regexp_replace(regexp_replace(regexp_replace(raw, '{L.EMAIL}', '', 'g'), '\s+\|\s+', ' ', 'g'), '[\s\p{{Z}}]+', ' ', 'g')), '\b([A-Z])\s+([A-Z]{{2,}})\b', '\1\2', 'g') as name from b)
+        select doc_id, case when regexp_matches(name, '\p{{Lu}}') and not regexp_matches(name, '\p{{Ll}}') then array_to_string(list_transform(string_split(name, ' '),
+            lambda w: case when length(w) > 2 then array_to_string(list_transform(string_split(w, ''), lambda ch, i: case when i = 1 or not regexp_matches(w[i - 1], '\p{{L}}') then upper(ch) else lower(ch) end), '') else w end), ' ') else name end as full_name from n""",
     "majority_window": f"""with {_NUMBERED}, near as (select a.doc_id, a.line_no, b.role as label, count(*) as c, min(abs(b.line_no - a.line_no)) as far from n a join n b on a.doc_id = b.doc_id and b.r between a.r - 2 and a.r + 2 group by all),
         best as (select * from near qualify row_number() over (partition by doc_id, line_no order by c desc, far, label) = 1)
         select n.doc_id, n.line_no, case when n.score < 0.45 then b.label else n.role end as label from n join best b on b.doc_id = n.doc_id and b.line_no = n.line_no""",

@@ -42,6 +42,7 @@ def test_text_rules(spark):
     assert one(spark, X.season_to_month(F.col("a")), a="Spring ’20") == "2020-03"
     assert one(spark, X.collapse(F.col("a")), a=" a\xa0\t b\n") == "a b"
     assert one(spark, X.join_spaced_caps(F.col("a")), a="A M A N and S INGH") == "AMAN and SINGH"
+    assert one(spark, X.join_spaced_caps(F.col("a")), a="A B test, X Y Z") == "A B test, XYZ"
     assert one(spark, X.unwrap_hyphens(F.col("a")), a="data-\nbase well-known") == "database wellknown"
     assert one(spark, X.skills(F.col("a")), a="JavaScript, digital c") == ["git", "java", "javascript"]
     assert one(spark, X.header_label(F.col("a")), a="TECHNICAL SKILLS:") == "skills" and one(spark, X.header_label(F.col("a")), a="plain") is None
@@ -113,6 +114,71 @@ def test_section_chain(spark):
     assert got == [("education", "B.Tech\n2018 - 2022"), ("work_experience", "did things\n- a point\n2019-2020"), ("skills", "python"), ("other", "tail")]
 
 
+def _cut(spark, *rows):
+    return spark.createDataFrame([(0, i, k, t, i, i + 1) for i, (k, t) in enumerate(rows)], "doc_id int, sec_no long, section_type string, text string, first_page int, last_page int")
+
+
+def test_sections_are_cut_at_the_first_line_that_names_a_label(spark):
+    got = sections.split_inline_headers(_cut(spark, ("other", "intro\nTechnical Skills\npython\nEDUCATION\nB.Tech"), ("projects", "Skills"), ("summary", "Work Experience :\n did\n\nmore"), ("other", None)))
+    assert [(r.sec_no, r.section_type, r.text, r.first_page) for r in got.orderBy("sec_no").collect()] == [
+        (1, "other", "intro", 0), (2, "skills", "Technical Skills\npython\nEDUCATION\nB.Tech", 0), (3, "projects", "Skills", 1), (4, "work_experience", "Work Experience :\ndid\nmore", 2), (5, "other", None, 3),
+    ]
+
+
+def test_every_other_header_of_a_run_goes(spark):
+    rng = random.Random(8)
+    for _ in range(4):
+        kinds = [(rng.choice(["other", "skills", "education"]), rng.choice(["EDUCATION", "plain text", "RULE ____"])) for _ in range(30)]
+        want, i = [], 0
+        while i < len(kinds):
+            kind, text = kinds[i]
+            if text != "plain text" and i + 1 < len(kinds):
+                below = kinds[i + 1]
+                want.append((kind if below[0] == "other" else below[0], below[1]))
+                i += 2
+            else:
+                want.append((kind, text))
+                i += 1
+        got = sections.collapse_headers(_cut(spark, *kinds))
+        assert [(r.section_type, r.text) for r in got.orderBy("sec_no").collect()] == want
+        assert "MapInArrow" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_contacts_join_the_candidate_once(spark):
+    kind = "doc_id int, full_name string, emails array<string>, phones array<string>, linkedin string, github string"
+    known = spark.createDataFrame([(0, "Ann", ["a@b.co"], None, None, "github.com/ann")], kind)
+    df = _cut(spark, ("other", "again a@b.co\nnew c@d.org and a@b.co\nphone +1 555 010 0001"), ("skills", "sql\ncall +15550100001\ngithub.com/other\nlinkedin.com/in/a"), ("other", "linkedin.com/in/b\nhttps://x.y/z\nhttps://x.y/z\n2018 - 2020"), ("other", None), ("other", "c@d.org"))
+    kept, grown = sections.promote_contacts(df.unionByName(df.withColumn("doc_id", F.lit(1)).where("sec_no = 4")), known)
+    assert [r.text for r in kept.where("doc_id = 0").orderBy("sec_no").collect()] == ["again a@b.co", "sql\ncall +15550100001\ngithub.com/other", "linkedin.com/in/b\nhttps://x.y/z\n2018 - 2020", "", "c@d.org"]
+    a, b = grown.orderBy("doc_id").collect()
+    assert (a.full_name, a.emails, a.phones, a.linkedin, a.github, a.links_other) == ("Ann", ["a@b.co", "c@d.org"], ["+15550100001"], "linkedin.com/in/a", "github.com/ann", ["https://x.y/z"])
+    assert (b.full_name, b.emails, b.phones, b.linkedin, b.links_other) == (None, ["c@d.org"], [], None, [])
+    assert sections.promote_contacts(df.limit(0), known.limit(0))[1].count() == 0
+
+
+def test_a_name_is_no_patent(spark):
+    df = _cut(spark, ("patents", "ANN  LEE"), ("patents", "Ann Lee"))
+    names = spark.createDataFrame([(0, "Ann Lee Smith")], "doc_id int, full_name string")
+    assert [r.section_type for r in sections.guard_names(df, names).orderBy("sec_no").collect()] == ["summary", "patents"]
+    assert [r.section_type for r in sections.guard_names(df, names.limit(0)).orderBy("sec_no").collect()] == ["patents", "patents"]
+    assert sections.guard_names(_cut(spark, ("skills", "Ann Lee")), names).first().section_type == "skills"
+
+
+def test_contacts_come_from_the_top_or_else_from_the_first_line_that_has_them(spark):
+    def found(texts, sizes=None, **more):
+        rows = [(7, i, 1 + i // 20, t, (sizes or {}).get(i, 10.0)) for i, t in enumerate(texts)]
+        return sections.contacts(spark.createDataFrame(rows, "doc_id int, line_no int, page int, text string, font_size double"), **more).first()
+
+    r = found(["J O N LEE | a@b.co", "github.com/x linkedin.com/in/one", "linkedin.com/in/two", *["-"] * 12, "c@d.org", "98765 43210, 2018 - 2022", "91234 56789"], {0: 20.0})
+    assert (r.full_name, r.emails, r.phones, r.linkedin, r.github) == ("Jon Lee", ["a@b.co"], ["+91 9876543210"], "linkedin.com/in/two", "github.com/x")
+    r = found(["JO O'NEIL-SMITH", None, *["-"] * 12, "x@y.zz u@v.ww", "late@z.zz github.com/late"], {0: None, 1: 0.0, 2: 9.0})
+    assert (r.full_name, r.emails, r.phones, r.github) == ("JO O'Neil-Smith", ["x@y.zz", "u@v.ww"], [], "github.com/late")
+    r = found(["a@b.co +1 555 010 0001 github.com/x", *["-"] * 12, "linkedin.com/in/never"])
+    assert (r.linkedin, r.github) == (None, "github.com/x")
+    r = found(["ANN LEE", "98765-43210", "98765-43210"], normalise=False, title_case=False)
+    assert (r.full_name, r.phones) == ("ANN LEE", ["98765-43210"])
+
+
 def test_sections_from_header_lines(spark):
     texts = ["Jane", "WORK EXPERIENCE", "Acme", "did", "Skills:", "sql", "", "python"]
     df = spark.createDataFrame([(0, i, 1 + i // 4, t) for i, t in enumerate(texts)], "doc_id int, line_no int, page int, text string")

@@ -170,7 +170,7 @@ def test_manifest_equals_a_plain_tree(spark, fanout, levels, sizes):
     got = sorted(repr((r.k, r.g, r.leaf, r["index"], r.subroot, r.root, [(p.before, p.after) for p in r.proof])) for r in found)
     for a, b in zip(sorted(map(repr, want)), got, strict=True):
         assert a == b
-    again = spark.createDataFrame(found).withColumn("ok", merkle.folded() == F.col("root"))
+    again = spark.createDataFrame([(r.leaf, r.root, r.proof) for r in found], f"leaf string, root string, proof {merkle.PROOF}").withColumn("ok", merkle.folded() == F.col("root"))
     assert again.where("not ok").count() == 0
 
 

@@ -169,9 +169,9 @@ def test_contacts_come_from_the_top_or_else_from_the_first_line_that_has_them(sp
         rows = [(7, i, 1 + i // 20, t, (sizes or {}).get(i, 10.0)) for i, t in enumerate(texts)]
         return sections.contacts(spark.createDataFrame(rows, "doc_id int, line_no int, page int, text string, font_size double"), **more).first()
 
-    r = found(["J O N LEE | a@b.co", "github.com/x linkedin.com/in/one", "linkedin.com/in/two", *["-"] * 12, "c@d.org", "98765 43210, 2018 - 2022", "91234 56789"], {0: 20.0})
+    r = found(["J O N LEE | a@b.co", "github.com/x linkedin.com/in/one", "linkedin.com/in/two", *["-"] * 12, "c@d.org", "987 654 3210, 2018 - 2022", "912 345 6789"], {0: 20.0})
     assert (r.full_name, r.emails, r.phones, r.linkedin, r.github) == ("Jon Lee", ["a@b.co"], ["+91 9876543210"], "linkedin.com/in/two", "github.com/x")
-    r = found(["JO O'NEIL-SMITH", None, *["-"] * 12, "x@y.zz u@v.ww", "late@z.zz github.com/late"], {0: None, 1: 0.0, 2: 9.0})
+    r = found(["JO O'NEIL-SMITH", None, *["-"] * 12, "x@y.zz u@v.ww", "late@z.zz github.com/late"], {0: None, 1: 0.0, 2: 9.0, 3: 9.0, 4: 9.0})
     assert (r.full_name, r.emails, r.phones, r.github) == ("JO O'Neil-Smith", ["x@y.zz", "u@v.ww"], [], "github.com/late")
     r = found(["a@b.co +1 555 010 0001 github.com/x", *["-"] * 12, "linkedin.com/in/never"])
     assert (r.linkedin, r.github) == (None, "github.com/x")

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from talentweave.functions import lexicon as L
 from talentweave.operators import retrieval as R
+from talentweave.operators import vector_index as VI
 from talentweave.plans import catalog as C
+from talentweave.sources import scratch
 
 PAIRS = """queries as (
     select vec_id as qid, embedding::double[] as q, case vec_id when 0 then 1.7 when 7 then 1.15 else 1.0 end::double as weight from embeddings where vec_id in (0, 7, 13, 21)
@@ -24,6 +26,11 @@ PAIRS = """queries as (
 )"""
 
 
+MANY = """many as (
+    select q.vec_id as qid, e.vec_id as id, e.label, round(1 - list_cosine_similarity(q.embedding::double[], e.embedding::double[]), 6) as dist from embeddings q, embeddings e where q.vec_id % 50 = 0
+)"""
+
+
 def _store(spark: SparkSession, sf: str) -> DataFrame:
     return C.table(spark, sf, "embeddings")
 
@@ -41,6 +48,30 @@ def knn_filtered(spark, sf):
     return R.knn(store, C.query_vectors(spark, sf), 5, id_col="vec_id").select("qid", "id", "dist", "rank")
 
 
+def _index(spark, sf):
+    return VI.build(_store(spark, sf), scratch.folder(spark), id_col="vec_id")
+
+
+def _many(spark, sf):
+    return _store(spark, sf).where("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), "embedding", F.lit(1.0).alias("weight"))
+
+
+def vector_index_topk(spark, sf):
+    return VI.search(_index(spark, sf), _many(spark, sf)).select("qid", "id", "dist", "rank")
+
+
+def vector_index_filtered(spark, sf):
+    return VI.search(_index(spark, sf), _many(spark, sf), 5, where={"label": [1, 2, 3]}).select("qid", "id", "dist", "rank")
+
+
+def vector_index_cells(spark, sf):
+    """How many cells and vectors each query visits and what share of the store it leaves unread."""
+    index = _index(spark, sf)
+    n = sum(c[1] for c in index.cells)
+    visits = VI.plan(index, _many(spark, sf), 5)[0]
+    return visits.groupBy("qid").agg(F.count(F.lit(1)).alias("cells"), F.sum("vectors").alias("vectors"), F.round(1 - F.sum("vectors") / F.lit(n), 6).alias("pruned"))
+
+
 def rrf_weighted(spark, sf):
     return R.fuse(R.knn(_store(spark, sf), C.query_vectors(spark, sf), id_col="vec_id"))
 
@@ -133,7 +164,7 @@ def min_length_filter(spark, sf):
     return C.table(spark, sf, "documents").where(F.length(F.trim("text")) >= L.LEAST_CHUNK).select("doc_id", "n_chars")
 
 
-QUERIES = {f.__name__: f for f in (knn_topk, knn_filtered, rrf_weighted, rrf_unweighted, rerank_cosine, semantic_search_pipeline, filtered_search_pipeline, mmr_select, fallback_nearest, fallback_not_needed, source_rollup, top_source, lateral_topk_per_scope, context_by_person, skill_post_filter, query_variants, chunk_recursive, chunk_dedupe_sha1, min_length_filter)}
+QUERIES = {f.__name__: f for f in (knn_topk, knn_filtered, vector_index_topk, vector_index_filtered, vector_index_cells, rrf_weighted, rrf_unweighted, rerank_cosine, semantic_search_pipeline, filtered_search_pipeline, mmr_select, fallback_nearest, fallback_not_needed, source_rollup, top_source, lateral_topk_per_scope, context_by_person, skill_post_filter, query_variants, chunk_recursive, chunk_dedupe_sha1, min_length_filter)}
 
 ORACLES = {
     "filtered_search_pipeline": f"""with {PAIRS}, fh as (select p.qid, p.id, row_number() over (partition by qid order by dist, id) as rank from pairs p join embeddings e on e.vec_id = p.id where label in (1, 2, 3) qualify rank <= 30),
@@ -142,6 +173,8 @@ ORACLES = {
         top as (select id, first_rank, round(1 - score, 6) as dist, score from fr order by score desc, first_rank, id limit 10) select * from top where dist <= 0.9""",
     "knn_topk": f"with {PAIRS} select qid, id, dist, rank::int as rank from hits",
     "knn_filtered": f"with {PAIRS} select qid, id, dist, row_number() over (partition by qid order by dist, id)::int as rank from pairs join embeddings on vec_id = id where label in (1, 2, 3) qualify rank <= 5",
+    "vector_index_topk": f"with {MANY} select qid, id, dist, row_number() over (partition by qid order by dist, id)::int as rank from many qualify rank <= 30",
+    "vector_index_filtered": f"with {MANY} select qid, id, dist, row_number() over (partition by qid order by dist, id)::int as rank from many where label in (1, 2, 3) qualify rank <= 5",
     "rrf_weighted": f"with {PAIRS} select id, score, first_rank, dist from pool",
     "rrf_unweighted": f"with {PAIRS} select id, round(sum(1.0::double / (60 + rank)), 8) as score, min(rank)::int as first_rank, min(dist) as dist from hits group by id order by score desc, first_rank, id limit 30",
     "rerank_cosine": f"with {PAIRS} select id, first_rank, score from ranked",

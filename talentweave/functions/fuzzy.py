@@ -92,6 +92,22 @@ def near_terms(x: Column, words: list[str], cutoff: float, spare_below: int, top
     return F.pandas_udf(run, "array<string>")(x)
 
 
+def closest(x: Column, words: list[str], score, cutoff: float, top: int) -> Column:
+    """array of struct(pos, word, score) of the `top` listed words that score best with a text, the cutoff at least, best
+    first, then in listed order. A text meets the list inside one call; repeated texts of a batch are scored once, null
+    ones not at all."""
+
+    def of(text: str) -> list[dict]:
+        best = sorted((-score(w, text), i) for i, w in enumerate(words))[:top]
+        return [{"pos": i, "word": words[i], "score": -s} for s, i in best if -s >= cutoff]
+
+    def run(s: pd.Series) -> pd.Series:
+        known = {t: of(t) for t in s.dropna().unique()}
+        return pd.Series([[] if t is None else known[t] for t in s])
+
+    return F.pandas_udf(run, "array<struct<pos: int, word: string, score: double>>")(x)
+
+
 def _udf(score):
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([None if x is None or y is None else score(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")

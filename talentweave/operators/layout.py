@@ -140,10 +140,9 @@ def fuzzy_header_label(lines: DataFrame, cutoff: float = L.HEADER_CUTOFF) -> Dat
     bare = F.trim(F.regexp_replace(F.lower(F.regexp_replace("text", r"[_\-–—:|•]+", " ")), r"[^a-z0-9\s]", ""))
     direct = F.coalesce(*[F.when(F.col("_t").startswith(key), F.lit(label)) for _, key, label in entries])
     texts = lines.where("is_header").select(bare.alias("_t")).where("_t <> ''").distinct().withColumn("_d", direct)
-    known = lines.sparkSession.createDataFrame(entries, "pos int, key string, name string")
-    scored = texts.where("_d is null").join(F.broadcast(known), how="cross").withColumn("_s", fuzzy.token_set_ratio(F.col("_t"), F.col("key")))
-    near = scored.groupBy("_t").agg(F.max_by("name", F.struct("_s", -F.col("pos"))).alias("_n"), F.max("_s").alias("_s")).where(F.col("_s") >= cutoff)
-    labels = texts.join(near.select("_t", "_n"), "_t", "left").select("_t", F.coalesce("_d", "_n").alias("label"))
+    near = fuzzy.closest(F.when(F.col("_d").isNull(), F.col("_t")), [key for _, key, _ in entries], fuzzy.token_set_ratio_of, cutoff, 1)
+    names = F.array(*[F.lit(label) for _, _, label in entries])
+    labels = texts.withColumn("_n", F.get(near, F.lit(0))["pos"]).select("_t", F.coalesce("_d", F.get(names, F.col("_n"))).alias("label"))
     return lines.withColumn("_t", F.when(F.col("is_header"), bare)).join(labels, "_t", "left").drop("_t")
 
 
@@ -168,6 +167,5 @@ def best_titles(headers: DataFrame, header: str = "header", key: str = "id", cut
     """(key, title): of the first piece of a header, between bars, commas, dashes and brackets, that comes close to a
     listed title, the closest title."""
     pieces = headers.select(key, F.posexplode(F.split(F.lower(header), r"[|,•\-–—@/()]")).alias("part", "piece")).withColumn("piece", F.trim("piece")).where("piece <> ''")
-    titles = headers.sparkSession.createDataFrame(list(enumerate(L.TITLES)), "pos int, title string")
-    scored = pieces.join(F.broadcast(titles), how="cross").withColumn("_s", fuzzy.token_set_ratio(F.col("piece"), F.col("title"))).where(F.col("_s") >= cutoff)
-    return scored.groupBy(key).agg(F.min_by("title", F.struct("part", -F.col("_s"), "pos")).alias("title"))
+    best = F.get(fuzzy.closest(F.col("piece"), L.TITLES, fuzzy.token_set_ratio_of, cutoff, 1), F.lit(0))
+    return pieces.withColumn("_b", best).where("_b is not null").groupBy(key).agg(F.min_by("_b.word", "part").alias("title"))

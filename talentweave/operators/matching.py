@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from talentweave.functions import fuzzy
 from talentweave.functions import lexicon as L
 from talentweave.functions import text as X
+from talentweave.operators.gramjoin import partial_ratio_join
 
 #: Rows of a side that is broadcast for a fuzzy join; a larger one is joined in blocks of about as many.
 MOST_ROWS = 20_000
@@ -34,13 +35,16 @@ def in_blocks(df: DataFrame, join: Callable[[DataFrame], DataFrame], most: int |
 def fuzzy_names(tokens: DataFrame, people: DataFrame, cutoff: float = L.NAME_CUTOFF) -> DataFrame:
     """(query_name, matched_name, email, score): for each address the first token that matches its name, by token order.
 
-    tokens (pos, token) is a stated query set; every person is scored against all of it, a token list at a time.
+    tokens (pos, token) and people (full_name, email) may both be of any size: distinct tokens and names meet on common
+    q-grams, and only what can reach the cutoff is scored. Empty names, addresses and tokens match nothing.
     """
-    known = people.where((F.coalesce("full_name", F.lit("")) != "") & (F.coalesce("email", F.lit("")) != ""))
-    pairs = in_blocks(tokens, lambda part: known.join(part, how="cross")).withColumn("score", fuzzy.partial_ratio(F.lower("token"), F.lower("full_name")))
-    first = Window.partitionBy("email").orderBy("pos", "full_name")
-    best = pairs.where(F.col("score") >= cutoff).withColumn("_r", F.row_number().over(first)).where("_r = 1")
-    return best.select(F.col("token").alias("query_name"), F.col("full_name").alias("matched_name"), "email", F.round("score", 4).alias("score"))
+    known = people.where((F.coalesce("full_name", F.lit("")) != "") & (F.coalesce("email", F.lit("")) != "")).withColumn("_b", F.lower("full_name"))
+    asked = tokens.where("token is not null").withColumn("_a", F.lower("token"))
+    found = partial_ratio_join(asked.select("_a"), known.select("_b"), cutoff)
+    # Of each name and text the first token, before people join.
+    first = found.join(asked, found["a"] == asked["_a"]).groupBy("b").agg(F.min(F.struct("pos", "token", "score")).alias("m"))
+    best = known.join(first, known["_b"] == first["b"]).groupBy("email").agg(F.min(F.struct("m.pos", "full_name", "m")).alias("r"))
+    return best.select(F.col("r.m.token").alias("query_name"), F.col("r.full_name").alias("matched_name"), "email", F.round("r.m.score", 4).alias("score"))
 
 
 def enrich_scope(selected: DataFrame, matches: DataFrame) -> DataFrame:
@@ -51,14 +55,11 @@ def enrich_scope(selected: DataFrame, matches: DataFrame) -> DataFrame:
 def vocabulary_hits(texts: DataFrame, words: list[str], cutoff: float, spare_below: int, top: int = 8, text: str = "text", key: str = "id") -> DataFrame:
     """(key, hits): entries that a text contains; where there are fewer than `spare_below`, the closest ones by
     token-set ratio of at least the cutoff are added, `top` at most."""
-    vocabulary = texts.sparkSession.createDataFrame([(i, w) for i, w in enumerate(words)], "pos int, word string")
-    direct = F.filter(F.array(*map(F.lit, words)), lambda w: F.contains(F.lower(F.col(text)), w))
-    df = texts.select(key, F.lower(F.col(text)).alias("_t"), direct.alias("_d"))
-    few = df.where(F.size("_d") < spare_below).join(F.broadcast(vocabulary), how="cross").withColumn("_s", fuzzy.token_set_ratio(F.col("word"), F.col("_t")))
-    order = Window.partitionBy(key).orderBy(F.desc("_s"), "pos")
-    near = few.where(F.col("_s") >= cutoff).withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= top)
-    near = near.groupBy(key).agg(F.collect_set("word").alias("_n"))
-    return df.join(near, key, "left").select(key, F.sort_array(F.array_union("_d", F.coalesce("_n", F.array().cast("array<string>")))).alias("hits"))
+    low = F.lower(F.col(text))
+    direct = F.filter(F.array(*map(F.lit, words)), lambda w: F.contains(low, w))
+    df = texts.select(key, F.when(F.size(direct) < spare_below, low).alias("_t"), direct.alias("_d"))
+    near = F.transform(fuzzy.closest(F.col("_t"), words, fuzzy.token_set_ratio_of, cutoff, top), lambda s: s["word"])
+    return df.select(key, F.sort_array(F.array_union("_d", near)).alias("hits"))
 
 
 def query_entities(questions: DataFrame, question: str = "question", extra_skills: tuple[str, ...] = (), extra_roles: tuple[str, ...] = (), extra_degrees: tuple[str, ...] = ()) -> DataFrame:

@@ -161,6 +161,14 @@ def fuzzy_name_match(spark, sf):
     return M.fuzzy_names(tokens, c, 92)
 
 
+def fuzzy_name_join(spark, sf):
+    """The words of all parts' types, a letter left out, against the words of all texts, by text."""
+    words = F.explode(F.split(F.lower("p_type"), " ")).alias("w")
+    tokens = C.table(spark, sf, "part").select("p_partkey", words).groupBy("w").agg(F.min("p_partkey").alias("pos")).select("pos", F.concat(F.substring("w", 1, 3), F.substring("w", 5, 100)).alias("token"))
+    names = C.words(spark, sf).select("word").distinct().select(F.col("word").alias("full_name"), F.col("word").alias("email"))
+    return M.fuzzy_names(tokens, names, 85)
+
+
 def entity_extract(spark, sf):
     p = C.table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.concat_ws(" ", F.lit("pythn developer"), "p_type", "p_name").alias("text"))
     return M.vocabulary_hits(p, L.SKILLS, L.SKILL_CUTOFF, 3).select("id", F.array_join("hits", ",").alias("hits"))
@@ -214,7 +222,7 @@ def stamps_and_follow_ups(spark, sf):
     return o.select("o_orderkey", X.utc_stamp(F.col("o_orderdate")).alias("stamp"), X.compose_follow_up(F.col("o_orderstatus"), F.col("o_orderpriority")).alias("follow_up"), X.first_filled(F.nullif(F.col("o_orderstatus"), F.lit("O")), F.lit(""), F.col("o_orderpriority")).alias("first"), F.substring(F.repeat("o_orderpriority", 3), 1, 20).alias("short"))
 
 
-QUERIES = {f.__name__: f for f in (query_entities, section_hints, skill_categories, project_highlights, stamps_and_follow_ups, normalize_text, lower_norm, contacts_extract, phone_normalize, phones_of_lines, skills_dictionary, metrics_extract, gpa_and_degree, language_levels, season_to_month, date_ranges, iso_date_pad, short_hash_ids, document_hashes, paths, json_array_contains, json_properties, requirements_split, row_rendering, score_parse, years_regex, hyphen_unwrap, spaced_caps, header_labels, compact_lists, nfkc_form, fuzzy_name_match, entity_extract, spell_correct, name_tokens, bullets_and_blocks)}
+QUERIES = {f.__name__: f for f in (query_entities, section_hints, skill_categories, project_highlights, stamps_and_follow_ups, normalize_text, lower_norm, contacts_extract, phone_normalize, phones_of_lines, skills_dictionary, metrics_extract, gpa_and_degree, language_levels, season_to_month, date_ranges, iso_date_pad, short_hash_ids, document_hashes, paths, json_array_contains, json_properties, requirements_split, row_rendering, score_parse, years_regex, hyphen_unwrap, spaced_caps, header_labels, compact_lists, nfkc_form, fuzzy_name_match, fuzzy_name_join, entity_extract, spell_correct, name_tokens, bullets_and_blocks)}
 
 _HEADERS = ", ".join(f"({i}, '{label}')" for i, _, label in L.header_entries())
 ORACLES = {

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from talentweave.functions import fuzzy
 from talentweave.functions import text as X
-from talentweave.operators import evaluation, layout, matching, people, retrieval, schedule, sections
+from talentweave.operators import evaluation, gramjoin, layout, matching, people, retrieval, schedule, sections
 from talentweave.plans import sqlgate
 from talentweave.sources import readers
 from talentweave.streaming import events
@@ -438,3 +438,26 @@ def test_numbers_in_parts_are_those_of_one_order(spark):
     got = {r.id: r.k for r in schedule.numbered(df, F.floor(F.col("a") / 7), "a", "id").collect()}
     want = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
     assert got == {i: k for k, (_, i) in enumerate(want, 1)}
+
+
+@pytest.mark.parametrize("cutoff", [40, 70, 85, 92, 100])
+def test_grams_lose_no_pair(spark, cutoff):
+    rng = random.Random(cutoff)
+    word = lambda n: "".join(rng.choice("abcdé") for _ in range(n))
+    left = [word(rng.randint(1, 14)) for _ in range(60)]
+    right = [word(rng.randint(1, 25)) for _ in range(60)] + [w[:3] + rng.choice("ab") + w[4:] + word(4) for w in left[:30]] + left[:5] + ["", "aaaa", "aaaaaaab"]
+    as_df = lambda xs: spark.createDataFrame([(x,) for x in [*xs, None]], "x string")
+    got = {(r.a, r.b) for r in gramjoin.partial_ratio_join(as_df(left), as_df(right), cutoff).collect()}
+    assert got == {(a, b) for a in left for b in right if b and fuzzy.partial_ratio_of(a, b) >= cutoff}
+
+
+def test_grams_leave_few_pairs_to_score(spark):
+    rng = random.Random(3)
+    letters = "".join(chr(97 + i) for i in range(26))
+    name = lambda: " ".join("".join(rng.choice(letters) for _ in range(rng.randint(5, 9))).title() for _ in range(2))
+    names = [name() for _ in range(2000)]
+    tokens = [n.split()[0].lower() for n in names[:200]]
+    a, b = spark.createDataFrame([(t,) for t in set(tokens)], "a string"), spark.createDataFrame([(n.lower(),) for n in set(names)], "b string")
+    tried = gramjoin.candidates(a, b, 85, strict=False)
+    assert tried.count() * 100 < a.count() * b.count()
+    assert "BroadcastNestedLoopJoin" not in tried._jdf.queryExecution().executedPlan().toString()

@@ -9,7 +9,7 @@ from talentweave.plans import registry
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 #: Queries whose cross join is with a stated, bounded side: query vectors, one row, or a word list.
-STATED = {"entity_extract", "fallback_nearest", "fallback_not_needed", "filtered_search_pipeline", "fuzzy_name_match", "lateral_topk_per_scope", "mmr_select", "rerank_cosine", "rule_sections", "schedule_reference", "semantic_search_pipeline", "source_rollup", "title_match", "top_source"}
+STATED = {"fallback_nearest", "fallback_not_needed", "filtered_search_pipeline", "lateral_topk_per_scope", "mmr_select", "rerank_cosine", "schedule_reference", "semantic_search_pipeline", "source_rollup", "top_source"}
 
 
 def plan(spark, name):

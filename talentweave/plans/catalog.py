@@ -56,10 +56,10 @@ SLOTS_SQL = """slots as (
 
 def interviewers(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = table(spark, sf_dir, "supplier")
-    return s.where("s_suppkey < 50").select(F.col("s_suppkey").alias("interviewer_id"), F.col("s_name").alias("full_name"), F.lit("1").alias("job_id"), (F.col("s_acctbal") > 0).alias("is_active"))
+    return s.select(F.col("s_suppkey").alias("interviewer_id"), F.col("s_name").alias("full_name"), F.lit("1").alias("job_id"), (F.col("s_acctbal") > 0).alias("is_active"))
 
 
-INTERVIEWERS_SQL = "interviewers as (select s_suppkey as interviewer_id, s_name as full_name, '1' as job_id, s_acctbal > 0 as is_active from supplier where s_suppkey < 50)"
+INTERVIEWERS_SQL = "interviewers as (select s_suppkey as interviewer_id, s_name as full_name, '1' as job_id, s_acctbal > 0 as is_active from supplier)"
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:

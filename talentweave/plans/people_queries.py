@@ -174,6 +174,30 @@ def schedule_exclusive(spark, sf):
     return S.match_exclusive(C.people(spark, sf), C.slots(spark, sf), C.interviewers(spark, sf), a, b, 45)
 
 
+def _booked(spark, sf):
+    a, b = (F.to_timestamp_ntz(F.lit(w)) for w in WINDOW)
+    staff = C.interviewers(spark, sf).withColumn("email", F.concat(F.lit("iv"), "interviewer_id", F.lit("@example.com")))
+    return S.book(C.people(spark, sf), C.slots(spark, sf), staff, a, b, 45, "7")
+
+
+def booking_results(spark, sf):
+    return _booked(spark, sf).results.select("candidate_id", "slot_id", "interviewer_id", "start_ts", "end_ts", "status", "reason")
+
+
+def booking_interviews(spark, sf):
+    return _booked(spark, sf).interviews.select("candidate_id", "candidate_email", "interviewer_id", "interviewer_email", "job_id", "slot_id", "start_ts", "end_ts", "title", "status")
+
+
+def booking_notifications(spark, sf):
+    return _booked(spark, sf).notifications.select("kind", "to_email", "subject", F.get_json_object("payload_json", "$.slot_id").cast("long").alias("slot_id"), "status")
+
+
+def booking_states(spark, sf):
+    """The slots and candidates after the bookings."""
+    b = _booked(spark, sf)
+    return b.slots.select(F.lit("slot").alias("what"), "id", F.col("status").alias("state")).unionByName(b.candidates.select(F.lit("candidate").alias("what"), F.col("candidate_id").alias("id"), F.col("stage_of_process").alias("state")))
+
+
 def slot_add_minutes(spark, sf):
     return C.table(spark, sf, "events").select("event_id", F.timestamp_add("MINUTE", (F.col("user_id") % 90).cast("int"), F.col("ts")).alias("end_ts"))
 
@@ -269,13 +293,22 @@ def project_extraction(spark, sf):
     return e.select("doc_id", "block_no", "name", "summary", "repo_url", F.array_join("tech_stack", ",").alias("tech"))
 
 
-QUERIES = {f.__name__: f for f in (experience_extraction, education_extraction, project_extraction, event_sessions, events_once, candidate_list_filtered, candidate_top_nulls_first, in_list_conjunction, stage_transition, stage_changed_rows, stage_counts, stage_dropoff, scope_wrapper, gated_sql, scope_filter, enrich_left_join, job_score_weighted, canonical_candidate, explode_children, child_tables, achievements_row, skills_row, record_chunks, upsert_latest_wins, append_once, score_update, interval_containment, interval_overlap_join, open_slots, schedule_reference, schedule_exclusive, slot_add_minutes, notification_log, quick_booking, availability_requests, availability_answers, jaccard_pairs, set_diff_clip20, winner_by_size, manifest_diff, required_fields, job_lookup, tumbling_events)}
+QUERIES = {f.__name__: f for f in (experience_extraction, education_extraction, project_extraction, event_sessions, events_once, candidate_list_filtered, candidate_top_nulls_first, in_list_conjunction, stage_transition, stage_changed_rows, stage_counts, stage_dropoff, scope_wrapper, gated_sql, scope_filter, enrich_left_join, job_score_weighted, canonical_candidate, explode_children, child_tables, achievements_row, skills_row, record_chunks, upsert_latest_wins, append_once, score_update, interval_containment, interval_overlap_join, open_slots, schedule_reference, schedule_exclusive, booking_results, booking_interviews, booking_notifications, booking_states, slot_add_minutes, notification_log, quick_booking, availability_requests, availability_answers, jaccard_pairs, set_diff_clip20, winner_by_size, manifest_diff, required_fields, job_lookup, tumbling_events)}
 
 _P, _S, _I = C.PEOPLE_SQL, C.SLOTS_SQL, C.INTERVIEWERS_SQL
 _OPEN = f"{_S}, {_I}, open as (select s.*, row_number() over (partition by s.interviewer_id order by start_ts, id)::int as nth from slots s join interviewers i on i.interviewer_id = s.interviewer_id and is_active where status = 'free' and start_ts >= timestamp '{WINDOW[0]}' and end_ts <= timestamp '{WINDOW[1]}')"
 _SETS = f"{C.WORDS_SQL}, sets as (select source as entity, lang as system, list_sort(list(distinct word)) as items from words where length(word) > 3 group by 1, 2), pairs as (select a.entity, a.system as system_a, b.system as system_b, a.items as x, b.items as y from sets a join sets b on a.entity = b.entity and a.system < b.system)"
 _MOVED = "candidate_id % 3 = 0 and candidate_id < 900 and stage_of_process = 'BUILDING'"
+_BOOKED = f"""{_P}, {_OPEN}, fit as (select * from open o where not exists (select 1 from slots b where b.interviewer_id = o.interviewer_id and b.status = 'booked' and b.start_ts < o.start_ts + interval 45 minute and b.end_ts > o.start_ts)),
+    starts as (select interviewer_id, start_ts, min(id) as id from fit group by 1, 2), nexts as (select *, min(start_ts) over (partition by interviewer_id order by start_ts range between interval 45 minute following and unbounded following) as nxt from starts),
+    chain as (select interviewer_id, min(start_ts) as start_ts from starts group by 1 union all select c.interviewer_id, n.nxt from chain c join nexts n on n.interviewer_id = c.interviewer_id and n.start_ts = c.start_ts where n.nxt is not null),
+    given as (select s.*, row_number() over (order by start_ts, id) as k from starts s join chain using (interviewer_id, start_ts)), wanted as (select *, row_number() over (order by candidate_id) as k from people),
+    matched as (select w.*, g.id as slot_id, g.interviewer_id, g.start_ts, g.start_ts + interval 45 minute as end_ts from wanted w left join given g using (k))"""
 ORACLES = {
+    "booking_results": f"with recursive {_BOOKED} select candidate_id, slot_id, interviewer_id, start_ts, end_ts, case when slot_id is null then 'failed' else 'scheduled' end as status, case when slot_id is null then 'No available slots' end as reason from matched",
+    "booking_interviews": f"with recursive {_BOOKED} select candidate_id, primary_email as candidate_email, interviewer_id, 'iv' || interviewer_id || '@example.com' as interviewer_email, '7' as job_id, slot_id, start_ts, end_ts, 'Interview' as title, 'scheduled' as status from matched where slot_id is not null",
+    "booking_notifications": f"with recursive {_BOOKED} select 'email' as kind, unnest([primary_email, 'iv' || interviewer_id || '@example.com']) as to_email, 'Interview Scheduled: Interview' as subject, slot_id, 'pending' as status from matched where slot_id is not null",
+    "booking_states": f"with recursive {_BOOKED} select 'slot' as what, s.id, case when m.slot_id is not null then 'booked' else s.status end as state from slots s left join matched m on m.slot_id = s.id union all select 'candidate', candidate_id, case when slot_id is not null then 'interview' else stage_of_process end from matched",
     "experience_extraction": "select o_orderkey as doc_id, 'data analyst' as title_norm, 'Firm' || chr((65 + o_custkey % 26)::int) as company_raw, strftime(o_orderdate, '%Y-%m') as start, true as is_current, 1.0::double as extraction_confidence, (o_orderkey % 90 + 10)::int as percent, 3 as n_bullets from orders",
     "education_extraction": "select s_suppkey as doc_id, case when s_suppkey % 2 = 0 then 'B.Tech/B.E.' end as degree_raw, case when s_suppkey % 2 = 0 then 'bachelors' end as degree_level, '8.' || (s_suppkey % 10) || '/10' as gpa, (s_suppkey % 20 + 1990) || '-01' as start_date, (s_suppkey % 20 + 1994) || '-01' as end_date, case when s_suppkey % 2 = 0 then 0.6 else 0.5 end::double as extraction_confidence from supplier",
     "project_extraction": """select p_partkey as doc_id, 0 as block_no, 'Tool ' || p_partkey as name, 'uses docker https://github.com/x/' || p_partkey as summary, 'https://github.com/x/' || p_partkey as repo_url, 'docker,git,github' as tech from part

@@ -88,7 +88,7 @@ def short_hash_ids(spark, sf):
 
 def document_hashes(spark, sf):
     d = _docs(spark, sf)
-    return d.select("doc_id", X.document_hash(F.slice(F.split("text", "\n"), 1, 5)).alias("hash"))
+    return d.select("doc_id", X.document_hash(F.split("text", "\n")).alias("hash"))
 
 
 def paths(spark, sf):
@@ -245,7 +245,7 @@ ORACLES = {
     "date_ranges": "select o_orderkey, strftime(o_orderdate, '%Y-%m') as start_month, case when o_orderkey % 2 = 1 then strftime(o_orderdate + interval 400 day, '%Y-%m') end as end_month, o_orderkey % 2 = 0 as is_current from orders",
     "iso_date_pad": "select o_orderkey, case o_orderkey % 3 when 0 then o_orderdate::date when 1 then date_trunc('month', o_orderdate)::date end as day from orders",
     "short_hash_ids": "select c_custkey, 'cand_' || substring(sha1(c_name || '||' || c_custkey), 1, 10) as id from customer",
-    "document_hashes": "select doc_id, 'sha256:' || sha256(array_to_string(string_split(text, chr(10))[1:5], chr(10) || chr(10))) as hash from documents",
+    "document_hashes": "select doc_id, 'sha256:' || sha256(array_to_string(string_split(text, chr(10)), chr(10) || chr(10))) as hash from documents",
     "paths": "select p_partkey, replace(p_brand, '#', '-') || '.' || lower(p_type) || '.PDF' as base, replace(p_brand, '#', '-') || '.' || lower(p_type) as stem, '.pdf' as extension from part",
     "json_array_contains": "select event_id, case when event_id % 2 = 0 then 'click,sql' else 'click,git,sql' end as items from events where event_type = 'click'",
     "json_properties": "select event_id, json_extract_string(props, '$.k') as k, length(props)::int as n from events",

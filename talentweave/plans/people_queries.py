@@ -12,7 +12,9 @@ from talentweave.operators import retrieval as R
 from talentweave.operators import schedule as S
 from talentweave.plans import catalog as C
 from talentweave.plans import sqlgate
+from talentweave.sources import scratch, store
 from talentweave.streaming import events as V
+from talentweave.streaming import ingest
 
 WINDOW = ("2024-01-05 00:00:00", "2024-01-12 00:00:00")
 
@@ -140,6 +142,40 @@ def upsert_latest_wins(spark, sf):
     return P.upsert(c, new, ["c_custkey"], "version", keep_old=("c_name",))
 
 
+def upsert_batches(spark, sf):
+    """Orders as three batches of records, upserted one after the other."""
+    o = C.table(spark, sf, "orders")
+    rows = o.select(F.col("o_custkey").alias("id"), F.col("o_orderkey").alias("version"), F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderpriority")).alias("name"), F.col("o_orderstatus").alias("state"), (F.col("o_orderkey") % 3).alias("batch"))
+    at = scratch.folder(spark)
+    rows.repartition("batch").write.partitionBy("batch").parquet(at)
+    return ingest.current(spark, at, ["id"], "version", keep_old=("name",))
+
+
+def _versions(spark, sf):
+    """Documents as files: an earlier state, some texts and files of which differ, and the present one."""
+    d = C.table(spark, sf, "documents").select(F.concat(F.lit("f"), "doc_id").alias("name"), F.coalesce("text", F.lit("")).alias("text"), "doc_id")
+    old = d.where("doc_id % 89 <> 1").withColumn("text", F.when(F.col("doc_id") % 97 == 0, F.concat("text", F.lit(" x"))).otherwise(F.col("text")))
+    gone = d.where("doc_id % 83 = 2").withColumn("name", F.concat(F.lit("old"), "name"))
+    return old.unionByName(gone), d
+
+
+def _store(spark, sf):
+    at, found = scratch.folder(spark), None
+    for files in _versions(spark, sf):
+        lines = lambda names, files=files: files.join(names, "name", "left_semi").select("name", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+        found = store.update(spark, at, files.select("name", F.sha1("text").alias("sha1")), lines)
+    return at, found
+
+
+def store_rows(spark, sf):
+    """The lines that a store holds after an update."""
+    return store.rows(spark, _store(spark, sf)[0]).groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("line")).alias("chars"))
+
+
+def store_changes(spark, sf):
+    return _store(spark, sf)[1].select("name", "change")
+
+
 def append_once(spark, sf):
     n = C.table(spark, sf, "nation")
     return P.append_children(n.where("n_nationkey < 15"), n.where("n_nationkey >= 10"), once=True)
@@ -293,7 +329,7 @@ def project_extraction(spark, sf):
     return e.select("doc_id", "block_no", "name", "summary", "repo_url", F.array_join("tech_stack", ",").alias("tech"))
 
 
-QUERIES = {f.__name__: f for f in (experience_extraction, education_extraction, project_extraction, event_sessions, events_once, candidate_list_filtered, candidate_top_nulls_first, in_list_conjunction, stage_transition, stage_changed_rows, stage_counts, stage_dropoff, scope_wrapper, gated_sql, scope_filter, enrich_left_join, job_score_weighted, canonical_candidate, explode_children, child_tables, achievements_row, skills_row, record_chunks, upsert_latest_wins, append_once, score_update, interval_containment, interval_overlap_join, open_slots, schedule_reference, schedule_exclusive, booking_results, booking_interviews, booking_notifications, booking_states, slot_add_minutes, notification_log, quick_booking, availability_requests, availability_answers, jaccard_pairs, set_diff_clip20, winner_by_size, manifest_diff, required_fields, job_lookup, tumbling_events)}
+QUERIES = {f.__name__: f for f in (experience_extraction, education_extraction, project_extraction, event_sessions, events_once, candidate_list_filtered, candidate_top_nulls_first, in_list_conjunction, stage_transition, stage_changed_rows, stage_counts, stage_dropoff, scope_wrapper, gated_sql, scope_filter, enrich_left_join, job_score_weighted, canonical_candidate, explode_children, child_tables, achievements_row, skills_row, record_chunks, upsert_latest_wins, upsert_batches, store_rows, store_changes, append_once, score_update, interval_containment, interval_overlap_join, open_slots, schedule_reference, schedule_exclusive, booking_results, booking_interviews, booking_notifications, booking_states, slot_add_minutes, notification_log, quick_booking, availability_requests, availability_answers, jaccard_pairs, set_diff_clip20, winner_by_size, manifest_diff, required_fields, job_lookup, tumbling_events)}
 
 _P, _S, _I = C.PEOPLE_SQL, C.SLOTS_SQL, C.INTERVIEWERS_SQL
 _OPEN = f"{_S}, {_I}, open as (select s.*, row_number() over (partition by s.interviewer_id order by start_ts, id)::int as nth from slots s join interviewers i on i.interviewer_id = s.interviewer_id and is_active where status = 'free' and start_ts >= timestamp '{WINDOW[0]}' and end_ts <= timestamp '{WINDOW[1]}')"
@@ -338,6 +374,10 @@ ORACLES = {
     "record_chunks": "select 'experience' as section, count(*) as n from lineitem where l_orderkey in (select o_orderkey from orders)",
     "upsert_latest_wins": """with n as (select o_custkey, case when o_orderkey % 2 = 0 then o_orderpriority end as c_name, o_totalprice, o_orderkey::int as version from orders qualify row_number() over (partition by o_custkey order by o_orderkey desc) = 1)
         select coalesce(c.c_custkey, n.o_custkey) as c_custkey, coalesce(n.c_name, c.c_name) as c_name, coalesce(n.o_totalprice, c.c_acctbal) as c_acctbal, coalesce(n.version, 0) as version from customer c full join n on n.o_custkey = c.c_custkey""",
+    "upsert_batches": """with r as (select o_custkey as id, o_orderkey as version, case when o_orderkey % 2 = 0 then o_orderpriority end as name, o_orderstatus as state, o_orderkey % 3 as batch from orders qualify row_number() over (partition by o_custkey, o_orderkey % 3 order by o_orderkey desc) = 1)
+        select id, arg_max(version, batch) as version, arg_max(name, batch) filter (where name is not null) as name, arg_max(state, batch) as state from r group by id""",
+    "store_rows": "select 'f' || doc_id as name, len(string_split(coalesce(text, ''), chr(10))) as n, (length(coalesce(text, '')) - len(string_split(coalesce(text, ''), chr(10))) + 1)::bigint as chars from documents",
+    "store_changes": "select 'f' || doc_id as name, case when doc_id % 89 = 1 then 'added' else 'changed' end as change from documents where doc_id % 89 = 1 or doc_id % 97 = 0 union all select 'oldf' || doc_id, 'removed' from documents where doc_id % 83 = 2",
     "append_once": "select * from nation",
     "score_update": f"with {_P} select candidate_id, coalesce(s, job_score) as job_score from people left join (select o_custkey, max(o_totalprice) as s from orders group by 1) on o_custkey = candidate_id",
     "interval_containment": f"with {_S} select id, start_ts, end_ts from slots where start_ts >= timestamp '{WINDOW[0]}' and end_ts <= timestamp '{WINDOW[1]}'",

@@ -7,6 +7,7 @@ scores follow these definitions; no library was at hand to compare them with.
 
 from __future__ import annotations
 
+import re
 from functools import lru_cache
 
 import pandas as pd
@@ -108,6 +109,24 @@ def closest(x: Column, words: list[str], score, cutoff: float, top: int) -> Colu
     return F.pandas_udf(run, "array<struct<pos: int, word: string, score: double>>")(x)
 
 
+def closest_piece(x: Column, pattern: str, words: list[str], score, cutoff: float) -> Column:
+    """The listed word that comes closest to the first piece of a text, in lower case, that reaches the cutoff with any;
+    pieces stand between what the pattern matches. Null without one."""
+
+    def of(text: str) -> str | None:
+        for piece in re.split(pattern, text.lower()):
+            best = max(((score(w, piece.strip()), -i) for i, w in enumerate(words)), default=(0.0, 0)) if piece.strip() else (0.0, 0)
+            if best[0] >= cutoff:
+                return words[-best[1]]
+        return None
+
+    def run(s: pd.Series) -> pd.Series:
+        known = {t: of(t) for t in s.dropna().unique()}
+        return s.map(lambda t: None if t is None else known[t])
+
+    return F.pandas_udf(run, "string")(x)
+
+
 def _udf(score):
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([None if x is None or y is None else score(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
@@ -127,6 +146,34 @@ def ratio(a: Column, b: Column) -> Column:
     return _udf(ratio_of)(a, b)
 
 
+def alignment_of(a: str, b: str) -> int:
+    """Optimal string alignment distance: insertions, deletions, substitutions and swaps of neighbours count one each, and
+    nothing is changed twice ("ca" and "abc" are 3 apart). A bit for each character of a, by Hyyrö's recurrences."""
+    if not a:
+        return len(b)
+    masks: dict[str, int] = {}
+    for i, c in enumerate(a):
+        masks[c] = masks.get(c, 0) | 1 << i
+    full, last, distance = (1 << len(a)) - 1, 1 << (len(a) - 1), len(a)
+    up, down, zero, before = full, 0, 0, 0
+    for c in b:
+        hit = masks.get(c, 0)
+        swap = ((~zero & hit) << 1) & before
+        zero = ((((hit & up) + up) ^ up) | hit | down | swap) & full
+        right, left = (down | ~(zero | up)) & full, zero & up
+        distance += bool(right & last) - bool(left & last)
+        right, left = (right << 1 | 1) & full, left << 1 & full
+        up, down, before = (left | ~(zero | right)) & full, right & zero, hit
+    return distance
+
+
+def alignment(a: Column, b: Column) -> Column:
+    def run(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([alignment_of(p, q) for p, q in zip(x, y, strict=True)], dtype="int32")
+
+    return F.pandas_udf(run, "int")(a, b)
+
+
 def normal_form(x: Column) -> Column:
     """Compatibility form of Unicode, which no SQL function gives."""
 

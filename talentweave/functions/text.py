@@ -193,6 +193,20 @@ def date_range(x: Column) -> Column:
     )
 
 
+_DAY = r"(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Sept|Oct|Nov|Dec)[a-z]*\.?\s*,?\s*\d{4}|\d{4}"
+
+
+def date_range_strict(x: Column) -> Column:
+    """struct(start, end, is_current) of the first range of a text as YYYY-MM-DD, the first of the month; years have four
+    digits, a single date is none, and a range may end in "present" or "current"."""
+    pattern = rf"(?i)\b({_DAY})(?:\s*[-–—]\s*| to )({_DAY}|present|current)\b"
+    tight = lambda i: F.regexp_replace(F.regexp_extract(x, pattern, i), r"\s*,\s*|\s+", " ")
+    first = lambda d: F.when(d != "", F.concat(month_date(F.regexp_replace(d, r"(?i)^([a-z]+)(\d{4})$", "$1 $2")), F.lit("-01")))
+    start, end = tight(1), tight(2)
+    current = F.coalesce(F.lower(end).isin("present", "current"), F.lit(False))
+    return F.struct(first(start).alias("start"), F.when(~current, first(end)).alias("end"), current.alias("is_current"))
+
+
 def iso_date(x: Column) -> Column:
     """YYYY-MM-DD as it is, YYYY-MM padded by -01, else null."""
     t = F.trim(x)

@@ -89,7 +89,8 @@ def _fewer(word: str, most: int) -> Column:
 
 def spell(words: DataFrame, dictionary: DataFrame, most: int = 2) -> DataFrame:
     """(word, correction): the dictionary term (term, freq) within `most` edits that is nearest, then most frequent, then
-    first by name; the word itself where none is. Adjacent transpositions count as two edits.
+    first by name; the word itself where none is. Edits are those of optimal string alignment, so that a swap of
+    neighbouring letters counts once.
 
     Two words within `most` edits have something in common once up to `most` letters are left out of each. So words and
     terms meet by equality on what is left, pairs are made distinct and verified; neither side is broadcast.
@@ -97,6 +98,8 @@ def spell(words: DataFrame, dictionary: DataFrame, most: int = 2) -> DataFrame:
     w = words.select("word").where("word is not null").distinct()
     left = w.select("word", F.explode(_fewer("word", most)).alias("_v"))
     right = dictionary.groupBy("term").agg(F.max("freq").alias("freq")).select("term", "freq", F.explode(_fewer("term", most)).alias("_v"))
-    near = left.join(right, "_v").groupBy("word", "term").agg(F.first("freq").alias("freq")).withColumn("d", F.levenshtein("word", "term", most)).where("d >= 0")
-    best = near.groupBy("word").agg(F.min_by("term", F.struct("d", -F.col("freq"), "term")).alias("correction"))
+    near = left.join(right, "_v").groupBy("word", "term").agg(F.first("freq").alias("freq"))
+    # A swap is two edits without swaps: pairs beyond twice the bound are out before they are aligned.
+    close = near.where(F.levenshtein("word", "term", 2 * most) >= 0).withColumn("d", fuzzy.alignment(F.col("word"), F.col("term"))).where(F.col("d") <= most)
+    best = close.groupBy("word").agg(F.min_by("term", F.struct("d", -F.col("freq"), "term")).alias("correction"))
     return w.join(best, "word", "left").select("word", F.coalesce("correction", "word").alias("correction"))

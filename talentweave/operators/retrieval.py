@@ -129,6 +129,14 @@ def rerank(pool: DataFrame, store: DataFrame, query: DataFrame, id_col: str = "i
     return joined.join(F.broadcast(one), how="cross").withColumn("score", F.round(cosine("_s", "_q"), 6)).drop("_s", "_q")
 
 
+def rerank_by(pool: DataFrame, scores: DataFrame, most: int = 120) -> DataFrame:
+    """The first `most` of the pool, as fuse() orders it, with the scores (id, score) of a model in place of their own:
+    from 0 to 1, 0 where the model gave none. Of several scores of an id the largest counts."""
+    first = pool.orderBy(F.desc("score"), "first_rank", "id").limit(most).drop("score")
+    given = scores.groupBy("id").agg(F.max(F.greatest(F.lit(0.0), F.least(F.lit(1.0), "score"))).alias("score"))
+    return first.join(given, "id", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+
+
 def with_fallback(kept: DataFrame, pool: DataFrame, top: int = L.TOP_K, order: tuple = ("dist", "id")) -> DataFrame:
     """kept, or the `top` first of the pool where kept is empty; one plan without an action."""
     empty = kept.agg(F.count(F.lit(1)).alias("_n"))
@@ -219,14 +227,29 @@ def context_by_person(chunks: DataFrame, k: int, by: str = "email") -> DataFrame
     return best.groupBy(by).agg(F.array_join(F.transform(parts, lambda p: p["text"]), "\n").alias("context"))
 
 
-def variants(question: str, seeds: list[str], cap: int) -> list[str]:
-    """Subquery texts from seeds, each once by its lower case, at most `cap`, the question last."""
-    seen, out = set(), []
-    for s in [*(seed.replace("{q}", question) for seed in seeds), question]:
-        if s.lower() not in seen and len(out) < cap:
-            seen.add(s.lower())
-            out.append(s)
-    return out if out and out[-1] == question else [*out, question]
+#: How a question is varied, as replacements and endings, in the order in which they are tried.
+REPLACED, ENDINGS = (("developer", "engineer"), ("engineer", "developer")), (" projects", " experience", " resume", " skills")
+SIGNS = ((" and ", " & "), (" with ", " using "))
+
+
+def distinct_texts(df: DataFrame, text: str, by: list[str], order: list[str]) -> DataFrame:
+    """The first row, by order, of each text of a group, whatever its case."""
+    rest = [c for c in df.columns if c not in order]
+    key = F.lower(F.trim(text)).alias("_key")
+    return df.groupBy(*[F.col(c).alias(f"_{c}") for c in by], key).agg(F.min(F.struct(*order, *rest)).alias("r")).select("r.*").select(df.columns)
+
+
+def variants(questions: DataFrame, cap: int = 5, key: str = "id", question: str = "question") -> DataFrame:
+    """(key, pos, variant): up to `cap` variants of each question, the question first, each once whatever its case, empty
+    ones left out; the question follows once more where the last one differs from it. Questions without text give none."""
+    q = F.trim(F.coalesce(question, F.lit("")))
+    made = [q, *[F.replace(q, F.lit(a), F.lit(b)) for a, b in REPLACED], *[F.concat(q, F.lit(e)) for e in ENDINGS], *[F.replace(q, F.lit(a), F.lit(b)) for a, b in SIGNS]]
+    every = questions.where(q != "").select(key, F.posexplode(F.array(*made)).alias("pos", "variant"), q.alias("_q")).where(F.trim("variant") != "")
+    once = distinct_texts(every, "variant", [key], ["pos"])
+    place = F.row_number().over(Window.partitionBy(key).orderBy("pos"))
+    kept = once.withColumn("pos", place).where(F.col("pos") <= cap)
+    last = kept.groupBy(key, "_q").agg(F.max(F.struct("pos", "variant")).alias("r")).where(F.lower("r.variant") != F.lower("_q"))
+    return kept.drop("_q").unionByName(last.select(key, (F.col("r.pos") + 1).alias("pos"), F.col("_q").alias("variant")))
 
 
 def _joined(pieces: list[str], size: int, overlap: int) -> list[str]:

@@ -8,6 +8,7 @@ a document bounds such a group.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from itertools import groupby
 
 from pyspark.sql import Column, DataFrame, Window
@@ -55,17 +56,20 @@ def sample_pages(df: DataFrame, first: int = 3, least_lines: int = 8) -> DataFra
     return df.withColumns({"_last": last, "_n": n}).where(((F.col("page") <= first) | (F.col("page") == F.col("_last"))) & (F.col("_n") >= least_lines)).drop("_last", "_n")
 
 
-def column_cut(df: DataFrame, least_share: float = 0.33) -> DataFrame:
-    """(doc_id, page, cut): the middle of the widest gap between sorted midpoints of lines, if it is at least this share
-    of their range."""
+def column_cut(df: DataFrame, least_share: float = 0.33, strict: bool = False, at_left: bool = False, least_lines: int = 2) -> DataFrame:
+    """(doc_id, page, cut): where the widest gap between sorted midpoints of lines lies, the first of equals, if it is at
+    least this share of their range (more than it, if strict).
+
+    The cut is the gap's middle, or its left end (at_left): a line at the cut belongs to the left column. The two-column
+    reader takes the first form, the one-column reader strict=True, at_left=True, least_lines=6.
+    """
     mid = df.select("doc_id", "page", ((F.col("x0") + F.col("x1")) / 2).alias("mid"))
     w = Window.partitionBy("doc_id", "page").orderBy("mid")
     gaps = mid.withColumn("next", F.lead("mid").over(w)).withColumn("gap", F.col("next") - F.col("mid"))
-    best = gaps.groupBy("doc_id", "page").agg(
-        F.max(F.struct("gap", (-F.col("mid")).alias("_m"), ((F.col("mid") + F.col("next")) / 2).alias("cut"))).alias("b"),
-        (F.max("mid") - F.min("mid")).alias("span"),
-    )
-    return best.where((F.col("b.gap") > 0) & (F.col("b.gap") >= least_share * F.col("span"))).select("doc_id", "page", F.col("b.cut").alias("cut"))
+    cut = F.col("mid") if at_left else (F.col("mid") + F.col("next")) / 2
+    best = gaps.groupBy("doc_id", "page").agg(F.max(F.struct("gap", (-F.col("mid")).alias("_m"), cut.alias("cut"))).alias("b"), (F.max("mid") - F.min("mid")).alias("span"), F.count(F.lit(1)).alias("n"))
+    wide = F.col("b.gap") / F.col("span") > least_share if strict else F.col("b.gap") >= least_share * F.col("span")
+    return best.where((F.col("b.gap") > 0) & wide & (F.col("n") >= least_lines)).select("doc_id", "page", F.col("b.cut").alias("cut"))
 
 
 def two_means(df: DataFrame, rounds: int = 10, tolerance: float = 0.5, least_share: float = 0.2, least_ratio: float = 1.2) -> DataFrame:
@@ -136,18 +140,25 @@ def quartiles(df: DataFrame, by: list[str], value: str) -> DataFrame:
 
 
 def bands(df: DataFrame, height: float = 3.0) -> DataFrame:
-    """line_no of lines whose tops differ by less than `height` from the band's first one, page by page (greedy)."""
+    """line_no: the band of each line (greedy). In reading order, by page, column, top and left edge, every line that no
+    band has yet opens one and takes all later lines of its page whose top is less than `height` above or below its own.
+    Without a column all lines are in one."""
 
     def run(rows: list[dict]) -> list[dict]:
-        band, first = 0, None
-        for row in rows:
-            if first is None or row["page"] != first["page"] or row["y0"] - first["y0"] >= height:
-                band, first = band + 1, row
-            row["line_no"] = band
+        band = 0
+        for _, group in groupby(rows, key=lambda r: r["page"]):
+            page = list(group)
+            tops = sorted((r["y0"], i) for i, r in enumerate(page))
+            for row in page:
+                if row["line_no"] is None:
+                    band += 1
+                    for _, i in tops[bisect_left(tops, (row["y0"] - height, -1)) : bisect_left(tops, (row["y0"] + height, -1))]:
+                        if page[i]["line_no"] is None and abs(page[i]["y0"] - row["y0"]) < height:
+                            page[i]["line_no"] = band
         return rows
 
-    kept = df.select("doc_id", "page", "x0", "y0", "text")
-    return fold(kept, run, columns(kept, *kept.columns, line_no=T.IntegerType()), ("page", "y0", "x0", "text"))
+    kept = df.select("doc_id", "page", F.col("column") if "column" in df.columns else F.lit(0).alias("column"), "x0", "y0", "text", F.lit(None).cast("int").alias("line_no"))
+    return fold(kept, run, columns(kept, *kept.columns), ("page", "column", "y0", "x0", "text"))
 
 
 def sliding_median(df: DataFrame, value: str = "font_size", reach: int = 5, by: str = "doc_id", order: str = "line_no", out: str = "median") -> DataFrame:

@@ -316,6 +316,41 @@ def experience_extraction(spark, sf):
     return e.select("doc_id", "title_norm", "company_raw", "start", "is_current", "extraction_confidence", F.get("bullets", F.lit(1))["metrics"]["percent"].alias("percent"), F.size("bullets").alias("n_bullets"))
 
 
+def _entities(df, *spans):
+    """Entities (system, label, word, start, score) of a table's rows as a model would give them; a null word is none."""
+    made = F.array(*[F.struct(F.lit(s).alias("system"), F.lit(label).alias("label"), w.alias("word"), a.alias("start"), F.lit(score).alias("score")) for s, label, w, a, score in spans])
+    return df.select("doc_id", F.lit(1).alias("sec_no"), F.explode(made).alias("e")).select("doc_id", "sec_no", "e.*").withColumn("end", F.col("start") + F.length("word")).where("word is not null")
+
+
+def experience_entities(spark, sf):
+    """Two blocks an order: a header with a company that systems found or not, and one of words alone."""
+    k = F.col("o_orderkey")
+    firm = F.concat(F.lit("Firm"), F.expr("char(65 + o_custkey % 26)"))
+    head = F.concat(F.lit("  machne learning engineer, "), firm)
+    o = C.table(spark, sf, "orders").select("o_orderkey", "o_custkey", k.alias("doc_id"), firm.alias("firm"), F.concat(head, F.lit("\nMay 2020 to Present\n- at Acme\n\n\nClerk @ Other Works\n2018 - 2019")).alias("text"))
+    sections = o.select("doc_id", F.lit(1).alias("sec_no"), F.lit("work_experience").alias("section_type"), "text")
+    found = _entities(o, ("hf", "org", F.when(k % 3 == 0, F.col("firm")), F.lit(28), 0.9), ("hf", "ORG", F.when(k % 3 == 0, F.lit("engineer, F")), F.lit(18), 0.5), ("spacy", "ORG", F.when(k % 2 == 0, F.lit("learning")), F.lit(9), 0.7),
+                      ("hf", "ORG", F.lit("Acme"), F.lit(60), 0.99), ("hf", "PER", F.lit("machne"), F.lit(2), 0.8), ("other", "ORG", F.lit("machne"), F.lit(2), 0.8))
+    e = P.extract_experience(sections, found, strict_dates=True)
+    return e.select("doc_id", "block_no", "title_norm", "company_raw", F.col("start").alias("start_day"), F.col("end").alias("end_day"), "is_current", "extraction_confidence")
+
+
+def education_entities(spark, sf):
+    k = F.col("s_suppkey")
+    s = C.table(spark, sf, "supplier").select("s_suppkey", k.alias("doc_id"), F.concat(F.lit("M.Tech 2001 - 2003\nState School\n\nB.Tech, College "), k).alias("text"))
+    sections = s.select("doc_id", F.lit(1).alias("sec_no"), F.lit("education").alias("section_type"), "text")
+    found = _entities(s, ("hf", "ORG", F.when(k % 2 == 0, F.lit("State School")), F.lit(19), 0.9), ("spacy", "ORG", F.lit("School"), F.lit(25), 0.6), ("spacy", "ORG", F.concat(F.lit("College "), k), F.lit(41), 0.4))
+    return P.extract_education(sections, found).select("doc_id", "block_no", "degree_raw", "institution_raw", "start_date", "extraction_confidence")
+
+
+def skills_entities(spark, sf):
+    p = C.table(spark, sf, "part").select(F.col("p_partkey").alias("doc_id"), F.concat(F.lit("Sql, K8S and "), "p_name").alias("text"))
+    # Docker is beaten by what overlaps it, Flask comes from a system that is not asked.
+    sections = p.select("doc_id", F.lit(1).alias("sec_no"), F.lit("skills").alias("section_type"), F.lit("SQL and more").alias("text"))
+    found = _entities(p, ("hf", "MISC", F.when(F.col("doc_id") % 2 == 0, F.lit("Docker")), F.lit(0), 0.5), ("hf", "MISC", F.lit("Nonsense"), F.lit(4), 0.9), ("hf", "LANGUAGE", F.when(F.col("doc_id") % 3 == 0, F.lit("Java")), F.lit(20), 0.5), ("spacy", "MISC", F.lit("Flask"), F.lit(0), 0.5))
+    return P.extract_skills(sections, found).select("doc_id", F.array_join("names", ",").alias("names"))
+
+
 def education_extraction(spark, sf):
     s = C.table(spark, sf, "supplier")
     text = F.concat(F.when(F.col("s_suppkey") % 2 == 0, "B.Tech ").otherwise("Diploma "), F.col("s_suppkey") % 20 + 1990, F.lit(" - "), F.col("s_suppkey") % 20 + 1994, F.lit(" CGPA 8."), F.col("s_suppkey") % 10, F.lit("/10"))
@@ -329,7 +364,7 @@ def project_extraction(spark, sf):
     return e.select("doc_id", "block_no", "name", "summary", "repo_url", F.array_join("tech_stack", ",").alias("tech"))
 
 
-QUERIES = {f.__name__: f for f in (experience_extraction, education_extraction, project_extraction, event_sessions, events_once, candidate_list_filtered, candidate_top_nulls_first, in_list_conjunction, stage_transition, stage_changed_rows, stage_counts, stage_dropoff, scope_wrapper, gated_sql, scope_filter, enrich_left_join, job_score_weighted, canonical_candidate, explode_children, child_tables, achievements_row, skills_row, record_chunks, upsert_latest_wins, upsert_batches, store_rows, store_changes, append_once, score_update, interval_containment, interval_overlap_join, open_slots, schedule_reference, schedule_exclusive, booking_results, booking_interviews, booking_notifications, booking_states, slot_add_minutes, notification_log, quick_booking, availability_requests, availability_answers, jaccard_pairs, set_diff_clip20, winner_by_size, manifest_diff, required_fields, job_lookup, tumbling_events)}
+QUERIES = {f.__name__: f for f in (experience_extraction, experience_entities, education_entities, skills_entities, education_extraction, project_extraction, event_sessions, events_once, candidate_list_filtered, candidate_top_nulls_first, in_list_conjunction, stage_transition, stage_changed_rows, stage_counts, stage_dropoff, scope_wrapper, gated_sql, scope_filter, enrich_left_join, job_score_weighted, canonical_candidate, explode_children, child_tables, achievements_row, skills_row, record_chunks, upsert_latest_wins, upsert_batches, store_rows, store_changes, append_once, score_update, interval_containment, interval_overlap_join, open_slots, schedule_reference, schedule_exclusive, booking_results, booking_interviews, booking_notifications, booking_states, slot_add_minutes, notification_log, quick_booking, availability_requests, availability_answers, jaccard_pairs, set_diff_clip20, winner_by_size, manifest_diff, required_fields, job_lookup, tumbling_events)}
 
 _P, _S, _I = C.PEOPLE_SQL, C.SLOTS_SQL, C.INTERVIEWERS_SQL
 _OPEN = f"{_S}, {_I}, open as (select s.*, row_number() over (partition by s.interviewer_id order by start_ts, id)::int as nth from slots s join interviewers i on i.interviewer_id = s.interviewer_id and is_active where status = 'free' and start_ts >= timestamp '{WINDOW[0]}' and end_ts <= timestamp '{WINDOW[1]}')"
@@ -341,12 +376,18 @@ _BOOKED = f"""{_P}, {_OPEN}, fit as (select * from open o where not exists (sele
     given as (select s.*, row_number() over (order by start_ts, id) as k from starts s join chain using (interviewer_id, start_ts)), wanted as (select *, row_number() over (order by candidate_id) as k from people),
     matched as (select w.*, g.id as slot_id, g.interviewer_id, g.start_ts, g.start_ts + interval 45 minute as end_ts from wanted w left join given g using (k))"""
 ORACLES = {
+    "experience_entities": """select o_orderkey as doc_id, 0 as block_no, 'machine learning engineer' as title_norm, case when o_orderkey % 3 = 0 then 'Firm' || chr((65 + o_custkey % 26)::int) when o_orderkey % 2 = 0 then 'learning' end as company_raw, '2020-05-01' as start_day, null::varchar as end_day, true as is_current,
+            case when o_orderkey % 3 = 0 or o_orderkey % 2 = 0 then 1.0 else 0.9 end::double as extraction_confidence from orders
+        union all select o_orderkey, 1, null, 'Other Works', '2018-01-01', '2019-01-01', false, 0.9 from orders""",
+    "education_entities": """select s_suppkey as doc_id, 0 as block_no, 'M.Tech/M.E.' as degree_raw, case when s_suppkey % 2 = 0 then 'State School' else 'School' end as institution_raw, '2001-01' as start_date, 0.8::double as extraction_confidence from supplier
+        union all select s_suppkey, 1, 'B.Tech/B.E.', 'College ' || s_suppkey, case when s_suppkey between 1000 and 9999 then s_suppkey || '-01' end, case when s_suppkey between 1000 and 9999 then 0.8 else 0.7 end from supplier""",
+    "skills_entities": "select p_partkey as doc_id, array_to_string(list_sort(list_filter([case when p_partkey % 3 = 0 then 'java' end, 'sql'], lambda x: x is not null)), ',') as names from part",
     "booking_results": f"with recursive {_BOOKED} select candidate_id, slot_id, interviewer_id, start_ts, end_ts, case when slot_id is null then 'failed' else 'scheduled' end as status, case when slot_id is null then 'No available slots' end as reason from matched",
     "booking_interviews": f"with recursive {_BOOKED} select candidate_id, primary_email as candidate_email, interviewer_id, 'iv' || interviewer_id || '@example.com' as interviewer_email, '7' as job_id, slot_id, start_ts, end_ts, 'Interview' as title, 'scheduled' as status from matched where slot_id is not null",
     "booking_notifications": f"with recursive {_BOOKED} select 'email' as kind, unnest([primary_email, 'iv' || interviewer_id || '@example.com']) as to_email, 'Interview Scheduled: Interview' as subject, slot_id, 'pending' as status from matched where slot_id is not null",
     "booking_states": f"with recursive {_BOOKED} select 'slot' as what, s.id, case when m.slot_id is not null then 'booked' else s.status end as state from slots s left join matched m on m.slot_id = s.id union all select 'candidate', candidate_id, case when slot_id is not null then 'interview' else stage_of_process end from matched",
     "experience_extraction": "select o_orderkey as doc_id, 'data analyst' as title_norm, 'Firm' || chr((65 + o_custkey % 26)::int) as company_raw, strftime(o_orderdate, '%Y-%m') as start, true as is_current, 1.0::double as extraction_confidence, (o_orderkey % 90 + 10)::int as percent, 3 as n_bullets from orders",
-    "education_extraction": "select s_suppkey as doc_id, case when s_suppkey % 2 = 0 then 'B.Tech/B.E.' end as degree_raw, case when s_suppkey % 2 = 0 then 'bachelors' end as degree_level, '8.' || (s_suppkey % 10) || '/10' as gpa, (s_suppkey % 20 + 1990) || '-01' as start_date, (s_suppkey % 20 + 1994) || '-01' as end_date, case when s_suppkey % 2 = 0 then 0.6 else 0.5 end::double as extraction_confidence from supplier",
+    "education_extraction": "select s_suppkey as doc_id, null::varchar as institution_raw, case when s_suppkey % 2 = 0 then 'B.Tech/B.E.' end as degree_raw, case when s_suppkey % 2 = 0 then 'bachelors' end as degree_level, '8.' || (s_suppkey % 10) || '/10' as gpa, (s_suppkey % 20 + 1990) || '-01' as start_date, (s_suppkey % 20 + 1994) || '-01' as end_date, case when s_suppkey % 2 = 0 then 0.6 else 0.5 end::double as extraction_confidence from supplier",
     "project_extraction": """select p_partkey as doc_id, 0 as block_no, 'Tool ' || p_partkey as name, 'uses docker https://github.com/x/' || p_partkey as summary, 'https://github.com/x/' || p_partkey as repo_url, 'docker,git,github' as tech from part
         union all select p_partkey, 1, 'Second Thing', 'plain', null, '' from part""",
     "event_sessions": """with a as (select user_id, ts, (lag(ts) over w is null or ts >= lag(ts) over w + interval 30 minute)::int as f from events window w as (partition by user_id order by ts)),

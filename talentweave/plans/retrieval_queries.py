@@ -146,9 +146,20 @@ def skill_post_filter(spark, sf):
 
 
 def query_variants(spark, sf):
-    seeds = ["{q}", "experience with {q}", "Experience with {q}", "projects about {q}", "skills in {q}"]
-    rows = [(i, v) for i, v in enumerate(R.variants("spark engineers", seeds, 5))]
-    return spark.createDataFrame(rows, "pos int, variant string")
+    q = C.table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.concat("p_type", F.when(F.col("p_partkey") % 3 == 0, " developer and Engineer with ").when(F.col("p_partkey") % 3 == 1, " engineer ").otherwise(""), "p_brand").alias("question"))
+    return R.variants(q)
+
+
+def distinct_ignoring_case(spark, sf):
+    """Of each customer the first order of each priority, whatever its case."""
+    o = C.table(spark, sf, "orders").select("o_custkey", "o_orderkey", F.when(F.col("o_orderkey") % 2 == 0, F.lower("o_orderpriority")).otherwise(F.col("o_orderpriority")).alias("priority"))
+    return R.distinct_texts(o, "priority", ["o_custkey"], ["o_orderkey"])
+
+
+def rerank_model(spark, sf):
+    """The pool with scores of a model: a number that some rows' labels stand for."""
+    scores = _store(spark, sf).where("label <> 3").select(F.col("vec_id").alias("id"), ((F.col("label") - 1) / F.lit(7.0)).alias("score"))
+    return R.rerank_by(rrf_weighted(spark, sf), scores, 40).select("id", "first_rank", F.round("score", 6).alias("score"))
 
 
 def chunk_recursive(spark, sf):
@@ -164,7 +175,7 @@ def min_length_filter(spark, sf):
     return C.table(spark, sf, "documents").where(F.length(F.trim("text")) >= L.LEAST_CHUNK).select("doc_id", "n_chars")
 
 
-QUERIES = {f.__name__: f for f in (knn_topk, knn_filtered, vector_index_topk, vector_index_filtered, vector_index_cells, rrf_weighted, rrf_unweighted, rerank_cosine, semantic_search_pipeline, filtered_search_pipeline, mmr_select, fallback_nearest, fallback_not_needed, source_rollup, top_source, lateral_topk_per_scope, context_by_person, skill_post_filter, query_variants, chunk_recursive, chunk_dedupe_sha1, min_length_filter)}
+QUERIES = {f.__name__: f for f in (knn_topk, knn_filtered, vector_index_topk, vector_index_filtered, vector_index_cells, rrf_weighted, rrf_unweighted, rerank_cosine, semantic_search_pipeline, filtered_search_pipeline, mmr_select, fallback_nearest, fallback_not_needed, source_rollup, top_source, lateral_topk_per_scope, context_by_person, skill_post_filter, query_variants, distinct_ignoring_case, rerank_model, chunk_recursive, chunk_dedupe_sha1, min_length_filter)}
 
 ORACLES = {
     "filtered_search_pipeline": f"""with {PAIRS}, fh as (select p.qid, p.id, row_number() over (partition by qid order by dist, id) as rank from pairs p join embeddings e on e.vec_id = p.id where label in (1, 2, 3) qualify rank <= 30),
@@ -186,7 +197,12 @@ ORACLES = {
     "lateral_topk_per_scope": f"with {HITS} select source, id, score, row_number() over (partition by source order by score desc, id)::int as rank from sources qualify rank <= 3",
     "context_by_person": "select email, string_agg(text, chr(10) order by rank) as context from (select source as email, text, row_number() over (partition by source order by n_chars % 1000 desc, doc_id) as rank from documents qualify rank <= 3) group by email",
     "skill_post_filter": "select event_id from events where event_type = 'click'",
-    "query_variants": "select * from (values (0, 'spark engineers'), (1, 'experience with spark engineers'), (2, 'projects about spark engineers'), (3, 'skills in spark engineers'), (4, 'spark engineers')) as v(pos, variant)",
+    "query_variants": """with q as (select p_partkey as id, trim(p_type || case p_partkey % 3 when 0 then ' developer and Engineer with ' when 1 then ' engineer ' else '' end || p_brand) as q from part),
+        m as (select id, q, unnest([q, replace(q, 'developer', 'engineer'), replace(q, 'engineer', 'developer'), q || ' projects', q || ' experience', q || ' resume', q || ' skills', replace(q, ' and ', ' & '), replace(q, ' with ', ' using ')]) as variant, unnest(range(9)) as p from q),
+        f as (select * from m qualify row_number() over (partition by id, lower(variant) order by p) = 1), k as (select id, q, variant, row_number() over (partition by id order by p)::int as pos from f qualify pos <= 5)
+        select id, pos, variant from k union all select id, (max(pos) + 1)::int, q from k group by id, q having lower(arg_max(variant, pos)) <> lower(q)""",
+    "distinct_ignoring_case": "select o_custkey, o_orderkey, case when o_orderkey % 2 = 0 then lower(o_orderpriority) else o_orderpriority end as priority from orders qualify row_number() over (partition by o_custkey, lower(o_orderpriority) order by o_orderkey) = 1",
+    "rerank_model": f"with {PAIRS} select id, first_rank, round(coalesce(case when label <> 3 then greatest(0, least(1, (label - 1) / 7.0::double)) end, 0), 6) as score from (select * from pool order by score desc, first_rank, id limit 40) p join embeddings on vec_id = id",
     "chunk_dedupe_sha1": "select sha1(text) as sha1, min(doc_id) as doc_id from documents where length(trim(text)) >= 60 group by 1",
     "min_length_filter": "select doc_id, n_chars from documents where length(trim(text)) >= 60",
 }

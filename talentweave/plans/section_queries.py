@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from talentweave.functions import lexicon as L
+from talentweave.functions import text as X
 from talentweave.operators import layout as Y
 from talentweave.operators import sections as S
 from talentweave.plans import catalog as C
@@ -81,6 +82,10 @@ def column_gap_cut(spark, sf):
     return S.column_cut(_boxes(spark, sf)).select("doc_id", "cut")
 
 
+def column_gap_cut_single(spark, sf):
+    return S.column_cut(_boxes(spark, sf), strict=True, at_left=True, least_lines=6).select("doc_id", "cut")
+
+
 def reading_order(spark, sf):
     return S.reading_order(_boxes(spark, sf)).groupBy("line_no").agg(F.count(F.lit(1)).alias("n"), F.sum("x0").alias("x"))
 
@@ -98,7 +103,7 @@ def two_means(spark, sf):
 
 
 def greedy_bands(spark, sf):
-    return S.bands(_boxes(spark, sf)).groupBy("doc_id").agg(F.max("line_no").alias("n"))
+    return S.bands(_boxes(spark, sf)).select("doc_id", F.col("column").alias("side"), "x0", "y0", "text", F.col("line_no").alias("band"))
 
 
 def layout_decision(spark, sf):
@@ -170,6 +175,15 @@ def headers_to_sections(spark, sf):
     return s.groupBy("section_type").agg(F.count(F.lit(1)).alias("n"), F.sum("last_page").alias("pages"))
 
 
+def header_labels(spark, sf):
+    """Header texts, decorated, inside other words or not there at all, by part."""
+    n = F.col("p_partkey")
+    keys = F.array(*[F.lit(key) for _, key, _ in L.header_entries()])
+    key = F.get(keys, (n % len(L.header_entries())).cast("int"))
+    line = F.when(n % 4 == 0, F.concat(F.lit("  "), F.upper(key), F.lit(" : —"))).when(n % 4 == 1, F.concat(F.lit("My "), key, F.lit(" so far"))).when(n % 4 == 2, F.concat(F.initcap(key), F.lit(" & "), F.lower("p_name"))).otherwise(F.col("p_name"))
+    return C.table(spark, sf, "part").select("p_partkey", X.header_label(line).alias("label"))
+
+
 def header_spans(spark, sf):
     h = _turns(spark, sf).where("label is not null").select("doc_id", "line_no", "label")
     return S.header_spans(h)
@@ -272,7 +286,7 @@ def title_match(spark, sf):
     return Y.best_titles(p)
 
 
-QUERIES = {f.__name__: f for f in (bullet_lines, award_bullets, degree_merge, glued_roles, column_validation, rule_sections, glyph_cleanup, title_match, header_fill_down, label_islands, sections_from_labels, sliding_median, sliding_median_wide, median_font, lines_per_page, noise_filter, page_sample, page_texts, line_boxes, column_gap_cut, reading_order, two_list_merge, exclusive_quartiles, two_means, greedy_bands, layout_decision, absorb_other_runs, relabel_chain, section_merge, section_chain, contact_promotion, headers_to_sections, header_spans, header_dedupe, flip_suppression, majority_window, low_confidence, wrapped_bullets, wrapped_lines, candidate_names, contacts_by_document, section_counts, sections_text, html_text_extract)}
+QUERIES = {f.__name__: f for f in (bullet_lines, award_bullets, degree_merge, glued_roles, column_validation, rule_sections, glyph_cleanup, title_match, header_fill_down, label_islands, sections_from_labels, sliding_median, sliding_median_wide, median_font, lines_per_page, noise_filter, page_sample, page_texts, line_boxes, column_gap_cut, column_gap_cut_single, header_labels, reading_order, two_list_merge, exclusive_quartiles, two_means, greedy_bands, layout_decision, absorb_other_runs, relabel_chain, section_merge, section_chain, contact_promotion, headers_to_sections, header_spans, header_dedupe, flip_suppression, majority_window, low_confidence, wrapped_bullets, wrapped_lines, candidate_names, contacts_by_document, section_counts, sections_text, html_text_extract)}
 
 _SECTIONS = r"""secs as (select conv_id as doc_id, turn as sec_no, case when turn % 5 = 0 then 'work_experience' when turn % 5 = 3 then 'skills' else 'other' end as section_type,
     case when turn % 2 = 1 then '- a point' || chr(10) || coalesce(text, '') else regexp_replace(coalesce(text, ''), '\s+', ' ', 'g') end as text from conversations)"""
@@ -382,9 +396,16 @@ ORACLES = {
         union all select n.doc_id, n.r, n.line_no, case when n.role <> f.label or n.line_no - f.last > 2 then n.role else f.label end, case when n.role <> f.label or n.line_no - f.last > 2 then n.line_no else f.last end, n.role <> f.label or n.line_no - f.last > 2
             from f join n on n.doc_id = f.doc_id and n.r = f.r + 1)
         select doc_id, line_no, label from f where kept""",
-    "greedy_bands": f"""with recursive {_BOX}, n as (select *, row_number() over (partition by doc_id order by y0, x0, text) as r from boxes), f as (select doc_id, r, y0 as top, 1 as band from n where r = 1
-        union all select n.doc_id, n.r, case when n.y0 - f.top >= 3 then n.y0 else f.top end, f.band + (n.y0 - f.top >= 3)::int from f join n on n.doc_id = f.doc_id and n.r = f.r + 1)
-        select doc_id, max(band)::int as n from f group by doc_id""",
+    "greedy_bands": f"""with recursive {_BOX}, v as (select doc_id, list({{'y': y0, 'x': x0, 'c': col, 't': text}} order by col, y0, x0, text) as v from boxes group by doc_id),
+        f as (select doc_id, v, 0 as band, list_transform(v, lambda r: 0) as b from v union all
+            select doc_id, v, band + 1, list_transform(b, lambda o, i: case when o = 0 and (i = k or abs(v[i].y - v[k].y) < 3) then band + 1 else o end) from (select *, list_position(b, 0) as k from f) where k is not null),
+        l as (select * from f where not list_contains(b, 0))
+        select doc_id, (v[i]).c as side, (v[i]).x as x0, (v[i]).y as y0, (v[i]).t as text, b[i]::int as band from (select *, unnest(range(1, len(v) + 1)) as i from l)""",
+    "column_gap_cut_single": f"""with {_BOX}, m as (select doc_id, (x0 + x1) / 2 as mid from boxes), g as (select *, lead(mid) over (partition by doc_id order by mid) - mid as gap, max(mid) over (partition by doc_id) - min(mid) over (partition by doc_id) as span, count(*) over (partition by doc_id) as n from m)
+        select doc_id, mid as cut from g where gap is not null qualify row_number() over (partition by doc_id order by gap desc, mid) = 1 and gap > 0 and gap / span > 0.33 and n >= 6""",
+    "header_labels": f"""with keys(i, key, label) as (values {_KEYS}), k as (select *, (select key from keys where i = p_partkey % {len(L.header_entries())}) as kk from part),
+        c as (select p_partkey, case p_partkey % 4 when 0 then '  ' || upper(kk) || ' : —' when 1 then 'My ' || kk || ' so far' when 2 then kk || ' & ' || lower(p_name) else p_name end as line from k)
+        select p_partkey, {_of(_LABEL, "line")} as label from c""",
     "wrapped_lines": f"""with recursive {_BOX}, n as (select *, row_number() over (partition by doc_id order by line_no, y0, x0, text) as r from boxes), f as (select doc_id, r, x0, y0 + 2 as bottom, 1 as k from n where r = 1
         union all select n.doc_id, n.r, case when j then f.x0 else n.x0 end, case when j then greatest(f.bottom, n.y0 + 2) else n.y0 + 2 end, f.k + (not j)::int
             from f join n on n.doc_id = f.doc_id and n.r = f.r + 1, lateral (select n.y0 - f.bottom <= 3.5 and abs(n.x0 - f.x0) <= 4 as j))

@@ -139,12 +139,6 @@ def spaced_caps(spark, sf):
     return n.select("n_nationkey", X.join_spaced_caps(F.concat(F.lit("A M A N "), F.substring("n_name", 1, 1), F.lit(" "), F.lit("INGH"))).alias("name"))
 
 
-def header_labels(spark, sf):
-    keys = [(i, k, label) for i, k, label in L.header_entries()]
-    df = spark.createDataFrame([(i, f"  {k.upper()} : —") for i, k, _ in keys] + [(100, "My work experience so far"), (101, "nothing here"), (102, "")], "id int, line string")
-    return df.select("id", X.header_label(F.col("line")).alias("label"))
-
-
 def compact_lists(spark, sf):
     o = C.table(spark, sf, "orders").groupBy("o_custkey").agg(F.collect_list("o_orderpriority").alias("p"))
     return o.select("o_custkey", F.array_join(X.merge_skills(F.col("p"), F.array(F.lit("SQL "), F.lit("c"), F.lit("R"))), ",").alias("merged"))
@@ -175,7 +169,7 @@ def entity_extract(spark, sf):
 
 
 def _misspelt(spark, sf):
-    w = C.words(spark, sf).where(F.length("word").between(5, 8)).groupBy("word").agg(F.count(F.lit(1)).alias("freq"))
+    w = C.words(spark, sf).groupBy("word").agg(F.count(F.lit(1)).alias("freq"))
     return w
 
 
@@ -222,9 +216,8 @@ def stamps_and_follow_ups(spark, sf):
     return o.select("o_orderkey", X.utc_stamp(F.col("o_orderdate")).alias("stamp"), X.compose_follow_up(F.col("o_orderstatus"), F.col("o_orderpriority")).alias("follow_up"), X.first_filled(F.nullif(F.col("o_orderstatus"), F.lit("O")), F.lit(""), F.col("o_orderpriority")).alias("first"), F.substring(F.repeat("o_orderpriority", 3), 1, 20).alias("short"))
 
 
-QUERIES = {f.__name__: f for f in (query_entities, section_hints, skill_categories, project_highlights, stamps_and_follow_ups, normalize_text, lower_norm, contacts_extract, phone_normalize, phones_of_lines, skills_dictionary, metrics_extract, gpa_and_degree, language_levels, season_to_month, date_ranges, iso_date_pad, short_hash_ids, document_hashes, paths, json_array_contains, json_properties, requirements_split, row_rendering, score_parse, years_regex, hyphen_unwrap, spaced_caps, header_labels, compact_lists, nfkc_form, fuzzy_name_match, fuzzy_name_join, entity_extract, spell_correct, name_tokens, bullets_and_blocks)}
+QUERIES = {f.__name__: f for f in (query_entities, section_hints, skill_categories, project_highlights, stamps_and_follow_ups, normalize_text, lower_norm, contacts_extract, phone_normalize, phones_of_lines, skills_dictionary, metrics_extract, gpa_and_degree, language_levels, season_to_month, date_ranges, iso_date_pad, short_hash_ids, document_hashes, paths, json_array_contains, json_properties, requirements_split, row_rendering, score_parse, years_regex, hyphen_unwrap, spaced_caps, compact_lists, nfkc_form, fuzzy_name_match, fuzzy_name_join, entity_extract, spell_correct, name_tokens, bullets_and_blocks)}
 
-_HEADERS = ", ".join(f"({i}, '{label}')" for i, _, label in L.header_entries())
 ORACLES = {
     "nfkc_form": "select n_nationkey, 'fi 1' || n_name as text from nation",
     "name_tokens": r"""select conv_id, turn, len(list_filter(list_transform(regexp_split_to_array(lower(trim(coalesce(text, ''))), '\s+'), lambda w: regexp_replace(w, '[^\p{L}\p{N}]', '', 'g')), lambda w: length(w) >= 3 and w not in ('the', 'and', 'for', 'with', 'who', 'what', 'are')))::int as n from conversations""",
@@ -255,12 +248,5 @@ ORACLES = {
     "years_regex": "select p_partkey, p_size as years from part",
     "hyphen_unwrap": "select p_partkey, p_type || lower(p_brand) as text from part",
     "spaced_caps": "select n_nationkey, case when substring(n_name, 1, 1) = upper(substring(n_name, 1, 1)) then 'AMAN' || substring(n_name, 1, 1) || ' INGH' else 'AMAN ' || substring(n_name, 1, 1) || ' INGH' end as name from nation",
-    "header_labels": f"select * from (values {_HEADERS}, (100, 'work_experience'), (101, null), (102, null)) as v(id, label)",
     "compact_lists": "select o_custkey, array_to_string(list_sort(list_distinct(list_concat(list(lower(trim(o_orderpriority))), ['sql', 'r']))), ',') as merged from orders group by o_custkey",
-    "spell_correct": f"""with {C.WORDS_SQL}, w as (select word, count(*) as freq from words where length(word) between 5 and 8 group by word),
-        one as (select distinct word, freq, v from (select word, freq, unnest(list_append([word[1 : i - 1] || word[i + 1 :] for i in range(1, length(word) + 1)], word)) as v from w)),
-        two as (select distinct word, freq, x from (select word, freq, unnest(list_append([v[1 : i - 1] || v[i + 1 :] for i in range(1, length(v) + 1)], v)) as x from one)),
-        near as (select distinct a.word, d.word as term, d.freq from two a join two d on a.x = d.x where a.freq < 20 and d.freq >= 20),
-        c as (select word, term, row_number() over (partition by word order by levenshtein(word, term), freq desc, term) as r from near where levenshtein(word, term) <= 2)
-        select w.word, coalesce(c.term, w.word) as correction from w left join c on c.word = w.word and r = 1 where freq < 20""",
 }

@@ -232,7 +232,7 @@ def test_sql_gate(spark):
 def test_spelling(spark):
     words = spark.createDataFrame([("teh",), ("pythn",), ("zzzzz",), ("java",)], "word string")
     known = spark.createDataFrame([("python", 5), ("the", 9), ("ten", 1), ("java", 2)], "term string, freq int")
-    assert dict((r.word, r.correction) for r in matching.spell(words, known).collect()) == {"teh": "ten", "pythn": "python", "zzzzz": "zzzzz", "java": "java"}
+    assert dict((r.word, r.correction) for r in matching.spell(words, known).collect()) == {"teh": "the", "pythn": "python", "zzzzz": "zzzzz", "java": "java"}
 
 
 def test_files_in_and_out(spark, tmp_path):
@@ -461,3 +461,104 @@ def test_grams_leave_few_pairs_to_score(spark):
     tried = gramjoin.candidates(a, b, 85, strict=False)
     assert tried.count() * 100 < a.count() * b.count()
     assert "BroadcastNestedLoopJoin" not in tried._jdf.queryExecution().executedPlan().toString()
+
+
+def test_bands_look_both_ways_across_columns(spark):
+    rows = [(0, 1, 0, 10.0, 10.0, "left"), (0, 1, 1, 60.0, 8.0, "r8"), (0, 1, 1, 60.0, 12.0, "r12"), (0, 1, 1, 60.0, 14.9, "late"), (0, 2, 0, 10.0, 10.0, "next page"), (0, 1, 0, 10.0, 13.0, "below")]
+    df = spark.createDataFrame(rows, "doc_id int, page int, column int, x0 double, y0 double, text string")
+    assert {r.text: r.line_no for r in sections.bands(df).collect()} == {"left": 1, "r8": 1, "r12": 1, "below": 2, "late": 2, "next page": 3}
+    rng = random.Random(6)
+    rows = [(d, 1, rng.randint(0, 1), float(rng.randint(0, 9)), rng.randint(0, 40) / 2, f"t{i}") for d in range(5) for i in range(30)]
+    want = {}
+    for d in range(5):
+        own = sorted((r for r in rows if r[0] == d), key=lambda r: (r[2], r[4], r[3], r[5]))
+        taken, n = {}, 0
+        for i, a in enumerate(own):
+            if i not in taken:
+                n += 1
+                taken |= {j: n for j in range(i, len(own)) if j not in taken and abs(own[j][4] - a[4]) < 3}
+        want |= {(d, r[5]): taken[i] for i, r in enumerate(own)}
+    got = sections.bands(spark.createDataFrame(rows, df.schema)).collect()
+    assert {(r.doc_id, r.text): r.line_no for r in got} == want
+
+
+def aligned(a, b):
+    d = [[i + j if not i * j else 0 for j in range(len(b) + 1)] for i in range(len(a) + 1)]
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            d[i][j] = min(d[i - 1][j] + 1, d[i][j - 1] + 1, d[i - 1][j - 1] + (a[i - 1] != b[j - 1]))
+            if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                d[i][j] = min(d[i][j], d[i - 2][j - 2] + 1)
+    return d[-1][-1]
+
+
+def test_swaps_count_once_in_spelling(spark):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abc") for _ in range(rng.randint(0, 7)))
+    pairs = [(word(), word()) for _ in range(3000)] + [("ca", "abc"), ("", "ab"), ("ab", "")]
+    assert all(fuzzy.alignment_of(a, b) == aligned(a, b) for a, b in pairs)
+    words, terms = sorted({word() or "a" for _ in range(60)}), {word() or "b": rng.randint(1, 5) for _ in range(25)}
+    got = dict(map(tuple, matching.spell(spark.createDataFrame([(w,) for w in words], "word string"), spark.createDataFrame(list(terms.items()), "term string, freq int")).collect()))
+    near = {w: min((aligned(w, t), -n, t) for t, n in terms.items()) for w in words}
+    assert got == {w: best[2] if best[0] <= 2 else w for w, best in near.items()}
+    assert dict(map(tuple, matching.spell(spark.createDataFrame([("recieve",), (None,)], "word string"), spark.createDataFrame([("receive", 1), ("receiver", 9)], "term string, freq int")).collect())) == {"recieve": "receive"}
+
+
+def test_variants_of_questions(spark):
+    df = spark.createDataFrame([(1, "Engineer with sql and R "), (2, " "), (3, None), (4, "developer")], "id int, question string")
+    got = {}
+    for r in retrieval.variants(df, 4).orderBy("id", "pos").collect():
+        got.setdefault(r.id, []).append(r.variant)
+    q = "Engineer with sql and R"
+    assert got == {1: [q, f"{q} projects", f"{q} experience", f"{q} resume", q], 4: ["developer", "engineer", "developer projects", "developer experience", "developer"]}
+    assert [r.variant for r in retrieval.variants(df.where("id = 4"), 1).collect()] == ["developer"]
+
+
+def test_scores_of_a_model_take_the_place_of_the_cosine(spark):
+    pool = spark.createDataFrame([(1, 0.9, 1), (2, 0.8, 1), (3, 0.7, 2)], "id int, score double, first_rank int")
+    scores = spark.createDataFrame([(2, 0.4), (2, 1.7), (9, 1.0), (3, -1.0)], "id int, score double")
+    assert sorted((r.id, r.score) for r in retrieval.rerank_by(pool, scores).collect()) == [(1, 0.0), (2, 1.0), (3, 0.0)]
+    assert [r.id for r in retrieval.rerank_by(pool, scores, 1).collect()] == [1]
+
+
+def test_the_one_column_reader_cuts_at_the_left_midpoint(spark):
+    rows = [(0, 1, float(x), x + 2.0) for x in (0, 1, 2, 10, 11, 12)] + [(0, 2, float(x), x + 2.0) for x in (0, 10, 20, 30, 40, 50)]
+    df = spark.createDataFrame(rows, "doc_id int, page int, x0 double, x1 double")
+    one_column = sections.column_cut(df, strict=True, at_left=True, least_lines=6)
+    assert [(r.page, r.cut) for r in one_column.collect()] == [(1, 3.0)] and sections.column_cut(df).first().cut == 7.0
+    assert sections.column_cut(df.where("x0 < 12"), strict=True, at_left=True, least_lines=6).count() == 0
+
+
+ENTITY = "doc_id int, sec_no int, system string, label string, word string, start int, end int, score double"
+
+
+def test_better_entities_stand(spark):
+    rng = random.Random(15)
+    rows = [(d, 1, rng.choice(["hf", "spacy"]), "org", f" w{i} ", a := rng.randint(0, 400), a + rng.randint(1, 150), rng.choice([0.2, 0.5, None])) for d in range(3) for i in range(40)]
+    rows += [(9, 1, "hf", "org", " ", 0, 3, 0.9), (9, 1, "hf", "org", "x", 2, 2, 0.9), (9, 1, "hf", "misc", "y", 1, 4, 0.1), (9, 1, "hf", "misc", "y", 1, 4, 0.1)]
+    rank = lambda r: (-(r[7] or 0.0), r[5], -r[6], r[4])
+    real = {r for r in rows if r[4].strip() and r[5] < r[6]}
+    want = {(r[0], r[2], r[4].strip()) for r in real if not any(o[0] == r[0] and o[2] == r[2] and o[5] < r[6] and o[6] > r[5] and rank(o) < rank(r) for o in real)}
+    got = people.standing(spark.createDataFrame(rows, ENTITY)).collect()
+    assert {(r.doc_id, r.system, r.word) for r in got} == want and len(got) == len(want) and {r.label for r in got} == {"ORG", "MISC"}
+
+
+def test_entities_name_companies_and_institutions(spark):
+    work = "  \n Data Analyst at Nowhere\n2019 - 2020\n\n\n\nClerk\nat Beta"
+    df = spark.createDataFrame([(0, 1, "work_experience", work), (1, 1, "work_experience", None), (0, 2, "education", "B.Tech\nSome School\n\nDiploma")], "doc_id int, sec_no int, section_type string, text string")
+    at = lambda t, w: (t.index(w), t.index(w) + len(w))
+    edu = "B.Tech\nSome School\n\nDiploma"
+    rows = [(0, 1, "spacy", "ORG", "Nowhere", *at(work, "Nowhere"), 0.9), (0, 1, "spacy", "ORG", "Data", *at(work, "Data"), 0.8), (0, 1, "hf", "ORG", "Beta", *at(work, "Beta"), 0.9), (0, 2, "hf", "ORG", "Some School", *at(edu, "Some School"), 0.7), (0, 2, "hf", "PER", "Diploma", *at(edu, "Diploma"), 0.7)]
+    found = spark.createDataFrame(rows, ENTITY)
+    name = lambda **more: [r.company_raw for r in people.extract_experience(df, found, **more).orderBy("block_no").collect() if r.title_raw]
+    assert name() == ["Data", None] and name(systems=("hf",)) == ["Nowhere", None]
+    assert [r.company_raw for r in people.extract_experience(df).where("title_norm = 'data analyst'").collect()] == ["Nowhere"]
+    assert [(r.institution_raw, r.extraction_confidence) for r in people.extract_education(df, found).orderBy("block_no").collect()] == [("Some School", 0.7), (None, 0.4)]
+
+
+def test_strict_dates_are_ranges_alone(spark):
+    read = lambda t: tuple(one(spark, X.date_range_strict(F.col("a")), a=t))
+    assert read("Aug 2020 - Sept. 2021") == ("2020-08-01", "2021-09-01", False)
+    assert read("from March, 2019 to present") == ("2019-03-01", None, True)
+    assert read("2016 – 2020 x") == ("2016-01-01", "2020-01-01", False)
+    assert read("in 2020, Aug '20 - Sep '21") == (None, None, False)

@@ -24,15 +24,19 @@ def fold(df: DataFrame, run: Callable[[list[dict]], list[dict]], schema: T.Struc
         return pa.RecordBatch.from_pylist(out, schema=arrow)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[dict] = []
+        held: list[dict] = []  # the rows so far of the document that may go on in the next batch
         for b in batches:
-            rows = held + b.to_pylist()
+            rows = b.to_pylist()
+            if not rows:
+                continue
             cut = len(rows)
             while cut and rows[cut - 1][by] == rows[-1][by]:
                 cut -= 1
-            held = rows[cut:]  # the last document may go on in the next batch
-            if cut:
-                yield batch(rows[:cut])
+            if cut or (held and held[-1][by] != rows[-1][by]):
+                yield batch(held + rows[:cut])
+                held = rows[cut:]
+            else:
+                held += rows
         if held:
             yield batch(held)
 

@@ -476,12 +476,15 @@ def merge_bullets(lines: DataFrame) -> DataFrame:
 
 
 def suppress_flips(lines: DataFrame, below: float = 0.55) -> DataFrame:
-    """A single line whose neighbours agree takes their label, the one above as already smoothed."""
+    """A single line whose neighbours agree takes their label, the one above as already smoothed.
 
-    def run(rows: list[dict]) -> list[dict]:
-        for before, row, after in zip(rows, rows[1:], rows[2:], strict=False):
-            if row["label"] != before["label"] == after["label"] and row["score"] < below:
-                row["label"] = before["label"]
-        return rows
-
-    return fold(lines, run, lines.schema)
+    A line that has been changed has the label of the one below it, which then has no reason to change. So in a run of
+    lines that differ from two agreeing neighbours every other one changes, from the first.
+    """
+    order = Window.partitionBy("doc_id").orderBy("line_no")
+    above, under = F.lag("label").over(order), F.lead("label").over(order)
+    odd = F.coalesce((F.col("label") != above) & (above == under) & (F.col("score") < below), F.lit(False))
+    df = lines.withColumns({"_odd": odd, "_above": above}).withColumn("_run", F.sum((~F.col("_odd")).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    # A run's number is that of the line before it, which is none of it; a first line never differs from two neighbours.
+    place = F.row_number().over(Window.partitionBy("doc_id", "_run").orderBy("line_no"))
+    return df.withColumn("label", F.when(F.col("_odd") & (place % 2 == 0), F.col("_above")).otherwise(F.col("label"))).select(lines.columns)

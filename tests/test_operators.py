@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from talentweave.functions import fuzzy
 from talentweave.functions import text as X
-from talentweave.operators import evaluation, gramjoin, layout, matching, people, retrieval, schedule, sections
+from talentweave.operators import evaluation, folding, gramjoin, layout, matching, people, retrieval, schedule, sections
 from talentweave.plans import sqlgate
 from talentweave.sources import readers
 from talentweave.streaming import events
@@ -562,3 +562,29 @@ def test_strict_dates_are_ranges_alone(spark):
     assert read("from March, 2019 to present") == ("2019-03-01", None, True)
     assert read("2016 – 2020 x") == ("2016-01-01", "2020-01-01", False)
     assert read("in 2020, Aug '20 - Sep '21") == (None, None, False)
+
+
+def test_flips_are_suppressed_as_by_a_scan(spark):
+    rng = random.Random(18)
+    rows = [(d, i, rng.choice("ab") if rng.random() < 0.9 else rng.choice(["c", None]), rng.choice([0.1, 0.9, None])) for d in range(4) for i in range(60)]
+    want = {}
+    for d in range(4):
+        own = [list(r) for r in rows if r[0] == d]
+        for x, y, z in zip(own, own[1:], own[2:], strict=False):
+            if None not in (x[2], y[2], z[2], y[3]) and y[2] != x[2] == z[2] and y[3] < 0.55:
+                y[2] = x[2]
+        want |= {(r[0], r[1]): r[2] for r in own}
+    got = sections.suppress_flips(spark.createDataFrame(rows, "doc_id int, line_no int, label string, score double"))
+    assert {(r.doc_id, r.line_no): r.label for r in got.collect()} == want
+    assert "MapInArrow" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_folds_keep_documents_whole_across_batches(spark):
+    rows = [(d, i) for d, n in ((1, 7), (2, 1), (3, 40), (None, 3), (5, 2)) for i in range(n)]
+    df = spark.createDataFrame(rows, "doc_id int, line_no int").coalesce(1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        got = folding.fold(df, lambda rows: [{"doc_id": rows[0]["doc_id"], "line_no": len(rows)}], df.schema).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, [(1, 7), (2, 1), (3, 40), (None, 3), (5, 2)]))

@@ -62,7 +62,8 @@ def manifest(df: DataFrame, leaf: Column, key: str, group: str, tampered: Column
     root. proof: PROOF from the leaf to the root; a run of one node has an empty entry. An empty table gives no rows;
     other columns go.
     """
-    own = df.select(F.col(group).alias("grp"), F.col(key).alias("key"), leaf.alias("node"), *([tampered.alias("tampered")] if tampered is not None else []))
+    # Rows are digested once; what follows reads digests, not texts.
+    own = cut(df.select(F.col(group).alias("grp"), F.col(key).alias("key"), leaf.alias("node"), *([tampered.alias("tampered")] if tampered is not None else [])))
     leaves = _numbered(own, ["grp"], ["key", "node"])
     subroots, lower = _reduce(leaves, fanout, levels)
     tops = _numbered(subroots.select(F.lit(0).alias("one"), "grp", "node"), ["one"], ["grp"])

@@ -29,46 +29,45 @@ def holders(items: DataFrame) -> DataFrame:
     return items.select(*_OF, "system", item.alias("item")).groupBy(*_OF, "item").agg(F.sort_array(F.collect_set("system")).alias("systems"))
 
 
+def patterns(items: DataFrame, first: int = 0) -> DataFrame:
+    """(entity, field, systems, n, items): for each set of systems that some item of rows (entity, field, system, item) has
+    exactly, how many items that are, and the `first` of them. Few rows, however many items there are."""
+    of = holders(items)
+    counts = of.groupBy(*_OF, "systems").agg(F.count("item").alias("n"))
+    none = F.array().cast("array<string>")
+    if not first:
+        return counts.withColumn("items", none)
+    # Nulls go last and are not collected: a filter would reach the scan, and the items would be grouped twice.
+    order = Window.partitionBy(*_OF, "systems").orderBy(F.asc_nulls_last("item"))
+    some = of.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= first)
+    lists = some.groupBy(*_OF, "systems").agg(F.array_sort(F.collect_list("item")).alias("items"))
+    return counts.join(lists, [*_OF, "systems"], "left").withColumn("items", F.coalesce("items", none))
+
+
 def compare(items: DataFrame, differences: int = 20) -> DataFrame:
     """A row for each pair of systems of an entity and field in rows (entity, field, system, item): sizes, Jaccard, and
     the first `differences` items that one has and the other lacks. Items of a null or empty text are none; a system
     with no item has an empty set, and two of them are alike (1).
 
-    All that follows rests on one grouping by item, whose exchange the engine reuses."""
-    of = holders(items)
-    each = of.select(*_OF, "item", F.explode("systems").alias("system_a"), "systems")
-    systems = each.select(*_OF, "system_a").distinct()
+    Items are grouped once, then sets of systems stand for all items that they have: pairs meet those few rows."""
+    of = patterns(items, differences)
+    systems = of.select(*_OF, F.explode("systems").alias("system_a")).distinct()
     pairs = systems.join(systems.withColumnRenamed("system_a", "system_b"), [*_OF]).where("system_a < system_b")
-    # Items count for each pair of systems that have them; a pair of equals counts a system's own.
-    both = each.select(*_OF, "item", "system_a", F.explode("systems").alias("system_b")).where("system_a <= system_b")
-    counts = both.groupBy(*_OF, "system_a", "system_b").agg(F.count("item").alias("n"))
-    own = counts.where("system_a = system_b")
-    found = (
-        pairs.join(counts.withColumnRenamed("n", "_both"), [*_OF, "system_a", "system_b"], "left")
-        .join(own.select(*_OF, "system_a", F.col("n").alias("_na")), [*_OF, "system_a"])
-        .join(own.select(*_OF, F.col("system_a").alias("system_b"), F.col("n").alias("_nb")), [*_OF, "system_b"])
-        .na.fill(0, ["_both"])
-    )
+    a, b = (F.array_contains("systems", F.col(c)) for c in ("system_a", "system_b"))
+    total = lambda hit: F.sum(F.when(hit, F.col("n")).otherwise(0))
+    few = lambda hit: F.slice(F.array_sort(F.flatten(F.collect_list(F.when(hit, F.col("items"))))), 1, max(differences, 1))
+    found = pairs.join(of, [*_OF]).groupBy(*_OF, "system_a", "system_b").agg(total(a & b).alias("_both"), total(a).alias("_na"), total(b).alias("_nb"), few(a & ~b).alias("a_minus_b"), few(b & ~a).alias("b_minus_a"))
     union = F.col("_na") + F.col("_nb") - F.col("_both")
-    found = found.select(*_OF, "system_a", "system_b", F.col("_na").cast("int").alias("size_a"), F.col("_nb").cast("int").alias("size_b"), F.when(union == 0, F.lit(1.0)).otherwise(F.round(F.col("_both") / union, 4)).alias("jaccard"))
-    if not differences:
-        return found
-    order = Window.partitionBy(*_OF, "system_a", "system_b", "side").orderBy("item")
-    has = lambda c: F.array_contains("systems", F.col(c))
-    only = of.join(pairs, [*_OF]).withColumn("side", F.when(F.col("item").isNull(), None).when(has("system_a") & ~has("system_b"), "a").when(has("system_b") & ~has("system_a"), "b")).where("side is not null")
-    few = only.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= differences)
-    side = lambda s: F.array_sort(F.collect_list(F.when(F.col("side") == s, F.col("item"))))
-    lists = few.groupBy(*_OF, "system_a", "system_b").agg(side("a").alias("a_minus_b"), side("b").alias("b_minus_a"))
-    none = F.array().cast("array<string>")
-    return found.join(lists, [*_OF, "system_a", "system_b"], "left").withColumns({c: F.coalesce(c, none) for c in ("a_minus_b", "b_minus_a")})
+    lists = ["a_minus_b", "b_minus_a"] if differences else []
+    return found.select(*_OF, "system_a", "system_b", F.col("_na").cast("int").alias("size_a"), F.col("_nb").cast("int").alias("size_b"), F.when(union == 0, F.lit(1.0)).otherwise(F.round(F.col("_both") / union, 4)).alias("jaccard"), *lists)
 
 
 def winners(items: DataFrame) -> DataFrame:
     """(entity, field, winner, union_count): the system with most items, the first by name at a tie."""
-    of = holders(items)
-    sizes = of.select(*_OF, "item", F.explode("systems").alias("system")).groupBy(*_OF, "system").agg(F.count("item").alias("n"))
+    of = patterns(items)
+    sizes = of.select(*_OF, "n", F.explode("systems").alias("system")).groupBy(*_OF, "system").agg(F.sum("n").alias("n"))
     best = sizes.groupBy(*_OF).agg(F.min_by("system", F.struct(-F.col("n"), "system")).alias("winner"))
-    return best.join(of.groupBy(*_OF).agg(F.count("item").cast("int").alias("union_count")), [*_OF])
+    return best.join(of.groupBy(*_OF).agg(F.sum("n").cast("int").alias("union_count")), [*_OF])
 
 
 def manifest_changes(old: DataFrame, new: DataFrame) -> DataFrame:

@@ -261,7 +261,7 @@ def availability_answers(spark, sf):
 
 
 def _items(spark, sf):
-    w = C.words(spark, sf).where("length(word) > 3")
+    w = C.words(spark, sf)
     return w.select(F.col("source").alias("entity"), F.lit("word").alias("field"), F.col("lang").alias("system"), F.col("word").alias("item"))
 
 
@@ -368,7 +368,7 @@ QUERIES = {f.__name__: f for f in (experience_extraction, experience_entities, e
 
 _P, _S, _I = C.PEOPLE_SQL, C.SLOTS_SQL, C.INTERVIEWERS_SQL
 _OPEN = f"{_S}, {_I}, open as (select s.*, row_number() over (partition by s.interviewer_id order by start_ts, id)::int as nth from slots s join interviewers i on i.interviewer_id = s.interviewer_id and is_active where status = 'free' and start_ts >= timestamp '{WINDOW[0]}' and end_ts <= timestamp '{WINDOW[1]}')"
-_SETS = f"{C.WORDS_SQL}, sets as (select source as entity, lang as system, list_sort(list(distinct word)) as items from words where length(word) > 3 group by 1, 2), pairs as (select a.entity, a.system as system_a, b.system as system_b, a.items as x, b.items as y from sets a join sets b on a.entity = b.entity and a.system < b.system)"
+_SETS = f"{C.WORDS_SQL}, sets as (select source as entity, lang as system, list_sort(list(distinct word)) as items from words group by 1, 2), pairs as (select a.entity, a.system as system_a, b.system as system_b, a.items as x, b.items as y from sets a join sets b on a.entity = b.entity and a.system < b.system)"
 _MOVED = "candidate_id % 3 = 0 and candidate_id < 900 and stage_of_process = 'BUILDING'"
 _BOOKED = f"""{_P}, {_OPEN}, fit as (select * from open o where not exists (select 1 from slots b where b.interviewer_id = o.interviewer_id and b.status = 'booked' and b.start_ts < o.start_ts + interval 45 minute and b.end_ts > o.start_ts)),
     starts as (select interviewer_id, start_ts, min(id) as id from fit group by 1, 2), nexts as (select *, min(start_ts) over (partition by interviewer_id order by start_ts range between interval 45 minute following and unbounded following) as nxt from starts),
@@ -433,7 +433,7 @@ ORACLES = {
     "availability_answers": f"with {_I}, a as (select * from interviewers where is_active) select 't-' || interviewer_id as id, interviewer_id, case when interviewer_id % 2 = 0 then 'used' else 'tentative' end as status from a union all select 't-' || interviewer_id || '-' || p, interviewer_id, 'free' from a, range(2) as t(p) where interviewer_id % 2 = 0",
     "jaccard_pairs": f"with {_SETS} select entity, system_a, system_b, len(x)::int as size_a, len(y)::int as size_b, round(len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))), 4) as jaccard from pairs",
     "set_diff_clip20": f"with {_SETS} select entity, system_a, system_b, array_to_string(list_filter(x, lambda v: not list_contains(y, v))[1:20], ',') as a_minus_b, array_to_string(list_filter(y, lambda v: not list_contains(x, v))[1:20], ',') as b_minus_a from pairs",
-    "winner_by_size": f"with {_SETS} select s.entity, winner, union_count from (select entity, system as winner from sets qualify row_number() over (partition by entity order by len(items) desc, system) = 1) s join (select source as entity, count(distinct word)::int as union_count from words where length(word) > 3 group by 1) u using (entity)",
+    "winner_by_size": f"with {_SETS} select s.entity, winner, union_count from (select entity, system as winner from sets qualify row_number() over (partition by entity order by len(items) desc, system) = 1) s join (select source as entity, count(distinct word)::int as union_count from words group by 1) u using (entity)",
     "manifest_diff": "select o_orderkey::varchar as name, case when o_orderkey % 3 = 0 then 'added' when o_orderkey % 5 = 0 then 'removed' when o_orderkey % 7 = 0 then 'changed' else 'unchanged' end as change from orders where not (o_orderkey % 3 = 0 and o_orderkey % 5 = 0)",
     "required_fields": f"with {_P} select candidate_id, concat_ws(',', case when job_score is null then 'job_score' end, case when job_id = 0 then 'job_id' end) as missing from people where job_score is null or job_id = 0",
     "job_lookup": f"with {_P} select candidate_id, n_name as job_title from people left join nation on n_nationkey = job_id",

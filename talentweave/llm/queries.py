@@ -160,6 +160,7 @@ qualify row_number() over (partition by anchor_id, positive_id order by score de
 
 
 def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows without an id are leaves like others and are never tampered with."""
     docs = table(spark, sf_dir, "documents")
     rest = ("doc_id", "source", "lang", "n_chars")
     lower = F.translate("text", UPPER, UPPER.lower())
@@ -207,7 +208,7 @@ with recursive docs as (
     from tops a where n > 1
 ), walk as (
     select l.doc_id, l.source, l.i as first, l.leaf, s.subroot, s.h, s.j, 0 as lvl, l.i as i, false as up, '' as proof,
-        case when {_CRC} % 5 = 0 then l.lowered else l.leaf end as folded
+        case when l.doc_id is not null and {_CRC} % 5 = 0 then l.lowered else l.leaf end as folded
     from numbered l join subroots s on s.source is not distinct from l.source
     union all
     select w.doc_id, w.source, w.first, w.leaf, w.subroot, w.h, w.j, case when w.up or w.lvl < w.h then w.lvl + 1 else 0 end,

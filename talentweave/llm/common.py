@@ -78,25 +78,28 @@ def add_columns(df: DataFrame, column: str, new: T.StructType, work: Callable[[]
     the same name.
     """
     gone = {*drop, *(f.name for f in new)}
-    kept = [f for f in df.schema if f.name not in gone]
-    schema = T.StructType([*kept, *new])
-    source = [f.name for f in kept]
+    kept = [(f"c{i}", f) for i, f in enumerate(df.schema) if f.name not in gone]
+    # Numbered names inside: Python rows are read by plain names, which those with dots and ticks are not.
+    result = [*(f for _, f in kept), *new]
+    schema = T.StructType([T.StructField(f"r{i}", f.dataType) for i, f in enumerate(result)])
+    source = [c for c, _ in kept]
+    own = f"c{df.columns.index(column)}"
     binary = isinstance(df.schema[column].dataType, T.StringType)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         do = work()
         try:
-            for part in sliced(batches, column) if binary else batches:
+            for part in sliced(batches, own) if binary else batches:
                 if not part.num_rows:
                     continue
                 at = part.schema.get_field_index
-                made = do(part.column(at(column)))
-                yield pa.RecordBatch.from_arrays([*(part.column(at(c)) for c in source), *made], names=[*source, *(f.name for f in new)])
+                made = do(part.column(at(own)))
+                yield pa.RecordBatch.from_arrays([*(part.column(at(c)) for c in source), *made], names=schema.names)
         finally:
             del do
             give_back()
 
-    return df.mapInArrow(run, schema)
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns)))).mapInArrow(run, schema).toDF(*(f.name for f in result))
 
 
 def give_back() -> None:

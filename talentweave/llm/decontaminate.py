@@ -237,9 +237,10 @@ def contaminated(coverage: float = 0.05):
 def remove_spans(scanned: DataFrame, text: str = "text", min_chars: int = 0, coverage: float = 0.05) -> DataFrame:
     """scanned with the hit spans cut out of texts beyond the coverage limit, and spans of min_chars or more elsewhere
     where min_chars is over 0. What stands before and after a cut stays as it is, joined by one line break."""
-    at = "filter(hit_spans, s -> _over or ({n} > 0 and s.end - s.start >= {n}))".format(n=int(min_chars))
+    beyond, n = unused(scanned, "_over"), int(min_chars)
+    at = f"filter(hit_spans, s -> {beyond} or ({n} > 0 and s.end - s.start >= {n}))"
     piece = f"""aggregate({at}, struct(0 as at, cast(array() as array<string>) as parts),
         (a, s) -> struct(greatest(a.at, s.end) as at, case when s.start > a.at then array_append(a.parts, substring({text}, a.at + 1, s.start - a.at)) else a.parts end as parts),
         a -> array_join(array_append(a.parts, substring({text}, a.at + 1, length({text}))), '\\n'))"""
-    over = scanned.withColumn("_over", contaminated(coverage))
-    return over.withColumn(text, F.when(F.expr(f"size({at}) > 0"), F.expr(piece)).otherwise(F.col(text))).drop("_over")
+    over = scanned.withColumn(beyond, contaminated(coverage))
+    return over.withColumn(text, F.when(F.expr(f"size({at}) > 0"), F.expr(piece)).otherwise(F.col(text))).drop(beyond)

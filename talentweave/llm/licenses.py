@@ -26,6 +26,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from talentweave.llm.common import unused
+
 #: Usual notices of licence families, as their publishers word them.
 TEMPLATES = {
     "apache-2.0": (
@@ -261,34 +263,34 @@ def scan(df: DataFrame, model: Classifier, text: str = "text") -> DataFrame:
     """df with `licenses`: (paragraph, family, probability, overlap, confirmed) of each paragraph that is predicted to
     be a licence or unknown, in order, and `license`: the family of the surest confirmed one, else "unknown" if a
     paragraph is suspected, else "none"."""
-    gate = _gate(model)
+    gate, p = _gate(model), unused(df, "_p")
     n = len(FAMILIES)
     table = "map(" + ", ".join(f"'{g}', array({', '.join(f'{z!r}D' for z in zs)})" for g, zs in model.weights) + ")" if model.weights else "cast(map() as map<string, array<double>>)"
     # A template of two words is its pair, which is among a paragraph's n-grams.
     shingles = lambda s: sorted({" ".join(w[i : i + 3]) for w in [[x.rstrip(".-") for x in re.findall(_WORD, s.lower())]] for i in range(max(1, len(w) - 2))})
     templates = "array(" + ", ".join(f"named_struct('family', '{f}', 'parts', array({', '.join(repr(x) for x in shingles(t))}))" for f, ts in sorted(TEMPLATES.items()) for t in ts) + ")"
     body = F.coalesce(F.col(text), F.lit(""))
-    df = df.withColumn("_p", F.when(F.lower(body).rlike(gate), F.expr(f"filter(transform(split({text}, '\\n'), (p, i) -> struct(i as paragraph, p as body)), s -> lower(s.body) rlike {_literal(gate)})")).otherwise(F.expr("cast(array() as array<struct<paragraph:int,body:string>>)")))
+    df = df.withColumn(p, F.when(F.lower(body).rlike(gate), F.expr(f"filter(transform(split({text}, '\\n'), (x, i) -> struct(i as paragraph, x as body)), s -> lower(s.body) rlike {_literal(gate)})")).otherwise(F.expr("cast(array() as array<struct<paragraph:int,body:string>>)")))
     words = f"transform(regexp_extract_all(lower(s.body), '{_WORD}', 0), w -> regexp_replace(w, '[.-]+$', ''))"
-    df = df.withColumn("_p", F.expr(f"transform(_p, s -> struct(s.paragraph as paragraph, {words} as w))"))
+    df = df.withColumn(p, F.expr(f"transform({p}, s -> struct(s.paragraph as paragraph, {words} as w))"))
     pairs = "if(size(s.w) > 1, transform(sequence(0, size(s.w) - 2), i -> concat_ws(' ', s.w[i], s.w[i + 1])), cast(array() as array<string>))"
     triples = "if(size(s.w) > 2, array_distinct(transform(sequence(0, size(s.w) - 3), i -> concat_ws(' ', s.w[i], s.w[i + 1], s.w[i + 2]))), cast(array() as array<string>))"
-    df = df.withColumn("_p", F.expr(f"transform(_p, s -> struct(s.paragraph as paragraph, array_distinct(concat(s.w, {pairs})) as grams, concat({pairs}, {triples}) as triples))"))
+    df = df.withColumn(p, F.expr(f"transform({p}, s -> struct(s.paragraph as paragraph, array_distinct(concat(s.w, {pairs})) as grams, concat({pairs}, {triples}) as triples))"))
     start = "array(" + ", ".join(f"{z!r}D" for z in model.bias) + ")"
     known = ", ".join(f"'{g}'" for g, _ in model.weights) or "null"
     # Most n-grams have no weight; the test by hash spares them the search in the map.
     margins = f"aggregate(filter(s.grams, g -> g in ({known})), {start}, (a, g) -> coalesce(zip_with(a, try_element_at({table}, g), (x, y) -> x + y), a))"
     # The weights and templates are constants inside the expressions, not columns that every row would carry.
-    df = df.withColumn("_p", F.expr(f"transform(_p, s -> struct(s.paragraph as paragraph, s.triples as triples, {margins} as z))"))
+    df = df.withColumn(p, F.expr(f"transform({p}, s -> struct(s.paragraph as paragraph, s.triples as triples, {margins} as z))"))
     families = "array(" + ", ".join(f"'{f}'" for f in FAMILIES) + ")"
     total = " + ".join(f"exp(s.z[{i}] - array_max(s.z))" for i in range(n))
-    df = df.withColumn("_p", F.expr(f"transform(_p, s -> struct(s.paragraph as paragraph, s.triples as triples, {families}[array_position(s.z, array_max(s.z)) - 1] as family, 1D / ({total}) as probability))"))
+    df = df.withColumn(p, F.expr(f"transform({p}, s -> struct(s.paragraph as paragraph, s.triples as triples, {families}[array_position(s.z, array_max(s.z)) - 1] as family, 1D / ({total}) as probability))"))
     share = f"coalesce(array_max(transform(filter({templates}, t -> t.family = s.family), t -> size(array_intersect(t.parts, s.triples)) / size(t.parts))), 0D)"
-    df = df.withColumn("_p", F.expr(f"transform(filter(_p, s -> s.family <> 'none'), s -> struct(s.paragraph as paragraph, s.family as family, s.probability as probability, {share} as overlap))"))
+    df = df.withColumn(p, F.expr(f"transform(filter({p}, s -> s.family <> 'none'), s -> struct(s.paragraph as paragraph, s.family as family, s.probability as probability, {share} as overlap))"))
     sure = f"(s.family <> 'unknown' and s.probability >= {model.threshold!r}D)"
-    df = df.withColumn("licenses", F.expr(f"transform(_p, s -> struct(s.paragraph as paragraph, if({sure}, s.family, 'unknown') as family, round(s.probability, 6) as probability, round(s.overlap, 6) as overlap, {sure} and s.overlap >= {CONFIRM}D as confirmed))"))
+    df = df.withColumn("licenses", F.expr(f"transform({p}, s -> struct(s.paragraph as paragraph, if({sure}, s.family, 'unknown') as family, round(s.probability, 6) as probability, round(s.overlap, 6) as overlap, {sure} and s.overlap >= {CONFIRM}D as confirmed))"))
     best = "array_sort(transform(filter(licenses, s -> s.confirmed), s -> struct(-s.probability as p, s.paragraph as paragraph, s.family as family)))"
-    return df.withColumn("license", F.expr(f"coalesce(get({best}, 0).family, if(size(licenses) > 0, 'unknown', 'none'))")).drop("_p")
+    return df.withColumn("license", F.expr(f"coalesce(get({best}, 0).family, if(size(licenses) > 0, 'unknown', 'none'))")).drop(p)
 
 
 def _literal(pattern: str) -> str:

@@ -89,3 +89,10 @@ def test_spans_are_cut_out(spark):
     assert got == {1: "Before it. \n! After it.", 2: docs[1][1], 3: None, 4: ""}
     cut = {r.doc_id: r.text for r in decontaminate.remove_spans(found, min_chars=20).collect()}
     assert cut[2] == "word " * 400 + "\n"
+
+
+def test_cutting_spans_keeps_columns_of_any_name(spark):
+    item = " ".join(f"w{i}" for i in range(14))
+    docs = spark.createDataFrame([(1, f"Before. {item}. After", "kept")], "doc_id long, text string, _over string")
+    row = decontaminate.remove_spans(decontaminate.scan(docs, spark.createDataFrame([(7, item)], "item_id long, text string"))).first()
+    assert (row.text, row["_over"]) == ("Before. \n. After", "kept")

@@ -198,3 +198,9 @@ def test_evidence_of_several_words_is_scored(spark):
     got = {r.doc_id: r for r in licenses.scan(df, model).collect()}
     assert [(s.paragraph, s.family) for s in got[0].licenses] == [(1, licenses.FAMILIES[1])]
     assert not got[1].licenses and not got[2].licenses
+
+
+def test_licence_scans_keep_columns_of_any_name(spark):
+    rows = [(1, "Licensed under the Apache License, Version 2.0.", "kept"), (2, None, "too")]
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string, _p string"), licenses.train()).collect()
+    assert {r.doc_id: (r.license, r["_p"]) for r in got} == {1: ("apache-2.0", "kept"), 2: ("none", "too")}

@@ -2,6 +2,7 @@ import os
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as P
 from talentweave.llm import queries
@@ -70,6 +71,20 @@ def test_columns_named_like_the_stages_own_stay(spark, folder):
         assert all(r[n] == n for r in rows for n in names)
 
 
+def test_columns_of_any_type_and_name_pass_through(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet").where("doc_id in (4, 5, 183)")
+    docs = docs.withColumns({"m": F.create_map(F.lit("k"), F.lit(2)), "a.b": F.lit("dot"), "t`ick": F.lit("tick"), "_p": F.lit(1), "_over": F.lit(2), "root": F.lit(3)})
+    # Of the two rows with id 5 the one with the smaller map stays.
+    twice = docs.withColumn("m", F.when(F.col("doc_id") == 5, F.create_map(F.lit("k"), F.lit(1))).otherwise(F.col("m")))
+    for name, stage in P.STAGES:
+        rows = stage(spark, docs.union(twice), folder)
+        assert rows.columns[: len(docs.columns)] == docs.columns, name
+        got = rows.collect()
+        assert all((r["a.b"], r["t`ick"], r["_p"], r["_over"], r["root"]) == ("dot", "tick", 1, 2, 3) for r in got) and {r.doc_id for r in got} == {4, 5, 183}, name
+        if name == "near-duplicates":
+            assert sorted((r.doc_id, r.m["k"]) for r in got) == [(4, 2), (5, 1), (183, 2)]
+
+
 def test_run_gives_tokens_of_what_is_left(spark, folder):
     from tokenizers import Tokenizer
 

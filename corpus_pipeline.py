@@ -7,35 +7,54 @@ empty tables, repeated rows and extra columns are handled as each operator says.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField
 
 from talentweave.llm import bpe, decontaminate, pii, quality, simhash
 from talentweave.llm.common import cut, table, unused
 from talentweave.llm.queries import tokenizer_path
 
 
+def own(docs: DataFrame) -> list[Column]:
+    """The columns of docs, whatever their names."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]
+
+
+def has_no_order(field: StructField) -> bool:
+    return bool(re.search(r"\b(map<|variant\b)", field.dataType.simpleString()))
+
+
+def in_order(docs: DataFrame) -> list[Column]:
+    """The columns of docs as values that have an order: those that have none, such as maps, as JSON."""
+    return [F.to_json(F.struct(c)) if has_no_order(f) else c for c, f in zip(own(docs), docs.schema, strict=True)]
+
+
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality field scores 0.5 or more; it learns from the labels outside of the held-out third.
     Null and empty texts are scored like others, very long ones in full."""
     labels = table(spark, sf_dir, "labels").where(F.crc32(F.col("doc_id").cast("string")) % 3 != 1)
     field = quality.train(table(spark, sf_dir, "documents"), labels)
     out = unused(docs, "score")
-    return quality.score(docs, field, out=out).where(F.col(out) >= 0.5).select(docs.columns)
+    return quality.score(docs, field, out=out).where(F.col(out) >= 0.5).select(own(docs))
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates one row: that with the smallest id (a null id comes last), then the smallest hash
-    of its text; of rows equal in both the smallest in its columns' order. Rows that share an id without being near
-    duplicates all stay. Texts of any length count in full; those without words are one group."""
+    of its text; of rows equal in both the smallest in its columns' order (of maps by their JSON). Rows that share an id
+    without being near duplicates all stay. Texts of any length count in full; those without words are one group."""
     named, key, text_hash = (unused(docs, c) for c in ("nameless", "id_key", "text_hash"))
-    own = {named: F.col("doc_id").isNull(), key: F.coalesce(F.col("doc_id").cast("string"), F.lit("")), text_hash: F.xxhash64("text")}
+    keys = {named: F.col("doc_id").isNull(), key: F.coalesce(F.col("doc_id").cast("string"), F.lit("")), text_hash: F.xxhash64("text")}
     found = simhash.near_duplicates(docs.select("doc_id", "text", F.xxhash64("text").alias(text_hash)), also=(text_hash,))
     first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", text_hash)).alias("first"))
     kept = first.select(F.col("first.nameless").alias(named), F.coalesce(F.col("first.doc_id").cast("string"), F.lit("")).alias(key), F.col(f"first.{text_hash}").alias(text_hash))
     # One exchange by id and text serves the join and the choice among repeated rows.
-    rows = docs.withColumns(own).join(kept, [named, key, text_hash], "left_semi")
-    return rows.groupBy(named, key, text_hash).agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
+    rows = docs.withColumns(keys).join(kept, [named, key, text_hash], "left_semi")
+    row, order = F.struct(*own(docs)), F.struct(*in_order(docs))
+    first = F.min(row) if not any(has_no_order(f) for f in docs.schema) else F.min_by(row, order)
+    return rows.groupBy(named, key, text_hash).agg(first.alias("row")).select("row.*")
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +71,7 @@ def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     spans = unused(docs, "spans")
     found = pii.find(docs, pii.train(spark), out=spans)
     hidden = pii.redact(found, spans=spans)
-    return hidden.withColumn("n_chars", F.expr(f"if(size({spans}) > 0, cast(length(text) as bigint), n_chars)")).select(docs.columns)
+    return hidden.withColumn("n_chars", F.expr(f"if(size({spans}) > 0, cast(length(text) as bigint), n_chars)")).select(own(docs))
 
 
 def as_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,7 +82,7 @@ def as_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ids = F.array_join(F.col("token_ids").cast("array<string>"), " ")
     new = ("token_ids", "n_tokens", "ids_sha256", "decoded_sha256")
     return coded.select(
-        *(c for c in docs.columns if c.lower() not in new),
+        *(c for c, name in zip(own(docs), docs.columns, strict=True) if name.lower() not in new),
         "token_ids",
         F.size("token_ids").cast("long").alias("n_tokens"),
         F.sha2(ids, 256).alias("ids_sha256"),

@@ -66,17 +66,21 @@ def unwrap_hyphens(x: Column) -> Column:
     return F.regexp_replace(x, r"(\w)-\s*(\w)", "$1$2")
 
 
+def join_split_caps(x: Column) -> Column:
+    """"S INGH" becomes "SINGH"."""
+    return F.regexp_replace(x, r"\b([A-Z])\s+([A-Z]{2,})\b", "$1$2")
+
+
 def join_spaced_caps(x: Column) -> Column:
     """Three or more single capitals, "A M A N", become "AMAN", then "S INGH" becomes "SINGH"."""
-    tight = F.regexp_replace(x, r"(?<=\b[A-Z] [A-Z]) (?=[A-Z]\b)|(?<=\b[A-Z]) (?=[A-Z] [A-Z]\b)", "")
-    return F.regexp_replace(tight, r"\b([A-Z])\s+([A-Z]{2,})\b", "$1$2")
+    return join_split_caps(F.regexp_replace(x, r"(?<=\b[A-Z] [A-Z]) (?=[A-Z]\b)|(?<=\b[A-Z]) (?=[A-Z] [A-Z]\b)", ""))
 
 
-def person_name(x: Column, title_case: bool = True) -> Column:
+def person_name(x: Column, title_case: bool = True, spaced_caps: bool = True) -> Column:
     """A line as a name: without addresses, profile links and bars, single capitals joined; one in capitals gets title
-    case, words of two letters excepted."""
+    case, words of two letters excepted. spaced_caps=False joins a single capital to a word only, not to others."""
     bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(x, L.EMAIL, ""), L.LINKEDIN, ""), L.GITHUB, "")
-    name = join_spaced_caps(collapse(F.regexp_replace(bare, r"\s+\|\s+", " ")))
+    name = (join_spaced_caps if spaced_caps else join_split_caps)(collapse(F.regexp_replace(bare, r"\s+\|\s+", " ")))
     if not title_case:
         return name
     titled = lambda w: F.array_join(F.transform(F.split(w, r"(?<=\P{L})|(?=\P{L})"), lambda part: F.initcap(part)), "")

@@ -180,7 +180,10 @@ def month_date(x: Column) -> Column:
     )
 
 
-_WHEN = r"(?:Jan|Feb|Mar|Apr|May|Jun|July?|Aug|Sep|Sept|Oct|Nov|Dec)[a-z]*\.?,?\s*['’]?\d{2,4}|\d{4}"
+_MONTHLY = r"(?:Jan|Feb|Mar|Apr|May|Jun|July?|Aug|Sep|Sept|Oct|Nov|Dec)[a-z]*\.?,?\s*['’]?\d{2,4}"
+_WHEN = rf"{_MONTHLY}|\d{{4}}"
+#: A date by itself; four digits of a longer number are no year.
+_LONE = rf"(?i)({_MONTHLY}(?!\d)|(?<!\d)\d{{4}}(?!\d))"
 
 
 def date_range(x: Column) -> Column:
@@ -188,8 +191,8 @@ def date_range(x: Column) -> Column:
     pattern = rf"(?i)\b({_WHEN})(?:\s*[-–—]\s*| to )({_WHEN}|present|current)\b"
     start, end = F.regexp_extract(x, pattern, 1), F.regexp_extract(x, pattern, 2)
     current = F.coalesce(x.rlike(r"(?i)\b(present|current)\b"), F.lit(False))
-    before = F.regexp_extract(F.element_at(F.split(x, r"(?i)\b(?:present|current)\b"), 1), rf"(?i)({_WHEN})", 1)
-    single = F.regexp_extract(x, rf"(?i)({_WHEN})", 1)
+    before = F.regexp_extract(F.element_at(F.split(x, r"(?i)\b(?:present|current)\b"), 1), _LONE, 1)
+    single = F.regexp_extract(x, _LONE, 1)
     return F.struct(
         F.when(current, month_date(before)).when(start != "", month_date(start)).otherwise(month_date(single)).alias("start"),
         F.when(current, F.lit(None).cast("string")).when(start != "", month_date(end)).otherwise(month_date(single)).alias("end"),

@@ -29,3 +29,8 @@ def test_names_of_single_capitals_equal_the_counterpart(same):
     texts = ["A A A A that, that\nb", "of. of. Y Y Y Y", "J O N S INGH\nx", "S INGH | A B C", "plain name"]
     got = same("candidate_names", documents=(list(enumerate(texts)), "doc_id long, text string"))
     assert {r.full_name for r in got} >= {"A A A A that, that", "J O N Singh"}
+
+
+def test_numbers_of_more_digits_are_no_years(same):
+    got = same("education_entities", supplier=([(k,) for k in (7, 999, 1000, 9999, 10000, 20190, 123456)], "s_suppkey long"))
+    assert {r.start_date for r in got if r.doc_id > 9999} == {"2001-01", None}

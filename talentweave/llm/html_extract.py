@@ -19,8 +19,9 @@ tokens, by prefix doubling; runs of RUN tokens or more that occur on distinct pa
 
 A host with more text than a group may hold is dealt by page into groups of bounded size, so that no task gathers a
 hot host. Each group has its own array; what groups cannot see alone is aggregated over the host by 64-bit hashes and
-handed to the groups: the site's blocks, and on hosts with open blocks that can be judged the runs that are repeated
-only across groups. So the text of a page does not depend on how its host was dealt. Partitions follow the bytes.
+handed to the groups: the site's blocks, and on hosts with open blocks that runs can judge the runs that are repeated.
+Hosts of one group go the same way: the text of a page depends neither on how its host was dealt nor on its size.
+Partitions follow the bytes.
 
 Null html counts as empty and gives an empty text; null urls share a group of their own; repeated rows stay and, being
 one page, do not make their own text repeated when their page id is equal. Extra columns are dropped, whatever their
@@ -47,7 +48,7 @@ from talentweave.llm.common import cut
 RUN, COVERED, MOST_PAGES = 8, 0.5, 3
 #: UTF-8 bytes of html in one group of a host's pages, and in one partition, about.
 GROUP_BYTES, PARTITION_BYTES = 500_000, 32_000_000
-#: Hosts of several groups whose sizes may be broadcast; more of them are joined by a shuffle that AQE can split.
+#: Hosts that may be broadcast; more of them are joined by a shuffle that AQE can split.
 MOST_HOSTS = 50_000
 
 CONTENT, OPEN, CHROME, FORM, WRAPPER, HEADLINE = range(6)
@@ -180,18 +181,18 @@ def blocks_of(html: str | None) -> list[tuple[int, str]]:
     return [(known.get(r, (titled if i < start else OPEN) if r == HEADLINE else r), t) for i, (r, t) in enumerate(out)]
 
 
-def repeated(tokens: np.ndarray, page: np.ndarray, run: int = RUN, least: tuple[int, ...] = (2,)) -> list[np.ndarray]:
+def repeated(tokens: np.ndarray, page: np.ndarray, run: int = RUN, least: tuple[int, ...] = (2,), row: np.ndarray | None = None) -> list[np.ndarray]:
     """For each number in `least`: which tokens are in a run of `run` or more tokens that occurs on so many distinct
     pages. Tokens are numbers from 1.
 
     rank is the order of suffixes by their first k tokens; doubling k gives the suffix array's order to the depth that
-    tells runs apart. A run ends at its page's end.
+    tells runs apart. A run ends at its page's end; at its row's, where rows of one page are told apart.
     """
-    n = len(tokens)
+    n, row = len(tokens), page if row is None else row
     if n < run:
         return [np.zeros(n, bool) for _ in least]
-    last = np.append(np.flatnonzero(page[1:] != page[:-1]), n - 1)
-    room = last[np.searchsorted(last, np.arange(n))] - np.arange(n) + 1  # tokens to the page's end
+    last = np.append(np.flatnonzero(row[1:] != row[:-1]), n - 1)
+    room = last[np.searchsorted(last, np.arange(n))] - np.arange(n) + 1  # tokens to the row's end
     rank, k = tokens.astype(np.int64), 1
     while k < run:
         step = min(k, run - k)
@@ -289,14 +290,15 @@ def _finish(blocks: list[tuple[int, str]], where: list[tuple[int, int]], twice:
 
 
 def texts_of(pages: list[tuple[object, list[tuple[int, str]]]], elsewhere: np.ndarray | None = None, site: set[int] | None = None) -> list[str]:
-    """Main texts of one group's pages (id, blocks). elsewhere: hashes of runs that are repeated on the host beyond the
-    group; site: hashes of the site's blocks, where the pages are not the whole host."""
+    """Main texts of one group's pages (id, blocks). elsewhere: hashes of runs that are repeated on the host; site: hashes
+    of the site's blocks, where the pages are not the whole host."""
     words, page, where = stream_of(pages)
+    row = np.repeat(np.arange(len(pages)), [sum(b - a for a, b in own) for own in where])
     number: dict[str, int] = {}
-    (twice,) = repeated(np.array([number.setdefault(w, len(number) + 1) for w in words], np.int64), page, RUN)
+    (twice,) = repeated(np.array([number.setdefault(w, len(number) + 1) for w in words], np.int64), page, RUN, row=row)
     site = _site(pages) if site is None else site
     if elsewhere is not None and len(elsewhere) and len(words) >= RUN:
-        at = np.flatnonzero(np.isin(run_hashes(words), elsewhere) & (page[: len(words) - RUN + 1] == page[RUN - 1 :]))
+        at = np.flatnonzero(np.isin(run_hashes(words), elsewhere) & (row[: len(words) - RUN + 1] == row[RUN - 1 :]))
         for j in range(RUN):
             twice[at + j] = True
     return [_finish(blocks, own, twice, site) for (_, blocks), own in zip(pages, where, strict=True)]
@@ -307,8 +309,8 @@ def _rows(group: pd.DataFrame) -> list[tuple[object, list[tuple[int, str]]]]:
 
 
 def _on_host(parsed: DataFrame) -> DataFrame:
-    """(host, block, n, asks) of hosts that are dealt: on how many pages each content block stands. The row with a null
-    block counts the host's pages and tells whether an open block of a run's length asks for runs.
+    """(host, block, n, asks) of all hosts: on how many pages each content block stands. The row with a null block counts
+    the host's pages and tells whether an open block asks for runs: one of a run's length, or any on a page without content.
 
     Pages are counted by (host, block, page), then by (host, block), so that a block on every page gathers nowhere.
     """
@@ -320,7 +322,8 @@ def _on_host(parsed: DataFrame) -> DataFrame:
                 own = list(zip(roles, blocks, strict=True))
                 rows[host, None, page] = None
                 rows |= {(host, h, page): None for h in block_hashes(own) if h is not None}
-                if any(r == OPEN and t.count(" ") >= RUN - 1 for r, t in own):
+                bare = all(r != CONTENT for r in roles)
+                if any(r == OPEN and (bare or t.count(" ") >= RUN - 1) for r, t in own):
                     rows[host, None, None] = None
             columns = zip(*rows, strict=True) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, (pa.string(), pa.int64(), pa.int64()), strict=True)], names=["host", "block", "page"])
@@ -364,24 +367,23 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
     body = F.coalesce(F.col(html), F.lit(""))
     sizes = cut(pages.groupBy(host.alias("host")).agg(F.sum(F.octet_length(body)).alias("bytes")))
     total = sizes.agg(F.sum("bytes")).first()[0] or 0
-    # Hosts whose pages make more than one group; the others need no entry.
+    # Hosts whose pages make more than one group; the others need no entry to be dealt.
     groups = sizes.where(F.col("bytes") > group_bytes).select("host", F.ceil(F.col("bytes") / group_bytes).cast("int").alias("groups"))
-    large = groups.count()
+    few = lambda hosts: F.broadcast(hosts) if hosts.count() <= MOST_HOSTS else hosts
     kind = pages.schema[key].dataType.simpleString()
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
-                found = [blocks_of(h) for h in part.column(5).to_pylist()]
+                found = [blocks_of(h) for h in part.column(4).to_pylist()]
                 roles = pa.array([[r for r, _ in b] for b in found], pa.list_(pa.int32()))
                 blocks = pa.array([[t for _, t in b] for b in found], pa.list_(pa.string()))
-                yield pa.RecordBatch.from_arrays([*part.columns[:5], roles, blocks], names=["host", "part", "alone", "id", "url", "roles", "blocks"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:4], roles, blocks], names=["host", "part", "id", "url", "roles", "blocks"])
 
-    sized = pages.select(host.alias("host"), F.col(key).alias("id"), F.col(url).alias("url"), F.col(html).alias("html")).join(F.broadcast(groups) if large <= MOST_HOSTS else groups, "host", "left")
+    sized = pages.select(host.alias("host"), F.col(key).alias("id"), F.col(url).alias("url"), F.col(html).alias("html")).join(few(groups), "host", "left")
     part = F.pmod(F.xxhash64("id", "url"), F.coalesce("groups", F.lit(1))).cast("long")
-    alone = F.col("groups").isNull().alias("alone")
-    read = lambda df: df.select("host", part.alias("part"), alone, "id", "url", "html").mapInArrow(parse, f"host string, part bigint, alone boolean, id {kind}, url string, roles array<int>, blocks array<string>")
+    read = lambda df: df.select("host", part.alias("part"), "id", "url", "html").mapInArrow(parse, f"host string, part bigint, id {kind}, url string, roles array<int>, blocks array<string>")
     # Dealt by both, lest a join by host alone leave a hot host in one task; more bytes make more partitions.
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // PARTITION_BYTES))
     dealt = read(sized).repartition(parts, "host", "part").groupBy("host", "part")
@@ -390,24 +392,19 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
     def finish(group: pd.DataFrame, found: pd.DataFrame | None = None) -> pd.DataFrame:
         if not len(group):  # hashes for a group that got no page
             return pd.DataFrame({c: pd.Series([], dtype=object) for c in (key, "url", "text", "n_chars")})
-        # A host of one group finds all by itself.
-        if group["alone"].iloc[0]:
-            texts = texts_of(_rows(group))
-        else:
-            hashes = lambda runs: found["hash"][found["of_run"] == runs].to_numpy(np.int64) if found is not None else np.zeros(0, np.int64)
-            texts = texts_of(_rows(group), hashes(True), set(hashes(False).tolist()))
+        hashes = lambda runs: found["hash"][found["of_run"] == runs].to_numpy(np.int64) if found is not None else np.zeros(0, np.int64)
+        texts = texts_of(_rows(group), hashes(True), set(hashes(False).tolist()))
         return pd.DataFrame({key: group["id"], "url": group["url"], "text": texts, "n_chars": [len(t) for t in texts]})
 
-    if not large:
-        return dealt.applyInPandas(lambda group: finish(group), out)
-    on_host = _on_host(read(sized.where("groups > 1")))
+    on_host = _on_host(read(sized))
     hosts = on_host.where("block is null").select("host", F.greatest(F.lit(MOST_PAGES), F.ceil(F.col("n") / 2)).alias("most"), "asks")
-    parts_of = groups.select("host", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups").cast("long") - 1)).alias("part"))
+    last = F.greatest(F.ceil(F.col("bytes") / group_bytes).cast("long"), F.lit(1).cast("long")) - 1
+    parts_of = sizes.select("host", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("part"))
     site = on_host.where("block is not null").join(hosts, "host").where("n >= most").select("host", "block").join(parts_of, "host")
     known = site.select("host", "part", F.col("block").alias("hash"), F.lit(False).alias("of_run"))
     asking = hosts.where("asks").select("host")
     if not asking.isEmpty():
-        runs = _repeated_elsewhere(read(sized.join(F.broadcast(asking) if large <= MOST_HOSTS else asking, "host", "left_semi")))
+        runs = _repeated_elsewhere(read(sized.join(few(asking), "host", "left_semi")))
         known = known.unionByName(runs.select("host", "part", F.col("run").alias("hash"), F.lit(True).alias("of_run")))
     elif site.isEmpty():
         return dealt.applyInPandas(lambda group: finish(group), out)

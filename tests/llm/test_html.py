@@ -142,3 +142,14 @@ def test_names_inside_articles_need_all_their_words():
     assert [t for r, t in H.blocks_of("<h1>Site</h1><article><h1>Own</h1><p>x</p></article>") if r == H.CONTENT] == ["Own", "x"]
     assert H.blocks_of('<div class="page-header-content"><p>all of the page</p></div><p>x</p>') == [(H.OPEN, "all of the page"), (H.OPEN, "x")]
     assert H.blocks_of("<h1>Title</h1><p>x</p>") == [(H.OPEN, "Title"), (H.OPEN, "x")]
+
+
+def test_short_blocks_do_not_depend_on_the_size_of_groups(spark):
+    menu = "<div>home products</div><div>about contact us</div><div>imprint privacy terms jobs</div>"
+    rows = [(i, "https://short.example/x", f"{menu}<div>page {i} {i * 7}</div>", "") for i in range(12)]
+    # Rows of one page: no run goes from one into the other.
+    rows += [(i, "https://rows.example/x", t, "") for i in (20, 21) for t in ("<p>one two three four</p>", "<p>five six seven eight</p>")]
+    df = spark.createDataFrame(rows, PAGES)
+    for size in (10**9, 400, 1):
+        got = sorted((r.page_id, r.text) for r in H.extract(df, group_bytes=size).collect())
+        assert got == sorted([(i, f"page {i} {i * 7}") for i in range(12)] + [(i, t) for i in (20, 21) for t in ("one two three four", "five six seven eight")])

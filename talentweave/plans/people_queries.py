@@ -10,6 +10,7 @@ from talentweave.operators import matching as M
 from talentweave.operators import people as P
 from talentweave.operators import retrieval as R
 from talentweave.operators import schedule as S
+from talentweave.operators.dealing import dealt, parts
 from talentweave.plans import catalog as C
 from talentweave.plans import sqlgate
 from talentweave.sources import scratch, store
@@ -86,7 +87,7 @@ def _records(spark, sf):
         F.lit(None).cast("string").alias("seniority"), F.lit(None).cast("string").alias("employment_type"), F.lit(None).cast("string").alias("location"), F.date_format("l_shipdate", "yyyy-MM").alias("start_date"), F.lit("junk").alias("end_date"),
         F.lit(None).cast("boolean").alias("is_current"), F.lit(0.5).alias("extraction_confidence"), F.lit(None).cast("int").alias("source_page"),
     )
-    g = li.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", work.alias("w")))).alias("w"), F.sort_array(F.collect_set(F.struct(F.lower("l_linestatus").alias("name"), F.lit(None).cast("string").alias("category")))).alias("skills"))
+    g = dealt(li, parts(li), "l_orderkey").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", work.alias("w")))).alias("w"), F.sort_array(F.collect_set(F.struct(F.lower("l_linestatus").alias("name"), F.lit(None).cast("string").alias("category")))).alias("skills"))
     o = C.table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderpriority").join(g, F.col("o_orderkey") == F.col("l_orderkey"))
     empty = lambda t: F.array().cast(t)
     return o.select(

@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from talentweave.functions import lexicon as L
 
 
+def bound(x: Column, use: Callable[[Column], Column]) -> Column:
+    """use(x), with x computed once, however often `use` names it."""
+    return F.get(F.transform(F.array(x), use), F.lit(0))
+
+
 def collapse(x: Column) -> Column:
     """Runs of white space (of any kind) become one space; trimmed."""
     return F.trim(F.regexp_replace(x, r"(?U)\s+", " "))
@@ -167,7 +174,10 @@ def season_to_month(x: Column) -> Column:
 
 def month_date(x: Column) -> Column:
     """"Aug 2023", "March, '22", "2024-05", "2024" or a season as YYYY-MM; null for anything else."""
-    low = F.lower(F.trim(F.replace(x, F.lit("’"), F.lit("'"))))
+    return bound(F.lower(F.trim(F.replace(x, F.lit("’"), F.lit("'")))), _month_of)
+
+
+def _month_of(low: Column) -> Column:
     name = F.regexp_extract(low, r"^(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\.?,?\s*'?(\d{4}|\d{2})$", 1)
     year = F.regexp_extract(low, r"'?(\d{4}|\d{2})$", 1)
     full = F.when(F.length(year) == 2, F.concat(F.lit("20"), year)).otherwise(year)
@@ -209,9 +219,9 @@ def date_range_strict(x: Column) -> Column:
     pattern = rf"(?i)\b({_DAY})(?:\s*[-–—]\s*| to )({_DAY}|present|current)\b"
     tight = lambda i: F.regexp_replace(F.regexp_extract(x, pattern, i), r"\s*,\s*|\s+", " ")
     first = lambda d: F.when(d != "", F.concat(month_date(F.regexp_replace(d, r"(?i)^([a-z]+)(\d{4})$", "$1 $2")), F.lit("-01")))
-    start, end = tight(1), tight(2)
-    current = F.coalesce(F.lower(end).isin("present", "current"), F.lit(False))
-    return F.struct(first(start).alias("start"), F.when(~current, first(end)).alias("end"), current.alias("is_current"))
+    current = lambda d: F.coalesce(F.lower(d["end"]).isin("present", "current"), F.lit(False))
+    made = lambda d: F.struct(first(d["start"]).alias("start"), F.when(~current(d), first(d["end"])).alias("end"), current(d).alias("is_current"))
+    return bound(F.struct(tight(1).alias("start"), tight(2).alias("end")), made)
 
 
 def iso_date(x: Column) -> Column:

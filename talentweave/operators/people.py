@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from talentweave.functions import fuzzy
 from talentweave.functions import lexicon as L
 from talentweave.functions import text as X
+from talentweave.operators.dealing import dealt, parts
 
 #: The canonical record, which is also the extractor's output with `meta` in place of hash and parser fields.
 EXTRACTED = """
@@ -46,28 +47,34 @@ SYSTEMS = ("hf", "spacy")
 TITLE_CUTS = r"[|,•\-–—@/()]"
 
 
-def standing(entities: DataFrame) -> DataFrame:
+def standing(entities: DataFrame, n: int | None = None) -> DataFrame:
     """Entities (doc_id, sec_no, system, label, word, start, end, score) that no better one of their system overlaps: one
     with a higher score, or with an equal one that starts earlier or, from the same place, ends later. Offsets are code
     points of the section's text, ends exclusive; labels come in capitals, words trimmed, those without text go.
 
-    Entities meet in the stretches of 128 code points that they touch, so that only near ones are compared.
+    Entities meet in the stretches of 128 code points that they touch, so that only near ones are compared. All of it
+    happens where a document's entities have been dealt to, once, in n partitions (else as many as they need).
     """
-    df = entities.withColumns({"label": F.upper("label"), "word": F.trim("word")}).where((F.col("word") != "") & (F.col("start") < F.col("end"))).dropDuplicates(["doc_id", "sec_no", "system", "start", "end", "label", "word", "score"])
-    keys = ["doc_id", "sec_no", "system"]
+    keys, rest = ["doc_id", "sec_no", "system"], ["label", "word", "start", "end", "score"]
+    df = dealt(entities, n or parts(entities), "doc_id").withColumns({"label": F.upper("label"), "word": F.trim("word")}).where((F.col("word") != "") & (F.col("start") < F.col("end")))
     places = F.explode(F.sequence(F.floor(F.col("start") / 128), F.floor((F.col("end") - 1) / 128))).alias("_at")
     rank = F.struct((-F.coalesce("score", F.lit(0.0))).alias("a"), F.col("start").alias("b"), (-F.col("end")).alias("c"), F.col("label").alias("d"), F.col("word").alias("e"))
-    own = df.select(*keys, "start", "end", rank.alias("rank"), places)
-    better = own.select(*keys, "_at", F.col("start").alias("_s"), F.col("end").alias("_e"), F.col("rank").alias("_rank"))
-    beaten = own.join(better, [*keys, "_at"]).where((F.col("_s") < F.col("end")) & (F.col("_e") > F.col("start")) & (F.col("_rank") < F.col("rank"))).select(*keys, "start", "end", "rank").distinct()
-    return df.withColumn("rank", rank).join(beaten, [*keys, "start", "end", "rank"], "left_anti").drop("rank")
+    near = df.select(*keys, F.struct(*rest, rank.alias("rank")).alias("e"), places).groupBy(*keys, "_at").agg(F.collect_set("e").alias("_near"))
+    beats = lambda o: (o["start"] < F.col("e.end")) & (o["end"] > F.col("e.start")) & (o["rank"] < F.col("e.rank"))
+    each = near.select(*keys, "_near", F.explode("_near").alias("e")).select(*keys, "e", F.exists("_near", beats).alias("_beaten"))
+    return each.groupBy(*keys, "e").agg(F.max("_beaten").alias("_beaten")).where("not _beaten").select(*keys, *[f"e.{c}" for c in rest])
 
 
-def _blocks(sections: DataFrame, separator: str = r"\n{2,}") -> DataFrame:
+#: Sections of a partition, about.
+SECTIONS = 50_000
+
+
+def _blocks(sections: DataFrame, n: int | None, separator: str = r"\n{2,}") -> DataFrame:
     """(doc_id, sec_no, block_no, block, from_, head_from, head_to): the blocks of each section's text with their offset
-    in it, and the offsets of their first line that is not blank."""
+    in it, and the offsets of their first line that is not blank; sections are dealt to n partitions."""
     lead = F.length("text") - F.length(F.ltrim("text"))
-    cut = sections.where("text is not null").select("doc_id", "sec_no", lead.alias("_lead"), X.blocks(F.col("text")).alias("_b"), F.regexp_extract_all(F.trim("text"), F.lit(f"({separator})"), F.lit(1)).alias("_s"))
+    own = dealt(sections.where("text is not null").select("doc_id", "sec_no", "text"), n, "doc_id")
+    cut = own.select("doc_id", "sec_no", lead.alias("_lead"), X.blocks(F.col("text")).alias("_b"), F.regexp_extract_all(F.trim("text"), F.lit(f"({separator})"), F.lit(1)).alias("_s"))
     each = cut.select("doc_id", "sec_no", "_lead", "_s", F.posexplode("_b").alias("block_no", "block"))
     width = F.length("block") + F.coalesce(F.length(F.get("_s", F.col("block_no"))), F.lit(0))
     before = F.coalesce(F.sum(width).over(Window.partitionBy("doc_id", "sec_no").orderBy("block_no").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -78,19 +85,18 @@ def _blocks(sections: DataFrame, separator: str = r"\n{2,}") -> DataFrame:
 
 
 def named_in(blocks: DataFrame, entities: DataFrame, label: str, systems: tuple[str, ...], begin: str, end: str) -> DataFrame:
-    """(doc_id, sec_no, block_no, named): of each block the first entity of a label that lies inside its range, of the
-    first listed system that has one there."""
+    """blocks with `named`: of each block the first entity of a label that lies inside its range, of the first listed
+    system that has one there. A section's entities meet its blocks as one list."""
     order = F.coalesce(*[F.when(F.col("system") == s, F.lit(i)) for i, s in enumerate(systems)])
-    wanted = entities.where((F.col("label") == label) & F.col("system").isin(*systems)).select("doc_id", "sec_no", order.alias("_o"), "start", "end", "word")
-    ranges = blocks.select("doc_id", "sec_no", "block_no", F.col(begin).alias("_from"), F.col(end).alias("_to"))
-    inside = ranges.join(wanted, ["doc_id", "sec_no"]).where((F.col("start") >= F.col("_from")) & (F.col("end") <= F.col("_to")))
-    return inside.groupBy("doc_id", "sec_no", "block_no").agg(F.min(F.struct("_o", "start", "end", "word"))["word"].alias("named"))
+    wanted = entities.where((F.col("label") == label) & F.col("system").isin(*systems)).groupBy("doc_id", "sec_no").agg(F.collect_list(F.struct(order.alias("_o"), "start", "end", "word")).alias("_w"))
+    inside = F.filter("_w", lambda e: (e["start"] >= F.col(begin)) & (e["end"] <= F.col(end)))
+    return blocks.join(wanted, ["doc_id", "sec_no"], "left").withColumn("named", F.array_min(inside)["word"]).drop("_w")
 
 
-def _with_names(blocks: DataFrame, entities: DataFrame | None, systems: tuple[str, ...], begin: str, end: str) -> DataFrame:
+def _with_names(blocks: DataFrame, n: int | None, entities: DataFrame | None, systems: tuple[str, ...], begin: str, end: str) -> DataFrame:
     if entities is None:
         return blocks.withColumn("named", F.lit(None).cast("string"))
-    return blocks.join(named_in(blocks, standing(entities), "ORG", systems, begin, end), ["doc_id", "sec_no", "block_no"], "left")
+    return named_in(blocks, standing(entities, n), "ORG", systems, begin, end)
 
 
 def extract_experience(sections: DataFrame, entities: DataFrame | None = None, systems: tuple[str, ...] = SYSTEMS, strict_dates: bool = False) -> DataFrame:
@@ -101,15 +107,16 @@ def extract_experience(sections: DataFrame, entities: DataFrame | None = None, s
     the one that its first piece comes close to. systems: one system alone gives that extractor's variant.
     """
     work = sections.where(F.col("section_type").isin("work_experience", "internships"))
-    work = _with_names(_blocks(work), entities, systems, "head_from", "head_to")
+    n = parts(work, SECTIONS)
+    work = _with_names(_blocks(work, n), n, entities, systems, "head_from", "head_to")
     own = X.lines(F.col("block"))
     df = work.withColumns({"header": X.collapse(F.get(own, F.lit(0))), "body": F.array_join(F.slice(own, F.lit(2), F.greatest(F.size(own), F.lit(1))), "\n")}).where("header is not null")
     lower = F.lower("header")
-    title = F.coalesce(*[F.when(lower.rlike(rf"(?:^|[^a-z]){t}(?:$|[^a-z])"), F.lit(t)) for t in sorted(L.TITLES, key=lambda t: (-len(t), t))])
+    title = F.coalesce(*[F.when(F.contains(lower, F.lit(t)) & lower.rlike(rf"(?:^|[^a-z]){t}(?:$|[^a-z])"), F.lit(t)) for t in sorted(L.TITLES, key=lambda t: (-len(t), t))])
     close = fuzzy.closest_piece(F.when(F.col("title").isNull(), F.col("header")), TITLE_CUTS, L.TITLES, fuzzy.token_set_ratio_of, L.TITLE_CUTOFF)
     df = df.withColumn("title", title).withColumn("title", F.coalesce("title", close))
     ranged = X.date_range_strict if strict_dates else X.date_range
-    dates = F.when(ranged(F.col("header"))["start"].isNotNull(), ranged(F.col("header"))).otherwise(ranged(F.col("body")))
+    dates = X.bound(ranged(F.col("header")), lambda own: F.when(own["start"].isNotNull(), own).otherwise(ranged(F.col("body"))))
     df = df.withColumns({"company": X.company(F.col("header"), F.col("named")), "dates": dates, "points": X.bullets(F.col("body"))})
     sure = X.confidence(0.5, (F.col("company").isNotNull(), 0.2), (F.col("title").isNotNull(), 0.2), (F.col("dates.start").isNotNull() | F.col("dates.end").isNotNull(), 0.1), (F.size("points") > 0, 0.1))
     bullets = F.transform("points", lambda b: F.struct(b.alias("bullet_text"), X.metrics(b).alias("metrics"), X.skills(b).alias("skills_mentioned")))
@@ -119,8 +126,10 @@ def extract_experience(sections: DataFrame, entities: DataFrame | None = None, s
 def extract_education(sections: DataFrame, entities: DataFrame | None = None, systems: tuple[str, ...] = SYSTEMS, strict_dates: bool = False) -> DataFrame:
     """(doc_id, sec_no, block_no, …) of the blocks of education sections: degree, institution, grade, dates, confidence.
     The institution is the first organisation that the preferred system has found in the block."""
-    own = _blocks(sections.where("section_type = 'education'")).withColumn("to_", F.col("from_") + F.length("block"))
-    own = _with_names(own, entities, systems, "from_", "to_").withColumn("block", X.collapse(F.col("block")))
+    own = sections.where("section_type = 'education'")
+    n = parts(own, SECTIONS)
+    own = _blocks(own, n).withColumn("to_", F.col("from_") + F.length("block"))
+    own = _with_names(own, n, entities, systems, "from_", "to_").withColumn("block", X.collapse(F.col("block")))
     level = X.degree_level(F.col("block"))
     degree = F.when(F.lower("block").contains("dual degree"), F.lit("Dual Degree")).when(level == "masters", F.lit("M.Tech/M.E.")).when(level == "bachelors", F.lit("B.Tech/B.E."))
     d = (X.date_range_strict if strict_dates else X.date_range)(F.col("block"))
@@ -131,10 +140,12 @@ def extract_education(sections: DataFrame, entities: DataFrame | None = None, sy
 def extract_skills(sections: DataFrame, entities: DataFrame | None = None, systems: tuple[str, ...] = ("hf",)) -> DataFrame:
     """(doc_id, sec_no, names): the listed skills that each skills section contains, and those that the systems have
     found there as MISC or LANGUAGE; sorted."""
-    own = sections.where("section_type = 'skills'").select("doc_id", "sec_no", X.skills(F.coalesce("text", F.lit(""))).alias("_d"))
+    own = sections.where("section_type = 'skills'")
+    n = parts(own, SECTIONS) if entities is not None else None
+    own = own.select("doc_id", "sec_no", X.skills(F.coalesce("text", F.lit(""))).alias("_d"))
     if entities is None:
         return own.select("doc_id", "sec_no", F.col("_d").alias("names"))
-    wanted = standing(entities).where(F.col("label").isin("MISC", "LANGUAGE") & F.col("system").isin(*systems) & F.lower("word").isin(*L.SKILLS))
+    wanted = standing(entities, n).where(F.col("label").isin("MISC", "LANGUAGE") & F.col("system").isin(*systems) & F.lower("word").isin(*L.SKILLS))
     found = wanted.groupBy("doc_id", "sec_no").agg(F.collect_set(F.lower("word")).alias("_n"))
     nil = F.array().cast("array<string>")
     return own.join(found, ["doc_id", "sec_no"], "left").select("doc_id", "sec_no", F.sort_array(F.array_union("_d", F.coalesce("_n", nil))).alias("names"))

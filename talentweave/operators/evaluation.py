@@ -26,7 +26,8 @@ def holders(items: DataFrame) -> DataFrame:
     a null item has those with rows of null or empty items. A list is as long as there are systems at most; no row holds
     an entity's items."""
     item = F.nullif(X.plain_norm(F.col("item")), F.lit(""))
-    return items.select(*_OF, "system", item.alias("item")).groupBy(*_OF, "item").agg(F.sort_array(F.collect_set("system")).alias("systems"))
+    # Repeated items go before they are normalised.
+    return items.select(*_OF, "system", "item").distinct().select(*_OF, "system", item.alias("item")).groupBy(*_OF, "item").agg(F.sort_array(F.collect_set("system")).alias("systems"))
 
 
 def patterns(items: DataFrame, first: int = 0) -> DataFrame:

@@ -4,6 +4,7 @@ import duckdb
 import pytest
 from tests.test_queries import plain
 
+from talentweave.operators import dealing, evaluation, people, retrieval
 from talentweave.plans import registry
 
 
@@ -34,3 +35,36 @@ def test_names_of_single_capitals_equal_the_counterpart(same):
 def test_numbers_of_more_digits_are_no_years(same):
     got = same("education_entities", supplier=([(k,) for k in (7, 999, 1000, 9999, 10000, 20190, 123456)], "s_suppkey long"))
     assert {r.start_date for r in got if r.doc_id > 9999} == {"2001-01", None}
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_variants_stay_in_a_row(spark):
+    assert "Exchange" not in _plan(retrieval.variants(spark.createDataFrame([(1, "sql developer")], "id int, question string")))
+
+
+def test_partitions_follow_the_rows(spark, monkeypatch):
+    df = spark.range(1000).withColumnRenamed("id", "k")
+    assert dealing.parts(df) is None and dealing.parts(df, 100) == 10
+    assert dealing.dealt(df, 10, "k").rdd.getNumPartitions() == 10
+    monkeypatch.setattr(people, "SECTIONS", 20)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    work = df.selectExpr("k as doc_id", "1 as sec_no", "'education' as section_type", "'M.Tech at Some School\n\nB.Tech' as text")
+    found = df.selectExpr("k as doc_id", "1 as sec_no", "'hf' as system", "'ORG' as label", "'Some School' as word", "10 as start", "21 as end", "0.5D as score")
+    try:
+        out = people.extract_education(work, found)
+        # Sections and entities meet where they were dealt to.
+        assert [x for x in _plan(out).splitlines() if "Exchange" in x and "REPARTITION_BY_NUM" not in x] == []
+        assert out.rdd.getNumPartitions() == 50
+        assert {(r.block_no, r.institution_raw) for r in out.collect()} == {(0, "Some School"), (1, None)}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_repeated_items_go_before_they_are_normalised(spark):
+    rows = [("e", "f", s, i) for s, i in (("a", " X  y"), ("a", "x y"), ("a", "x y"), ("b", "X Y"), ("b", None))]
+    of = evaluation.holders(spark.createDataFrame(rows, "entity string, field string, system string, item string"))
+    assert _plan(of).count("Exchange hashpartitioning") == 2
+    assert {(r["item"], *r.systems) for r in of.collect()} == {("x y", "a", "b"), (None, "b")}

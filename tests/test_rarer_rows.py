@@ -1,10 +1,13 @@
 """Rows that the small test tables lack: queries on tables of their own give what their DuckDB counterparts give."""
 
+import random
+
 import duckdb
 import pytest
 from tests.test_queries import plain
 
-from talentweave.operators import dealing, evaluation, people, retrieval
+from talentweave.functions import fuzzy
+from talentweave.operators import dealing, evaluation, matching, people, retrieval
 from talentweave.plans import registry
 
 
@@ -68,3 +71,15 @@ def test_repeated_items_go_before_they_are_normalised(spark):
     of = evaluation.holders(spark.createDataFrame(rows, "entity string, field string, system string, item string"))
     assert _plan(of).count("Exchange hashpartitioning") == 2
     assert {(r["item"], *r.systems) for r in of.collect()} == {("x y", "a", "b"), (None, "b")}
+
+
+def test_spelling_aligns_few_pairs_and_each_once(spark):
+    rng = random.Random(4)
+    some = {"".join(rng.choices("abcdef", k=rng.randint(1, 9))) for _ in range(400)} | {"aabbaabb", "abcd", "badc", "abcde", "bacdf"}
+    terms, words = set(sorted(some)[::4]) | {"badc", "bacdf"}, some | {"aaabbb"}
+    near = {w: min(((fuzzy.alignment_of(w, t), t) for t in terms)) for w in words}
+    df = matching.spell(spark.createDataFrame([(w,) for w in words], "word string"), spark.createDataFrame([(t, 1) for t in terms], "term string, freq int"))
+    assert dict(map(tuple, df.collect())) == {w: t if d <= 2 else w for w, (d, t) in near.items()}
+    text = _plan(df)
+    assert text.split("== Initial Plan ==")[-1].count("ArrowEvalPython") == 1 and "Join" in text
+    assert not any("levenshtein" in x for x in text.splitlines() if "Join" in x)

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from talentweave.functions import fuzzy
+from talentweave.sources.scratch import written
 
 #: Lengths of grams, the most telling first.
 SIZES = (3, 2, 1)
@@ -43,9 +44,13 @@ def candidates(short: DataFrame, long: DataFrame, cutoff: float, strict: bool) -
     cutoff. Both are single columns of distinct strings, a and b."""
     if cutoff <= 0:
         raise ValueError("a cutoff of 0 or less lets every pair through")
-    index = _indexed(long, "b")
+    # Read twice, and of a size that shows, unlike that of an exploded table: it is not broadcast by mistake.
+    index = written(_indexed(long, "b"))
     common = index.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
-    planned = _planned(short.where("length(a) > 0"), "a", cutoff)
+    # A string longer than all of the other side has no partner there.
+    most = long.agg(F.max(F.length("b"))).scalar()
+    short = short.where((F.length("a") > 0) & (F.length("a") < most if strict else F.length("a") <= most))
+    planned = _planned(short, "a", cutoff)
     own = planned.select("a", "e", "q", F.posexplode("grams").alias("pos", "gram")).join(common, "gram", "left")
     rank = F.row_number().over(Window.partitionBy("a").orderBy(F.coalesce("n", F.lit(0)), "pos"))
     probes = own.withColumn("r", rank).where(F.col("r") <= (2 * F.col("q") - 1) * F.col("e") + 1).where("n is not null").select("a", "e", "q", "gram").distinct()

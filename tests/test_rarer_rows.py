@@ -7,7 +7,7 @@ import pytest
 from tests.test_queries import plain
 
 from talentweave.functions import fuzzy
-from talentweave.operators import dealing, evaluation, matching, people, retrieval
+from talentweave.operators import dealing, evaluation, gramjoin, matching, people, retrieval
 from talentweave.plans import registry
 
 
@@ -83,3 +83,14 @@ def test_spelling_aligns_few_pairs_and_each_once(spark):
     text = _plan(df)
     assert text.split("== Initial Plan ==")[-1].count("ArrowEvalPython") == 1 and "Join" in text
     assert not any("levenshtein" in x for x in text.splitlines() if "Join" in x)
+
+
+def test_names_are_read_once_and_pairs_scored_once(spark, tmp_path):
+    spark.createDataFrame([(f"custmer{i}", f"a{i}@x") for i in range(50)], "full_name string, email string").write.parquet(f"{tmp_path}/people")
+    tokens = spark.createDataFrame([(0, "customer7"), (1, "custmer12")], "pos int, token string")
+    df = matching.fuzzy_names(tokens, spark.read.parquet(f"{tmp_path}/people"), 92)
+    assert f"{tmp_path}/people" not in _plan(df)
+    assert {(r.query_name, r.email) for r in df.collect()} >= {("custmer12", "a12@x")}
+    pairs = gramjoin.partial_ratio_join(spark.createDataFrame([("abcd",), ("ab",)], "x string"), spark.createDataFrame([("xabcd",), ("a",)], "x string"), 60)
+    assert _plan(pairs).split("== Initial Plan ==")[-1].count("ArrowEvalPython") == 1
+    assert {(r.a, r.b) for r in pairs.collect()} == {("abcd", "xabcd"), ("ab", "xabcd"), ("abcd", "a"), ("ab", "a")}

@@ -97,8 +97,9 @@ def person_name(x: Column, title_case: bool = True, spaced_caps: bool = True) ->
 
 def all_caps(x: Column) -> Column:
     """At least 90 % of the letters are upper-case, and there is one."""
-    letters = F.regexp_count(x, F.lit(r"\p{L}"))
-    return F.coalesce((letters > 0) & (F.regexp_count(x, F.lit(r"\p{Lu}")) >= 0.9 * letters), F.lit(False))
+    # Runs of other characters go at once, instead of a match for each letter; without a capital letters are not counted.
+    of = lambda kind: F.length(F.regexp_replace(x, rf"\P{{{kind}}}+", ""))
+    return F.coalesce((of("Lu") > 0) & (of("Lu") >= 0.9 * of("L")), F.lit(False))
 
 
 def looks_header(text: Column, bold: Column, size: Column, median: Column) -> Column:

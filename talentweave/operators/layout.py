@@ -12,6 +12,7 @@ from talentweave.functions import lexicon as L
 from talentweave.functions import text as X
 from talentweave.operators import sections as S
 from talentweave.operators.folding import columns, fold
+from talentweave.sources.scratch import written
 
 _CUES = "|".join(L.ROLE_CUES)
 _MONTH = r"(?i)\b(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sept?|Oct|Nov|Dec)[a-z]*\.?(?:\b|\s)"
@@ -142,7 +143,7 @@ def fuzzy_header_label(lines: DataFrame, cutoff: float = L.HEADER_CUTOFF) -> Dat
     texts = lines.where("is_header").select(bare.alias("_t")).where("_t <> ''").distinct().withColumn("_d", direct)
     near = fuzzy.closest(F.when(F.col("_d").isNull(), F.col("_t")), [key for _, key, _ in entries], fuzzy.token_set_ratio_of, cutoff, 1)
     names = F.array(*[F.lit(label) for _, _, label in entries])
-    labels = texts.withColumn("_n", F.get(near, F.lit(0))["pos"]).select("_t", F.coalesce("_d", F.get(names, F.col("_n"))).alias("label"))
+    labels = written(texts.withColumn("_n", F.get(near, F.lit(0))["pos"]).select("_t", F.coalesce("_d", F.get(names, F.col("_n"))).alias("label")))
     return lines.withColumn("_t", F.when(F.col("is_header"), bare)).join(labels, "_t", "left").drop("_t")
 
 
@@ -151,7 +152,9 @@ def rule_sections(lines: DataFrame) -> DataFrame:
     from each header to the next; skills that read like prose are "other", and so is a document without headers."""
     df = S.join_wrapped(header_candidates(S.without_noise(S.reading_order(lines))))
     df = df.withColumn("line_no", F.row_number().over(Window.partitionBy("doc_id").orderBy("line_no")))
-    df = fuzzy_header_label(header_candidates(df.drop("is_header")))
+    # Written once, with what is needed: labels, headers and sections all read it.
+    df = written(header_candidates(df.drop("is_header")).select("doc_id", "line_no", "page", "text", "is_header"))
+    df = fuzzy_header_label(df)
     heads = S.dedupe_headers(df.where("label is not null").select("doc_id", "line_no", "label")).withColumnRenamed("label", "section_type")
     marked = df.join(heads, ["doc_id", "line_no"], "left").withColumn("_h", F.col("section_type").isNotNull())
     order = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)

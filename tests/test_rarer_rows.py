@@ -4,10 +4,12 @@ import random
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 from tests.test_queries import plain
 
 from talentweave.functions import fuzzy
-from talentweave.operators import dealing, evaluation, gramjoin, matching, people, retrieval
+from talentweave.functions import text as X
+from talentweave.operators import dealing, evaluation, gramjoin, layout, matching, people, retrieval, sections
 from talentweave.plans import registry
 
 
@@ -94,3 +96,32 @@ def test_names_are_read_once_and_pairs_scored_once(spark, tmp_path):
     pairs = gramjoin.partial_ratio_join(spark.createDataFrame([("abcd",), ("ab",)], "x string"), spark.createDataFrame([("xabcd",), ("a",)], "x string"), 60)
     assert _plan(pairs).split("== Initial Plan ==")[-1].count("ArrowEvalPython") == 1
     assert {(r.a, r.b) for r in pairs.collect()} == {("abcd", "xabcd"), ("ab", "xabcd"), ("abcd", "a"), ("ab", "a")}
+
+
+def _positioned(spark, texts, tops):
+    rows = [(d, i, 1, t, 10.0, y, 90.0, y + 10, False, 10.0, 0) for d in (1, 2, 3) for i, (t, y) in enumerate(zip(texts, tops, strict=True))]
+    return spark.createDataFrame(rows, "doc_id long, line_no int, page int, text string, x0 double, y0 double, x1 double, y1 double, is_bold boolean, font_size double, column int")
+
+
+def test_sections_read_their_lines_once(spark, tmp_path):
+    _positioned(spark, ["WORK EXPERIENCE", "did", "this", "TECHNCAL SKILLS", "sql"], [0.0, 12.0, 24.0, 36.0, 48.0]).write.parquet(f"{tmp_path}/lines")
+    out = layout.rule_sections(spark.read.parquet(f"{tmp_path}/lines"))
+    assert f"{tmp_path}/lines" not in _plan(out) and "ArrowEvalPython" not in _plan(out)
+    assert {(r.doc_id, r.section_type, r.text) for r in out.collect()} == {(d, s, t) for d in (1, 2, 3) for s, t in (("work_experience", "did this"), ("skills", "sql"))}
+
+
+def test_wrapped_lines_go_on_in_the_next_batch(spark):
+    df = _positioned(spark, ["a", "b", "- c", "d", "e", "far"], [0.0, 12.0, 24.0, 36.0, 48.0, 90.0])
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2)
+    try:
+        got = {(r.doc_id, r.line_no, r.text, r.y1) for r in sections.join_wrapped(df).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == {(d, *x) for d in (1, 2, 3) for x in ((0, "a b", 22.0), (2, "- c d e", 58.0), (5, "far", 100.0))}
+
+
+def test_capitals_are_counted_without_a_match_for_each(spark):
+    df = spark.createDataFrame([(t,) for t in ("ABC d", "ABCDEFGHIJ k", "ÄÖ 12", "12", "", None, "𐐀𐐀", "aB")], "t string")
+    out = df.select("t", X.all_caps(F.col("t")).alias("caps"))
+    assert "extract_all" not in _plan(out)
+    assert {r.t: r.caps for r in out.collect()} == {"ABC d": False, "ABCDEFGHIJ k": True, "ÄÖ 12": True, "12": False, "": False, None: False, "𐐀𐐀": True, "aB": False}

@@ -1,14 +1,18 @@
-"""Document fingerprints by consistent weighted sampling.
+"""Document fingerprints by consistent weighted sampling, as SQL expressions inside the row.
 
-A document is its shingles of `size` words, weighted by how often each occurs. For each of SLOTS slots every weighted
-term draws r and c from Gamma(2, 1) and b from (0, 1), all from a hash of term and slot, and gets
-t = floor(ln(weight) / r + b) and ln a = ln c - r * (t - b + 1); the slot's sample is the (term, t) of the smallest a.
-Two documents' samples in a slot agree with a probability of their generalised Jaccard similarity, so the share of
-agreeing slots estimates it without bias.
+A document is its shingles of `size` words, weighted by how often each occurs: a term of weight w has the units (term, 1)
+to (term, w). For each of SLOTS slots every unit draws a number, by hashes of unit and slot alone, and the slot's sample
+is the unit of the least. So a sample is uniform over all weighted terms and consistent: a weight that grows keeps it or
+moves it to the grown term. Two documents' samples in a slot agree with a probability of their generalised Jaccard
+similarity, so the share of agreeing slots estimates it without bias.
 
-The draws are inverse distribution functions at 16 bits of the hash, from tables that the driver computes and
-broadcasts (two MB), so that equal texts have equal fingerprints on machines of any kind. Arrow slices and chunks of
-terms bound the memory, whatever a text's length.
+Few of the draws are looked at. A unit draws its own hash in the one slot that the hash's leading bits name, which it
+favours, and more than any such draw in each other slot. In a slot that some unit favours the least of those is the
+least of all; only in a slot that none favours all units are hashed with the slot. For n units and s slots that makes
+n + n * s * exp(-n / s) draws on the average, under n + 0.4 * s * s, not n * s.
+
+Words are those of Python's str.split() on the lower-cased text. Hashes are XXH64, so that equal texts have equal
+fingerprints on machines of any kind. Time and memory grow with a text's length (but for the sorting of its hashes).
 
 Null texts count as empty; a text of fewer words than a shingle is one shingle; texts without words have an empty
 signature and are alike (1.0), and unlike all others (0.0). Equal texts have equal fingerprints whatever their ids.
@@ -17,120 +21,109 @@ Repeated rows give repeated results; extra columns pass through, and one named l
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 import numpy as np
-import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from talentweave.llm.common import add_columns, cut, mixed
+from talentweave.llm.common import cut
 
 SHINGLE, SLOTS = 5, 64
-#: Terms that all slots look at in one step.
-CHUNK = 512
-#: Remembered word hashes in a worker; beyond it the memory starts anew.
-REMEMBER = 200_000
-_LOW = np.uint64(0xFFFF)
+#: Spark's seed of XXH64, and the white space that str.split() knows.
+_SEED = 42
+_SPACE = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
 
 
-def gamma_quantiles(p: np.ndarray) -> np.ndarray:
-    """The inverse of Gamma(2, 1)'s distribution function 1 - (1 + x) exp(-x), by bisection."""
-    low, high = np.zeros(len(p)), np.full(len(p), 60.0)
-    for _ in range(80):
-        middle = (low + high) / 2
-        under = 1 - (1 + middle) * np.exp(-middle) < p
-        low, high = np.where(under, middle, low), np.where(under, high, middle)
-    return (low + high) / 2
+def _let(value: str, name: str, body: str) -> str:
+    """body, in which `name` stands for value, which is computed once."""
+    return f"transform(array({value}), {name} -> {body})[0]"
 
 
-@dataclass(frozen=True)
-class Draws:
-    """Tables over 16 bits: r, ln c at the lower edge of each of 65,536 equal shares, and its rise to the next edge."""
+def _slot(x: str, slots: int) -> str:
+    """The slot that x favours: equal shares of the 64-bit numbers, in their order."""
+    return f"shiftright((shiftright({x}, 32) + 2147483648L) * {slots}L, 32)"
 
-    r: np.ndarray
-    log_c: np.ndarray
-    rise: np.ndarray
 
-    @classmethod
-    def make(cls) -> Draws:
-        n = 1 << 16
-        edges = np.arange(n + 1) / n
-        edges[0], edges[-1] = 1 / (16 * n), 1 - 1 / (16 * n)
-        log_c = np.log(gamma_quantiles(edges))
-        return cls(gamma_quantiles((np.arange(n) + 0.5) / n), log_c[:-1], np.diff(log_c))
-
-    def values(self, terms: np.ndarray, log_weight: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """ln a and t of each slot (row) and term."""
-        x = mixed(terms[None, :] ^ seeds[:, None])
-        b = (x & _LOW).astype(float)
-        b += 0.5
-        b /= 1 << 16
-        r = self.r[((x >> np.uint64(16)) & _LOW).astype(np.int64)]
-        at = (x >> np.uint64(48)).astype(np.int64)
-        a = ((x >> np.uint64(32)) & _LOW).astype(float)
-        a /= 1 << 16
-        a *= self.rise[at]
-        a += self.log_c[at]
-        t = np.floor(log_weight / r + b) if log_weight.any() else np.zeros((1, 1))
-        a -= r * (t - b + 1)
-        return a, t
+def _low(x: str) -> str:
+    return f"cast(shiftright(shiftleft({x}, 32), 32) as int)"
 
-    def signature(self, terms: np.ndarray, weights: np.ndarray, slots: int = SLOTS) -> np.ndarray:
-        """For each slot 32 bits of the sampled (term, t). Terms are distinct."""
-        seeds = mixed(np.arange(1, slots + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        least, term, level = np.full(slots, np.inf), np.zeros(slots, np.uint64), np.zeros(slots)
-        rows = np.arange(slots)
-        # Terms of weight 1 first: they need no t.
-        order = np.argsort(weights > 1, kind="stable")
-        terms, logs = terms[order], np.log(weights[order].astype(float))
-        ones = int((weights == 1).sum())
-        for i, j in [*((i, min(i + CHUNK, ones)) for i in range(0, ones, CHUNK)), *((i, min(i + CHUNK, len(terms))) for i in range(ones, len(terms), CHUNK))]:
-            a, t = self.values(terms[i:j], logs[i:j], seeds)
-            best = a.argmin(1)
-            found = a[rows, best]
-            won = found < least
-            least[won], term[won] = found[won], terms[i:j][best[won]]
-            level[won] = np.broadcast_to(t, a.shape)[rows, best][won]
-        return (mixed(term ^ mixed(level.astype(np.int64).view(np.uint64) + np.uint64(1))) >> np.uint64(32)).astype(np.uint32).view(np.int32)
-
-
-def terms_of(text: str | None, size: int, known: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-    """The hashes of a text's distinct shingles, ascending, and how often each occurs. known: remembered word hashes."""
-    words = (text or "").lower().split()
-    for w in set(words):
-        if w not in known:
-            known[w] = xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"))
-    own = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-    if len(known) > REMEMBER:
-        known.clear()
-    n = min(size, len(words))
-    out = np.zeros(len(words) - n + 1 if n else 0, np.uint64)
-    for j in range(n):
-        out = out * np.uint64(0x9E3779B97F4A7C15) + own[j : j + len(out)]
-    return np.unique(mixed(out), return_counts=True)
+
+def _terms(size: int) -> str:
+    """The hashes of all shingles of the words ws, ascending."""
+    rest = ", ".join(f"ws[i + {k}]" for k in range(1, size))
+    each = f"transform(slice(ws, 1, size(ws) - {size - 1}), (w, i) -> xxhash64(w{', ' if rest else ''}{rest}))"
+    return f"sort_array(if(size(ws) >= {size}, {each}, if(size(ws) > 0, array(xxhash64(ws)), cast(array() as array<bigint>))))"
+
+
+def _units() -> str:
+    """The units of the terms hs, ascending: a term's first is its hash; further ones are hashed with their number."""
+    runs = "filter(sequence(0, size(ds) - 1), i -> i = 0 or ds[i] <> ds[i - 1])"
+    further = "flatten(transform(rs, (p, j) -> transform(sequence(2L, coalesce(get(rs, j + 1), size(ds)) - p + 1L), k -> xxhash64(ds[p], k))))"
+    repeated = _let("filter(hs, (h, i) -> i > 0 and h = hs[i - 1])", "ds", _let(runs, "rs", further))
+    return f"if(size(array_distinct(hs)) = size(hs), hs, sort_array(concat(array_distinct(hs), {repeated})))"
+
+
+def _samples(slots: int) -> str:
+    """32 bits of the unit sampled in each slot, of the units us; none without units."""
+    least = f"filter(us, (u, i) -> i = 0 or {_slot('u', slots)} <> {_slot('us[i - 1]', slots)})"
+    rest = "array_min(transform(us, u -> xxhash64(u, j)))"
+    searched = _let("cast(array_position(ts, j) as int)", "p", _low(f"if(p > 0, ls[p - 1], {rest})"))
+    some = _let(f"transform(ls, l -> {_slot('l', slots)})", "ts", f"transform(sequence(0L, {slots - 1}L), j -> {searched})")
+    return _let(least, "ls", f"if(size(ls) in (0, {slots}), transform(ls, l -> {_low('l')}), {some})")
 
 
 def fingerprint(df: DataFrame, text: str = "text", out: str = "fingerprint", size: int = SHINGLE, slots: int = SLOTS, drop: tuple[str, ...] = ()) -> DataFrame:
     """df with the signature of each whole text: an int for each slot, none for a text without words."""
-    shared = df.sparkSession.sparkContext.broadcast(Draws.make())
+    kept = [(f"c{i}", c) for i, c in enumerate(df.columns) if c not in {*drop, out}]
+    words = f"array_remove(split(lower(coalesce(c{df.columns.index(text)}, '')), r'{_SPACE}'), '')"
+    signed = _let(words, "ws", _let(_terms(size), "hs", _let(_units(), "us", _samples(slots))))
+    # Numbered names inside: expressions would not find those with dots and ticks.
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns)))).select(*(c for c, _ in kept), F.expr(signed)).toDF(*(c for _, c in kept), out)
 
-    def work():
-        draws: Draws = shared.value
-        known: dict[str, int] = {}
 
-        def of(column: pa.Array) -> list[pa.Array]:
-            found = [terms_of(t, size, known) for t in column.to_pylist()]
-            signed = [draws.signature(*f, slots) if len(f[0]) else np.zeros(0, np.int32) for f in found]
-            ends = np.append(0, np.cumsum([len(s) for s in signed])).astype(np.int32)
-            flat = np.concatenate(signed) if signed else np.zeros(0, np.int32)
-            return [pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int32()))]
+def _hashed(*parts: bytes | int) -> int:
+    """xxhash64 of strings and longs: each hash is the seed of the next."""
+    seed = _SEED
+    for p in parts:
+        seed = xxhash.xxh64_intdigest(p if isinstance(p, bytes) else (p % 2**64).to_bytes(8, "little"), seed)
+    return seed - 2**64 if seed >= 2**63 else seed
 
-        return of
 
-    return add_columns(df, text, T.StructType().add(out, T.ArrayType(T.IntegerType())), work, drop)
+def terms_of(text: str | None, size: int, known: dict[tuple, int]) -> tuple[np.ndarray, np.ndarray]:
+    """In plain Python: the hashes of a text's distinct shingles, ascending, and how often each occurs. known: hashes
+    of shingles met before."""
+    words = [w.encode("utf-8", "surrogatepass") for w in (text or "").lower().split()]
+    n = min(size, len(words))
+    shingles = [tuple(words[i : i + n]) for i in range(len(words) - n + 1 if n else 0)]
+    known |= {s: _hashed(*s) for s in {*shingles} - known.keys()}
+    return np.unique(np.array([known[s] for s in shingles], np.int64), return_counts=True)
+
+
+class Draws:
+    """The samples in plain Python, draw by draw; the tests compare the expressions with it."""
+
+    @classmethod
+    def make(cls) -> Draws:
+        return cls()
+
+    def signature(self, terms: np.ndarray, weights: np.ndarray, slots: int = SLOTS) -> np.ndarray:
+        """For each slot 32 bits of the sampled unit. Terms are distinct, weights whole numbers."""
+        units = [_hashed(x, k) if k > 1 else x for x, w in zip(terms.astype(np.int64).tolist(), weights.tolist(), strict=True) for k in range(1, w + 1)]
+        favoured: dict[int, int] = {}
+        for u in sorted(units):
+            favoured.setdefault(((u >> 32) + 2**31) * slots >> 32, u)
+        return np.array([favoured[j] if j in favoured else min(_hashed(u, j) for u in units) for j in range(slots if units else 0)], np.int64).astype(np.int32)
+
+
+def gamma_quantiles(p: np.ndarray) -> np.ndarray:
+    """The inverse of Gamma(2, 1)'s distribution function 1 - (1 + x) exp(-x), by bisection. Weights that are no whole
+    numbers would need it; counts of shingles do not."""
+    low, high = np.zeros(len(p)), np.full(len(p), 60.0)
+    for _ in range(80):
+        middle = (low + high) / 2
+        under = 1 - (1 + middle) * np.exp(-middle) < p
+        low, high = np.where(under, middle, low), np.where(under, high, middle)
+    return (low + high) / 2
 
 
 def likeness(a: str, b: str):

@@ -214,6 +214,29 @@ def test_gamma_quantiles():
     assert np.allclose(1 - (1 + x) * np.exp(-x), [0.001, 0.3, 0.5, 0.999])
 
 
+@pytest.mark.parametrize(("size", "slots"), [(5, 64), (1, 3), (2, 100)])
+def test_expressions_sign_as_plain_python(spark, size, slots):
+    rng = random.Random(4)
+    texts = [None, "", " \n", "\u00a0One\u2003two\x1cTHREE\x85four\u3000", "É😀 ΣΑΣ straße", "a b c d", "a b c d e", "x " * 700, "u v w x y\n" * 90 + "s"]
+    texts += [" ".join(rng.choices(WORDS, k=n)) for n in (6, 40, 300, 3000)]
+    df = spark.createDataFrame([(t, i, t) for i, t in enumerate(texts)], "`te.xt` string, `a``b` int, out string")
+    got = fingerprints.fingerprint(df, "te.xt", "out", size, slots)
+    assert got.columns == ["te.xt", "a`b", "out"] and not any(w in got._jdf.queryExecution().executedPlan().toString() for w in ("Arrow", "Python", "Pandas"))
+    draws = fingerprints.Draws.make()
+    for text, _, out in got.collect():
+        assert out == draws.signature(*fingerprints.terms_of(text, size, {}), slots).tolist()
+
+
+@pytest.mark.parametrize("n", [1, 30, 400])
+def test_samples_are_the_least_of_all_draws(n):
+    """Every unit draws in every slot, its own hash where it favours the slot, before all others."""
+    terms, slots = np.array([fingerprints._hashed(i) for i in range(n)]), 64
+    weights = np.array([1 + i % 3 for i in range(n)])
+    units = [int(x) if k == 1 else fingerprints._hashed(int(x), k) for x, w in zip(terms, weights, strict=True) for k in range(1, w + 1)]
+    least = [min((0, u) if (u + 2**63) * slots >> 64 == j else (1, fingerprints._hashed(u, j)) for u in units)[1] for j in range(slots)]
+    assert fingerprints.Draws.make().signature(terms, weights, slots).tolist() == np.array(least).astype(np.int32).tolist()
+
+
 def test_edited_texts_and_successors(spark):
     rows = [(30, "abcdef😀"), (10, "123456789"), (20, "x"), (40, None), (20, "x"), (None, "null")]
     df = spark.createDataFrame(rows, "doc_id long, text string")

@@ -54,6 +54,13 @@ def test_fingerprints(spark, folder):
         assert abs(r.near_edited - like(a, b)) < 1e-9 and abs(r.near_next - like(a, sign(after))) < 1e-9
 
 
+def test_fingerprints_run_no_python(spark, folder, monkeypatch):
+    for module in (queries, fingerprints):
+        monkeypatch.setattr(module, "cut", lambda df: df)
+    plan = queries.op7_fingerprints(spark, folder)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and not any(w in plan for w in ("Arrow", "Python", "Pandas"))
+
+
 def test_quality(spark, folder):
     from pyspark.sql import functions as F
 
